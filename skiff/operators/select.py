@@ -121,7 +121,12 @@ def reduce_prefixes(prefixes: DataFrame, boundary: str = "path") -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast only behind a row-count check of the (small, selection-sized) side."""
+    """Broadcast only behind a row-count check of the (selection-sized) side.
+
+    The side is cached first so the count and the join share one computation; above the
+    limit the planner picks the join (sort-merge with AQE skew splitting).
+    """
+    df = df.cache()
     return F.broadcast(df) if df.count() <= limit else df
 
 

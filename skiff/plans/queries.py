@@ -14,6 +14,7 @@ from ..operators import catalog, ndjson, runs, select, transport
 from ..session import run_dir
 from ..sources import bz2_reader, registry
 from ..sources.objects import list_objects
+from .job import JobConfig, read_manifest, run_transport
 from .views import event_line, oracle_with, table, v_dated, v_objects, v_runs, v_selection
 
 QUERIES: dict[str, tuple] = {}
@@ -285,30 +286,47 @@ def q_multi_extension_select(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # transport: real files written from the tables, then listed, selected, read and written
 # ---------------------------------------------------------------------------------------------
+_FIXTURES: dict[tuple, str] = {}
+
+
+def _fixture(spark: SparkSession, sf: str, name: str, write) -> str:
+    """Input files derived from a table, written once per application and reused."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FIXTURES:
+        root = run_dir(spark, name)
+        write(root)
+        _FIXTURES[key] = root
+    return _FIXTURES[key]
+
+
 def _events_bz2(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    """Write ``events`` as bz2 NDJSON, one file per ``event_type=<t>/date=<d>`` folder."""
+    """``events`` as bz2 NDJSON files, one per ``event_type=<t>/date=<d>`` folder."""
     e = table(spark, sf, "events")
-    root = run_dir(spark, "events-bz2")
-    (
-        e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"))
-        .repartition("event_type", "date")
-        .write.partitionBy("event_type", "date")
-        .option("compression", "bzip2")
-        .option("lineSep", "\n")
-        .text(root)
-    )
-    return root, e
+
+    def write(root):
+        (
+            e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"))
+            .repartition(4 * spark.sparkContext.defaultParallelism, "event_type", "date")
+            .write.partitionBy("event_type", "date")
+            .option("compression", "bzip2")
+            .option("lineSep", "\n")
+            .text(root)
+        )
+
+    return _fixture(spark, sf, "events-bz2", write), e
 
 
 def _event_selection(e: DataFrame) -> DataFrame:
     return e.select(F.lit("events").alias("bucket"), F.concat(F.lit("event_type="), "event_type").alias("path")).distinct()
 
 
-def _ingest_events(spark, sf):
+def _run_events_job(spark, sf, process_type="decompress_and_concatenate") -> dict:
     root, e = _events_bz2(spark, sf)
-    objs = list_objects(spark, root, bucket="events")
-    files = select.select_objects(objs, select.build_patterns(_event_selection(e)))
-    return bz2_reader.read_files(files)
+    cfg = JobConfig(
+        source_root=root, source_bucket="events", selection=_event_selection(e),
+        output=run_dir(spark, "out"), process_type=process_type, output_shards=10,
+    )
+    return run_transport(spark, cfg)
 
 
 @query(
@@ -320,10 +338,8 @@ def _ingest_events(spark, sf):
        FROM events GROUP BY event_type""",
 )
 def q_ingest_bz2_roundtrip(spark, sf):
-    raw = _ingest_events(spark, sf)
-    out = run_dir(spark, "shards") + "/out"
-    transport.write_shards(bz2_reader.lines_of(raw), out, num_shards=10)
-    back = transport.read_shards(spark, out)
+    res = _run_events_job(spark, sf)
+    back = transport.read_shards(spark, res["output"])
     return back.groupBy(F.get_json_object("value", "$.event_type").alias("event_type")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.length("value")).cast("long").alias("chars"),
@@ -338,7 +354,14 @@ def q_ingest_bz2_roundtrip(spark, sf):
               CAST(0 AS BIGINT) AS files_failed, CAST(count(*) AS BIGINT) AS lines_yielded FROM events""",
 )
 def q_ingest_counters(spark, sf):
-    return _ingest_events(spark, sf).agg(*bz2_reader.counter_columns()).drop("bytes_read")
+    """AGG-10 from the per-file manifest the job wrote next to its shards."""
+    res = _run_events_job(spark, sf)
+    m = read_manifest(spark, res["output"])
+    return m.agg(
+        F.count_if(F.col("error").isNull()).alias("files_processed"),
+        F.count_if(F.col("error").isNotNull()).alias("files_failed"),
+        F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
+    )
 
 
 def _conversation_roundtrip(spark, sf, compression):
@@ -379,24 +402,23 @@ def q_write_snappy_roundtrip(spark, sf):
 )
 def q_decompress_only_layout(spark, sf):
     d = table(spark, sf, "documents")
-    root = run_dir(spark, "docs-bz2")
-    (
-        d.select(F.col("text").alias("value"), "source", "lang")
-        .repartition("source", "lang")
-        .write.partitionBy("source", "lang")
-        .option("compression", "bzip2")
-        .option("lineSep", "\n")
-        .text(root)
-    )
-    objs = list_objects(spark, root, bucket="docs")
+
+    def write(root):
+        (
+            d.select(F.col("text").alias("value"), "source", "lang")
+            .repartition(4 * spark.sparkContext.defaultParallelism, "source", "lang")
+            .write.partitionBy("source", "lang")
+            .option("compression", "bzip2")
+            .option("lineSep", "\n")
+            .text(root)
+        )
+
+    root = _fixture(spark, sf, "docs-bz2", write)
     sel = d.select(F.lit("docs").alias("bucket"), F.concat(F.lit("source="), "source").alias("path")).distinct()
-    files = select.select_objects(objs, select.build_patterns(sel)).select("path", "size_bytes", "key")
-    raw = bz2_reader.read_files(files)
-    rel = files.select(F.col("path").alias("_p"), F.col("key").alias("rel_path"))
-    lines = bz2_reader.lines_of(raw).join(rel, F.col("path") == F.col("_p")).select("rel_path", "line_no", "value")
-    out = run_dir(spark, "decompress-only") + "/out"
-    transport.write_per_input(lines, out)
-    back = transport.read_per_input(spark, out)
+    cfg = JobConfig(source_root=root, source_bucket="docs", selection=sel, output=run_dir(spark, "per-input"),
+                    process_type="decompress_only")
+    res = run_transport(spark, cfg)
+    back = transport.read_per_input(spark, res["output"]).where(F.col("rel_path") != "_manifest")
     folder = F.regexp_extract("rel_path", r"^source=([^/]*)/lang=([^/]*)/", 1)
     lang = F.regexp_extract("rel_path", r"^source=([^/]*)/lang=([^/]*)/", 2)
     return back.groupBy(folder.alias("source"), lang.alias("lang")).agg(

@@ -220,10 +220,14 @@ def _read_partition(batches: Iterator[pd.DataFrame], buffer_bytes: int) -> Itera
 
 
 def plan_tasks(files: DataFrame, target_bytes: int) -> int:
-    """Task count for the read: total compressed bytes / target (one small aggregate)."""
+    """Task count for the read (one small aggregate over the listing): total compressed
+    bytes / ``target_bytes``, but at least one task per core while there are files."""
     row = files.agg(F.sum("size_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
     total, n = int(row["b"] or 0), int(row["n"] or 0)
-    return max(1, min(n, math.ceil(total / target_bytes))) if n else 1
+    if not n:
+        return 1
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(n, max(cores, math.ceil(total / target_bytes))))
 
 
 def read_files(

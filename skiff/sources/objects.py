@@ -8,10 +8,10 @@ Unlike ``binaryFile``/``text`` it hides nothing: zero-byte objects and names sta
 with ``_`` or ``.`` are listed, as a storage listing would.  No file content is read.
 
 Partitioning: the driver walks only the top folder levels (folder names, breadth first)
-until there are ``targetPartitions`` folders or ``planDepth`` levels; each executor task
-then lists one folder tree (plus one task per walked level for the files directly in
-it).  A hot first-level folder is thereby split by its sub-folders instead of being one
-task.  A ``key`` ``startswith`` filter is pushed into the listing: only folders that can
+until there are ``targetPartitions`` folders or ``planDepth`` levels; the folder trees
+below (and the files directly in each walked folder) are dealt round-robin into at most
+``targetPartitions`` executor tasks.  A hot first-level folder is thereby split by its
+sub-folders instead of being one task.  A ``key`` ``startswith`` filter is pushed into the listing: only folders that can
 hold matching keys are walked (needs ``spark.sql.python.filterPushdown.enabled``, which
 ``list_objects`` turns on).
 """
@@ -41,8 +41,10 @@ def _fs_and_root(uri: str):
 
 @dataclass
 class _Part(InputPartition):
-    base: str  # folder to list, relative to root ('' = root)
-    recursive: bool  # False: only direct files of ``base``
+    """Folders one task lists: ``(base, recursive)``; ``recursive=False`` lists only the
+    files directly in ``base``."""
+
+    items: list
 
 
 def _default_bucket(uri: str) -> str:
@@ -82,24 +84,25 @@ class ObjectsReader(DataSourceReader):
         import pyarrow.fs as pafs
 
         fs, root = _fs_and_root(self.uri)
-        parts: list[_Part] = []
+        items: list[tuple[str, bool]] = []
         frontier = [""]
         depth = 0
         while frontier and depth < self.max_depth and len(frontier) < self.target:
             nxt = []
             for rel in frontier:
-                parts.append(_Part(rel, False))
+                items.append((rel, False))
                 base = f"{root}/{rel}" if rel else root
-                infos = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-                for info in infos:
+                for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
                     if info.type == pafs.FileType.Directory:
                         child = info.path[len(root) + 1 :]
                         if self._prefix_ok(child, True):
                             nxt.append(child)
             frontier = nxt
             depth += 1
-        parts.extend(_Part(rel, True) for rel in frontier)
-        return parts or [_Part("", False)]
+        items.extend((rel, True) for rel in frontier)
+        # deal the folders round-robin into at most ``target`` tasks
+        n = max(1, min(self.target, len(items)))
+        return [_Part(items[i::n]) for i in range(n)]
 
     # -- executor side -----------------------------------------------------------------
     def read(self, partition: _Part):
@@ -107,44 +110,43 @@ class ObjectsReader(DataSourceReader):
         import pyarrow.fs as pafs
 
         fs, root = _fs_and_root(self.uri)
-        base = f"{root}/{partition.base}" if partition.base else root
-        sel = pafs.FileSelector(base, recursive=partition.recursive, allow_not_found=True)
         scheme_root = self.uri.rstrip("/")
+        schema = pa.schema(
+            [
+                ("bucket", pa.string()),
+                ("key", pa.string()),
+                ("path", pa.string()),
+                ("size_bytes", pa.int64()),
+                ("updated", pa.timestamp("us", tz="UTC")),
+            ]
+        )
         cols = {"bucket": [], "key": [], "path": [], "size_bytes": [], "updated": []}
 
         def flush():
-            batch = pa.RecordBatch.from_pydict(
-                cols,
-                schema=pa.schema(
-                    [
-                        ("bucket", pa.string()),
-                        ("key", pa.string()),
-                        ("path", pa.string()),
-                        ("size_bytes", pa.int64()),
-                        ("updated", pa.timestamp("us", tz="UTC")),
-                    ]
-                ),
-            )
+            batch = pa.RecordBatch.from_pydict(cols, schema=schema)
             for v in cols.values():
                 v.clear()
             return batch
 
-        for info in fs.get_file_info(sel):
-            if info.type != pafs.FileType.File:
-                continue
-            key = info.path[len(root) + 1 :]
-            if not self._prefix_ok(key, False):
-                continue
-            mt = info.mtime
-            if mt is not None and mt.tzinfo is None:
-                mt = mt.replace(tzinfo=timezone.utc)
-            cols["bucket"].append(self.bucket)
-            cols["key"].append(key)
-            cols["path"].append(f"{scheme_root}/{key}")
-            cols["size_bytes"].append(info.size)
-            cols["updated"].append(mt)
-            if len(cols["key"]) >= _BATCH:
-                yield flush()
+        for rel, recursive in partition.items:
+            base = f"{root}/{rel}" if rel else root
+            sel = pafs.FileSelector(base, recursive=recursive, allow_not_found=True)
+            for info in fs.get_file_info(sel):
+                if info.type != pafs.FileType.File:
+                    continue
+                key = info.path[len(root) + 1 :]
+                if not self._prefix_ok(key, False):
+                    continue
+                mt = info.mtime
+                if mt is not None and mt.tzinfo is None:
+                    mt = mt.replace(tzinfo=timezone.utc)
+                cols["bucket"].append(self.bucket)
+                cols["key"].append(key)
+                cols["path"].append(f"{scheme_root}/{key}")
+                cols["size_bytes"].append(info.size)
+                cols["updated"].append(mt)
+                if len(cols["key"]) >= _BATCH:
+                    yield flush()
         if cols["key"]:
             yield flush()
 
