@@ -10,11 +10,14 @@ join:
 * ``boundary="path"`` (default): an object matches prefix ``q`` when ``q`` is the root,
   the key itself, or a folder above it.  Each key is exploded into its ancestor paths
   (``depth + 1`` short rows, generated and consumed inside one stage) and semi-joined on
-  ``(bucket, ancestor) = (bucket, q)``.
+  ``(bucket, depth, ancestor) = (bucket, depth(q), q)``.
 * ``boundary="prefix"`` reproduces the reference exactly (``startswith``, so ``Jan/1``
   also takes ``Jan/10``): ``q`` is split into folder + partial name, keys are exploded
-  into (folder, next segment) pairs, and the join is on ``(bucket, folder)`` with
-  ``startswith(next segment, partial)`` as residual.
+  into (depth, folder, next segment) triples, and the join is on ``(bucket, depth,
+  folder)`` with ``startswith(next segment, partial)`` as residual.
+
+The depth is in the key because with empty segments (``/a``) one folder text occurs at
+two depths.
 
 Before matching, prefixes covered by another selected prefix are dropped (same equality
 trick on the small pattern side), so each object meets at most one prefix and the
@@ -77,31 +80,46 @@ def _head(key: Column, j: Column) -> Column:
 
 
 def _ancestors(key: Column) -> Column:
-    """'' , first segment, first two segments, ..., the key itself."""
+    """(depth j, first j segments) for j = 0 .. number of segments: '', ..., the key itself.
+
+    The depth is part of the join key: with empty segments (``/a``, ``a//b``) the same
+    text can occur at two depths.
+    """
     n = F.size(F.split(key, "/", -1))
-    return F.transform(F.sequence(F.lit(0), n), lambda j: _head(key, j))
+    return F.transform(
+        F.sequence(F.lit(0), n), lambda j: F.struct(j.alias("depth"), _head(key, j).alias("anc"))
+    )
 
 
 def _folder_pairs(key: Column) -> Column:
-    """(folder above segment j, segment j) for every segment of the key."""
+    """(depth j, folder above segment j, segment j) for every segment of the key."""
     segs = F.split(key, "/", -1)
     return F.transform(
-        segs, lambda s, j: F.struct(_head(key, j).alias("dir"), s.alias("seg"))
+        segs, lambda s, j: F.struct(j.alias("depth"), _head(key, j).alias("dir"), s.alias("seg"))
     )
 
 
-def _split_prefix(prefix: Column) -> tuple[Column, Column]:
+def _path_depth(prefix: Column) -> Column:
+    """Number of segments of a prefix ('' has none)."""
+    return F.when(prefix == "", F.lit(0)).otherwise(F.size(F.split(prefix, "/", -1)))
+
+
+def _split_prefix(prefix: Column) -> tuple[Column, Column, Column]:
+    """(depth of the partial segment, folder above it, the partial segment)."""
     has_slash = prefix.contains("/")
     qdir = F.when(has_slash, C.parent_path(prefix)).otherwise(F.lit(""))
     qpart = F.when(has_slash, C.last_segment(prefix)).otherwise(prefix)
-    return qdir, qpart
+    depth = F.size(F.split(prefix, "/", -1)) - 1
+    return depth, qdir, qpart
 
 
 def reduce_prefixes(prefixes: DataFrame, boundary: str = "path") -> DataFrame:
     """Drop every prefix that another prefix of the set already covers."""
     q = F.col("prefix")
     if boundary == "path":
-        proper = F.slice(_ancestors(q), 1, F.greatest(F.size(F.split(q, "/", -1)), F.lit(1)))
+        proper = F.transform(
+            F.slice(_ancestors(q), 1, F.greatest(F.size(F.split(q, "/", -1)), F.lit(1))), lambda a: a["anc"]
+        )
         proper = F.when(q == "", F.array().cast("array<string>")).otherwise(proper)
     elif boundary == "prefix":
         proper = F.transform(F.sequence(F.lit(0), F.length(q) - 1), lambda k: F.substring(q, 1, k))
@@ -141,23 +159,30 @@ def match_prefixes(
     """Objects (all columns) under any of ``prefixes(bucket, prefix)``; each object once."""
     red = prefixes if reduced else reduce_prefixes(prefixes, boundary)
     if boundary == "path":
-        side = _maybe_broadcast(red.select("bucket", F.col("prefix").alias("_anc")), broadcast_limit)
-        exploded = objects.select("*", F.explode(_ancestors(F.col("key"))).alias("_anc"))
-        hit = exploded.join(side, ["bucket", "_anc"], "left_semi")
-        return hit.drop("_anc")
-    qdir, qpart = _split_prefix(F.col("prefix"))
+        side = _maybe_broadcast(
+            red.select("bucket", _path_depth(F.col("prefix")).alias("_depth"), F.col("prefix").alias("_anc")),
+            broadcast_limit,
+        )
+        exploded = objects.select("*", F.explode(_ancestors(F.col("key"))).alias("_a"))
+        exploded = exploded.select("*", F.col("_a.depth").alias("_depth"), F.col("_a.anc").alias("_anc")).drop("_a")
+        hit = exploded.join(side, ["bucket", "_depth", "_anc"], "left_semi")
+        return hit.drop("_depth", "_anc")
+    qdepth, qdir, qpart = _split_prefix(F.col("prefix"))
     side = _maybe_broadcast(
-        red.select(F.col("bucket").alias("_b"), qdir.alias("_dir"), qpart.alias("_part")),
+        red.select(F.col("bucket").alias("_b"), qdepth.alias("_qd"), qdir.alias("_dir"), qpart.alias("_part")),
         broadcast_limit,
     )
     exploded = objects.select("*", F.explode(_folder_pairs(F.col("key"))).alias("_fp"))
-    exploded = exploded.select("*", F.col("_fp.dir").alias("_d"), F.col("_fp.seg").alias("_s")).drop("_fp")
+    exploded = exploded.select(
+        "*", F.col("_fp.depth").alias("_j"), F.col("_fp.dir").alias("_d"), F.col("_fp.seg").alias("_s")
+    ).drop("_fp")
     cond = (
         (exploded["bucket"] == side["_b"])
+        & (exploded["_j"] == side["_qd"])
         & (exploded["_d"] == side["_dir"])
         & exploded["_s"].startswith(side["_part"])
     )
-    return exploded.join(side, cond, "left_semi").drop("_d", "_s")
+    return exploded.join(side, cond, "left_semi").drop("_j", "_d", "_s")
 
 
 def select_objects(
@@ -193,11 +218,12 @@ def validate_patterns(
         F.first("prefix").alias("prefix"),
         F.first("ext").alias("ext"),
     )
-    qdir, qpart = _split_prefix(F.col("prefix"))
+    qdepth, qdir, qpart = _split_prefix(F.col("prefix"))
     side = _maybe_broadcast(
         per.where("scheme_ok").select(
             F.col("pattern").alias("_pat"),
             F.col("p_bucket").alias("_b"),
+            qdepth.alias("_qd"),
             qdir.alias("_dir"),
             qpart.alias("_part"),
             F.col("ext").alias("_ext"),
@@ -207,6 +233,7 @@ def validate_patterns(
     exploded = objects.select("bucket", "key", F.explode(_folder_pairs(F.col("key"))).alias("_fp"))
     cond = (
         (exploded["bucket"] == side["_b"])
+        & (F.col("_fp.depth") == side["_qd"])
         & (F.col("_fp.dir") == side["_dir"])
         & F.col("_fp.seg").startswith(side["_part"])
         & exploded["key"].endswith(side["_ext"])
