@@ -119,7 +119,8 @@ def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None,
     partition value holding a third of all rows is written by several tasks.
     """
     if partition_by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
+        hashable = [c for c, t in df.dtypes if "variant" not in t]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(files_per_partition))
         df = df.repartition(*partition_by, salt)
         df.write.mode("errorifexists").partitionBy(*partition_by).parquet(out)
     else:

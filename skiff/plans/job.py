@@ -95,9 +95,11 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         return {"output": out}
     if pt == "direct_to_bigquery":
         # table sink: lines with their source key, ISO date of the key and parsed VARIANT
+        raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         rel = files.select(F.col("path").alias("_p"), F.col("key").alias("key"))
+        strict_doc = F.when(ndjson.is_valid_json("value"), F.try_parse_json("value"))
         t = raw.join(rel, F.col("path") == F.col("_p"), "left").select(
-            "key", "line_no", "value", F.try_parse_json("value").alias("doc"),
+            "key", "line_no", "value", strict_doc.alias("doc"),
             C.extract_date("key").alias("date"), "bytes", "n_lines", "error",
             F.when(F.col("value").isNotNull(), F.lit("lines")).otherwise(F.lit("manifest")).alias(PART_COL),
         )
