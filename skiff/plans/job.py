@@ -67,9 +67,10 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
     codec = transport.COMPRESSIONS[cfg.compression]
     pt = cfg.process_type
     if pt == "decompress_and_concatenate":
-        rows = _kind_rows(raw, F.lit("lines")).select("value", PART_COL)
+        # hash on the unique (path, line_no): even shards, deterministic on task retry
+        rows = _kind_rows(raw, F.lit("lines"))
         staging = f"{out}/_staging"
-        (rows.repartition(cfg.output_shards).write.option("compression", codec).option("lineSep", "\n")
+        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL).write.option("compression", codec).option("lineSep", "\n")
          .partitionBy(PART_COL).text(staging))
         shards = _move_parts(f"{staging}/{PART_COL}=lines", out, cfg.compression, shard_names=True)
         _move_parts(f"{staging}/{PART_COL}=manifest", f"{out}/_manifest", cfg.compression, shard_names=False)
@@ -89,8 +90,8 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         spark = raw.sparkSession
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         part = F.when(ndjson.is_valid_json("value"), F.lit("valid")).otherwise(F.lit("rejected"))
-        rows = _kind_rows(raw, part).select("value", PART_COL)
-        (rows.repartition(cfg.output_shards).write.option("compression", codec).option("lineSep", "\n")
+        rows = _kind_rows(raw, part)
+        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL).write.option("compression", codec).option("lineSep", "\n")
          .partitionBy(PART_COL).text(out))
         return {"output": out}
     if pt == "direct_to_bigquery":

@@ -1,0 +1,50 @@
+"""Live run status: the run-event table folded by a Structured Streaming aggregation.
+
+The reference's status monitor polls one job document every few seconds.  Here the
+append-only run-event table (``operators.runs``) is read as a stream and folded with
+the same aggregate as the batch ``fold_runs``, so every new event file updates the
+state of its job in the stream's state store (partial aggregation per micro-batch,
+state keyed by ``job_id``).  The checkpoint goes to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.runs import EVENT_SCHEMA, fold_runs
+from ..session import run_dir
+
+
+def run_status_stream(spark: SparkSession, runs_table: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming DataFrame of the current state of every job."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return fold_runs(reader.parquet(runs_table))
+
+
+def start_monitor(
+    spark: SparkSession,
+    runs_table: str,
+    query_name: str = "run_status",
+    checkpoint: str | None = None,
+    trigger_seconds: int | None = 5,
+    sink=None,
+) -> StreamingQuery:
+    """Start the fold.
+
+    Default sink: an in-memory table ``query_name`` (complete output, one row per job),
+    queryable with ``spark.table(query_name)``.  Pass ``sink(batch_df, batch_id)`` to
+    receive each micro-batch's updated jobs instead (update mode, ``foreachBatch``).
+    """
+    checkpoint = checkpoint or run_dir(spark, f"stream-{query_name}")
+    state = run_status_stream(spark, runs_table)
+    w = state.writeStream.option("checkpointLocation", checkpoint).queryName(query_name)
+    if trigger_seconds is None:
+        w = w.trigger(availableNow=True)
+    else:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    if sink is None:
+        return w.outputMode("complete").format("memory").start()
+    return w.outputMode("update").foreachBatch(sink).start()

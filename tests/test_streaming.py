@@ -1,0 +1,30 @@
+"""Streaming run status: new event files update job state incrementally."""
+
+from datetime import datetime, timedelta
+
+from skiff.operators import runs
+from skiff.streaming.run_status import start_monitor
+
+T0 = datetime(2024, 1, 1)
+
+
+def ev(job, seq, kind, status=None, state=None):
+    return (job, seq, T0 + timedelta(minutes=seq), kind, status, state, None, None, None, None, None)
+
+
+def test_stream_folds_new_events(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    runs.append_events(spark.createDataFrame(
+        [ev("a", 0, "create", status="submitted"), ev("b", 0, "create", status="submitted"),
+         ev("a", 1, "refresh", state="JOB_STATE_RUNNING")], runs.EVENT_SCHEMA), table)
+    q = start_monitor(spark, table, query_name="rs_test", checkpoint=str(tmp_path / "ck"), trigger_seconds=None)
+    q.awaitTermination(120)
+    first = {r.job_id: r.status for r in spark.table("rs_test").collect()}
+    assert first == {"a": "running", "b": "submitted"}
+    runs.append_events(spark.createDataFrame(
+        [ev("a", 2, "refresh", state="JOB_STATE_DONE"), ev("b", 1, "cancel"),
+         ev("a", 3, "refresh", state="JOB_STATE_RUNNING")], runs.EVENT_SCHEMA), table)
+    q = start_monitor(spark, table, query_name="rs_test2", checkpoint=str(tmp_path / "ck"), trigger_seconds=None)
+    q.awaitTermination(120)
+    second = {r.job_id: r.status for r in spark.table("rs_test2").collect()}
+    assert second == {"a": "completed", "b": "cancelled"}
