@@ -162,37 +162,35 @@ def extract_date(key) -> Column:
 
 
 # SCL-11 ----------------------------------------------------------------------------------
-def _unit_index(b: Column) -> Column:
-    idx = F.lit(0)
+def _unit_parts(b: Column) -> tuple[Column, Column]:
+    """(value scaled into its unit, unit name) as one CASE ladder, largest unit first."""
+    scaled, unit = b.cast("double"), F.lit(BYTE_UNITS[0])
     for i in range(1, len(BYTE_UNITS)):
-        idx = F.when(b >= F.lit(1024**i), F.lit(i)).otherwise(idx)
-    return idx
-
-
-def _scaled(b: Column, idx: Column) -> Column:
-    return b.cast("double") / F.pow(F.lit(1024.0), idx)
+        cond = b >= F.lit(1024**i)
+        scaled = F.when(cond, b.cast("double") / F.lit(float(1024**i))).otherwise(scaled)
+        unit = F.when(cond, F.lit(BYTE_UNITS[i])).otherwise(unit)
+    return scaled, unit
 
 
 def format_bytes(b) -> Column:
-    """``0 B``; else scale by 1024 through B..TB and print ``%.2f`` with ties to even.
+    """``0 B``; else scale by 1024 through B..TB and print two decimals, ties to even.
 
     Scaled values are dyadic, so ``bround`` on them rounds exactly like C/Python
-    ``%.2f``; Java's ``%.2f`` alone would round half up.
+    ``%.2f``; the decimal cast prints the two digits (Java's ``%.2f`` would round half up).
     """
     b = _c(b)
-    idx = _unit_index(b)
-    unit = F.element_at(F.array(*[F.lit(u) for u in BYTE_UNITS]), idx + 1)
-    txt = F.format_string("%.2f %s", F.bround(_scaled(b, idx), 2), unit)
-    return F.when(b == 0, F.lit("0 B")).otherwise(txt)
+    scaled, unit = _unit_parts(b)
+    num = F.bround(scaled, 2).cast("decimal(38,2)").cast("string")
+    return F.when(b == 0, F.lit("0 B")).otherwise(F.concat(num, F.lit(" "), unit))
 
 
 # SCL-12 ----------------------------------------------------------------------------------
 def format_bytes_short(b) -> Column:
     """History-report variant: null/0 -> ``-``; two decimals rounded half up, trailing zeros cut."""
     b = _c(b)
-    idx = _unit_index(b)
-    unit = F.element_at(F.array(*[F.lit(u) for u in BYTE_UNITS]), idx + 1)
-    num = F.regexp_replace(F.format_string("%.2f", F.round(_scaled(b, idx), 2)), r"\.?0+$", "")
+    scaled, unit = _unit_parts(b)
+    # scaled < 1024, so the shortest double text never uses an exponent
+    num = F.regexp_replace(F.round(scaled, 2).cast("string"), r"\.0$", "")
     return F.when(b.isNull() | (b == 0), F.lit("-")).otherwise(F.concat(num, F.lit(" "), unit))
 
 

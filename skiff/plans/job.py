@@ -62,6 +62,11 @@ def _kind_rows(raw: DataFrame, line_part: F.Column) -> DataFrame:
     )
 
 
+def _key_of(cfg: JobConfig) -> F.Column:
+    """Object key from the read's ``path`` (``<root>/<key>``): a projection, no join."""
+    return F.expr(f"substring(path, {len(cfg.source_root.rstrip('/')) + 2})")
+
+
 def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
     out = cfg.output.rstrip("/")
     codec = transport.COMPRESSIONS[cfg.compression]
@@ -76,11 +81,9 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         _move_parts(f"{staging}/{PART_COL}=manifest", f"{out}/_manifest", cfg.compression, shard_names=False)
         return {"output_files": len(shards), "output": out}
     if pt == "decompress_only":
-        rel = files.select(F.col("path").alias("_p"), F.col("key").alias("_rel"))
-        rows = _kind_rows(raw, F.lit("x")).join(rel, F.col("path") == F.col("_p"), "left")
-        rows = rows.select(
+        rows = _kind_rows(raw, F.lit("x")).select(
             "value",
-            F.when(F.col(PART_COL) == "manifest", F.lit("_manifest")).otherwise(F.col("_rel")).alias("rel_path"),
+            F.when(F.col(PART_COL) == "manifest", F.lit("_manifest")).otherwise(_key_of(cfg)).alias("rel_path"),
             F.floor(F.coalesce(F.col("line_no"), F.lit(0)) / transport.LINES_PER_FILE).alias("_chunk"),
         )
         (rows.repartition("rel_path", "_chunk").drop("_chunk").write.option("compression", codec)
@@ -97,9 +100,8 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
     if pt == "direct_to_bigquery":
         # table sink: lines with their source key, ISO date of the key and parsed VARIANT
         raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-        rel = files.select(F.col("path").alias("_p"), F.col("key").alias("key"))
         strict_doc = F.when(ndjson.is_valid_json("value"), F.try_parse_json("value"))
-        t = raw.join(rel, F.col("path") == F.col("_p"), "left").select(
+        t = raw.select("*", _key_of(cfg).alias("key")).select(
             "key", "line_no", "value", strict_doc.alias("doc"),
             C.extract_date("key").alias("date"), "bytes", "n_lines", "error",
             F.when(F.col("value").isNotNull(), F.lit("lines")).otherwise(F.lit("manifest")).alias(PART_COL),

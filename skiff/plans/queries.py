@@ -287,6 +287,7 @@ def q_multi_extension_select(spark, sf):
 # transport: real files written from the tables, then listed, selected, read and written
 # ---------------------------------------------------------------------------------------------
 _FIXTURES: dict[tuple, str] = {}
+SALT = 4  # files per fixture folder
 
 
 def _fixture(spark: SparkSession, sf: str, name: str, write) -> str:
@@ -300,14 +301,16 @@ def _fixture(spark: SparkSession, sf: str, name: str, write) -> str:
 
 
 def _events_bz2(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    """``events`` as bz2 NDJSON files, one per ``event_type=<t>/date=<d>`` folder."""
+    """``events`` as bz2 NDJSON files, one per ``event_type=<t>/date=<d>/part=<s>`` folder."""
     e = table(spark, sf, "events")
 
     def write(root):
+        # salted: a folder holding a third of all events is still written by several tasks
         (
-            e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"))
-            .repartition(4 * spark.sparkContext.defaultParallelism, "event_type", "date")
-            .write.partitionBy("event_type", "date")
+            e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"),
+                     (F.col("event_id") % SALT).alias("part"))
+            .repartition(4 * spark.sparkContext.defaultParallelism, "event_type", "date", "part")
+            .write.partitionBy("event_type", "date", "part")
             .option("compression", "bzip2")
             .option("lineSep", "\n")
             .text(root)
@@ -350,7 +353,8 @@ def q_ingest_bz2_roundtrip(spark, sf):
 
 @query(
     "ingest_counters",
-    """SELECT CAST(count(DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d')) AS BIGINT) AS files_processed,
+    """SELECT CAST(count(DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d') || '/' || CAST(event_id % 4 AS VARCHAR))
+                   AS BIGINT) AS files_processed,
               CAST(0 AS BIGINT) AS files_failed, CAST(count(*) AS BIGINT) AS lines_yielded FROM events""",
 )
 def q_ingest_counters(spark, sf):
@@ -396,8 +400,8 @@ def q_write_snappy_roundtrip(spark, sf):
 
 @query(
     "decompress_only_layout",
-    """SELECT source, lang, CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines FROM (
-         SELECT source, lang, unnest(string_split(text, chr(10))) AS l FROM documents)
+    """SELECT source, lang, CAST(count(DISTINCT part) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines FROM (
+         SELECT source, lang, doc_id % 4 AS part, unnest(string_split(text, chr(10))) AS l FROM documents)
        WHERE NOT regexp_matches(l, '^\\s*$') GROUP BY source, lang""",
 )
 def q_decompress_only_layout(spark, sf):
@@ -405,9 +409,9 @@ def q_decompress_only_layout(spark, sf):
 
     def write(root):
         (
-            d.select(F.col("text").alias("value"), "source", "lang")
-            .repartition(4 * spark.sparkContext.defaultParallelism, "source", "lang")
-            .write.partitionBy("source", "lang")
+            d.select(F.col("text").alias("value"), "source", "lang", (F.col("doc_id") % SALT).alias("part"))
+            .repartition(4 * spark.sparkContext.defaultParallelism, "source", "lang", "part")
+            .write.partitionBy("source", "lang", "part")
             .option("compression", "bzip2")
             .option("lineSep", "\n")
             .text(root)
