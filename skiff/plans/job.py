@@ -148,6 +148,13 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         runs_table,
     )
     t0 = time.perf_counter()
+    phases: dict[str, float] = {}
+
+    def mark(name, since=[t0]):  # noqa: B006 -- running clock
+        now = time.perf_counter()
+        phases[name] = round(now - since[0], 3)
+        since[0] = now
+
     try:
         # snapshot: everything the patterns list, any suffix, written once as a table in
         # the shared folder; the gate and the read both use it (same objects, one listing)
@@ -155,14 +162,18 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         snap = f"{shared_dir(spark)}/skiff-listing-{cfg.job_id}-{uuid.uuid4().hex[:6]}"
         select.match_prefixes(objs, select.prefixes_of(patterns), "prefix").write.parquet(snap)
         listing = spark.read.parquet(snap)
+        mark("list")
         gate_row = None
         if not cfg.skip_validation:
             per = select.validate_patterns(listing, patterns)
             gate_row = select.gate(select.validation_summary(per))
+        mark("gate")
         files = select.select_objects(listing, patterns, cfg.boundary, tuple(spec.extensions))
         obs = Observation(f"transport-{cfg.job_id}")
         raw = bz2_reader.read_files(files).observe(obs, *bz2_reader.counter_columns())
+        mark("plan_read")
         written = _write(cfg, raw, files)
+        mark("read_write")
         counters = {k: int(v) for k, v in obs.get.items()}
         status, log = "completed", "Pipeline completed"
     except select.ValidationError:
@@ -182,7 +193,8 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         ),
         runs_table,
     )
-    return {"job_id": cfg.job_id, "status": status, "gate": gate_row, **written, **metrics, "runs_table": runs_table}
+    return {"job_id": cfg.job_id, "status": status, "gate": gate_row, **written, **metrics,
+            "runs_table": runs_table, "phases": phases}
 
 
 def read_manifest(spark: SparkSession, out: str) -> DataFrame:

@@ -398,13 +398,8 @@ def q_write_snappy_roundtrip(spark, sf):
     return _conversation_roundtrip(spark, sf, "snappy")
 
 
-@query(
-    "decompress_only_layout",
-    """SELECT source, lang, CAST(count(DISTINCT part) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines FROM (
-         SELECT source, lang, doc_id % 4 AS part, unnest(string_split(text, chr(10))) AS l FROM documents)
-       WHERE NOT regexp_matches(l, '^\\s*$') GROUP BY source, lang""",
-)
-def q_decompress_only_layout(spark, sf):
+def _docs_bz2(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """``documents`` as bz2 text files, one per ``source=<s>/lang=<l>/part=<p>`` folder."""
     d = table(spark, sf, "documents")
 
     def write(root):
@@ -417,7 +412,23 @@ def q_decompress_only_layout(spark, sf):
             .text(root)
         )
 
-    root = _fixture(spark, sf, "docs-bz2", write)
+    return _fixture(spark, sf, "docs-bz2", write), d
+
+
+def build_fixtures(spark: SparkSession, sf: str) -> None:
+    """Write (once per application) the bz2 inputs the transport queries read."""
+    _events_bz2(spark, sf)
+    _docs_bz2(spark, sf)
+
+
+@query(
+    "decompress_only_layout",
+    """SELECT source, lang, CAST(count(DISTINCT part) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines FROM (
+         SELECT source, lang, doc_id % 4 AS part, unnest(string_split(text, chr(10))) AS l FROM documents)
+       WHERE NOT regexp_matches(l, '^\\s*$') GROUP BY source, lang""",
+)
+def q_decompress_only_layout(spark, sf):
+    root, d = _docs_bz2(spark, sf)
     sel = d.select(F.lit("docs").alias("bucket"), F.concat(F.lit("source="), "source").alias("path")).distinct()
     cfg = JobConfig(source_root=root, source_bucket="docs", selection=sel, output=run_dir(spark, "per-input"),
                     process_type="decompress_only")
