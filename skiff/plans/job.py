@@ -43,7 +43,7 @@ class JobConfig:
     output: str = ""
     source_type: str = "betfair"
     process_type: str = "decompress_and_concatenate"
-    output_shards: int = transport.DEFAULT_SHARDS
+    output_shards: int = transport.DEFAULT_SHARDS  # <= 0: sized from the bytes read
     compression: str = "none"
     boundary: str = "path"
     skip_validation: bool = False
@@ -62,6 +62,15 @@ def _kind_rows(raw: DataFrame, line_part: F.Column) -> DataFrame:
     )
 
 
+SHARD_TARGET_BYTES = 1 << 30  # auto shard count: about 1 GB of text per shard
+EXPANSION = 6  # typical bz2 expansion of line text, for sizing only
+
+
+def _auto_shards(files: DataFrame) -> int:
+    total = files.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    return max(1, int(total * EXPANSION // SHARD_TARGET_BYTES) + 1)
+
+
 def _key_of(cfg: JobConfig) -> F.Column:
     """Object key from the read's ``path`` (``<root>/<key>``): a projection, no join."""
     return F.expr(f"substring(path, {len(cfg.source_root.rstrip('/')) + 2})")
@@ -169,6 +178,8 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
             gate_row = select.gate(select.validation_summary(per))
         mark("gate")
         files = select.select_objects(listing, patterns, cfg.boundary, tuple(spec.extensions))
+        if cfg.output_shards <= 0:
+            cfg.output_shards = _auto_shards(files)
         obs = Observation(f"transport-{cfg.job_id}")
         raw = bz2_reader.read_files(files).observe(obs, *bz2_reader.counter_columns())
         mark("plan_read")

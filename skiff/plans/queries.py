@@ -524,6 +524,45 @@ def q_json_array_explode(spark, sf):
     )
 
 
+@query("json_gz_documents", "SELECT event_id, user_id, event_type FROM events")
+def q_json_gz_documents(spark, sf):
+    """SRC-6: gzip JSON documents (one array per file) listed, selected by extension and
+    read whole on executors, then exploded (SRC-7)."""
+    e = table(spark, sf, "events")
+    item = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    chunk = F.floor(F.col("event_id") / 1000)  # at most 1,000 events per document
+
+    def write(root):
+        (
+            e.select(chunk.alias("chunk"), F.struct("event_id", item.alias("j")).alias("it"))
+            .groupBy("chunk")
+            .agg(F.sort_array(F.collect_list("it")).alias("items"))
+            .select("chunk", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","),
+                                      F.lit("]")).alias("value"))
+            .repartition("chunk")
+            .write.partitionBy("chunk")
+            .option("compression", "gzip")
+            .text(root)
+        )
+
+    root = _fixture(spark, sf, "json-gz", write)
+    spec = registry.SourceSpec(
+        id="json_gz", name="gzip JSON documents", extensions=[".gz"], compression="gzip",
+        content_type="json", reader=registry.get_source("racing_api").reader,
+    )
+    objs = list_objects(spark, root, bucket="docs")
+    sel = objs.select(F.lit("docs").alias("bucket"), C.first_segment("key").alias("path")).distinct()
+    files = select.select_objects(objs, spec.build_patterns(sel), exts=tuple(spec.extensions))
+    docs = spec.reader(spark, files)
+    items = ndjson.explode_json_array(docs.where(F.col("error").isNull()).select("path", "value"))
+    v = F.try_parse_json("value")
+    return items.where(F.col("value").isNotNull()).select(
+        F.variant_get(v, "$.event_id", "bigint").alias("event_id"),
+        F.variant_get(v, "$.user_id", "bigint").alias("user_id"),
+        F.variant_get(v, "$.event_type", "string").alias("event_type"),
+    )
+
+
 # ---------------------------------------------------------------------------------------------
 # run history
 # ---------------------------------------------------------------------------------------------

@@ -12,12 +12,12 @@ it contributes zero lines and a manifest row with the error.  Lines follow the
 whole-document rule: strip the document, split on ``\\n`` only, drop lines that are blank
 after stripping, keep the others as they are.
 
-Work distribution: files are hash-spread over ``ceil(total_bytes / target_bytes)`` tasks
-(one small aggregate over the listing decides the count), so many tiny files share a
-task and large ones spread out.  Each task streams its files in fixed-size chunks;
-files up to ``buffer_bytes`` (compressed) are checked and emitted in one pass, larger
-ones are checked in a first streaming pass and emitted in a second, so a task never
-holds more than one bounded file in memory.
+Work distribution: files are dealt round-robin over ``ceil(total_bytes / target_bytes)``
+tasks, at least four per core (one small aggregate over the listing decides the
+count), so many tiny files share a task and large ones spread out.  Each task streams its files in fixed-size chunks;
+files up to ``buffer_bytes`` (32 MB compressed, a few hundred MB of lines) are checked
+and emitted in one pass, larger ones are checked in a first streaming pass and emitted
+in a second, so a task never holds more than one bounded file in memory.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 OUT_SCHEMA = "path string, line_no bigint, value string, bytes bigint, n_lines bigint, error string"
 
 _CHUNK = 8 << 20  # bytes per read from storage
-_EMIT_ROWS = 16384  # lines per Arrow batch handed back to the JVM
 
 
 class FileError(Exception):
@@ -92,40 +91,60 @@ def _bz2_chunks(raw_chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise FileError("Compressed data ended before the end-of-stream marker was reached")
 
 
-def _lines(text_chunks: Iterator[bytes]) -> Iterator[str]:
-    """Strict UTF-8 decode, then the whole-document line rule (see module doc)."""
-    decoder = codecs.getincrementaldecoder("utf-8")("strict")
-    pending = ""  # partial line carried between chunks
-    held = None  # last non-blank line, held back: it may be the document's last
+# Python's whitespace set (``str.isspace``), derived by rule, as an RE2 class.
+_PY_WS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
+_BLANK_RE = "^[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in _PY_WS) + "]*$"
+
+
+def _line_arrays(data_chunks: Iterator[bytes]):
+    """Non-blank lines of one document as Arrow string arrays, one per decompressed chunk.
+
+    Splitting on ``\n``, strict UTF-8 validation (the cast) and the blank test run in
+    Arrow's C++ kernels; Python touches only the document's first and last kept line,
+    which get the whole-document strip (``lstrip`` / ``rstrip``).  Chunks are cut at their
+    last ``\n`` (never inside a UTF-8 sequence), so only a partial line is carried.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    pending = b""
+    held = None  # last kept line, held back: it may be the document's last
     first = True
 
-    def emit(line):
+    def kept_lines(buf: bytes):
+        parts = pc.split_pattern(pa.array([buf], pa.binary()), b"\n").flatten()
+        lines = parts.cast(pa.string())  # raises on invalid UTF-8
+        return lines.filter(pc.invert(pc.match_substring_regex(lines, _BLANK_RE)))
+
+    def emit(kept):
         nonlocal held, first
-        if not line.strip():
+        n = len(kept)
+        if n == 0:
             return None
-        out = held
         if first:
-            line = line.lstrip()
+            kept = pa.concat_arrays([pa.array([kept[0].as_py().lstrip()], pa.string()), kept.slice(1)])
             first = False
-        held = line
+        out = kept.slice(0, n - 1)
+        if held is not None:
+            out = pa.concat_arrays([pa.array([held], pa.string()), out])
+        held = kept[n - 1].as_py()
         return out
 
-    def pieces():
-        nonlocal pending
-        for chunk in text_chunks:
-            s = pending + decoder.decode(chunk)
-            parts = s.split("\n")
-            pending = parts.pop()
-            yield from parts
-        s = pending + decoder.decode(b"", final=True)
-        yield from s.split("\n")
-
-    for piece in pieces():
-        out = emit(piece)
-        if out is not None:
+    for chunk in data_chunks:
+        data = pending + chunk if pending else chunk
+        cut = data.rfind(b"\n")
+        if cut < 0:
+            pending = data
+            continue
+        pending = data[cut + 1 :]
+        out = emit(kept_lines(data[:cut]))
+        if out is not None and len(out):
             yield out
+    out = emit(kept_lines(pending))
+    if out is not None and len(out):
+        yield out
     if held is not None:
-        yield held.rstrip()
+        yield pa.array([held.rstrip()], pa.string())
 
 
 def _raw_chunks(stream) -> Iterator[bytes]:
@@ -136,8 +155,8 @@ def _raw_chunks(stream) -> Iterator[bytes]:
         yield b
 
 
-def _scan(path: str, fs_cache: dict, counter: list) -> Iterator[str]:
-    """Lines of one file; ``counter[0]`` accumulates compressed bytes read and
+def _scan(path: str, fs_cache: dict, counter: list):
+    """Line arrays of one file; ``counter[0]`` accumulates compressed bytes read and
     ``counter[1]`` is set once the object is open."""
 
     def counted():
@@ -147,47 +166,61 @@ def _scan(path: str, fs_cache: dict, counter: list) -> Iterator[str]:
                 counter[0] += len(b)
                 yield b
 
-    yield from _lines(_bz2_chunks(counted()))
+    yield from _line_arrays(_bz2_chunks(counted()))
 
 
-def _read_partition(batches: Iterator[pd.DataFrame], buffer_bytes: int) -> Iterator[pd.DataFrame]:
-    fs_cache: dict = {}
-    buf_path: list[str] = []
-    buf_no: list[int] = []
-    buf_val: list[str] = []
+_OUT_FIELDS = [
+    ("path", "string"), ("line_no", "int64"), ("value", "string"),
+    ("bytes", "int64"), ("n_lines", "int64"), ("error", "string"),
+]
 
-    def flush_lines():
-        df = pd.DataFrame(
-            {
-                "path": buf_path[:],
-                "line_no": buf_no[:],
-                "value": buf_val[:],
-                "bytes": pd.array([None] * len(buf_val), dtype="Int64"),
-                "n_lines": pd.array([None] * len(buf_val), dtype="Int64"),
-                "error": [None] * len(buf_val),
-            }
-        )
-        buf_path.clear()
-        buf_no.clear()
-        buf_val.clear()
-        return df
 
+def _arrow_schema():
+    import pyarrow as pa
+
+    return pa.schema([(n, getattr(pa, t)()) for n, t in _OUT_FIELDS])
+
+
+def _line_batch(path: str, start: int, values):
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(values)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(n, pa.string()).fill_null(path),
+            pa.array(np.arange(start, start + n, dtype=np.int64)),
+            values,
+            pa.nulls(n, pa.int64()),
+            pa.nulls(n, pa.int64()),
+            pa.nulls(n, pa.string()),
+        ],
+        schema=_arrow_schema(),
+    )
+
+
+def _read_partition(batches, buffer_bytes: int):
+    """``mapInArrow`` body: files of this task -> line batches, then manifest rows."""
+    import pyarrow as pa
+
+    fs_cache: dict = {}
     manifest: list[tuple] = []
-    for pdf in batches:
-        for path, size in zip(pdf["path"], pdf["size_bytes"]):
+    for rb in batches:
+        cols = rb.to_pydict()
+        for path, size in zip(cols["path"], cols["size_bytes"]):
             counter = [0, False]
             err = None
             n = 0
-            held: list[str] | None = []
+            held = []
             try:
                 if size is not None and size > buffer_bytes:
                     # large file: validate in a streaming pass, emit in a second one
-                    for _ in _scan(path, fs_cache, counter):
-                        n += 1
+                    for arr in _scan(path, fs_cache, counter):
+                        n += len(arr)
                     held = None
                 else:
                     held = list(_scan(path, fs_cache, counter))
-                    n = len(held)
+                    n = sum(len(a) for a in held)
             except Exception as e:  # noqa: BLE001 -- any failure isolates the file
                 err = f"{type(e).__name__}: {e}"
                 n = 0
@@ -197,43 +230,40 @@ def _read_partition(batches: Iterator[pd.DataFrame], buffer_bytes: int) -> Itera
                     counter[0] = int(size)
             if err is None:
                 source = held if held is not None else _scan(path, fs_cache, [0, False])
-                for i, line in enumerate(source):
-                    buf_path.append(path)
-                    buf_no.append(i)
-                    buf_val.append(line)
-                    if len(buf_val) >= _EMIT_ROWS:
-                        yield flush_lines()
+                start = 0
+                for arr in source:
+                    yield _line_batch(path, start, arr)
+                    start += len(arr)
             manifest.append((path, counter[0], n, err))
-    if buf_val:
-        yield flush_lines()
     if manifest:
-        yield pd.DataFrame(
+        yield pa.RecordBatch.from_pydict(
             {
                 "path": [m[0] for m in manifest],
-                "line_no": pd.array([None] * len(manifest), dtype="Int64"),
+                "line_no": [None] * len(manifest),
                 "value": [None] * len(manifest),
-                "bytes": pd.array([m[1] for m in manifest], dtype="Int64"),
-                "n_lines": pd.array([m[2] for m in manifest], dtype="Int64"),
+                "bytes": [m[1] for m in manifest],
+                "n_lines": [m[2] for m in manifest],
                 "error": [m[3] for m in manifest],
-            }
+            },
+            schema=_arrow_schema(),
         )
 
 
 def plan_tasks(files: DataFrame, target_bytes: int) -> int:
     """Task count for the read (one small aggregate over the listing): total compressed
-    bytes / ``target_bytes``, but at least one task per core while there are files."""
+    bytes / ``target_bytes``, but at least four tasks per core while there are files."""
     row = files.agg(F.sum("size_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
     total, n = int(row["b"] or 0), int(row["n"] or 0)
     if not n:
         return 1
     cores = files.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(n, max(cores, math.ceil(total / target_bytes))))
+    return max(1, min(n, max(4 * cores, math.ceil(total / target_bytes))))
 
 
 def read_files(
     files: DataFrame,
     target_bytes: int = 128 << 20,
-    buffer_bytes: int = 256 << 20,
+    buffer_bytes: int = 32 << 20,
     num_tasks: int | None = None,
 ) -> DataFrame:
     """Strict reader over a DataFrame of objects (needs ``path`` and ``size_bytes``)."""
@@ -241,8 +271,9 @@ def read_files(
 
     ship_package(files.sparkSession)
     n = num_tasks or plan_tasks(files, target_bytes)
-    spread = files.select("path", "size_bytes").repartition(n, "path")
-    return spread.mapInPandas(lambda it: _read_partition(it, buffer_bytes), OUT_SCHEMA)
+    # round-robin: equal file counts per task (Spark sorts first, so retries deal the same)
+    spread = files.select("path", "size_bytes").repartition(n)
+    return spread.mapInArrow(lambda it: _read_partition(it, buffer_bytes), OUT_SCHEMA)
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
