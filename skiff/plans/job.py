@@ -2,8 +2,8 @@
 
 One Spark action reads every selected file once and writes both outputs of the read:
 the lines (shards, per-input folders, valid/rejected split or a table, by process type)
-and a per-file manifest, separated by a partition column.  Counters (AGG-10) come from
-an ``Observation`` on the same pass.  The listing under the selected prefixes is
+and a per-file manifest, separated by a partition column.  Counters (AGG-10) are read
+back from the committed manifest, so they stay exact when tasks or stages are retried.  The listing under the selected prefixes is
 written once as a table in the shared folder (``spark.checkpoint.dir``), so the gate
 and the read see the same objects and the listing is not repeated.
 """
@@ -14,7 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -180,12 +180,13 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         files = select.select_objects(listing, patterns, cfg.boundary, tuple(spec.extensions))
         if cfg.output_shards <= 0:
             cfg.output_shards = _auto_shards(files)
-        obs = Observation(f"transport-{cfg.job_id}")
-        raw = bz2_reader.read_files(files).observe(obs, *bz2_reader.counter_columns())
+        raw = bz2_reader.read_files(files)
         mark("plan_read")
         written = _write(cfg, raw, files)
         mark("read_write")
-        counters = {k: int(v) for k, v in obs.get.items()}
+        # counters from the committed manifest (one row per file, exact under task and
+        # stage retries, unlike accumulator-based metrics)
+        counters = manifest_counters(spark, cfg)
         status, log = "completed", "Pipeline completed"
     except select.ValidationError:
         raise
@@ -208,6 +209,35 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
             "runs_table": runs_table, "phases": phases}
 
 
-def read_manifest(spark: SparkSession, out: str) -> DataFrame:
-    """The per-file manifest a ``decompress_and_concatenate`` run wrote next to its shards."""
-    return spark.read.schema("path string, bytes bigint, lines bigint, error string").json(f"{out.rstrip('/')}/_manifest")
+MANIFEST_SCHEMA = "path string, bytes bigint, lines bigint, error string"
+
+
+def read_manifest(spark: SparkSession, out: str, process_type: str = "decompress_and_concatenate") -> DataFrame:
+    """The per-file manifest a run wrote next to its output."""
+    out = out.rstrip("/")
+    if process_type == "decompress_and_concatenate":
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/_manifest")
+    if process_type == "decompress_only":
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/rel_path=_manifest")
+    if process_type == "decompress_concatenate_parse":
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/{PART_COL}=manifest")
+    t = spark.read.parquet(out).where(F.col(PART_COL) == "manifest")
+    return t.select(F.col("key").alias("path"), "bytes", F.col("n_lines").alias("lines"), "error")
+
+
+def manifest_counters(spark: SparkSession, cfg: JobConfig) -> dict:
+    """AGG-10 counters of a finished run, from its manifest."""
+    import pyarrow.fs as pafs
+
+    out = cfg.output.rstrip("/")
+    fs, root = pafs.FileSystem.from_uri(out if "://" in out else "file://" + out)
+    if fs.get_file_info(root).type == pafs.FileType.NotFound:
+        return {"files_processed": 0, "files_failed": 0, "bytes_read": 0, "lines_yielded": 0}
+    m = read_manifest(spark, out, cfg.process_type)
+    row = m.agg(
+        F.count_if(F.col("error").isNull()).alias("files_processed"),
+        F.count_if(F.col("error").isNotNull()).alias("files_failed"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_read"),
+        F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
+    ).first()
+    return {k: int(v) for k, v in row.asDict().items()}

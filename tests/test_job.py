@@ -68,7 +68,9 @@ def test_prefix_boundary_reproduces_sibling_leak(spark, source, tmp_path):
 
 def test_decompress_only_layout(spark, source, tmp_path):
     out = str(tmp_path / "per")
-    run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_only"), str(tmp_path / "r"))
+    res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_only"),
+                        str(tmp_path / "r"))
+    assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
     back = transport.read_per_input(spark, out).where(F.col("rel_path") != "_manifest")
     got = {}
     for r in back.collect():
@@ -79,8 +81,9 @@ def test_decompress_only_layout(spark, source, tmp_path):
 
 def test_parse_split(spark, source, tmp_path):
     out = str(tmp_path / "parse")
-    run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_concatenate_parse"),
-                  str(tmp_path / "r"))
+    res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_concatenate_parse"),
+                        str(tmp_path / "r"))
+    assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
     valid = sorted(r.value for r in spark.read.text(f"{out}/_part=valid").collect())
     rejected = sorted(r.value for r in spark.read.text(f"{out}/_part=rejected").collect())
     assert rejected == ['{"m":4} x'] and len(valid) == 5
@@ -88,8 +91,9 @@ def test_parse_split(spark, source, tmp_path):
 
 def test_table_sink(spark, source, tmp_path):
     out = str(tmp_path / "tbl")
-    run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="direct_to_bigquery"),
-                  str(tmp_path / "r"))
+    res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="direct_to_bigquery"),
+                        str(tmp_path / "r"))
+    assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
     t = spark.read.parquet(out).where("_part = 'lines'")
     assert t.count() == 6
     assert t.where(F.col("doc").isNull()).count() == 1
