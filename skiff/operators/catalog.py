@@ -50,20 +50,32 @@ def dates_rollup(
 
 # AGG-4 ------------------------------------------------------------------------------------
 def dataset_stats(objects: DataFrame, ext: str = C.DEFAULT_EXTENSION) -> DataFrame:
-    """Per dataset (first segment): files with ``ext``, bytes, first/last ISO date ('' if none)."""
+    """Per dataset (first segment): files with ``ext``, bytes, first/last ISO date ('' if none).
+
+    The date text ``YYYY-MM-DD`` is min/max-ed as the 8-digit number ``YYYYMMDD``: the
+    same order, a fixed-width buffer (hash aggregation, no sort), and invalid dates such
+    as ``2024-99-99`` are kept, as text comparison would.
+    """
+    date = C.extract_date("key")
+    as_num = F.when(date != "", F.regexp_replace(date, "-", "").cast("int"))
     df = objects.where(F.col("key").endswith(ext)).select(
-        "bucket",
-        C.first_segment("key").alias("dataset"),
-        "size_bytes",
-        F.nullif(C.extract_date("key"), F.lit("")).alias("date"),
+        "bucket", C.first_segment("key").alias("dataset"), "size_bytes", as_num.alias("d")
     )
-    return df.groupBy("bucket", "dataset").agg(
+    agg = df.groupBy("bucket", "dataset").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size_bytes").cast("long").alias("size_bytes"),
-        F.coalesce(F.min("date"), F.lit("")).alias("date_start"),
-        F.coalesce(F.max("date"), F.lit("")).alias("date_end"),
+        F.min("d").alias("_dmin"),
+        F.max("d").alias("_dmax"),
     )
 
+    def back(c):
+        t = F.lpad(F.col(c).cast("string"), 8, "0")
+        txt = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 7, 2))
+        return F.coalesce(txt, F.lit(""))
+
+    return agg.select("bucket", "dataset", "files", "size_bytes", back("_dmin").alias("date_start"),
+                      back("_dmax").alias("date_end"))
+
 
 # AGG-5 / AGG-6 / SCL-9 --------------------------------------------------------------------
 def _children(objects: DataFrame, depth_from: int | None) -> DataFrame:

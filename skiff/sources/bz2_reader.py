@@ -27,7 +27,6 @@ import codecs
 import math
 from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -300,14 +299,18 @@ def counter_columns():
 DOC_SCHEMA = "path string, value string, error string"
 
 
-def _read_docs_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole documents: gzip by ``.gz`` suffix, else raw; strict UTF-8; errors isolated."""
+def _read_docs_partition(batches):
+    """``mapInArrow`` body: whole documents; gzip by ``.gz`` suffix, else raw; strict UTF-8;
+    errors isolated per file."""
     import gzip
 
+    import pyarrow as pa
+
     fs_cache: dict = {}
-    for pdf in batches:
+    schema = pa.schema([("path", pa.string()), ("value", pa.string()), ("error", pa.string())])
+    for rb in batches:
         paths, values, errors = [], [], []
-        for path in pdf["path"]:
+        for path in rb.column("path").to_pylist():
             try:
                 with _open(path, fs_cache) as stream:
                     data = stream.read()
@@ -319,7 +322,7 @@ def _read_docs_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
                 values.append(None)
                 errors.append(f"{type(e).__name__}: {e}")
             paths.append(path)
-        yield pd.DataFrame({"path": paths, "value": values, "error": errors})
+        yield pa.RecordBatch.from_pydict({"path": paths, "value": values, "error": errors}, schema=schema)
 
 
 def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
@@ -328,37 +331,4 @@ def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame
 
     ship_package(files.sparkSession)
     n = plan_tasks(files, target_bytes)
-    return files.select("path").repartition(n, "path").mapInPandas(_read_docs_partition, DOC_SCHEMA)
-
-
-def read_native(spark, root: str, selected_paths: list[str] | None = None, ext: str = ".bz2") -> DataFrame:
-    """SRC-2, native mode: Spark's own text reader over the selected folders.
-
-    For large trusted files: bz2 is splittable, so one large file spreads over many
-    tasks.  Lines are split on ``\\n`` only and blank lines dropped, but the rule is per
-    line (the strict reader's whole-document strip also trims the outer whitespace of a
-    file's first and last line), there is no per-file failure accounting, and Spark's file
-    index skips names starting with ``_`` or ``.``.  Selected paths that do not exist
-    are skipped (Spark would fail the read; the reference counts zero).
-    """
-    import pyarrow.fs as pafs
-
-    from ..functions import columns as C
-
-    base = root.rstrip("/")
-    fs, r = pafs.FileSystem.from_uri(base if "://" in base else "file://" + base)
-    wanted = [p.strip("/") for p in (selected_paths or [""])]
-    paths = []
-    for p in wanted:
-        info = fs.get_file_info(f"{r}/{p}" if p else r)
-        if info.type != pafs.FileType.NotFound:
-            paths.append(f"{base}/{p}" if p else base)
-    if not paths:
-        return spark.createDataFrame([], "path string, value string")
-    df = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{ext}")
-        .text(paths)
-    )
-    return df.select(F.col("_metadata.file_path").alias("path"), "value").where(~C.is_blank("value"))
+    return files.select("path").repartition(n).mapInArrow(_read_docs_partition, DOC_SCHEMA)

@@ -41,3 +41,23 @@ def test_explode_json_array(spark):
     got = sorted((r.path, r.value) for r in rows if r.value is not None)
     assert got == [("f1", '{"a":1}'), ("f1", '{"b":[1,2]}')]
     assert {r.path for r in rows if r.value is None} == {"f2", "f3", "f4"}
+
+
+from hypothesis import Phase, given, settings
+from hypothesis import strategies as st
+
+_json_values = st.recursive(
+    st.none() | st.booleans() | st.integers(-10**6, 10**6) | st.text(max_size=5),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text(max_size=3), inner, max_size=3),
+    max_leaves=6,
+)
+_pieces = st.sampled_from(["", " ", "\r", "x", ",", "]", "}", "{", "[", '"', ":", "1"])
+
+
+@settings(max_examples=10, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate])
+@given(st.lists(st.tuples(_json_values, _pieces, _pieces), min_size=1, max_size=30))
+def test_validation_property(spark, cases):
+    strings = [a + json.dumps(v) + b for v, a, b in cases]
+    df = spark.createDataFrame([(s,) for s in strings], "value string")
+    got = [r.valid for r in ndjson.validate(df).collect()]
+    assert got == [py_valid(s) for s in strings]
