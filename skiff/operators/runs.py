@@ -54,9 +54,9 @@ def create_event(spark: SparkSession, job_id: str, seq: int, paths: list[str], p
 
 
 def simple_event(spark: SparkSession, job_id: str, seq: int, kind: str, *, status=None, state=None,
-                 log=None, stages=None, ts: datetime | None = None) -> DataFrame:
+                 log=None, stages=None, config=None, ts: datetime | None = None) -> DataFrame:
     ts = ts or datetime.now(timezone.utc)
-    row = (job_id, seq, ts, kind, status, state, log, None, None, stages, None)
+    row = (job_id, seq, ts, kind, status, state, log, None, None, stages, config)
     return spark.createDataFrame([row], EVENT_SCHEMA)
 
 
@@ -91,24 +91,34 @@ def _latest(col: str) -> F.Column:
     return F.max_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), _order()))
 
 
+def _merged_map(events: DataFrame, col: str) -> DataFrame:
+    """RUN-3/RUN-8 for a map field: per key, the latest value wins (``map_concat`` in event
+    order).  Grouped by ``(job, key)``, so a job's map has one row per key (stage names,
+    config keys), never one row per event."""
+    entries = events.where(F.col(col).isNotNull()).select(
+        "job_id", "ts", "seq", F.explode(col).alias("_k", "_v")
+    )
+    per_key = entries.groupBy("job_id", "_k").agg(F.max_by("_v", _order()).alias("_v"))
+    return per_key.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(col))
+
+
 def fold_runs(events: DataFrame) -> DataFrame:
     """RUN-2/3/5/6/8: current state of every job, one row per job."""
     mapped = F.when(F.col("state").isNull(), F.lit(None)).otherwise(C.map_state("state"))
     ev = events.withColumn("_mapped", mapped)
-    extra = [c for c in ("process_type", "selected_paths", "config") if c in events.columns]
-    stage_fold = []
-    if "stages" in events.columns:
-        # RUN-8: later stage maps overwrite earlier keys (map_concat in event order)
-        stage_fold = [_latest("stages").alias("stages")]
-    return ev.groupBy("job_id").agg(
+    extra = [c for c in ("process_type", "selected_paths") if c in events.columns]
+    state = ev.groupBy("job_id").agg(
         _status_fold(F.col("kind"), F.col("status"), F.col("_mapped")).alias("status"),
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
         F.count(F.lit(1)).alias("n_events"),
         F.max_by("state", F.when(F.col("state").isNotNull(), _order())).alias("last_state"),
         *[_latest(c).alias(c) for c in extra],
-        *stage_fold,
     )
+    for col in ("stages", "config"):
+        if col in events.columns:
+            state = state.join(_merged_map(events, col), "job_id", "left")
+    return state
 
 
 def get_run(runs: DataFrame, job_id: str) -> DataFrame:

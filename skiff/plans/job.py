@@ -202,6 +202,8 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         runs.simple_event(
             spark, cfg.job_id, 1, "update", status=status, log=log,
             stages={s: "completed" for s in runs.STAGES},
+            # AGG-10 / AGG-12 recorded with the run
+            config={k: str(v) for k, v in metrics.items() if v is not None},
         ),
         runs_table,
     )

@@ -50,6 +50,8 @@ def test_concatenate_job(spark, source, tmp_path):
     state = runs.fold_runs(spark.read.parquet(runs_table)).first()
     assert state.status == "completed" and state.n_events == 2
     assert state.stages == {s: "completed" for s in runs.STAGES}
+    assert state.config["files_processed"] == "4" and state.config["lines_yielded"] == "6"
+    assert state.config["shards"] == "3"
 
 
 def test_gate_blocks_empty_selection(spark, source, tmp_path):

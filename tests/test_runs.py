@@ -9,8 +9,8 @@ from skiff.operators import runs
 T0 = datetime(2024, 1, 1)
 
 
-def ev(job, seq, kind, status=None, state=None, log=None, process_type=None):
-    return (job, seq, T0 + timedelta(minutes=seq), kind, status, state, log, process_type, None, None, None)
+def ev(job, seq, kind, status=None, state=None, log=None, process_type=None, stages=None, config=None):
+    return (job, seq, T0 + timedelta(minutes=seq), kind, status, state, log, process_type, None, stages, config)
 
 
 def fold(spark, rows):
@@ -75,3 +75,15 @@ def test_recent_runs_bounds(spark):
     assert top[0].process == "Decomp" and top[0].duration == "-"
     with pytest.raises(ValueError):
         runs.recent_runs(runs.fold_runs(df), 101)
+
+
+def test_stage_and_config_maps_merge_per_key(spark):
+    rows = [
+        ev("j", 0, "create", status="submitted", stages={s: "waiting" for s in runs.STAGES}, config={"shards": "10"}),
+        ev("j", 1, "update", stages={"read": "in_progress"}),
+        ev("j", 2, "update", stages={"read": "completed", "decompress": "in_progress"}, config={"files": "3"}),
+    ]
+    f = fold(spark, rows)["j"]
+    assert f.stages == {"read": "completed", "decompress": "in_progress", "concatenate": "waiting",
+                        "write": "waiting", "validate": "waiting"}
+    assert f.config == {"shards": "10", "files": "3"}
