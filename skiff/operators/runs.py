@@ -102,8 +102,12 @@ def _merged_map(events: DataFrame, col: str) -> DataFrame:
     return per_key.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(col))
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """RUN-2/3/5/6/8: current state of every job, one row per job."""
+def fold_runs(events: DataFrame, with_maps: bool = True) -> DataFrame:
+    """RUN-2/3/5/6/8: current state of every job, one row per job.
+
+    ``with_maps=False`` leaves out the per-key merged ``stages``/``config`` maps (their
+    second aggregation is joined back, which a streaming fold cannot do).
+    """
     mapped = F.when(F.col("state").isNull(), F.lit(None)).otherwise(C.map_state("state"))
     ev = events.withColumn("_mapped", mapped)
     extra = [c for c in ("process_type", "selected_paths") if c in events.columns]
@@ -116,7 +120,7 @@ def fold_runs(events: DataFrame) -> DataFrame:
         *[_latest(c).alias(c) for c in extra],
     )
     for col in ("stages", "config"):
-        if col in events.columns:
+        if with_maps and col in events.columns:
             state = state.join(_merged_map(events, col), "job_id", "left")
     return state
 

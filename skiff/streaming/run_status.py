@@ -17,11 +17,11 @@ from ..session import run_dir
 
 
 def run_status_stream(spark: SparkSession, runs_table: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame of the current state of every job."""
+    """A streaming DataFrame of the current state of every job (status, times, counts)."""
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return fold_runs(reader.parquet(runs_table))
+    return fold_runs(reader.parquet(runs_table), with_maps=False)
 
 
 def start_monitor(
