@@ -149,13 +149,9 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
     sel = cfg.selection
     if sel is None:
         sel = select.selection(spark, cfg.source_bucket, list(cfg.selected_paths or []))
-    patterns = spec.build_patterns(sel)
+    # the pattern set is selection-sized: computed once, shared by snapshot, gate and read
+    patterns = spec.build_patterns(sel).cache()
     paths = [] if cfg.selected_paths is None else list(cfg.selected_paths)
-    runs.append_events(
-        runs.create_event(spark, cfg.job_id, 0, paths, cfg.process_type,
-                          {"output": cfg.output, "shards": str(cfg.output_shards), "compression": cfg.compression}),
-        runs_table,
-    )
     t0 = time.perf_counter()
     phases: dict[str, float] = {}
 
@@ -177,6 +173,14 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
             per = select.validate_patterns(listing, patterns)
             gate_row = select.gate(select.validation_summary(per))
         mark("gate")
+        # RUN-1: the run is recorded once the submission passed the gate (a rejected
+        # submission leaves no record, as in the reference)
+        runs.append_events(
+            runs.create_event(spark, cfg.job_id, 0, paths, cfg.process_type,
+                              {"output": cfg.output, "shards": str(cfg.output_shards),
+                               "compression": cfg.compression}),
+            runs_table,
+        )
         files = select.select_objects(listing, patterns, cfg.boundary, tuple(spec.extensions))
         if cfg.output_shards <= 0:
             cfg.output_shards = _auto_shards(files)
@@ -196,6 +200,8 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
             runs_table,
         )
         raise
+    finally:
+        patterns.unpersist()
     secs = time.perf_counter() - t0
     metrics = transport.run_metrics_row(counters, secs, written.get("output_files", 0))
     runs.append_events(

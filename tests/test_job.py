@@ -58,6 +58,7 @@ def test_gate_blocks_empty_selection(spark, source, tmp_path):
     # regression: empty output -- a selection that matches nothing never runs
     with pytest.raises(select.ValidationError):
         run_transport(spark, _cfg(source, str(tmp_path / "o"), selected_paths=["nosuch"]), str(tmp_path / "r"))
+    assert not (tmp_path / "r").exists() and not (tmp_path / "o").exists()
 
 
 def test_prefix_boundary_reproduces_sibling_leak(spark, source, tmp_path):
