@@ -28,7 +28,7 @@ join is left to the planner (sort-merge, AQE skew splitting).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -203,12 +203,16 @@ def validate_patterns(
     patterns: DataFrame,
     broadcast_limit: int = BROADCAST_PATTERNS_MAX,
     cap: int = VALIDATION_CAP,
+    scan_cap: int | None = None,
 ) -> DataFrame:
-    """Per distinct pattern: files under its listing prefix with its extension (exact).
-
-    ``truncated`` flags counts at or above the reference's 10,000-object scan cap;
-    the count itself is never capped.  ``entries`` is how many times the pattern occurs
-    in the list (totals are summed over entries, as the reference does).
+    """Per distinct pattern: files under its listing prefix with its extension.
+
+    Exact by default; ``truncated`` flags counts at or above the reference's
+    10,000-object scan cap.  With ``scan_cap`` the reference's capped scan is reproduced
+    exactly: only the first ``scan_cap`` objects under the prefix (any suffix, key order)
+    are looked at -- a per-pattern top-k planned with a partial limit before the shuffle.
+    ``entries`` is how many times the pattern occurs in the list (totals are summed over
+    entries, as the reference does).
     """
     pp = parse_patterns(patterns)
     per = pp.groupBy("pattern").agg(
@@ -236,9 +240,16 @@ def validate_patterns(
         & (F.col("_fp.depth") == side["_qd"])
         & (F.col("_fp.dir") == side["_dir"])
         & F.col("_fp.seg").startswith(side["_part"])
-        & exploded["key"].endswith(side["_ext"])
     )
-    counts = exploded.join(side, cond, "inner").groupBy("_pat").agg(F.count(F.lit(1)).alias("_n"))
+    if scan_cap is None:
+        hits = exploded.join(side, cond & exploded["key"].endswith(side["_ext"]), "inner")
+        counts = hits.groupBy("_pat").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        listed = exploded.join(side, cond, "inner").select("_pat", "key", F.col("key").endswith(F.col("_ext")).alias("_m"))
+        w = Window.partitionBy("_pat").orderBy("key")
+        first = listed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= scan_cap)
+        counts = first.groupBy("_pat").agg(F.count_if("_m").alias("_n"))
+        cap = scan_cap
     out = per.join(counts, per["pattern"] == counts["_pat"], "left")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
     return out.select(

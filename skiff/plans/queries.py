@@ -117,6 +117,33 @@ def q_validate_patterns(spark, sf):
     return select.validate_patterns(v_objects(spark, sf), pats)
 
 
+@query(
+    "validate_patterns_capped",
+    oracle_with("v_objects", "v_patterns")
+    + """, pp AS (
+           SELECT pattern, count(*) AS entries,
+                  regexp_extract(pattern, '^[a-z0-9]+://([^/]*)', 1) AS b,
+                  regexp_replace(split_part(regexp_extract(pattern, '^[a-z0-9]+://[^/]*/?(.*)$', 1), '*', 1), '/+$', '') AS prefix,
+                  CASE WHEN ends_with(pattern, '*.json') THEN '.json' WHEN ends_with(pattern, '*.gz') THEN '.gz' ELSE '.bz2' END AS ext
+           FROM v_patterns GROUP BY pattern),
+         listed AS (
+           SELECT pp.pattern, ends_with(o."key", pp.ext) AS m,
+                  row_number() OVER (PARTITION BY pp.pattern ORDER BY o."key") AS rn
+           FROM pp JOIN v_objects o ON o.bucket = pp.b AND starts_with(o."key", pp.prefix)),
+         per AS (
+           SELECT pp.pattern, CAST(pp.entries AS BIGINT) AS entries,
+                  CAST(count(*) FILTER (WHERE l.m AND l.rn <= 100) AS BIGINT) AS file_count
+           FROM pp LEFT JOIN listed l ON l.pattern = pp.pattern GROUP BY pp.pattern, pp.entries)
+       SELECT pattern, entries, file_count, file_count > 0 AS valid, file_count >= 100 AS truncated,
+              CAST(NULL AS VARCHAR) AS error FROM per""",
+)
+def q_validate_patterns_capped(spark, sf):
+    """The reference's capped validation scan (first N listed objects per pattern); the cap
+    is 100 here so that it binds at the test scale."""
+    pats = select.build_patterns(v_selection(spark, sf))
+    return select.validate_patterns(v_objects(spark, sf), pats, scan_cap=100)
+
+
 @query(
     "validate_summary",
     _VALIDATE_CTE

@@ -106,3 +106,17 @@ def test_pattern_reduction(spark):
     assert path == {("b", ""), ("c", "a"), ("c", "ab"), ("d", "src1"), ("d", "src10")}
     pref = {tuple(r) for r in select.reduce_prefixes(pre, "prefix").collect()}
     assert pref == {("b", ""), ("c", "a"), ("d", "src1")}
+
+
+def test_validation_scan_cap(spark):
+    # 5 objects under a/: keys in order a/1.bz2, a/2.json, a/3.bz2, a/4.bz2, a/5.bz2
+    keys = [("bk", f"a/{i}.{'json' if i == 2 else 'bz2'}") for i in range(1, 6)]
+    objs = objects_df(spark, keys)
+    pats = select.build_patterns(select.selection(spark, "bk", ["a"]))
+    exact = {r.pattern: r.file_count for r in select.validate_patterns(objs, pats).collect()}
+    assert set(exact.values()) == {4}
+    capped = {r.pattern: r for r in select.validate_patterns(objs, pats, scan_cap=3).collect()}
+    # the first 3 listed objects hold 2 .bz2 files; not truncated (2 < 3)
+    assert {r.file_count for r in capped.values()} == {2} and not any(r.truncated for r in capped.values())
+    capped2 = select.validate_patterns(objs, pats, scan_cap=1).collect()
+    assert {(r.file_count, r.truncated) for r in capped2} == {(1, True)}
