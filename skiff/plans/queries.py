@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import catalog, ndjson, runs, select, transport
-from ..session import run_dir
+from ..session import materialize, run_dir
 from ..sources import bz2_reader, registry
 from ..sources.objects import list_objects
 from .job import JobConfig, read_manifest, run_transport
@@ -20,6 +20,14 @@ from .views import event_line, oracle_with, table, v_dated, v_objects, v_runs, v
 QUERIES: dict[str, tuple] = {}
 
 
+def _patterns(spark: SparkSession, sf: str, spec=None) -> DataFrame:
+    """The selection's patterns, derived from the tables once and written as a small table,
+    so the plans below scan it instead of re-deriving it from ``documents`` per use."""
+    sel = v_selection(spark, sf)
+    pats = spec.build_patterns(sel) if spec is not None else select.build_patterns(sel)
+    return materialize(pats, "patterns")
+
+
 def query(name: str, sql: str | None):
     def deco(fn):
         QUERIES[name] = (fn, sql)
@@ -73,7 +81,7 @@ _SELECT_PATH_SQL = (
 
 @query("select_distinct_paths", _SELECT_PATH_SQL)
 def q_select_distinct_paths(spark, sf):
-    pats = select.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf)
     return select.select_objects(v_objects(spark, sf), pats, boundary="path").select("bucket", "key", "size_bytes")
 
 
@@ -85,7 +93,7 @@ def q_select_distinct_paths(spark, sf):
          WHERE ends_with(o."key", '.bz2')""",
 )
 def q_select_prefix_mode(spark, sf):
-    pats = select.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf)
     return select.select_objects(v_objects(spark, sf), pats, boundary="prefix").select("bucket", "key", "size_bytes")
 
 
@@ -113,7 +121,7 @@ _VALIDATE_CTE = (
                 CAST(NULL AS VARCHAR) AS error FROM per""",
 )
 def q_validate_patterns(spark, sf):
-    pats = select.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf)
     return select.validate_patterns(v_objects(spark, sf), pats)
 
 
@@ -140,7 +148,7 @@ def q_validate_patterns(spark, sf):
 def q_validate_patterns_capped(spark, sf):
     """The reference's capped validation scan (first N listed objects per pattern); the cap
     is 100 here so that it binds at the test scale."""
-    pats = select.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf)
     return select.validate_patterns(v_objects(spark, sf), pats, scan_cap=100)
 
 
@@ -157,7 +165,7 @@ def q_validate_patterns_capped(spark, sf):
 )
 def q_validate_summary(spark, sf):
     objs = v_objects(spark, sf)
-    pats = select.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf)
     per = select.validate_patterns(objs, pats)
     files = select.select_objects(objs, pats, boundary="prefix")
     return select.validation_summary(per, files)
@@ -306,7 +314,7 @@ def q_multi_extension_select(spark, sf):
         id="bz2_and_json", name="bz2 and JSON", extensions=[".bz2", ".json"], compression="mixed",
         content_type="ndjson", enabled=True, description="several extensions per selected path",
     )
-    pats = spec.build_patterns(v_selection(spark, sf))
+    pats = _patterns(spark, sf, spec)
     return select.select_objects(v_objects(spark, sf), pats, exts=tuple(spec.extensions)).select("bucket", "key", "size_bytes")
 
 

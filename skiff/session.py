@@ -90,3 +90,12 @@ def ship_package(spark: SparkSession) -> None:
         out.write(data)
     sc.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def materialize(df, label: str):
+    """Write a (small, derived) DataFrame once as a parquet table in the shared folder and
+    read it back: later plans scan the table instead of recomputing its lineage, and the
+    copy survives executor loss (unlike a cache)."""
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
