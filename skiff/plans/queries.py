@@ -585,7 +585,8 @@ def q_json_gz_documents(spark, sf):
         id="json_gz", name="gzip JSON documents", extensions=[".gz"], compression="gzip",
         content_type="json", reader=registry.get_source("racing_api").reader,
     )
-    objs = list_objects(spark, root, bucket="docs")
+    # one listing, snapshotted: selection, task planning and the read all use it
+    objs = materialize(list_objects(spark, root, bucket="docs"), "listing")
     sel = objs.select(F.lit("docs").alias("bucket"), C.first_segment("key").alias("path")).distinct()
     files = select.select_objects(objs, spec.build_patterns(sel), exts=tuple(spec.extensions))
     docs = spec.reader(spark, files)
