@@ -145,6 +145,14 @@ def browse(objects: DataFrame, bucket: str, path: str = "") -> DataFrame:
     return browse_all(scoped).where(F.col("parent") == parent)
 
 
+def browse_totals(browsed: DataFrame) -> DataFrame:
+    """AGG-11: per browsed folder, how many sub-folders and files it shows."""
+    return browsed.groupBy("bucket", "parent").agg(
+        F.count_if(F.col("kind") == "folder").alias("total_folders"),
+        F.count_if(F.col("kind") == "file").alias("total_files"),
+    )
+
+
 # AGG-7 ------------------------------------------------------------------------------------
 def list_datasets(objects: DataFrame) -> DataFrame:
     """Top-level folders of each bucket with their AGG-5 stats."""

@@ -293,6 +293,19 @@ def validation_summary(per_pattern: DataFrame, files: DataFrame | None = None) -
     return agg if files is not None else agg.drop("distinct_files")
 
 
+def selection_summary(sel: DataFrame, files: DataFrame) -> DataFrame:
+    """AGG-11: selected paths, de-duplicated files and their bytes (one union + aggregate)."""
+    parts = sel.select(F.lit(1).cast("long").alias("_p"), F.lit(0).cast("long").alias("_f"),
+                       F.lit(0).cast("long").alias("_b")).unionByName(
+        files.select(F.lit(0).cast("long").alias("_p"), F.lit(1).cast("long").alias("_f"),
+                     F.col("size_bytes").cast("long").alias("_b")))
+    return parts.agg(
+        F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("selected_paths"),
+        F.coalesce(F.sum("_f"), F.lit(0)).cast("long").alias("files"),
+        F.coalesce(F.sum("_b"), F.lit(0)).cast("long").alias("size_bytes"),
+    )
+
+
 # RUN-7 ------------------------------------------------------------------------------------
 class ValidationError(ValueError):
     pass

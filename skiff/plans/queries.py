@@ -251,6 +251,18 @@ def q_browse_level(spark, sf):
     return catalog.browse_all(v_objects(spark, sf))
 
 
+@query(
+    "browse_totals",
+    _BROWSE_SQL
+    + """, files AS (SELECT bucket, array_to_string(s[1:n-1], '/') AS parent FROM segs WHERE NOT ends_with("key", '/'))
+          SELECT bucket, parent, CAST(sum(fo) AS BIGINT) AS total_folders, CAST(sum(fi) AS BIGINT) AS total_files FROM (
+            SELECT bucket, parent, 1 AS fo, 0 AS fi FROM folders
+            UNION ALL SELECT bucket, parent, 0, 1 FROM files) GROUP BY bucket, parent""",
+)
+def q_browse_totals(spark, sf):
+    return catalog.browse_totals(catalog.browse_all(v_objects(spark, sf)))
+
+
 @query(
     "list_datasets",
     _BROWSE_SQL

@@ -120,3 +120,12 @@ def test_validation_scan_cap(spark):
     assert {r.file_count for r in capped.values()} == {2} and not any(r.truncated for r in capped.values())
     capped2 = select.validate_patterns(objs, pats, scan_cap=1).collect()
     assert {(r.file_count, r.truncated) for r in capped2} == {(1, True)}
+
+
+def test_selection_summary(spark):
+    keys = [("bk", "a/1.bz2"), ("bk", "a/2.bz2"), ("bk", "b/3.bz2")]
+    objs = objects_df(spark, keys)
+    sel = select.selection(spark, "bk", ["a", "a/1.bz2", "b"])
+    files = select.select_objects(objs, select.build_patterns(sel))
+    r = select.selection_summary(sel, files).first()
+    assert (r.selected_paths, r.files, r.size_bytes) == (3, 3, sum(len(k) for _, k in keys))
