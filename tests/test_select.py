@@ -129,3 +129,18 @@ def test_selection_summary(spark):
     files = select.select_objects(objs, select.build_patterns(sel))
     r = select.selection_summary(sel, files).first()
     assert (r.selected_paths, r.files, r.size_bytes) == (3, 3, sum(len(k) for _, k in keys))
+
+
+def test_large_pattern_branch_without_broadcast(spark):
+    # broadcast_limit=0 forces the sort-merge path used for selections above the limit
+    keys = [("b0", k) for k in ["a/x.bz2", "a/b/y.bz2", "ab/z.bz2", "src1/q.bz2", "src10/r.bz2", "t.bz2"]]
+    objs = objects_df(spark, keys)
+    sel = spark.createDataFrame([("b0", "a"), ("b0", "src1"), ("b0", "t.bz2")], "bucket string, path string")
+    pats = select.build_patterns(sel)
+    prefixes = {("b0", "a"), ("b0", "src1"), ("b0", "t.bz2")}
+    for boundary in ("path", "prefix"):
+        df = select.select_objects(objs, pats, boundary, broadcast_limit=0)
+        got = [(r.bucket, r.key) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(keys, prefixes, boundary)
+    per = {r.pattern: r.file_count for r in select.validate_patterns(objs, pats, broadcast_limit=0).collect()}
+    assert per["gs://b0/src1/*.bz2"] == 2
