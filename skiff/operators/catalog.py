@@ -88,9 +88,12 @@ def _children(objects: DataFrame, depth_from: int | None) -> DataFrame:
     rows = rows.where((F.col("_j") >= 1) & (F.col("_j") <= F.col("_n") - 1))
     j = F.col("_j")
     direct_file = (j == F.col("_n") - 1) & ~C.is_folder_placeholder("key")
+    # parent as a listing prefix: '' at the root, else the folder path plus '/'; unlike the
+    # bare path it stays unambiguous when keys have empty segments ('/a', 'a//b')
+    parent = F.when(j == 1, F.lit("")).otherwise(F.concat(F.expr("substring_index(key, '/', _j - 1)"), F.lit("/")))
     return rows.select(
         "bucket",
-        F.expr("substring_index(key, '/', _j - 1)").alias("parent"),
+        parent.alias("parent"),
         F.element_at(segs, j).alias("name"),
         F.expr("substring_index(key, '/', _j)").alias("path"),
         direct_file.alias("_direct"),
@@ -110,9 +113,10 @@ def folder_stats(objects: DataFrame, level: int | None = None) -> DataFrame:
 
 
 def _file_rows(objects: DataFrame) -> DataFrame:
+    parent = F.when(~F.col("key").contains("/"), F.lit("")).otherwise(F.concat(C.parent_path("key"), F.lit("/")))
     return objects.where(~C.is_folder_placeholder("key")).select(
         "bucket",
-        C.parent_path("key").alias("parent"),
+        parent.alias("parent"),
         C.last_segment("key").alias("name"),
         F.col("key").alias("path"),
         "size_bytes",
@@ -123,6 +127,7 @@ def _file_rows(objects: DataFrame) -> DataFrame:
 def browse_all(objects: DataFrame) -> DataFrame:
     """AGG-6 for every folder at once: one row per (parent, child folder | file).
 
+    ``parent`` is the listing prefix browsed ('' for the bucket root, else ``folder/``);
     ``kind`` is ``folder`` or ``file``; folders carry ``file_count``/``has_children``, files
     carry ``size_bytes`` of the object; ``size`` is formatted for both.
     """
@@ -140,9 +145,9 @@ def browse_all(objects: DataFrame) -> DataFrame:
 
 def browse(objects: DataFrame, bucket: str, path: str = "") -> DataFrame:
     """AGG-6 at one path, as the reference's browse: its sub-folders and files."""
-    parent = path.strip("/") if path else ""
-    scoped = _under(objects.where(F.col("bucket") == bucket), _folder_prefix(path))
-    return browse_all(scoped).where(F.col("parent") == parent)
+    prefix = _folder_prefix(path)
+    scoped = _under(objects.where(F.col("bucket") == bucket), prefix)
+    return browse_all(scoped).where(F.col("parent") == prefix)
 
 
 def browse_totals(browsed: DataFrame) -> DataFrame:

@@ -229,7 +229,8 @@ _BROWSE_SQL = (
          lv AS (
            SELECT bucket, "key", size_bytes, s, n, j FROM segs, range(1, n) AS r(j)),
          folders AS (
-           SELECT bucket, array_to_string(s[1:j-1], '/') AS parent, s[j] AS name, array_to_string(s[1:j], '/') AS path,
+           SELECT bucket, CASE WHEN j = 1 THEN '' ELSE array_to_string(s[1:j-1], '/') || '/' END AS parent,
+                  s[j] AS name, array_to_string(s[1:j], '/') AS path,
                   CAST(count(*) FILTER (WHERE j = n - 1 AND NOT ends_with("key", '/')) AS BIGINT) AS file_count,
                   CAST(coalesce(sum(size_bytes) FILTER (WHERE j = n - 1 AND NOT ends_with("key", '/')), 0) AS BIGINT) AS size_bytes,
                   bool_or(j < n - 1) AS has_children
@@ -244,7 +245,8 @@ _BROWSE_SQL = (
     + f"""SELECT bucket, parent, 'folder' AS kind, name, path, file_count, size_bytes, has_children,
                  {_fmt_bytes_sql('size_bytes')} AS size FROM folders
           UNION ALL
-          SELECT bucket, array_to_string(s[1:n-1], '/'), 'file', s[n], "key", CAST(NULL AS BIGINT), size_bytes,
+          SELECT bucket, CASE WHEN n = 1 THEN '' ELSE array_to_string(s[1:n-1], '/') || '/' END, 'file', s[n], "key",
+                 CAST(NULL AS BIGINT), size_bytes,
                  CAST(NULL AS BOOLEAN), {_fmt_bytes_sql('size_bytes')} FROM segs WHERE NOT ends_with("key", '/')""",
 )
 def q_browse_level(spark, sf):
@@ -254,7 +256,8 @@ def q_browse_level(spark, sf):
 @query(
     "browse_totals",
     _BROWSE_SQL
-    + """, files AS (SELECT bucket, array_to_string(s[1:n-1], '/') AS parent FROM segs WHERE NOT ends_with("key", '/'))
+    + """, files AS (SELECT bucket, CASE WHEN n = 1 THEN '' ELSE array_to_string(s[1:n-1], '/') || '/' END AS parent
+                    FROM segs WHERE NOT ends_with("key", '/'))
           SELECT bucket, parent, CAST(sum(fo) AS BIGINT) AS total_folders, CAST(sum(fi) AS BIGINT) AS total_files FROM (
             SELECT bucket, parent, 1 AS fo, 0 AS fi FROM folders
             UNION ALL SELECT bucket, parent, 0, 1 FROM files) GROUP BY bucket, parent""",

@@ -34,7 +34,7 @@ def test_browse_matches_delimiter_listing(spark):
     for b, k, size in KEYS:
         parts = k.split("/")
         for j in range(1, len(parts)):
-            parent, name = "/".join(parts[: j - 1]), parts[j - 1]
+            parent, name = ("/".join(parts[: j - 1]) + "/" if j > 1 else ""), parts[j - 1]
             f = want[(b, parent)].setdefault(("folder", name), [0, 0, False])
             if j == len(parts) - 1 and not k.endswith("/"):
                 f[0] += 1
@@ -42,7 +42,7 @@ def test_browse_matches_delimiter_listing(spark):
             if j < len(parts) - 1:
                 f[2] = True
         if not k.endswith("/"):
-            want[(b, "/".join(parts[:-1]))][("file", parts[-1])] = [None, size, None]
+            want[(b, "/".join(parts[:-1]) + "/" if len(parts) > 1 else "")][("file", parts[-1])] = [None, size, None]
     got = defaultdict(dict)
     for r in catalog.browse_all(objs(spark)).collect():
         got[(r.bucket, r.parent)][(r.kind, r.name)] = [r.file_count, r.size_bytes, r.has_children]
@@ -74,3 +74,47 @@ def test_native_reader_matches_strict_on_clean_files(spark, tmp_path):
     strict = bz2_reader.lines_of(bz2_reader.read_files(list_objects(spark, str(tmp_path), bucket="b")))
     native = bz2_reader.read_native(spark, str(tmp_path), ["f", "nosuch"])
     assert sorted(r.value for r in strict.collect()) == sorted(r.value for r in native.collect())
+
+
+from hypothesis import Phase, given, settings
+from hypothesis import strategies as st
+
+_seg = st.sampled_from(["a", "b", "2024-01-0" + "1", "2024-02-03", "x.bz2", "y.json", ""])
+_key = st.lists(_seg, min_size=1, max_size=4).map("/".join)
+
+
+def _brute_browse(keys):
+    want = defaultdict(dict)
+    for b, k, size in keys:
+        parts = k.split("/")
+        for j in range(1, len(parts)):
+            parent, name = ("/".join(parts[: j - 1]) + "/" if j > 1 else ""), parts[j - 1]
+            f = want[(b, parent)].setdefault(("folder", name), [0, 0, False])
+            if j == len(parts) - 1 and not k.endswith("/"):
+                f[0] += 1
+                f[1] += size
+            if j < len(parts) - 1:
+                f[2] = True
+        if not k.endswith("/"):
+            want[(b, "/".join(parts[:-1]) + "/" if len(parts) > 1 else "")][("file", parts[-1])] = [None, size, None]
+    return want
+
+
+@settings(max_examples=10, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate])
+@given(st.dictionaries(st.tuples(st.sampled_from(["b0", "b1"]), _key), st.integers(0, 5000), min_size=1, max_size=30))
+def test_browse_and_dates_property(spark, objects):
+    keys = [(b, k, size) for (b, k), size in sorted(objects.items())]
+    df = spark.createDataFrame(keys, "bucket string, key string, size_bytes bigint")
+    got = defaultdict(dict)
+    for r in catalog.browse_all(df).collect():
+        got[(r.bucket, r.parent)][(r.kind, r.name)] = [r.file_count, r.size_bytes, r.has_children]
+    assert got == _brute_browse(keys)
+    want_dates = defaultdict(lambda: [0, 0])
+    for b, k, size in keys:
+        m = re.search(r"(\d{4}-\d{2}-\d{2})", k)
+        if k.endswith(".bz2") and m:
+            w = want_dates[(b, k.split("/")[0], m.group(1))]
+            w[0] += 1
+            w[1] += size
+    got_dates = {(r.bucket, r.dataset, r.date): [r.files, r.size_bytes] for r in catalog.dates_rollup(df).collect()}
+    assert got_dates == dict(want_dates)
