@@ -3,9 +3,10 @@
 One Spark action reads every selected file once and writes both outputs of the read:
 the lines (shards, per-input folders, valid/rejected split or a table, by process type)
 and a per-file manifest, separated by a partition column.  Counters (AGG-10) are read
-back from the committed manifest, so they stay exact when tasks or stages are retried.  The listing under the selected prefixes is
-written once as a table in the shared folder (``spark.checkpoint.dir``), so the gate
-and the read see the same objects and the listing is not repeated.
+back from the committed manifest, so they stay exact when tasks or stages are retried.
+The listing under the selected prefixes is written once as a table in the shared folder
+(``spark.checkpoint.dir``), so the gate and the read see the same objects and the
+listing is not repeated.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         # hash on the unique (path, line_no): even shards, deterministic on task retry
         rows = _kind_rows(raw, F.lit("lines"))
         staging = f"{out}/_staging"
-        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL).write.option("compression", codec).option("lineSep", "\n")
-         .partitionBy(PART_COL).text(staging))
+        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL)
+         .write.option("compression", codec).option("lineSep", "\n").partitionBy(PART_COL).text(staging))
         shards = _move_parts(f"{staging}/{PART_COL}=lines", out, cfg.compression, shard_names=True)
         _move_parts(f"{staging}/{PART_COL}=manifest", f"{out}/_manifest", cfg.compression, shard_names=False)
         return {"output_files": len(shards), "output": out}
@@ -103,8 +104,8 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         part = F.when(ndjson.is_valid_json("value"), F.lit("valid")).otherwise(F.lit("rejected"))
         rows = _kind_rows(raw, part)
-        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL).write.option("compression", codec).option("lineSep", "\n")
-         .partitionBy(PART_COL).text(out))
+        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL)
+         .write.option("compression", codec).option("lineSep", "\n").partitionBy(PART_COL).text(out))
         return {"output": out}
     if pt == "direct_to_bigquery":
         # table sink: lines with their source key, ISO date of the key and parsed VARIANT
