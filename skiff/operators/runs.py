@@ -65,6 +65,38 @@ def append_events(events: DataFrame, table_path: str) -> None:
     events.write.mode("append").parquet(table_path)
 
 
+def _next_seq(spark: SparkSession, table_path: str, job_id: str) -> int:
+    try:
+        row = spark.read.parquet(table_path).where(F.col("job_id") == job_id).agg(F.max("seq")).first()
+    except Exception:  # noqa: BLE001 -- no table yet
+        return 0
+    return 0 if row[0] is None else int(row[0]) + 1
+
+
+def record_refresh(spark: SparkSession, table_path: str, job_id: str, service_state: str | None) -> None:
+    """RUN-5: a polled service state.  ``None`` means the status call failed (the
+    reference's ``unknown``): recorded with no state, so it never changes the status."""
+    ev = simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "refresh",
+                      state=service_state, status=None if service_state is not None else "unknown")
+    append_events(ev, table_path)
+
+
+def record_cancel(spark: SparkSession, table_path: str, job_id: str) -> None:
+    """RUN-6: cancel, recorded even when the service call failed."""
+    append_events(simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "cancel"), table_path)
+
+
+def record_log(spark: SparkSession, table_path: str, job_id: str, line: str) -> None:
+    """RUN-4: append a log line (duplicates are folded away by ``log_tail``)."""
+    append_events(simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "log", log=line), table_path)
+
+
+def get_logs(events: DataFrame, job_id: str, n: int = LOG_TAIL) -> list[str]:
+    """SRT-4 for one job: its last ``n`` distinct log lines (a bounded list)."""
+    row = log_tail(events.where(F.col("job_id") == job_id), n).first()
+    return list(row["tail"]) if row else []
+
+
 # status fold ------------------------------------------------------------------------------
 def _status_fold(kind, status, mapped) -> F.Column:
     """The status rule of the module doc as aggregate expressions."""

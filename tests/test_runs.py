@@ -87,3 +87,18 @@ def test_stage_and_config_maps_merge_per_key(spark):
     assert f.stages == {"read": "completed", "decompress": "in_progress", "concatenate": "waiting",
                         "write": "waiting", "validate": "waiting"}
     assert f.config == {"shards": "10", "files": "3"}
+
+
+def test_record_helpers(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    runs.append_events(runs.create_event(spark, "j", 0, ["a"], "decompress_only"), table)
+    runs.record_refresh(spark, table, "j", "JOB_STATE_RUNNING")
+    runs.record_refresh(spark, table, "j", None)  # failed status call: no change
+    runs.record_log(spark, table, "j", "step 1")
+    runs.record_log(spark, table, "j", "step 1")
+    ev = spark.read.parquet(table)
+    assert runs.fold_runs(ev).first().status == "running"
+    assert runs.get_logs(ev, "j")[-1] == "step 1" and len(runs.get_logs(ev, "j")) == 2
+    runs.record_cancel(spark, table, "j")
+    assert runs.fold_runs(spark.read.parquet(table)).first().status == "cancelled"
+    assert sorted(r.seq for r in spark.read.parquet(table).collect()) == [0, 1, 2, 3, 4, 5]
