@@ -40,9 +40,9 @@ def write_shards(
 ) -> list[str]:
     """Write ``value`` as newline-terminated text into at most ``num_shards`` files.
 
-    Spark skips empty partitions, so fewer files appear when there are fewer lines than
-    shards.  With ``rename`` the files get the ``output-SSSSS-of-NNNNN.ndjson`` names
-    (NNNNN = files actually written); returns the final file paths.
+    With ``rename`` the files get the ``output-SSSSS-of-NNNNN.ndjson`` names and shards
+    Spark left out (empty partitions) are created empty, so there are exactly
+    ``num_shards``; returns the final file paths.
     """
     codec = COMPRESSIONS[compression]
     (
@@ -53,29 +53,57 @@ def write_shards(
         .option("lineSep", "\n")
         .text(out)
     )
-    return rename_shards(out, compression) if rename else []
+    return rename_shards(out, compression, num_shards) if rename else []
 
 
-def rename_shards(out: str, compression: str = "none") -> list[str]:
-    """Give the committed part files their shard names (driver-side, one rename per shard)."""
+_SUFFIX = {"none": "", "gzip": ".gz", "snappy": ".snappy"}
+
+
+def _empty_shard(compression: str) -> bytes:
+    """Bytes of a shard with no lines (a valid empty stream for the codec)."""
+    if compression == "gzip":
+        import gzip
+
+        return gzip.compress(b"")
+    return b""
+
+
+def place_shards(src: str, dst: str, compression: str = "none", num_shards: int = 0) -> list[str]:
+    """Name the committed part files ``output-SSSSS-of-NNNNN.ndjson`` in ``dst``.
+
+    Driver-side, one rename per shard.  Spark writes no file for an empty partition;
+    the missing shards up to ``num_shards`` are created empty, so there are exactly
+    ``max(num_shards, files written)`` shards, as a fixed-shard text sink promises.
+    """
     import pyarrow.fs as pafs
 
-    uri = out if "://" in out else "file://" + out
-    fs, root = pafs.FileSystem.from_uri(uri)
-    parts = sorted(
-        i.path
-        for i in fs.get_file_info(pafs.FileSelector(root))
-        if i.type == pafs.FileType.File and i.base_name.startswith("part-")
-    )
-    suffix = {"none": "", "gzip": ".gz", "snappy": ".snappy"}[compression]
+    fs, s = pafs.FileSystem.from_uri(src if "://" in src else "file://" + src)
+    _, d = pafs.FileSystem.from_uri(dst if "://" in dst else "file://" + dst)
+    parts = []
+    if fs.get_file_info(s).type != pafs.FileType.NotFound:
+        parts = sorted(
+            i.path for i in fs.get_file_info(pafs.FileSelector(s))
+            if i.type == pafs.FileType.File and i.base_name.startswith("part-")
+        )
+    fs.create_dir(d, recursive=True)
+    n = max(num_shards, len(parts))
     done = []
-    for i, p in enumerate(parts):
-        dst = f"{root}/{SHARD_NAME.format(i=i, n=len(parts))}{suffix}"
-        fs.move(p, dst)
-        done.append(dst)
+    for i in range(n):
+        target = f"{d}/{SHARD_NAME.format(i=i, n=n)}{_SUFFIX[compression]}"
+        if i < len(parts):
+            fs.move(parts[i], target)
+        else:
+            with fs.open_output_stream(target, compression=None) as f:
+                f.write(_empty_shard(compression))
+        done.append(target)
     return done
 
 
+def rename_shards(out: str, compression: str = "none", num_shards: int = 0) -> list[str]:
+    """``place_shards`` in place (the part files and the shards share the folder)."""
+    return place_shards(out, out, compression, num_shards)
+
+
 def read_shards(spark, out: str) -> DataFrame:
     """Read written shards back as lines (codec from the file suffix)."""
     return spark.read.option("lineSep", "\n").text(out)

@@ -87,7 +87,7 @@ def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
         staging = f"{out}/_staging"
         (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL)
          .write.option("compression", codec).option("lineSep", "\n").partitionBy(PART_COL).text(staging))
-        shards = _move_parts(f"{staging}/{PART_COL}=lines", out, cfg.compression, shard_names=True)
+        shards = transport.place_shards(f"{staging}/{PART_COL}=lines", out, cfg.compression, cfg.output_shards)
         _move_parts(f"{staging}/{PART_COL}=manifest", f"{out}/_manifest", cfg.compression, shard_names=False)
         return {"output_files": len(shards), "output": out}
     if pt == "decompress_only":

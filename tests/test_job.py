@@ -42,7 +42,7 @@ def test_concatenate_job(spark, source, tmp_path):
     assert res["lines_yielded"] == 6
     names = sorted(os.listdir(out))
     shards = [n for n in names if n.startswith("output-")]
-    assert shards and all(n.endswith(f"-of-{len(shards):05d}.ndjson") for n in shards)
+    assert len(shards) == 3 and all(n.endswith("-of-00003.ndjson") for n in shards)
     lines = sorted(r.value for r in transport.read_shards(spark, out).collect())
     assert lines == sorted(['{"m":1}', '{"m":2}', '{"m":3}', '{"m":4} x', '{"m":5}', '{"m":6}'])
     man = {os.path.basename(r.path): r for r in read_manifest(spark, out).collect()}
@@ -108,5 +108,16 @@ def test_shard_roundtrip(spark, tmp_path, compression):
     df = spark.createDataFrame(rows, "value string")
     out = str(tmp_path / compression)
     files = transport.write_shards(df, out, num_shards=4, compression=compression)
-    assert 1 <= len(files) <= 4
+    assert len(files) == 4
     assert sorted(r.value for r in transport.read_shards(spark, out).collect()) == sorted(v for (v,) in rows)
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip", "snappy"])
+def test_exact_shard_count_with_empty_shards(spark, tmp_path, compression):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "value string")
+    out = str(tmp_path / compression)
+    files = transport.write_shards(df, out, num_shards=10, compression=compression)
+    names = sorted(os.path.basename(f) for f in files)
+    suffix = {"none": "", "gzip": ".gz", "snappy": ".snappy"}[compression]
+    assert names == [f"output-{i:05d}-of-00010.ndjson{suffix}" for i in range(10)]
+    assert sorted(r.value for r in transport.read_shards(spark, out).collect()) == ["a", "b", "c"]
