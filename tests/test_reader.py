@@ -113,3 +113,27 @@ def test_path_vs_prefix_boundary(spark, root):
     by_prefix = sorted(r.key for r in select.select_objects(objs, pats, "prefix").collect())
     assert by_path == ["Jan/1/a.bz2"]
     assert by_prefix == ["Jan/1/a.bz2", "Jan/10/z.bz2"]
+
+
+def test_listing_plan_splits_hot_folder(tmp_path):
+    # one top folder holds almost everything: it must be split by its sub-folders
+    for i in range(20):
+        p = tmp_path / "hot" / f"d{i}" / "f.bz2"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    (tmp_path / "cold").mkdir()
+    (tmp_path / "cold" / "g.bz2").write_bytes(b"y")
+    (tmp_path / "top.bz2").write_bytes(b"z")
+    from skiff.sources.objects import ObjectsReader
+
+    reader = ObjectsReader({"path": str(tmp_path), "targetPartitions": "8"})
+    parts = reader.partitions()
+    assert 1 < len(parts) <= 8
+    items = [it for p in parts for it in p.items]
+    recursive = {rel for rel, rec in items if rec}
+    assert "hot" not in recursive and sum(1 for r in recursive if r.startswith("hot/")) == 20
+    holding_hot = [p for p in parts if any(rel.startswith("hot/") for rel, _ in p.items)]
+    assert len(holding_hot) > 1
+    # every object is listed exactly once across the tasks
+    keys = [r[1] for p in parts for b in reader.read(p) for r in zip(*[b.column(i).to_pylist() for i in range(2)])]
+    assert sorted(keys) == sorted(["top.bz2", "cold/g.bz2"] + [f"hot/d{i}/f.bz2" for i in range(20)])
