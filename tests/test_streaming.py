@@ -28,3 +28,19 @@ def test_stream_folds_new_events(spark, tmp_path):
     q.awaitTermination(120)
     second = {r.job_id: r.status for r in spark.table("rs_test2").collect()}
     assert second == {"a": "completed", "b": "cancelled"}
+
+
+def test_stream_update_mode_sink(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    runs.append_events(spark.createDataFrame(
+        [ev("a", 0, "create", status="submitted"), ev("a", 1, "refresh", state="JOB_STATE_FAILED")],
+        runs.EVENT_SCHEMA), table)
+    seen = []
+
+    def sink(batch_df, batch_id):
+        seen.extend((r.job_id, r.status) for r in batch_df.collect())
+
+    q = start_monitor(spark, table, query_name="rs_update", checkpoint=str(tmp_path / "ck"),
+                      trigger_seconds=None, sink=sink)
+    q.awaitTermination(120)
+    assert seen == [("a", "failed")]
