@@ -121,3 +121,20 @@ def test_exact_shard_count_with_empty_shards(spark, tmp_path, compression):
     suffix = {"none": "", "gzip": ".gz", "snappy": ".snappy"}[compression]
     assert names == [f"output-{i:05d}-of-00010.ndjson{suffix}" for i in range(10)]
     assert sorted(r.value for r in transport.read_shards(spark, out).collect()) == ["a", "b", "c"]
+
+
+def test_command_line(spark, source, tmp_path, capsys):
+    import json
+
+    from skiff.__main__ import main
+
+    table = str(tmp_path / "runs")
+    main(["transport", "--source-root", source, "--bucket", "bk", "--paths", "2016/Feb",
+          "--output", str(tmp_path / "cli"), "--shards", "2", "--runs-table", table])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert res["files_processed"] == 1 and res["files_failed"] == 1 and res["output_files"] == 2
+    main(["cancel", "--runs-table", table, "--job-id", res["job_id"]])
+    capsys.readouterr()
+    main(["history", "--runs-table", table])
+    jobs = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["jobs"]
+    assert [(j["job_id"], j["status"]) for j in jobs] == [(res["job_id"], "cancelled")]
