@@ -65,6 +65,20 @@ def append_events(events: DataFrame, table_path: str) -> None:
     events.write.mode("append").parquet(table_path)
 
 
+def compact_events(spark: SparkSession, table_path: str, out_path: str, files: int | None = None) -> str:
+    """Rewrite the run-event table (one small file per appended event) into ``files``
+    files at ``out_path``, clustered by job so a job's events share row groups.
+
+    Spark cannot overwrite a table it is reading, so the compacted copy goes to a new
+    path; switch readers and writers to it, then retire the old folder.  Rows are
+    unchanged, so ``fold_runs`` gives the same state on both.
+    """
+    events = spark.read.parquet(table_path)
+    n = files or max(1, spark.sparkContext.defaultParallelism)
+    events.repartition(n, "job_id").sortWithinPartitions("job_id", "ts", "seq").write.parquet(out_path)
+    return out_path
+
+
 def _next_seq(spark: SparkSession, table_path: str, job_id: str) -> int:
     try:
         row = spark.read.parquet(table_path).where(F.col("job_id") == job_id).agg(F.max("seq")).first()

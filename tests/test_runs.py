@@ -102,3 +102,16 @@ def test_record_helpers(spark, tmp_path):
     runs.record_cancel(spark, table, "j")
     assert runs.fold_runs(spark.read.parquet(table)).first().status == "cancelled"
     assert sorted(r.seq for r in spark.read.parquet(table).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_compact_events(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    for i in range(6):
+        runs.append_events(spark.createDataFrame([ev(f"j{i % 2}", i, "refresh", state="JOB_STATE_RUNNING")],
+                                                 runs.EVENT_SCHEMA), table)
+    out = runs.compact_events(spark, table, str(tmp_path / "compact"), files=1)
+    import glob
+    assert len(glob.glob(out + "/*.parquet")) == 1
+    before = sorted(tuple(r) for r in runs.fold_runs(spark.read.parquet(table)).collect())
+    after = sorted(tuple(r) for r in runs.fold_runs(spark.read.parquet(out)).collect())
+    assert before == after
