@@ -4,6 +4,10 @@
 ``root`` recursively, on the executors, and returns
 ``bucket STRING, key STRING, path STRING, size_bytes BIGINT, updated TIMESTAMP``.
 
+``path`` is the bucket root (``gs://bucket``, ``s3://bucket``, a local folder): keys
+are relative to it, as object names are.  To list part of a bucket, filter on
+``key.startswith(prefix)``; the filter is pushed into the listing.
+
 Unlike ``binaryFile``/``text`` it hides nothing: zero-byte objects and names starting
 with ``_`` or ``.`` are listed, as a storage listing would.  No file content is read.
 
