@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from skiff.llm.packing import op2_packing
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
+    "op2_packing": (op2_packing, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
 }
