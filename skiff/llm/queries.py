@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skiff.llm.decontamination import OP3_SQL, op3_decontamination
 from skiff.llm.html_text import op1_html_extraction
 from skiff.llm.language_id import op4_language_id
 from skiff.llm.packing import op2_packing
@@ -11,6 +12,7 @@ from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
 QUERIES = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_packing": (op2_packing, None),
+    "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
