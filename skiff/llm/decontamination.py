@@ -75,9 +75,9 @@ def prefix_windows(docs: DataFrame, windows: DataFrame, text_col: str = "text")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, text_key (a hash of the text), n_words, spans (merged
-    [first word, word after the last] of all words inside an occurrence of a window), items
-    (sorted distinct ids whose windows occur).
+    """One row per document: the id, text_key (a hash of the text), n_words, hit_words
+    (sorted positions of the words inside an occurrence of a window), items (sorted distinct
+    ids whose windows occur).
 
     A null text has no words; repeated rows each get their row; an empty table gives none
     and an empty benchmark marks nothing.  Other columns are ignored.
@@ -111,30 +111,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     hits = rows.join(side, (F.col("word") == F.col("token")) & fits & same, "left").where("p = -1 or token is not null")
     per_doc = hits.groupBy("key", "n_words").agg(
         F.count(F.when(F.col("p") == -1, 1)).alias("copies"),
-        F.array_sort(F.collect_set(F.when(F.col("token").isNotNull(), F.struct(begin.alias("a"), (begin + F.col("size")).alias("b"))))).alias("found"),
+        F.collect_set(F.when(F.col("token").isNotNull(), F.struct(begin.alias("a"), (begin + F.col("size")).alias("b")))).alias("found"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    # in order of their beginning, an occurrence opens a span or lengthens the last one
-    merged = F.aggregate(
-        "found",
-        none,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))),
-    )
-    out = per_doc.select(F.explode(F.array_repeat("key", F.col("copies").cast("int"))).alias("key"), "n_words", merged.alias("spans"), "items")
-    return out.select(F.col("key.id").alias(id_col), F.col("key.text_key").alias("text_key"), "n_words", "spans", "items")
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["a"], x["b"] - 1)))))
+    out = per_doc.select(F.explode(F.array_repeat("key", F.col("copies").cast("int"))).alias("key"), "n_words", words.alias("hit_words"), "items")
+    return out.select(F.col("key.id").alias(id_col), F.col("key.text_key").alias("text_key"), "n_words", "hit_words", "items")
 
 
 def op3_decontamination(spark, sf_dir):
     """Contract query: hit words and items of every document."""
     c = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["b"] - s["a"]).cast("long")
+    n_hit = F.size("hit_words").cast("long")
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return c.select(
         "doc_id",
@@ -163,7 +151,7 @@ WITH b AS (
   FROM (SELECT rid, n, w, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, sizes)
 ), hit AS (
   SELECT DISTINCT occ.rid, occ.i, occ.n, win.item_id FROM occ JOIN win ON occ.g = win.g
-), at AS (
+), marked AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
 ), it AS (
   SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
@@ -171,5 +159,5 @@ WITH b AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN at USING (rid) LEFT JOIN it USING (rid)
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN it USING (rid)
 """
