@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from skiff.llm.decontamination import OP3_SQL, op3_decontamination
 from skiff.llm.html_text import op1_html_extraction
+from skiff.llm.jaccard_join import op10_jaccard_join
 from skiff.llm.language_id import op4_language_id
 from skiff.llm.packing import op2_packing
 from skiff.llm.quality_classifier import op8_quality_classifier
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
+    "op10_jaccard_join": (op10_jaccard_join, None),
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_packing": (op2_packing, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
