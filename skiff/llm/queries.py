@@ -9,6 +9,7 @@ from skiff.llm.language_id import op4_language_id
 from skiff.llm.packing import op2_packing
 from skiff.llm.quality_classifier import op8_quality_classifier
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
+from skiff.llm.span_dedup import op6_span_dedup
 
 QUERIES = {
     "op10_jaccard_join": (op10_jaccard_join, None),
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": (op2_packing, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
+    "op6_span_dedup": (op6_span_dedup, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
 }
