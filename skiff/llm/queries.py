@@ -6,6 +6,7 @@ from skiff.llm.decontamination import OP3_SQL, op3_decontamination
 from skiff.llm.html_text import op1_html_extraction
 from skiff.llm.jaccard_join import op10_jaccard_join
 from skiff.llm.language_id import op4_language_id
+from skiff.llm.lm_scoring import op7_lm_scoring
 from skiff.llm.packing import op2_packing
 from skiff.llm.quality_classifier import op8_quality_classifier
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op6_span_dedup": (op6_span_dedup, None),
+    "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
 }
