@@ -25,9 +25,12 @@ from pyspark.sql import types as T
 from skiff.llm.common import fold_of, table
 from skiff.session import materialize, ship_package
 
-#: (bytes of context, log2 of the table's slots) of each predictor; the last sees the most.
-ORDERS = ((0, 10), (1, 15), (2, 17), (3, 19), (4, 20), (6, 20))
-SLOTS = sum(1 << bits for _, bits in ORDERS)
+#: (bytes of context, log2 of the table's slots) of each predictor; 0 bytes: the whole token
+#: so far, learnt from the commonest tokens alone, as many as its table has room for.
+ORDERS = ((1, 16), (2, 18), (3, 19), (4, 20), (6, 20), (0, 21))
+WHOLE_TOKENS = 50_000
+STARTS = np.cumsum([0, *(1 << bits for _, bits in ORDERS)])
+SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 14
 #: Commonest tokens whose costs every task holds; all others are joined.
 COMMON_TOKENS = 300_000
@@ -35,93 +38,109 @@ COMMON_TOKENS = 300_000
 END = b"\n"
 #: Distinct tokens a counting task holds before it passes them on.
 HELD_TOKENS = 400_000
+#: A document's class is its commonest UTF-8 continuation byte, 0 if it has none: a coarse
+#: sign of language and script that needs no training.  It is a token's first context byte.
+CLASSES = 65
+#: Occurrences that the shorter context's estimate counts for.
+PRIOR = 0.4
 
-_GATES = 3
 _BUCKETS = 24
 _RATE = 0.02
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_of(text: str | None) -> tuple[int, list[bytes]]:
+    """The text's class and its words."""
+    raw = (text or "").encode("utf-8", "replace")
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=0xC0)[0x80:0xC0]
+    return (int(count.argmax()) + 1 if count.any() else 0), raw.lower().split()
 
 
-def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every bit of every token's bytes and terminator: token number, bit, slot of each
-    order (into one table for all), byte position and node (the bits before in the byte)."""
-    raw = np.frombuffer(b"".join(t if t == END else t + b" " for t in tokens), np.uint8).astype(np.int64)
-    sizes = np.fromiter((1 if t == END else len(t) + 1 for t in tokens), np.int64, len(tokens))
-    owner = np.repeat(np.arange(len(tokens)), sizes)
+    order (into one table for all) and gate (byte position and bit position).  A token is
+    its class byte and its bytes; the class is given, not predicted."""
+    raw = np.frombuffer(b"".join(t if t.endswith(END) else t + b" " for t in tokens), np.uint8)
+    sizes = np.fromiter((len(t) + (not t.endswith(END)) for t in tokens), np.int64, len(tokens))
     place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    history = np.zeros((len(ORDERS), len(raw)), np.uint64)
-    longest = ORDERS[-1][0]
-    acc = np.zeros(len(raw), np.uint64)
-    mul = np.uint64(0x9E3779B97F4A7C15)
-    known = {n: k for k, (n, _) in enumerate(ORDERS)}
-    for back in range(1, longest + 1):
-        before = np.zeros(len(raw), np.int64)
-        before[back:] = raw[:-back]
-        before = np.where(place >= back, before + 1, 0)  # 0: before the token
-        acc = (acc ^ before.astype(np.uint64)) * mul
+    mixed = raw.astype(np.uint64) + np.uint64(1)
+    history, acc = {}, np.zeros(len(raw), np.uint64)
+    for back in range(1, max(n for n, _ in ORDERS) + 1):
+        before = np.zeros(len(raw), np.uint64)
+        before[back:] = mixed[:-back]
+        before[place < back] = 0  # before the class byte
+        acc = (acc ^ before) * _MUL
         acc ^= acc >> np.uint64(29)
-        if back in known:
-            history[known[back]] = acc
-    bits = (raw[:, None] >> np.arange(7, -1, -1)) & 1
-    node = (1 << np.arange(8)) | (raw[:, None] >> np.arange(8, 0, -1))
-    slots = np.empty((len(ORDERS), len(raw) * 8), np.int64)
-    base = 0
-    for k, (_, size) in enumerate(ORDERS):
-        h = (history[k][:, None] + node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * mul
-        slots[k] = base + ((h ^ (h >> np.uint64(31))) * mul >> np.uint64(64 - size)).astype(np.int64).ravel()
-        base += 1 << size
-    return np.repeat(owner, 8), bits.ravel(), slots, np.repeat(np.minimum(place, 7), 8), node.ravel()
-
-
-def count_bits(tokens: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots touched by the tokens, and the zeros and ones seen there (weighted by count)."""
-    owner, bit, slots, _, _ = _events(tokens)
+        history[back] = acc
+    # the whole token so far: differences of running sums of bytes times a factor of their place
+    factor = (np.arange(1, int(sizes.max()) + 2, dtype=np.uint64) * _MUL) | np.uint64(1)
+    factor ^= factor >> np.uint64(31)
+    run = np.cumsum(mixed * mixed * factor[place] * _MUL, dtype=np.uint64)
+    run -= mixed * mixed * factor[place] * _MUL
+    first = np.cumsum(sizes) - sizes
+    history[0] = (run - np.repeat(run[first], sizes)) * _MUL
+    live = place > 0
+    byte = raw[live].astype(np.int64)
+    owner = np.repeat(np.repeat(np.arange(len(tokens)), sizes)[live], 8)
+    bits = (byte[:, None] >> np.arange(7, -1, -1)) & 1
+    node = ((1 << np.arange(8)) | (byte[:, None] >> np.arange(8, 0, -1))).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    slots = np.empty((len(ORDERS), len(byte) * 8), np.int32)
+    for k, (n, size) in enumerate(ORDERS):
+        h = (history[n][live][:, None] + node) * _MUL
+        h ^= h >> np.uint64(31)
+        h *= _MUL
+        h >>= np.uint64(64 - size)
+        slots[k] = h.ravel()
+        slots[k] += int(STARTS[k])
+    gate = (np.minimum(place[live] - 1, 7)[:, None] * 8 + np.arange(8)).ravel()
+    return owner, bits.ravel(), slots, gate
+
+
+def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range) -> None:
+    """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones)."""
+    owner, bit, slots, _ = _events(tokens)
     weight = counts[owner].astype(np.float64)
-    n1 = np.bincount(slots.ravel(), np.tile(weight * bit, len(ORDERS)), SLOTS)
-    n = np.bincount(slots.ravel(), np.tile(weight, len(ORDERS)), SLOTS)
-    at = np.flatnonzero(n)
-    return at, n[at] - n1[at], n1[at]
+    for k in orders:
+        span = slice(int(STARTS[k]), int(STARTS[k + 1]))
+        at = (slots[k] - span.start).astype(np.int64) * 2 + bit
+        table[span] += np.bincount(at, weight, 2 * (span.stop - span.start)).reshape(-1, 2).astype(table.dtype)
 
 
 @dataclass
 class Mixer:
-    """Weights by gate and the refining table."""
+    """Weights by gate and the refining table (gate x bucket x ones and all)."""
 
     weights: list[np.ndarray]
-    refine: np.ndarray  # gate x bucket x (ones, all)
+    refine: np.ndarray
 
     @classmethod
     def new(cls) -> Mixer:
-        k = len(ORDERS) + 1
-        start = np.full(k, 1.0 / _GATES)
-        start[: len(ORDERS) - 2] *= 0.3
-        start[-1] = 0.0
-        sizes = (len(ORDERS) * 4, 64, 256)
+        # at first the longest context but one speaks, helped by the whole token
+        start = np.zeros(len(ORDERS) + 1, np.float32)
+        start[len(ORDERS) - 1] = 0.5
         # the table starts as the identity with a little weight
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - (_BUCKETS - 1) / 2)))
         refine = np.stack([np.tile(centre * 8, (64, 1)), np.full((64, _BUCKETS), 8.0)], axis=2)
-        return cls([np.tile(start, (n, 1)) for n in sizes], refine)
+        return cls([np.tile(start, (n, 1)) for n in (16 * 8, 64)], refine)
 
-    @staticmethod
-    def _gates(n: np.ndarray, place: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        seen = (n > 0).sum(axis=0) - 1
-        deep = np.clip(n[-1], 0, 7).astype(np.int64) // 2
-        level = np.floor(np.log2(node)).astype(np.int64)
-        return [np.maximum(seen, 0) * 4 + deep, place * 8 + level, node]
-
-    def mix(self, n0: np.ndarray, n1: np.ndarray, place: np.ndarray, node: np.ndarray):
+    def mix(self, n0: np.ndarray, n1: np.ndarray, gate: np.ndarray):
         """(inputs, gates, stretched mix) of events from their orders' counts."""
-        x = np.empty((len(n0) + 1, n0.shape[1]))
-        x[:-1] = np.log((n1 + 0.3) / (n0 + 0.3))
+        x = np.empty((len(n0) + 1, n0.shape[1]), np.float32)
+        # each order's estimate leans on the shorter context's, the more the less it has seen
+        p = np.full(n0.shape[1], 0.5, np.float32)
+        for k in range(len(n0)):
+            p = (n1[k] + np.float32(PRIOR) * p) / (n0[k] + n1[k] + np.float32(PRIOR))
+            x[k] = p
+        np.clip(x[:-1], 1e-6, 1 - 1e-6, out=x[:-1])
+        np.log(x[:-1] / (1 - x[:-1]), out=x[:-1])
         x[-1] = 0.3
-        gates = self._gates(n0 + n1, place, node)
-        z = np.zeros(n0.shape[1])
-        for w, g in zip(self.weights, gates):
-            z += np.einsum("ke,ek->e", x, w[g])
-        return x, gates, np.clip(z, -11, 11)
+        seen, whole = n0[-2] + n1[-2], n0[-1] + n1[-1]
+        level = np.minimum(np.log2(seen + 1), 15).astype(np.int64) * 8 + np.minimum(np.log2(whole + 1), 7).astype(np.int64)
+        gates = [level, gate]
+        z = np.zeros(n0.shape[1], np.float32)
+        for k in range(len(x)):
+            z += x[k] * (self.weights[0][:, k].astype(np.float32)[level] + self.weights[1][:, k].astype(np.float32)[gate])
+        return x, gates, np.clip(z, -13, 13)
 
     def _buckets(self, z: np.ndarray):
         at = np.clip(z + (_BUCKETS - 1) / 2, 0, _BUCKETS - 1.001)
@@ -133,7 +152,7 @@ class Mixer:
         low, part = self._buckets(z)
         ratio = self.refine[:, :, 0] / self.refine[:, :, 1]
         refined = ratio[gate, low] * (1 - part) + ratio[gate, low + 1] * part
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * refined
+        p = 0.7 / (1 + np.exp(-z.astype(np.float64))) + 0.3 * refined
         return np.clip(p, 1e-6, 1 - 1e-6)
 
     def learn(self, x, gates, z, bit, weight) -> None:
@@ -143,7 +162,7 @@ class Mixer:
         for w, g in zip(self.weights, gates):
             total = np.bincount(g, weight, len(w)) + 1e-9
             step = np.stack([np.bincount(g, err * row, len(w)) for row in x], axis=1) / total[:, None]
-            w += _RATE * step * np.minimum(1.0, total / 20)[:, None]
+            w += (_RATE * step * np.minimum(1.0, total / 20)[:, None]).astype(w.dtype)
         low, part = self._buckets(z)
         flat = gates[1] * _BUCKETS + low
         size = self.refine.shape[0] * _BUCKETS
@@ -152,26 +171,31 @@ class Mixer:
             self.refine[:, :, 1] += np.bincount(flat + side, share * weight, size)[:size].reshape(-1, _BUCKETS)
 
 
-def _gather(tables: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tables[0][slots].astype(np.float64), tables[1][slots].astype(np.float64)
+def _gather(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = table[slots]
+    return both[:, :, 0], both[:, :, 1]
 
 
-def train_mixer(tables, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, batch: int = 512) -> None:
+def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512) -> None:
     """Online over the tokens: one occurrence of a token is taken out of the counts it is
-    predicted from, and the step is weighted by the root of its count."""
+    predicted from, and the step is weighted by the root of its count.  The whole-token
+    table holds tokens of at least ``whole_from`` occurrences."""
     for at in range(0, len(tokens), batch):
-        owner, bit, slots, place, node = _events(tokens[at : at + batch])
-        n0, n1 = _gather(tables, slots)
-        n0 = np.maximum(n0 - (bit == 0), 0)
-        n1 = np.maximum(n1 - (bit == 1), 0)
-        x, gates, z = mixer.mix(n0, n1, place, node)
-        mixer.learn(x, gates, z, bit, counts[at + owner].astype(np.float64) ** 0.5)
-
-
-def token_costs(tables, mixer: Mixer, tokens: list[bytes]) -> np.ndarray:
-    """log10 probability of each token."""
-    owner, bit, slots, place, node = _events(tokens)
-    _, gates, z = mixer.mix(*_gather(tables, slots), place, node)
+        owner, bit, slots, gate = _events(tokens[at : at + batch])
+        n0, n1 = _gather(table, slots)
+        n = counts[at + owner]
+        one = np.ones((len(ORDERS), 1), np.float32) * (np.arange(len(ORDERS)) < len(ORDERS) - 1)[:, None] + np.zeros(len(owner), np.float32)
+        one[-1] = n >= whole_from
+        n0 = np.maximum(n0 - one * (bit == 0), 0)
+        n1 = np.maximum(n1 - one * (bit == 1), 0)
+        x, gates, z = mixer.mix(n0, n1, gate)
+        mixer.learn(x, gates, z, bit, n.astype(np.float64) ** 0.5)
+
+
+def token_costs(table: np.ndarray, mixer: Mixer, tokens: list[bytes]) -> np.ndarray:
+    """log10 probability of each token, its class given."""
+    owner, bit, slots, gate = _events(tokens)
+    _, gates, z = mixer.mix(*_gather(table, slots), gate)
     p = mixer.probability(z, gates[1])
     return np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(tokens))
 
@@ -180,27 +204,31 @@ def token_costs(tables, mixer: Mixer, tokens: list[bytes]) -> np.ndarray:
 
 
 def _count_tokens(batches):
-    schema = pa.schema([("token", pa.binary()), ("n", pa.int64()), ("n_train", pa.int64())])
+    """Classed tokens (class byte, then the token) and their counts in training texts."""
+    schema = pa.schema([("token", pa.binary()), ("n_train", pa.int64())])
 
-    def out(counts: Counter, train: Counter):
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([train.get(k, 0) for k in keys], pa.int64())], schema=schema
-        )
+    def out(every: set, train: Counter):
+        keys = list(every)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([train.get(k, 0) for k in keys], pa.int64())], schema=schema)
 
-    every, train = Counter(), Counter()
+    every, train = set(), Counter()
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             for held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words = words_of(text)
+                kind, words = words_of(text)
                 words.append(END)
-                every.update(words)
-                if not held:
-                    train.update(words)
-            if len(every) > HELD_TOKENS:
+                mark = bytes([kind])
+                marked = [mark + w for w in words]
+                if held:
+                    every.update(marked)
+                else:
+                    train.update(marked)
+            if len(every) + len(train) > HELD_TOKENS:
+                every.update(train)
                 yield out(every, train)
-                every, train = Counter(), Counter()
+                every, train = set(), Counter()
+    every.update(train)
     yield out(every, train)
 
 
@@ -212,42 +240,47 @@ def _pieces(batch: pa.RecordBatch, size: int):
 
 
 def _count_slots(batches):
-    schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary())])
-    n0, n1 = np.zeros(SLOTS), np.zeros(SLOTS)
+    schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+    table_, any_ = np.zeros((SLOTS, 2), np.float32), False
     for b in batches:
         for tokens, counts in _pieces(b, 8192):
-            at, a, c = count_bits(tokens, counts)
-            n0[at] += a
-            n1[at] += c
-    rows = []
-    for seg in range(-(-SLOTS // SEGMENT)):
-        a, c = n0[seg * SEGMENT : (seg + 1) * SEGMENT], n1[seg * SEGMENT : (seg + 1) * SEGMENT]
-        at = np.flatnonzero(a + c)
+            any_ = True
+            count_bits(tokens, counts, table_, range(len(ORDERS) - 1))
+    for seg in range(-(-SLOTS // SEGMENT) if any_ else 0):
+        part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
+        at = np.flatnonzero(part.sum(axis=1))
         if len(at):
-            rows.append((seg, at.astype("<u2").tobytes(), a[at].tobytes(), c[at].tobytes()))
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            cols = [[seg], [at.astype("<u2").tobytes()], [part[at].astype("<f4").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _sum_segment(pdf):
-    """All tasks' counts of one segment as dense float32 (at most one row a counting task)."""
-    import pandas as pd
+def _sum_segments(batches):
+    """Sums of the counts by segment; rows come sorted by segment, so one is held at a time."""
+    schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
+    total, current = np.zeros((SEGMENT, 2)), None
 
-    n0, n1 = np.zeros(SEGMENT), np.zeros(SEGMENT)
-    for s, a, c in zip(pdf["slots"], pdf["zeros"], pdf["ones"]):
-        at = np.frombuffer(s, "<u2")
-        n0[at] += np.frombuffer(a, np.float64)
-        n1[at] += np.frombuffer(c, np.float64)
-    return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "zeros": [n0.astype("<f4").tobytes()], "ones": [n1.astype("<f4").tobytes()]})
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], schema=schema)
+
+    for b in batches:
+        for segment, slots, counts in zip(*(c.to_pylist() for c in b.columns)):
+            if segment != current:
+                if current is not None:
+                    yield out()
+                current = segment
+                total[:] = 0
+            total[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, "<f4").reshape(-1, 2)
+    if current is not None:
+        yield out()
 
 
 @dataclass
 class LanguageModel:
-    vocabulary: DataFrame  # token, n_train, cost (log10), over the tokens of all documents
+    vocabulary: DataFrame  # classed token, n_train (of the token in any class), cost (log10)
     train_tokens: int
     train_distinct: int
-    zeros: np.ndarray
-    ones: np.ndarray
+    class_cost: list[float]  # log10 probability of a document's class
+    table: np.ndarray
     mixer: Mixer
 
     def base(self, n):
@@ -259,36 +292,45 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     """Learn from all whole texts whose ``held_col`` is false.
 
     Token counts, bit counts and the online pass cover every training token.  The driver
-    gets the tables, whose size is fixed, and one set of weights a task, averaged by the
-    tokens seen.
+    gets the table, whose size is fixed, the commonest tokens, and one set of weights a
+    task, averaged by the tokens seen.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    counted = docs.select(F.col(held_col).alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count_tokens, "token binary, n long, n_train long")
-    vocabulary = materialize(counted.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train")), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
-    train = vocabulary.where("n_train > 0").select("token", "n_train")
-    parts = train.mapInArrow(_count_slots, "segment int, slots binary, zeros binary, ones binary")
-    dense = parts.groupBy("segment").applyInPandas(_sum_segment, "segment int, zeros binary, ones binary")
-    zeros, ones = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    for r in dense.toLocalIterator():  # SLOTS numbers at any size of the corpus
+    counted = docs.select(F.col(held_col).alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count_tokens, "token binary, n_train long")
+    classed = materialize(counted.groupBy("token").agg(F.sum("n_train").alias("n")), "tokens")
+    train = classed.where("n > 0")
+    plain = materialize(train.groupBy(F.expr("substring(token, 2)").alias("word")).agg(F.sum("n").alias("n_train")), "words")
+    total = plain.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    ends = {r.token[0]: r.n for r in train.where(F.expr("substring(token, 2)") == F.lit(END)).collect()}  # one a class
+    docs_seen = sum(ends.values())
+    class_cost = [math.log10((ends.get(k, 0) + 1) / (docs_seen + CLASSES)) for k in range(CLASSES)]
+    parts = train.mapInArrow(_count_slots, "segment int, slots binary, counts binary")
+    dense = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_segments, "segment int, counts binary")
+    table_ = np.zeros((SLOTS, 2), np.float32)
+    for r in dense.toLocalIterator():  # SLOTS pairs at any size of the corpus
         span = slice(r.segment * SEGMENT, min(SLOTS, (r.segment + 1) * SEGMENT))
-        zeros[span] = np.frombuffer(r.zeros, "<f4")[: span.stop - span.start]
-        ones[span] = np.frombuffer(r.ones, "<f4")[: span.stop - span.start]
-    shared = spark.sparkContext.broadcast((zeros, ones))
+        table_[span] = np.frombuffer(r.counts, "<f4").reshape(-1, 2)[: span.stop - span.start]
+    common = _common(train, "n", WHOLE_TOKENS).select("token", "n").toArrow().to_batches()
+    whole_from = 1 << 62
+    for b in common:
+        for tokens, counts in _pieces(b, 8192):
+            count_bits(tokens, counts, table_, range(len(ORDERS) - 1, len(ORDERS)))
+            whole_from = min(whole_from, int(counts.min()))
+    shared = spark.sparkContext.broadcast(table_)
 
     def online(batches):
         mixer, seen = Mixer.new(), 0
         for b in batches:
             for tokens, counts in _pieces(b, 8192):
-                train_mixer(shared.value, tokens, counts, mixer)
+                train_mixer(shared.value, tokens, counts, mixer, whole_from)
                 seen += len(tokens)
         flat = np.concatenate([w.ravel() for w in mixer.weights] + [(mixer.refine - Mixer.new().refine).ravel()])
         schema = pa.schema([("seen", pa.int64()), ("state", pa.binary())])
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], schema=schema)
 
     mixer, seen = Mixer.new(), 0
-    summed = [np.zeros_like(w) for w in mixer.weights]
+    summed = [np.zeros(w.shape) for w in mixer.weights]
     for r in train.mapInArrow(online, "seen long, state binary").toLocalIterator():
         if not r.seen:
             continue
@@ -300,33 +342,34 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
         mixer.refine += flat[at:].reshape(mixer.refine.shape)
         seen += r.seen
     if seen:
-        mixer.weights = [s / seen for s in summed]
+        mixer.weights = [(s / seen).astype(np.float32) for s in summed]
     state = spark.sparkContext.broadcast(mixer)
 
     def cost(batches):
-        schema = pa.schema([("token", pa.binary()), ("n_train", pa.int64()), ("cost", pa.float64())])
+        schema = pa.schema([("token", pa.binary()), ("cost", pa.float64())])
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                costs = token_costs(shared.value, state.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(costs, pa.float64())], schema=schema)
+            for at in range(0, b.num_rows, 1024):
+                tokens = b.column(0).slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(token_costs(shared.value, state.value, tokens.to_pylist()), pa.float64())], schema=schema)
 
-    scored = vocabulary.select("token", "n_train").mapInArrow(cost, "token binary, n_train long, cost double")
-    scored = materialize(scored, "token-costs")
-    return LanguageModel(scored, int(total.n), int(total.v), zeros, ones, mixer)
+    scored = classed.select("token").mapInArrow(cost, "token binary, cost double")
+    word = F.expr("substring(token, 2)")
+    vocabulary = scored.join(plain, word == F.col("word"), "left").select("token", F.coalesce("n_train", F.lit(0)).alias("n_train"), "cost")
+    return LanguageModel(materialize(vocabulary, "vocabulary"), int(total.n), int(total.v), class_cost, table_, mixer)
 
 
-def _common(vocabulary: DataFrame, at_most: int) -> DataFrame:
+def _common(tokens: DataFrame, count_col: str, at_most: int) -> DataFrame:
     """The tokens from the smallest count on that at most ``at_most`` tokens reach."""
-    step = F.floor(F.log2(F.col("n_train")) * 16).cast("int")
-    seen = vocabulary.where("n_train > 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 16 rows a doubling
+    step = F.floor(F.log2(F.col(count_col)) * 16).cast("int")
+    some = tokens.where(F.col(count_col) > 0)
+    seen = some.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 16 rows a doubling
     total, least = 0, None
     for r in seen:
         total += r["count"]
         if total > at_most:
             break
         least = r.step
-    return vocabulary.where("n_train > 0").where(step >= least) if least is not None else vocabulary.limit(0)
+    return some.where(step >= least) if least is not None else some.limit(0)
 
 
 def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON_TOKENS) -> DataFrame:
@@ -338,7 +381,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     ship_package(spark)
-    found = _common(model.vocabulary, common).select("token", model.base(F.col("n_train")).alias("base"), "cost").toArrow()
+    found = _common(model.vocabulary, "n_train", common).select("token", model.base(F.col("n_train")).alias("base"), "cost").toArrow()
     near = spark.sparkContext.broadcast((found["token"].to_pylist(), found["base"].to_numpy(), found["cost"].to_numpy()))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [("key", T.LongType()), ("token", T.BinaryType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("n_bytes", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
@@ -346,6 +389,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    class_cost = model.class_cost
 
     def split(batches):
         from pyspark import TaskContext
@@ -365,10 +409,11 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = words_of(text)
+                    kind, words = words_of(text)
                     size = sum(map(len, words)) + len(words) + 1
                     words.append(END)
-                    counts = Counter(words)
+                    mark = bytes([kind])
+                    counts = Counter([mark + w for w in words])
                     at_, ns, known = [], [], 0
                     for w, n in counts.items():
                         k = number.get(w)
@@ -380,7 +425,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                             known += n
                     n_ = np.array(ns, np.float64)
                     # the row of the document itself matches no token: none holds a space
-                    rows.append((doc, key, b" %d" % key, 1, len(words), known, size, float(base[at_] @ n_) if ns else 0.0, float(cost[at_] @ n_) if ns else 0.0))
+                    rows.append((doc, key, b" %d" % key, 1, len(words), known, size, float(base[at_] @ n_) if ns else 0.0, class_cost[kind] + (float(cost[at_] @ n_) if ns else 0.0)))
                     key += 1
                 if len(rows) > 50_000:
                     yield batch()
