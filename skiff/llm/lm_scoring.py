@@ -45,7 +45,7 @@ CLASSES = 65
 PRIOR = 0.4
 
 _BUCKETS = 24
-_RATE = 0.02
+_RATE = 0.05
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +178,7 @@ def _gather(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512) -> None:
     """Online over the tokens: one occurrence of a token is taken out of the counts it is
-    predicted from, and the step is weighted by the root of its count.  The whole-token
+    predicted from, and the step is weighted by a power of its count.  The whole-token
     table holds tokens of at least ``whole_from`` occurrences."""
     for at in range(0, len(tokens), batch):
         owner, bit, slots, gate = _events(tokens[at : at + batch])
@@ -189,7 +189,7 @@ def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixe
         n0 = np.maximum(n0 - one * (bit == 0), 0)
         n1 = np.maximum(n1 - one * (bit == 1), 0)
         x, gates, z = mixer.mix(n0, n1, gate)
-        mixer.learn(x, gates, z, bit, n.astype(np.float64) ** 0.5)
+        mixer.learn(x, gates, z, bit, n.astype(np.float64) ** 0.8)
 
 
 def token_costs(table: np.ndarray, mixer: Mixer, tokens: list[bytes]) -> np.ndarray:

@@ -10,6 +10,7 @@ from skiff.llm.lm_scoring import op7_lm_scoring
 from skiff.llm.packing import op2_packing
 from skiff.llm.quality_classifier import op8_quality_classifier
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
+from skiff.llm.secret_scan import op5_secret_scan
 from skiff.llm.span_dedup import op6_span_dedup
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_packing": (op2_packing, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
+    "op5_secret_scan": (op5_secret_scan, None),
     "op6_span_dedup": (op6_span_dedup, None),
     "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
