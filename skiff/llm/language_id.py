@@ -34,6 +34,11 @@ def has_letters(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def has_letters_column(text_col: str):
+    """The same as a Spark condition (false for null)."""
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def subwords(text: str, bits: int = BITS) -> np.ndarray:
     """Slots of the 3- and 4-byte stretches of the lower-cased words, each word with one
     space at either side (a stretch has no space inside)."""

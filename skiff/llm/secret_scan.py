@@ -192,9 +192,10 @@ def redact_secrets(docs: DataFrame, model=None, id_col: str = "doc_id", text_col
     secrets = find_secrets(docs, model, id_col, text_col, path_col).where("is_secret")
     spans = secrets.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_spans"))
     spans = materialize(spans, "secrets")
-    left = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`")))
-    both = left.join(spans, (F.col("_text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    text = F.col(text_col)
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    text = F.col("_doc")[text_col]
+    left = left.withColumn("_text_key", F.xxhash64(text))
+    both = left.join(spans, (F.col("_text_key") == F.col("_key")) & F.col("_doc")[id_col].eqNullSafe(F.col("_id")), "left")
     # what stands before each secret, then what stands behind the last
     built = F.aggregate(
         "_spans",
@@ -206,7 +207,7 @@ def redact_secrets(docs: DataFrame, model=None, id_col: str = "doc_id", text_col
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
     new = F.when(F.col("_spans").isNull(), text).otherwise(built)
-    return both.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return both.select(*[new.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark, sf_dir):
