@@ -20,7 +20,8 @@ UNKNOWN = "und"
 BITS, WIDTH = 16, 16
 #: Bounds of the labelled sample that the fit sees: documents, and characters of them.
 MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 4000, 24_000_000
-EPOCHS, RATE = 4, 0.5
+#: Passes over the sample, more if they would be fewer steps than STEPS.
+EPOCHS, STEPS, RATE = 4, 8000, 0.5
 #: Share of rightly named calibration documents that rejection may cost, and the most the
 #: threshold may be.
 FALSE_REJECTIONS, MAX_THRESHOLD = 0.001, 0.5
@@ -91,6 +92,7 @@ def fit_language_model(rows: list[tuple[str, str]], bits: int = BITS, width: int
     emb = rnd.normal(0, 0.1, (1 << bits, width)).astype(np.float32)
     out = np.zeros((width, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
+    epochs = max(epochs, -(-STEPS // len(train)))
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for slots, y in train:
@@ -123,7 +125,11 @@ def fit_language_model(rows: list[tuple[str, str]], bits: int = BITS, width: int
     model.temperature = float(grid[int(np.argmin(loss))])
     p = probs(model.temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == ys])
-    model.threshold = min(MAX_THRESHOLD, float(right[int(len(right) * FALSE_REJECTIONS)])) if len(right) else 0.0
+    if len(right):
+        # too few documents to know so small a quantile leave the threshold nearer to chance
+        chance = 1 / len(langs)
+        known = min(1.0, len(right) * FALSE_REJECTIONS)
+        model.threshold = min(MAX_THRESHOLD, chance + (float(right[int(len(right) * FALSE_REJECTIONS)]) - chance) * known)
     return model
 
 
