@@ -3,9 +3,11 @@
     spark-submit --py-files skiff.zip -m skiff transport --source-root gs://b --bucket b \
         --paths ADVANCED/2016/Jan --output gs://out/run-1 --shards 10 --compression gzip
     python -m skiff history --runs-table <table> [--limit 20]
+    python -m skiff status --runs-table <table> --job-id <id>
+    python -m skiff logs --runs-table <table> --job-id <id>
     python -m skiff cancel --runs-table <table> --job-id <id>
 
-Prints one JSON document per call.
+Prints one JSON document per call; an unknown job id is an error and records nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import SparkSession
 
 
 def _spark() -> SparkSession:
-    return SparkSession.builder.appName("skiff").getOrCreate()
+    return SparkSession.builder.appName("skiff").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -35,16 +37,17 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--output", required=True)
     t.add_argument("--source-type", default="betfair")
     t.add_argument("--process-type", default="decompress_and_concatenate", choices=PROCESS_TYPES)
-    t.add_argument("--shards", type=int, default=10)
+    t.add_argument("--shards", type=int, default=0, help="0: sized from the bytes read")
     t.add_argument("--compression", default="none", choices=["none", "gzip", "snappy"])
     t.add_argument("--boundary", default="path", choices=["path", "prefix"])
     t.add_argument("--runs-table")
     h = sub.add_parser("history", help="recent runs")
     h.add_argument("--runs-table")
     h.add_argument("--limit", type=int, default=runs.RECENT_DEFAULT)
-    c = sub.add_parser("cancel", help="record a cancel")
-    c.add_argument("--runs-table")
-    c.add_argument("--job-id", required=True)
+    for name, text in (("status", "one run"), ("logs", "a run's last log lines"), ("cancel", "record a cancel")):
+        c = sub.add_parser(name, help=text)
+        c.add_argument("--runs-table")
+        c.add_argument("--job-id", required=True)
     a = ap.parse_args(argv)
 
     spark = _spark()
@@ -56,11 +59,20 @@ def main(argv: list[str] | None = None) -> int:
             compression=a.compression, boundary=a.boundary), table)
         out = {k: v for k, v in res.items() if k != "gate"}
     elif a.cmd == "history":
-        rows = runs.recent_runs(runs.fold_runs(spark.read.parquet(table)), a.limit).collect()
+        rows = runs.recent_runs(runs.fold_runs(runs.read_events(spark, table)), a.limit).collect()
         out = {"jobs": [r.asDict() for r in rows]}
     else:
-        runs.record_cancel(spark, table, a.job_id)
-        out = {"cancelled": True}
+        try:
+            if a.cmd == "cancel":
+                runs.record_cancel(spark, table, a.job_id)
+                out = {"cancelled": True}
+            else:
+                out = runs.get_run(spark, table, a.job_id)
+                if a.cmd == "logs":
+                    out = {"logs": runs.get_logs(runs.read_events(spark, table), a.job_id)}
+        except runs.UnknownRun as e:
+            print(json.dumps({"error": str(e)}))
+            return 1
     print(json.dumps(out, default=str))
     return 0
 

@@ -222,8 +222,14 @@ def process_label(process_type) -> Column:
 
 # SCL-17 ----------------------------------------------------------------------------------
 def iso_utc(ts) -> Column:
-    """ISO-8601 text with ``Z``; microseconds only when non-zero (Python ``isoformat``)."""
+    """ISO-8601 text with ``Z``; microseconds only when non-zero (Python ``isoformat``).
+
+    An instant is shown in UTC whatever the session's zone; a timestamp without zone is
+    taken to be UTC as it stands.
+    """
     ts = _c(ts)
+    instant = F.typeof(ts) == "timestamp"
+    ts = F.when(instant, F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone())).otherwise(ts.cast("timestamp"))
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     frac = F.date_format(ts, "SSSSSS")
     return F.when(ts.isNull(), F.lit(None)).otherwise(

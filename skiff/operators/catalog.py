@@ -10,12 +10,11 @@ grouping here yields every folder at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-BUCKET_SIZE_CAP = 1000  # the reference's bucket-size scan: first 1,000 objects by name
 
 
 def _under(objects: DataFrame, prefix: str) -> DataFrame:
@@ -169,30 +168,9 @@ def list_datasets(objects: DataFrame) -> DataFrame:
 
 
 # AGG-8 / SRT-2 ----------------------------------------------------------------------------
-def bucket_sizes(objects: DataFrame, cap: int | None = BUCKET_SIZE_CAP) -> DataFrame:
-    """Exact per-bucket totals, plus the reference's capped display (first ``cap`` keys).
-
-    The capped sum is a per-bucket top-k: ``row_number() <= cap`` is planned with a
-    partial window-group limit before the shuffle, so each task sends at most ``cap``
-    rows per bucket however large the bucket is.
-    """
-    exact = objects.groupBy("bucket").agg(
+def bucket_sizes(objects: DataFrame) -> DataFrame:
+    """Exact objects, bytes and display size per bucket."""
+    out = objects.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("objects"), F.sum("size_bytes").cast("long").alias("size_bytes")
     )
-    out = exact.withColumn("size", C.format_bytes("size_bytes"))
-    if cap is None:
-        return out
-    w = Window.partitionBy("bucket").orderBy("key")
-    first = (
-        objects.select("bucket", "key", "size_bytes")
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= cap)
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("_cn"), F.sum("size_bytes").cast("long").alias("_cb"))
-    )
-    shown = F.when(F.col("_cn") >= cap, F.concat(F.lit("~"), C.format_bytes("_cb"), F.lit("+"))).otherwise(
-        C.format_bytes("_cb")
-    )
-    return out.join(first, "bucket").select(
-        "bucket", "objects", "size_bytes", "size", F.col("_cb").alias("scanned_bytes"), shown.alias("display_size")
-    )
+    return out.withColumn("size", C.format_bytes("size_bytes"))

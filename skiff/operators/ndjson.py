@@ -8,7 +8,7 @@ text after a value, so a line is valid only when
 
 which together accept exactly one JSON value with optional surrounding whitespace.
 Duplicate object keys are valid to Python's ``json`` module; VARIANT rejects them unless
-``spark.sql.variant.allowDuplicateKeys`` is on, which ``validate`` turns on.
+``spark.sql.variant.allowDuplicateKeys`` is on; ``validate`` refuses to run without it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def is_valid_json(line) -> Column:
     v = F.col(line) if isinstance(line, str) else line
     as_array = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
@@ -25,16 +28,27 @@ def is_valid_json(line) -> Column:
     return F.coalesce(one & as_member.isNotNull(), F.lit(False))
 
 
+def require_duplicate_keys(spark) -> None:
+    """A session setting of the caller, which a library call does not change."""
+    if spark.conf.get(_DUPLICATE_KEYS, "false") != "true":
+        raise RuntimeError(f"set {_DUPLICATE_KEYS}=true: JSON with a repeated key is valid")
+
+
 def validate(lines: DataFrame, col: str = "value") -> DataFrame:
     """Adds a boolean ``valid`` column (see module doc)."""
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    require_duplicate_keys(lines.sparkSession)
     return lines.withColumn("valid", is_valid_json(col))
 
 
-def split_valid(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """SNK-5: (valid lines, rejected lines) from one validation column."""
-    v = validate(lines, col)
-    return v.where("valid").drop("valid"), v.where(~F.col("valid")).drop("valid")
+def write_split(lines: DataFrame, out: str, col: str = "value") -> None:
+    """SNK-5: valid and rejected lines in ``valid=true`` and ``valid=false``, by one pass."""
+    v = validate(lines, col).select(F.col(col).alias("value"), "valid")
+    v.write.option("lineSep", "\n").partitionBy("valid").text(out)
+
+
+def read_split(spark, out: str) -> DataFrame:
+    """``value``, ``valid`` of a ``write_split`` output."""
+    return spark.read.schema("value string, valid boolean").option("lineSep", "\n").text(out).select("value", "valid")
 
 
 def parse_lines(lines: DataFrame, schema: str, col: str = "value") -> DataFrame:
@@ -42,18 +56,11 @@ def parse_lines(lines: DataFrame, schema: str, col: str = "value") -> DataFrame:
     return lines.select("*", F.from_json(F.col(col), schema).alias("_j")).select("*", "_j.*").drop("_j")
 
 
-def read_json_documents(spark, paths) -> DataFrame:
-    """SRC-6: whole-file JSON documents (``.json`` or ``.json.gz``) as one row per file."""
-    return spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
-    )
-
-
 def explode_json_array(docs: DataFrame, col: str = "value") -> DataFrame:
     """SRC-7: each element of a whole-file JSON array becomes one compact JSON line.
 
-    A document that is not a JSON array yields no lines and is counted as failed in
-    ``doc_error``; a failed parse never fails the job.
+    A document that is not a JSON array gives one row with a null ``value``; a failed parse
+    never fails the job.
     """
     parsed = docs.select("*", F.try_parse_json(F.col(col)).alias("_doc")).drop(col)
     items = parsed.select(

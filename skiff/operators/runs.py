@@ -1,9 +1,8 @@
 """Run history as an append-only event table (RUN-1..8, SRT-1, SRT-4, AGG-11, AGG-12).
 
-The reference keeps one mutable document per job.  Here every change is an appended
-event row and the current state of a job is a fold over its events, computed with one
-``groupBy(job_id)`` of partially-aggregatable functions (``max_by``/``min_by`` with
-``FILTER``), so a job with a third of all events costs one partial row per task.
+Every change is an appended event row and the current state of a job is a fold over its
+events by partially-aggregatable functions (``max_by``/``min_by`` with ``FILTER``), so a job
+with a third of all events costs one partial row per task.
 
 Event rows (``EVENT_SCHEMA``):
 
@@ -13,10 +12,11 @@ Event rows (``EVENT_SCHEMA``):
 * ``kind = 'cancel'``   user cancel (RUN-6)
 * ``kind = 'log'``      a log line (RUN-4, appended only if not already present)
 
-Status rule (RUN-5/RUN-6): refreshes apply only while the job is ``submitted`` or
-``running`` and ``unknown`` never overwrites; a cancel always wins.  So the folded
-status is ``cancelled`` if any cancel exists, else the earliest terminal refresh, else
-the latest non-unknown refresh (or create/update status), else ``submitted``.
+Status rule (RUN-3/5/6), in event order: a create, an update with a status or a cancel sets
+the status, the last write wins.  A refresh counts only while the job is ``submitted`` or
+``running``, and one without a state (the status call failed) never counts.  So the folded
+status is that of the last event that set one, if it is terminal; else the first terminal
+refresh after that event, else the last refresh after it, else that event's.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import files
 from ..functions import columns as C
 
 EVENT_SCHEMA = (
@@ -79,30 +80,56 @@ def compact_events(spark: SparkSession, table_path: str, out_path: str, files: i
     return out_path
 
 
-def _next_seq(spark: SparkSession, table_path: str, job_id: str) -> int:
-    try:
-        row = spark.read.parquet(table_path).where(F.col("job_id") == job_id).agg(F.max("seq")).first()
-    except Exception:  # noqa: BLE001 -- no table yet
-        return 0
+def _next_seq(events: DataFrame, job_id: str) -> int:
+    """The job's next event number; unknown jobs are an error."""
+    row = events.where(F.col("job_id") == job_id).agg(F.max("seq"), F.count(F.lit(1))).first()
+    if not row[1]:
+        raise UnknownRun(f"no run {job_id!r}")
     return 0 if row[0] is None else int(row[0]) + 1
 
 
+class UnknownRun(LookupError):
+    pass
+
+
+def read_events(spark: SparkSession, table_path: str) -> DataFrame:
+    """The run-event table; empty if nothing was recorded yet."""
+    if not files.exists(spark, table_path):
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    return spark.read.schema(EVENT_SCHEMA).parquet(table_path)
+
+
+def _record(spark: SparkSession, table_path: str, job_id: str, kind: str, **fields) -> None:
+    seq = _next_seq(read_events(spark, table_path), job_id)
+    append_events(simple_event(spark, job_id, seq, kind, **fields), table_path)
+
+
 def record_refresh(spark: SparkSession, table_path: str, job_id: str, service_state: str | None) -> None:
-    """RUN-5: a polled service state.  ``None`` means the status call failed (the
-    reference's ``unknown``): recorded with no state, so it never changes the status."""
-    ev = simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "refresh",
-                      state=service_state, status=None if service_state is not None else "unknown")
-    append_events(ev, table_path)
+    """RUN-5: a polled service state.  ``None`` means the status call failed: recorded with
+    no state, so it never changes the status."""
+    _record(spark, table_path, job_id, "refresh", state=service_state)
+
+
+def record_update(spark: SparkSession, table_path: str, job_id: str, **fields) -> None:
+    """RUN-3: a partial update (status, log, stages, config)."""
+    _record(spark, table_path, job_id, "update", **fields)
+
+
+def record_stage(spark: SparkSession, table_path: str, job_id: str, stage: str, state: str) -> None:
+    """RUN-8: one stage moves on (``running``, ``completed`` or ``failed``)."""
+    if stage not in STAGES:
+        raise ValueError(f"stage must be one of {STAGES}")
+    record_update(spark, table_path, job_id, stages={stage: state})
 
 
 def record_cancel(spark: SparkSession, table_path: str, job_id: str) -> None:
-    """RUN-6: cancel, recorded even when the service call failed."""
-    append_events(simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "cancel"), table_path)
+    """RUN-6: cancel of a known run, recorded even when the service call failed."""
+    _record(spark, table_path, job_id, "cancel")
 
 
 def record_log(spark: SparkSession, table_path: str, job_id: str, line: str) -> None:
     """RUN-4: append a log line (duplicates are folded away by ``log_tail``)."""
-    append_events(simple_event(spark, job_id, _next_seq(spark, table_path, job_id), "log", log=line), table_path)
+    _record(spark, table_path, job_id, "log", log=line)
 
 
 def get_logs(events: DataFrame, job_id: str, n: int = LOG_TAIL) -> list[str]:
@@ -112,23 +139,24 @@ def get_logs(events: DataFrame, job_id: str, n: int = LOG_TAIL) -> list[str]:
 
 
 # status fold ------------------------------------------------------------------------------
-def _status_fold(kind, status, mapped) -> F.Column:
-    """The status rule of the module doc as aggregate expressions."""
-    refresh = kind == "refresh"
-    terminal = refresh & mapped.isin(*C.TERMINAL_STATUSES)
-    first_terminal = F.min_by(F.when(terminal, mapped), F.when(terminal, _order()))
-    latest_refresh = F.max_by(
-        F.when(refresh & (mapped != "unknown"), mapped), F.when(refresh & (mapped != "unknown"), _order())
+def _statuses(events: DataFrame) -> DataFrame:
+    """job_id, status by the rule of the module doc: two grouped passes, joined by job."""
+    at = _order()
+    sets = (F.col("kind") == "cancel") | (F.col("kind").isin("create", "update") & F.col("status").isNotNull())
+    value = F.when(F.col("kind") == "cancel", F.lit("cancelled")).otherwise(F.col("status"))
+    last = events.groupBy("job_id").agg(
+        F.max_by(F.when(sets, value), F.when(sets, at)).alias("_set"), F.max(F.when(sets, at)).alias("_at")
     )
-    latest_set = F.max_by(
-        F.when(kind.isin("create", "update") & status.isNotNull(), status),
-        F.when(kind.isin("create", "update") & status.isNotNull(), _order()),
-    )
-    return (
-        F.when(F.count_if(kind == "cancel") > 0, F.lit("cancelled"))
-        .when(F.count_if(terminal) > 0, first_terminal)
-        .otherwise(F.coalesce(latest_refresh, latest_set, F.lit("submitted")))
+    mapped = C.map_state("state")
+    polls = events.where((F.col("kind") == "refresh") & F.col("state").isNotNull()).select("job_id", at.alias("_o"), mapped.alias("_m"))
+    polls = polls.where(F.col("_m") != "unknown").join(last, "job_id").where(F.col("_at").isNull() | (F.col("_o") > F.col("_at")))
+    ends = F.col("_m").isin(*C.TERMINAL_STATUSES)
+    seen = polls.groupBy("job_id").agg(
+        F.min_by(F.when(ends, F.col("_m")), F.when(ends, F.col("_o"))).alias("_end"), F.max_by("_m", "_o").alias("_now")
     )
+    open_ = F.coalesce("_set", F.lit("submitted")).isin("submitted", "running")
+    status = F.when(open_, F.coalesce("_end", "_now", "_set", F.lit("submitted"))).otherwise(F.col("_set"))
+    return last.join(seen, "job_id", "left").select("job_id", status.alias("status"))
 
 
 def _latest(col: str) -> F.Column:
@@ -148,32 +176,29 @@ def _merged_map(events: DataFrame, col: str) -> DataFrame:
     return per_key.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(col))
 
 
-def fold_runs(events: DataFrame, with_maps: bool = True) -> DataFrame:
-    """RUN-2/3/5/6/8: current state of every job, one row per job.
-
-    ``with_maps=False`` leaves out the per-key merged ``stages``/``config`` maps (their
-    second aggregation is joined back, which a streaming fold cannot do).
-    """
-    mapped = F.when(F.col("state").isNull(), F.lit(None)).otherwise(C.map_state("state"))
-    ev = events.withColumn("_mapped", mapped)
+def fold_runs(events: DataFrame) -> DataFrame:
+    """RUN-2/3/5/6/8: current state of every job, one row per job."""
     extra = [c for c in ("process_type", "selected_paths") if c in events.columns]
-    state = ev.groupBy("job_id").agg(
-        _status_fold(F.col("kind"), F.col("status"), F.col("_mapped")).alias("status"),
+    state = events.groupBy("job_id").agg(
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
         F.count(F.lit(1)).alias("n_events"),
         F.max_by("state", F.when(F.col("state").isNotNull(), _order())).alias("last_state"),
         *[_latest(c).alias(c) for c in extra],
     )
+    state = state.join(_statuses(events), "job_id")
     for col in ("stages", "config"):
-        if with_maps and col in events.columns:
+        if col in events.columns:
             state = state.join(_merged_map(events, col), "job_id", "left")
     return state
 
 
-def get_run(runs: DataFrame, job_id: str) -> DataFrame:
-    """RUN-2."""
-    return runs.where(F.col("job_id") == job_id)
+def get_run(spark: SparkSession, table_path: str, job_id: str) -> dict:
+    """RUN-2: the state of one run; an unknown id is an error."""
+    row = fold_runs(read_events(spark, table_path).where(F.col("job_id") == job_id)).first()
+    if row is None:
+        raise UnknownRun(f"no run {job_id!r}")
+    return row.asDict()
 
 
 # SRT-1 / SCL-14 / SCL-16 / SCL-17 ----------------------------------------------------------

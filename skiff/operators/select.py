@@ -11,10 +11,10 @@ join:
   the key itself, or a folder above it.  Each key is exploded into its ancestor paths
   (``depth + 1`` short rows, generated and consumed inside one stage) and semi-joined on
   ``(bucket, depth, ancestor) = (bucket, depth(q), q)``.
-* ``boundary="prefix"`` reproduces the reference exactly (``startswith``, so ``Jan/1``
-  also takes ``Jan/10``): ``q`` is split into folder + partial name, keys are exploded
-  into (depth, folder, next segment) triples, and the join is on ``(bucket, depth,
-  folder)`` with ``startswith(next segment, partial)`` as residual.
+* ``boundary="prefix"`` lists as storage does (``startswith``, so ``Jan/1`` also takes
+  ``Jan/10``): keys are exploded into their leading parts of the lengths that occur among
+  the prefixes (a handful; an object name has at most 1,024 bytes) and joined on
+  ``(bucket, leading part)``.
 
 The depth is in the key because with empty segments (``/a``) one folder text occurs at
 two depths.
@@ -22,19 +22,20 @@ two depths.
 Before matching, prefixes covered by another selected prefix are dropped (same equality
 trick on the small pattern side), so each object meets at most one prefix and the
 result needs no distinct: no shuffle of the listing at all when the pattern side is
-broadcast.  The pattern side is broadcast only after counting it; above the limit the
-join is left to the planner (sort-merge, AQE skew splitting).
+broadcast.  The pattern side is broadcast only behind a check of its bytes; above the bound
+the join is left to the planner (sort-merge, AQE skew splitting).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 
-BROADCAST_PATTERNS_MAX = 200_000
-VALIDATION_CAP = 10_000  # the reference's per-pattern listing cap, used for ``truncated``
+#: Text of the pattern side that may be broadcast.
+BROADCAST_BYTES_MAX = 16 << 20
 
 
 # SRC-3 -----------------------------------------------------------------------------------
@@ -91,26 +92,20 @@ def _ancestors(key: Column) -> Column:
     )
 
 
-def _folder_pairs(key: Column) -> Column:
-    """(depth j, folder above segment j, segment j) for every segment of the key."""
-    segs = F.split(key, "/", -1)
-    return F.transform(
-        segs, lambda s, j: F.struct(j.alias("depth"), _head(key, j).alias("dir"), s.alias("seg"))
-    )
-
-
 def _path_depth(prefix: Column) -> Column:
     """Number of segments of a prefix ('' has none)."""
     return F.when(prefix == "", F.lit(0)).otherwise(F.size(F.split(prefix, "/", -1)))
 
 
-def _split_prefix(prefix: Column) -> tuple[Column, Column, Column]:
-    """(depth of the partial segment, folder above it, the partial segment)."""
-    has_slash = prefix.contains("/")
-    qdir = F.when(has_slash, C.parent_path(prefix)).otherwise(F.lit(""))
-    qpart = F.when(has_slash, C.last_segment(prefix)).otherwise(prefix)
-    depth = F.size(F.split(prefix, "/", -1)) - 1
-    return depth, qdir, qpart
+def _leading_parts(key: Column, lengths: list[int]) -> Column:
+    """The first ``n`` characters of the key for every ``n`` of ``lengths`` that it reaches."""
+    fit = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(key))
+    return F.transform(fit, lambda n: F.substring(key, F.lit(1), n))
+
+
+def _lengths(prefixes: DataFrame) -> list[int]:
+    """Distinct prefix lengths (no more than an object name is long)."""
+    return sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())
 
 
 def reduce_prefixes(prefixes: DataFrame, boundary: str = "path") -> DataFrame:
@@ -139,15 +134,13 @@ def reduce_prefixes(prefixes: DataFrame, boundary: str = "path") -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast only behind a row-count check of the (selection-sized) side; above the
-    limit the planner picks the join (sort-merge with AQE skew splitting).
-
-    The side is cached so the count and the join share one computation (measured: about
-    a third faster on the selection queries).  It is selection-sized, and Spark evicts
-    cached blocks least-recently-used under memory pressure.
-    """
-    df = df.cache()
-    return F.broadcast(df) if df.count() <= limit else df
+    """Broadcast only behind a check of the side's bytes; above the limit the planner picks
+    the join (sort-merge with AQE skew splitting).  The side is written once, as a table in
+    the shared folder, so the check and the join share one computation."""
+    df = materialize(df, "side")
+    texts = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
+    size = df.agg(F.coalesce(F.sum(sum(texts, F.lit(16))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 # JON-1 + AGG-1 + AGG-2 -------------------------------------------------------------------
@@ -155,7 +148,7 @@ def match_prefixes(
     objects: DataFrame,
     prefixes: DataFrame,
     boundary: str = "path",
-    broadcast_limit: int = BROADCAST_PATTERNS_MAX,
+    broadcast_limit: int = BROADCAST_BYTES_MAX,
     reduced: bool = False,
 ) -> DataFrame:
     """Objects (all columns) under any of ``prefixes(bucket, prefix)``; each object once."""
@@ -169,22 +162,12 @@ def match_prefixes(
         exploded = exploded.select("*", F.col("_a.depth").alias("_depth"), F.col("_a.anc").alias("_anc")).drop("_a")
         hit = exploded.join(side, ["bucket", "_depth", "_anc"], "left_semi")
         return hit.drop("_depth", "_anc")
-    qdepth, qdir, qpart = _split_prefix(F.col("prefix"))
-    side = _maybe_broadcast(
-        red.select(F.col("bucket").alias("_b"), qdepth.alias("_qd"), qdir.alias("_dir"), qpart.alias("_part")),
-        broadcast_limit,
-    )
-    exploded = objects.select("*", F.explode(_folder_pairs(F.col("key"))).alias("_fp"))
-    exploded = exploded.select(
-        "*", F.col("_fp.depth").alias("_j"), F.col("_fp.dir").alias("_d"), F.col("_fp.seg").alias("_s")
-    ).drop("_fp")
-    cond = (
-        (exploded["bucket"] == side["_b"])
-        & (exploded["_j"] == side["_qd"])
-        & (exploded["_d"] == side["_dir"])
-        & exploded["_s"].startswith(side["_part"])
-    )
-    return exploded.join(side, cond, "left_semi").drop("_j", "_d", "_s")
+    side = _maybe_broadcast(red.select("bucket", "prefix"), broadcast_limit)
+    lengths = _lengths(side)
+    if not lengths:
+        return objects.limit(0)
+    exploded = objects.select("*", F.explode(_leading_parts(F.col("key"), lengths)).alias("_part"))
+    return exploded.join(side.withColumnRenamed("prefix", "_part"), ["bucket", "_part"], "left_semi").select(*objects.columns)
 
 
 def select_objects(
@@ -192,9 +175,9 @@ def select_objects(
     patterns: DataFrame,
     boundary: str = "path",
     exts: tuple[str, ...] = (C.DEFAULT_EXTENSION,),
-    broadcast_limit: int = BROADCAST_PATTERNS_MAX,
+    broadcast_limit: int = BROADCAST_BYTES_MAX,
 ) -> DataFrame:
-    """The de-duplicated file set of a pattern set (the reference's list + distinct)."""
+    """The de-duplicated file set of a pattern set (list + distinct)."""
     files = objects.where(C.has_any_suffix("key", exts))
     return match_prefixes(files, prefixes_of(patterns), boundary, broadcast_limit)
 
@@ -203,63 +186,49 @@ def select_objects(
 def validate_patterns(
     objects: DataFrame,
     patterns: DataFrame,
-    broadcast_limit: int = BROADCAST_PATTERNS_MAX,
-    cap: int = VALIDATION_CAP,
-    scan_cap: int | None = None,
+    broadcast_limit: int = BROADCAST_BYTES_MAX,
+    boundary: str = "prefix",
+    exts: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per distinct pattern: files under its listing prefix with its extension.
-
-    Exact by default; ``truncated`` flags counts at or above the reference's
-    10,000-object scan cap.  With ``scan_cap`` the reference's capped scan is reproduced
-    exactly: only the first ``scan_cap`` objects under the prefix (any suffix, key order)
-    are looked at -- a per-pattern top-k planned with a partial limit before the shuffle.
-    ``entries`` is how many times the pattern occurs in the list (totals are summed over
-    entries, as the reference does).
+    """Per distinct pattern: files under its listing prefix with its extension, exact.
+
+    Patterns are grouped by (bucket, prefix, extension) first, counted once per group by an
+    equality join and mapped back.  ``boundary="path"`` counts what the read of a job with
+    that boundary takes.  ``exts``: a source's own extensions, longest match first; without
+    them a pattern's extension is read from the pattern.  ``truncated`` is always false: no
+    count stops early.  ``entries`` is how many times the pattern occurs in the list (totals
+    are summed over entries).
     """
     pp = parse_patterns(patterns)
+    ext = F.col("ext")
+    for e in sorted(exts, key=len):  # the longest suffix is tested last and wins
+        ext = F.when(F.col("pattern").endswith(e), F.lit(e)).otherwise(ext)
     per = pp.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("entries"),
         F.first("scheme_ok").alias("scheme_ok"),
         F.first("p_bucket").alias("p_bucket"),
         F.first("prefix").alias("prefix"),
-        F.first("ext").alias("ext"),
+        F.first(ext).alias("ext"),
     )
-    qdepth, qdir, qpart = _split_prefix(F.col("prefix"))
-    side = _maybe_broadcast(
-        per.where("scheme_ok").select(
-            F.col("pattern").alias("_pat"),
-            F.col("p_bucket").alias("_b"),
-            qdepth.alias("_qd"),
-            qdir.alias("_dir"),
-            qpart.alias("_part"),
-            F.col("ext").alias("_ext"),
-        ),
-        broadcast_limit,
-    )
-    exploded = objects.select("bucket", "key", F.explode(_folder_pairs(F.col("key"))).alias("_fp"))
-    cond = (
-        (exploded["bucket"] == side["_b"])
-        & (F.col("_fp.depth") == side["_qd"])
-        & (F.col("_fp.dir") == side["_dir"])
-        & F.col("_fp.seg").startswith(side["_part"])
-    )
-    if scan_cap is None:
-        hits = exploded.join(side, cond & exploded["key"].endswith(side["_ext"]), "inner")
-        counts = hits.groupBy("_pat").agg(F.count(F.lit(1)).alias("_n"))
+    groups = per.where("scheme_ok").select(F.col("p_bucket").alias("bucket"), "prefix", "ext").distinct()
+    side = _maybe_broadcast(groups.withColumn("depth", _path_depth(F.col("prefix"))), broadcast_limit)
+    if boundary == "path":
+        rows = objects.select("bucket", "key", F.explode(_ancestors(F.col("key"))).alias("_a"))
+        rows = rows.select("bucket", "key", F.col("_a.depth").alias("depth"), F.col("_a.anc").alias("prefix"))
+        hits = rows.join(side, ["bucket", "depth", "prefix"])
     else:
-        listed = exploded.join(side, cond, "inner").select("_pat", "key", F.col("key").endswith(F.col("_ext")).alias("_m"))
-        w = Window.partitionBy("_pat").orderBy("key")
-        first = listed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= scan_cap)
-        counts = first.groupBy("_pat").agg(F.count_if("_m").alias("_n"))
-        cap = scan_cap
-    out = per.join(counts, per["pattern"] == counts["_pat"], "left")
+        lengths = _lengths(side) or [0]
+        rows = objects.select("bucket", "key", F.explode(_leading_parts(F.col("key"), lengths)).alias("prefix"))
+        hits = rows.join(side, ["bucket", "prefix"])
+    counts = hits.where(F.col("key").endswith(F.col("ext"))).groupBy("bucket", "prefix", "ext").agg(F.count(F.lit(1)).alias("_n"))
+    out = per.join(counts.withColumnRenamed("bucket", "p_bucket"), ["p_bucket", "prefix", "ext"], "left")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
     return out.select(
         "pattern",
         F.col("entries").cast("long").alias("entries"),
         F.when(F.col("scheme_ok"), n).otherwise(F.lit(0).cast("long")).alias("file_count"),
         (F.col("scheme_ok") & (n > 0)).alias("valid"),
-        (F.col("scheme_ok") & (n >= cap)).alias("truncated"),
+        F.lit(False).alias("truncated"),
         F.when(~F.col("scheme_ok"), F.lit("Pattern must start with gs://")).alias("error"),
     )
 
@@ -317,5 +286,5 @@ def gate(summary: DataFrame) -> dict:
     """Raise unless every pattern matched something and the total is positive."""
     row = summary.first().asDict()
     if not row["submit_ok"]:
-        raise ValidationError(f"Pattern validation failed: {row['total_files']} files found")
+        raise ValidationError(f"the selection does not validate ({row['total_files']} files, {row['n_patterns']} patterns)")
     return row

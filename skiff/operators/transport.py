@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import files
 from ..functions import columns as C
 
 COMPRESSIONS = {"none": "none", "gzip": "gzip", "snappy": "snappy"}
-DEFAULT_SHARDS = 10
+DEFAULT_SHARDS = 0  # sized from the bytes
 SHARD_NAME = "output-{i:05d}-of-{n:05d}.ndjson"
-# lines per output file in decompress_only: a huge input becomes several files in its folder
-LINES_PER_FILE = 1_000_000
 
 
 # SCL-1 ------------------------------------------------------------------------------------
@@ -26,23 +25,24 @@ def normalize_lines(df: DataFrame, text_col: str = "value", keep: list[str] | No
     after stripping; the kept lines are not stripped themselves.
     """
     keep = keep or []
-    exploded = df.select(*keep, F.posexplode(C.split_lines(text_col)).alias("line_no", "value"))
-    return exploded.where(~C.is_blank("value"))
+    kept = F.filter(C.split_lines(text_col), lambda x: ~C.is_blank(x))
+    return df.select(*keep, F.posexplode(kept).alias("line_no", "value"))
 
 
 # SNK-1 / SNK-2 / DST-2 --------------------------------------------------------------------
 def write_shards(
     lines: DataFrame,
     out: str,
-    num_shards: int = DEFAULT_SHARDS,
+    num_shards: int,
     compression: str = "none",
     rename: bool = True,
 ) -> list[str]:
     """Write ``value`` as newline-terminated text into at most ``num_shards`` files.
 
     With ``rename`` the files get the ``output-SSSSS-of-NNNNN.ndjson`` names and shards
-    Spark left out (empty partitions) are created empty, so there are exactly
-    ``num_shards``; returns the final file paths.
+    Spark left out (empty partitions) are created empty, so there are exactly ``num_shards``;
+    returns the final file names.  That is a file-system move a shard: for many shards on an
+    object store leave it out, and the committed part files stay as they are.
     """
     codec = COMPRESSIONS[compression]
     (
@@ -53,7 +53,7 @@ def write_shards(
         .option("lineSep", "\n")
         .text(out)
     )
-    return rename_shards(out, compression, num_shards) if rename else []
+    return rename_shards(lines.sparkSession, out, compression, num_shards) if rename else []
 
 
 _SUFFIX = {"none": "", "gzip": ".gz", "snappy": ".snappy"}
@@ -68,88 +68,101 @@ def _empty_shard(compression: str) -> bytes:
     return b""
 
 
-def place_shards(src: str, dst: str, compression: str = "none", num_shards: int = 0) -> list[str]:
-    """Name the committed part files ``output-SSSSS-of-NNNNN.ndjson`` in ``dst``.
-
-    Driver-side, one rename per shard.  Spark writes no file for an empty partition;
-    the missing shards up to ``num_shards`` are created empty, so there are exactly
-    ``max(num_shards, files written)`` shards, as a fixed-shard text sink promises.
-    """
-    import pyarrow.fs as pafs
-
-    fs, s = pafs.FileSystem.from_uri(src if "://" in src else "file://" + src)
-    _, d = pafs.FileSystem.from_uri(dst if "://" in dst else "file://" + dst)
-    parts = []
-    if fs.get_file_info(s).type != pafs.FileType.NotFound:
-        parts = sorted(
-            i.path for i in fs.get_file_info(pafs.FileSelector(s))
-            if i.type == pafs.FileType.File and i.base_name.startswith("part-")
-        )
-    fs.create_dir(d, recursive=True)
+def rename_shards(spark, out: str, compression: str = "none", num_shards: int = 0) -> list[str]:
+    """Name the committed part files of a folder ``output-SSSSS-of-NNNNN.ndjson``; shards
+    missing up to ``num_shards`` are created empty."""
+    parts = [n for n in files.file_names(spark, out) if n.startswith("part-")]
     n = max(num_shards, len(parts))
     done = []
     for i in range(n):
-        target = f"{d}/{SHARD_NAME.format(i=i, n=n)}{_SUFFIX[compression]}"
+        target = f"{out}/{SHARD_NAME.format(i=i, n=n)}{_SUFFIX[compression]}"
         if i < len(parts):
-            fs.move(parts[i], target)
+            files.move(spark, f"{out}/{parts[i]}", target)
         else:
-            with fs.open_output_stream(target, compression=None) as f:
-                f.write(_empty_shard(compression))
+            files.write(spark, target, _empty_shard(compression))
         done.append(target)
     return done
 
 
-def rename_shards(out: str, compression: str = "none", num_shards: int = 0) -> list[str]:
-    """``place_shards`` in place (the part files and the shards share the folder)."""
-    return place_shards(out, out, compression, num_shards)
-
-
 def read_shards(spark, out: str) -> DataFrame:
     """Read written shards back as lines (codec from the file suffix)."""
     return spark.read.option("lineSep", "\n").text(out)
 
 
 # SNK-3 ------------------------------------------------------------------------------------
-def write_per_input(lines: DataFrame, out: str, rel_path_col: str = "rel_path", compression: str = "none") -> None:
-    """decompress_only: one output folder per input file (its relative path).
+INPUT_SCHEMA = "path string, output string, bytes bigint, lines bigint, error string"
 
-    Lines of one input stay together; an input above ``LINES_PER_FILE`` lines becomes
-    several files in its folder, so one huge input is not one task.
+
+def _write_inputs(batches, root: str, out: str, compression: str):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    from pyspark import TaskContext
+
+    from ..sources.bz2_reader import _scan
+
+    target_fs, base = pafs.FileSystem.from_uri(out)
+    attempt = TaskContext.get().taskAttemptId()
+    schema = pa.schema([("path", pa.string()), ("output", pa.string()), ("bytes", pa.int64()), ("lines", pa.int64()), ("error", pa.string())])
+    cache: dict = {}
+
+    def copy(path: str, name: str, counter: list, last: int | None) -> None:
+        target_fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with target_fs.open_output_stream(name, compression="gzip" if compression == "gzip" else None) as f:
+            for _stream, _at, values in _scan(path, cache, counter, last):
+                f.write("".join(f"{v}\n" for v in values.to_pylist()).encode())
+
+    for b in batches:
+        for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            key = path[len(root) + 1 :]
+            name = f"{base}/{key.removesuffix('.bz2')}{_SUFFIX[compression]}"
+            draft = f"{name}.{attempt}.inprogress"
+            counter, error = [0, False, 0, None], None
+            try:
+                copy(path, draft, counter, None)
+                if counter[3] is not None:  # part of it was no bz2 after all: write it anew without
+                    counter = [0, False, 0, counter[3]]
+                    copy(path, draft, counter, counter[3])
+                target_fs.move(draft, name)
+            except Exception as e:  # noqa: BLE001 -- any failure isolates the file
+                error = f"{type(e).__name__}: {e}"
+                if target_fs.get_file_info(draft).type == pafs.FileType.File:
+                    target_fs.delete_file(draft)
+                if counter[1] and size is not None:
+                    counter[0] = int(size)
+            row = (path, None if error else name[len(base) + 1 :], counter[0], 0 if error else counter[2], error)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+
+def write_inputs(objects: DataFrame, root: str, out: str, compression: str = "none", tasks: int = 1) -> DataFrame:
+    """decompress_only: one output per input under ``out``, folders kept, lines in order.
+
+    Written in the read stage: a task streams each of its files to a draft beside the
+    target and moves it there when the input proved whole; a failed input leaves nothing.
+    Returns the manifest (``INPUT_SCHEMA``), which runs the copy when it is written.
     """
-    chunk = F.floor(F.col("line_no") / LINES_PER_FILE)
-    (
-        lines.select(rel_path_col, "value", chunk.alias("_chunk"))
-        .repartition(rel_path_col, "_chunk")
-        .drop("_chunk")
-        .write.mode("errorifexists")
-        .option("compression", COMPRESSIONS[compression])
-        .option("lineSep", "\n")
-        .partitionBy(rel_path_col)
-        .text(out)
-    )
+    if compression == "snappy":
+        raise ValueError("decompress_only writes plain or gzip files")
+    return objects.select("path", "size_bytes").repartition(tasks).mapInArrow(lambda it: _write_inputs(it, root, out, compression), INPUT_SCHEMA)
 
 
-def read_per_input(spark, out: str, rel_path_col: str = "rel_path") -> DataFrame:
-    """Read a decompress_only output back with its plain relative path per line."""
-    return (
-        spark.read.schema(f"value string, {rel_path_col} string")
-        .option("lineSep", "\n")
-        .text(out)
-        .select(rel_path_col, "value")
-    )
+def read_inputs(spark, out: str) -> DataFrame:
+    """``rel_path``, ``value``: whole text of every output of ``write_inputs``."""
+    t = spark.read.option("recursiveFileLookup", "true").text(out, wholetext=True)
+    base = "/" + files.qualified(spark, out).split("://", 1)[1].strip("/") + "/"
+    full = F.url_decode(F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^[^:]*:/*", "/"))
+    rel = F.expr(f"substring(_p, {len(base) + 1})")
+    return t.select(full.alias("_p"), "value").select(rel.alias("rel_path"), "value")
 
 
 # SNK-6 ------------------------------------------------------------------------------------
-def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None, files_per_partition: int = 4) -> None:
+def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None) -> None:
     """Table sink: parquet, optionally partitioned (partition pruning on read-back).
 
-    Rows are spread over ``(partition values, salt)`` with a deterministic salt, so a
-    partition value holding a third of all rows is written by several tasks.
+    Rows of one partition value go together, and adaptive execution splits what is larger
+    than its advisory size, so the writers of a value follow its bytes.
     """
     if partition_by:
-        hashable = [c for c, t in df.dtypes if "variant" not in t]
-        salt = F.pmod(F.xxhash64(*hashable), F.lit(files_per_partition))
-        df = df.repartition(*partition_by, salt)
+        df = df.hint("rebalance", *partition_by)
         df.write.mode("errorifexists").partitionBy(*partition_by).parquet(out)
     else:
         df.write.mode("errorifexists").parquet(out)
@@ -159,11 +172,11 @@ def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None,
 def run_metrics_row(counters: dict, seconds: float, output_files: int) -> dict:
     """Run metrics from the read counters and wall time."""
     lines = counters.get("lines_yielded", 0)
-    files = counters.get("files_processed", 0) + counters.get("files_failed", 0)
+    n_files = counters.get("files_processed", 0) + counters.get("files_failed", 0)
     return {
         **counters,
         "elapsed_s": seconds,
         "records_per_s": (lines / seconds) if seconds else None,
-        "progress": 1.0 if files else 0.0,
+        "progress": (counters.get("files_processed", 0) / n_files) if n_files else 0.0,
         "output_files": output_files,
     }

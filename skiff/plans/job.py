@@ -1,12 +1,11 @@
 """The transport job end to end: select -> list -> gate -> read -> write -> record.
 
-One Spark action reads every selected file once and writes both outputs of the read:
-the lines (shards, per-input folders, valid/rejected split or a table, by process type)
-and a per-file manifest, separated by a partition column.  Counters (AGG-10) are read
-back from the committed manifest, so they stay exact when tasks or stages are retried.
-The listing under the selected prefixes is written once as a table in the shared folder
-(``spark.checkpoint.dir``), so the gate and the read see the same objects and the
-listing is not repeated.
+The selected prefixes alone are listed, once, into a table in the shared folder, so the gate
+and the read see the same objects.  Every selected file is read once; what was read and a
+per-file manifest are staged together, and the manifest decides which lines count (see
+``bz2_reader``).  ``decompress_only`` writes its outputs in the read stage instead.  The
+counters (AGG-10) come from the manifest the job writes beside its output, so they stay exact
+when tasks or stages are retried.
 """
 
 from __future__ import annotations
@@ -18,12 +17,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files as fs
 from ..functions import columns as C
 from ..operators import ndjson, runs, select, transport
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import bz2_reader
 from ..sources.objects import list_objects
-from ..sources.registry import get_source
+from ..sources.registry import open_source
 
 # fixed values: process types and what each writes
 PROCESS_TYPES = [
@@ -32,12 +32,11 @@ PROCESS_TYPES = [
     "decompress_concatenate_parse",
     "direct_to_bigquery",
 ]
-PART_COL = "_part"
 
 
 @dataclass
 class JobConfig:
-    source_root: str  # listing root of the source bucket (any pyarrow-supported URI)
+    source_root: str  # listing root of the source bucket
     source_bucket: str
     selected_paths: list[str] | None = None  # or ``selection`` as a DataFrame(bucket, path)
     selection: DataFrame | None = None
@@ -48,110 +47,69 @@ class JobConfig:
     compression: str = "none"
     boundary: str = "path"
     skip_validation: bool = False
-    job_id: str = field(default_factory=lambda: f"{time.strftime('%Y-%m-%d')}-{uuid.uuid4().hex[:8]}")
-
-
-def _kind_rows(raw: DataFrame, line_part: F.Column) -> DataFrame:
-    """Lines and manifest rows of one read, as ``value`` text + the partition they go to."""
-    is_line = F.col("value").isNotNull()
-    manifest_json = F.to_json(F.struct("path", "bytes", F.col("n_lines").alias("lines"), "error"))
-    return raw.select(
-        F.when(is_line, F.col("value")).otherwise(manifest_json).alias("value"),
-        F.when(is_line, line_part).otherwise(F.lit("manifest")).alias(PART_COL),
-        "path",
-        "line_no",
-    )
+    job_id: str = field(default_factory=lambda: f"run-{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:10]}")
 
 
-SHARD_TARGET_BYTES = 1 << 30  # auto shard count: about 1 GB of text per shard
+SHARD_TARGET_BYTES = 1 << 30  # automatic shard count: about 1 GB of text per shard
 EXPANSION = 6  # typical bz2 expansion of line text, for sizing only
 
 
-def _auto_shards(files: DataFrame) -> int:
-    total = files.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+def _auto_shards(manifest: DataFrame) -> int:
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     return max(1, int(total * EXPANSION // SHARD_TARGET_BYTES) + 1)
 
 
-def _key_of(cfg: JobConfig) -> F.Column:
-    """Object key from the read's ``path`` (``<root>/<key>``): a projection, no join."""
-    return F.expr(f"substring(path, {len(cfg.source_root.rstrip('/')) + 2})")
-
-
-def _write(cfg: JobConfig, raw: DataFrame, files: DataFrame) -> dict:
-    out = cfg.output.rstrip("/")
+def _write(spark: SparkSession, cfg: JobConfig, spec, files: DataFrame) -> dict:
+    """Write the output and its manifest (``<output>/_manifest``); where the output is."""
+    out = fs.qualified(spark, cfg.output)
     codec = transport.COMPRESSIONS[cfg.compression]
-    pt = cfg.process_type
-    if pt == "decompress_and_concatenate":
-        # hash on the unique (path, line_no): even shards, deterministic on task retry
-        rows = _kind_rows(raw, F.lit("lines"))
-        staging = f"{out}/_staging"
-        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL)
-         .write.option("compression", codec).option("lineSep", "\n").partitionBy(PART_COL).text(staging))
-        shards = transport.place_shards(f"{staging}/{PART_COL}=lines", out, cfg.compression, cfg.output_shards)
-        _move_parts(f"{staging}/{PART_COL}=manifest", f"{out}/_manifest", cfg.compression, shard_names=False)
-        return {"output_files": len(shards), "output": out}
-    if pt == "decompress_only":
-        rows = _kind_rows(raw, F.lit("x")).select(
-            "value",
-            F.when(F.col(PART_COL) == "manifest", F.lit("_manifest")).otherwise(_key_of(cfg)).alias("rel_path"),
-            F.floor(F.coalesce(F.col("line_no"), F.lit(0)) / transport.LINES_PER_FILE).alias("_chunk"),
-        )
-        (rows.repartition("rel_path", "_chunk").drop("_chunk").write.option("compression", codec)
-         .option("lineSep", "\n").partitionBy("rel_path").text(out))
-        return {"output": out}
-    if pt == "decompress_concatenate_parse":
-        spark = raw.sparkSession
-        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-        part = F.when(ndjson.is_valid_json("value"), F.lit("valid")).otherwise(F.lit("rejected"))
-        rows = _kind_rows(raw, part)
-        (rows.repartition(cfg.output_shards, "path", "line_no").select("value", PART_COL)
-         .write.option("compression", codec).option("lineSep", "\n").partitionBy(PART_COL).text(out))
-        return {"output": out}
-    if pt == "direct_to_bigquery":
+    root = fs.qualified(spark, cfg.source_root)
+    place = {"output": out, "manifest": f"{out}/_manifest"}
+    if cfg.process_type == "decompress_only":
+        tasks = bz2_reader.plan_tasks(files, 128 << 20)
+        place["output"] = f"{out}/inputs"
+        transport.write_inputs(files, root, place["output"], cfg.compression, tasks).write.parquet(place["manifest"])
+        return place
+    raw = spec.reader(spark, files)
+    lines, manifest = bz2_reader.lines_of(raw), bz2_reader.manifest_of(raw)
+    shards = cfg.output_shards if cfg.output_shards > 0 else _auto_shards(manifest)
+    if cfg.process_type == "direct_to_bigquery":
         # table sink: lines with their source key, ISO date of the key and parsed VARIANT
-        raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-        strict_doc = F.when(ndjson.is_valid_json("value"), F.try_parse_json("value"))
-        t = raw.select("*", _key_of(cfg).alias("key")).select(
-            "key", "line_no", "value", strict_doc.alias("doc"),
-            C.extract_date("key").alias("date"), "bytes", "n_lines", "error",
-            F.when(F.col("value").isNotNull(), F.lit("lines")).otherwise(F.lit("manifest")).alias(PART_COL),
-        )
-        transport.write_table(t, out, partition_by=[PART_COL, "date"])
-        return {"output": out}
-    raise ValueError(f"unknown process type {pt!r}")
-
-
-def _move_parts(src: str, dst: str, compression: str, shard_names: bool) -> list[str]:
-    """Driver-side renames of the committed part files (one per shard)."""
-    import pyarrow.fs as pafs
-
-    fs, s = pafs.FileSystem.from_uri(src if "://" in src else "file://" + src)
-    _, d = pafs.FileSystem.from_uri(dst if "://" in dst else "file://" + dst)
-    info = fs.get_file_info(s)
-    if info.type == pafs.FileType.NotFound:
-        return []
-    parts = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(s)) if i.base_name.startswith("part-"))
-    fs.create_dir(d, recursive=True)
-    suffix = {"none": "", "gzip": ".gz", "snappy": ".snappy"}[compression]
-    moved = []
-    for i, p in enumerate(parts):
-        name = transport.SHARD_NAME.format(i=i, n=len(parts)) + suffix if shard_names else p.rsplit("/", 1)[1]
-        fs.move(p, f"{d}/{name}")
-        moved.append(f"{d}/{name}")
-    return moved
+        ndjson.require_duplicate_keys(spark)
+        key = F.expr(f"substring(path, {len(root) + 2})")
+        doc = F.when(ndjson.is_valid_json("value"), F.try_parse_json("value"))
+        t = lines.select(key.alias("key"), "line_no", "value", doc.alias("doc")).withColumn("date", C.extract_date("key"))
+        place["output"] = f"{out}/table"
+        transport.write_table(t, place["output"], partition_by=["date"])
+    else:
+        # hash on the unique (path, line_no): even shards, the same when a task is run again
+        rows = lines.repartition(shards, "path", "line_no")
+        columns = ["value"]
+        if cfg.process_type == "decompress_concatenate_parse":
+            rows = ndjson.validate(rows)
+            columns.append("valid")
+        place["output"] = f"{out}/lines"
+        writer = rows.select(*columns).write.option("compression", codec).option("lineSep", "\n")
+        (writer.partitionBy("valid") if "valid" in columns else writer).text(place["output"])
+    manifest.write.parquet(place["manifest"])
+    return place
 
 
 def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None = None) -> dict:
-    """Run one transport job; returns counters, output and the run's final status."""
+    """Run one transport job; returns counters, output and the run's final status.
+
+    An unknown or disabled source and a selection that fails the gate, or has no file, are
+    errors before anything is written or recorded.
+    """
     if cfg.process_type not in PROCESS_TYPES:
         raise ValueError(f"process_type must be one of {PROCESS_TYPES}")
     runs_table = runs_table or f"{shared_dir(spark)}/skiff-runs"
-    spec = get_source(cfg.source_type)
+    spec = open_source(cfg.source_type)
+    if cfg.process_type == "decompress_only" and spec.compression != "bz2":
+        raise ValueError(f"decompress_only copies bz2 files, not {spec.compression}")
     sel = cfg.selection
     if sel is None:
         sel = select.selection(spark, cfg.source_bucket, list(cfg.selected_paths or []))
-    # the pattern set is selection-sized: computed once, shared by snapshot, gate and read
-    patterns = spec.build_patterns(sel).cache()
     paths = [] if cfg.selected_paths is None else list(cfg.selected_paths)
     t0 = time.perf_counter()
     phases: dict[str, float] = {}
@@ -161,92 +119,52 @@ def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None =
         phases[name] = round(now - since[0], 3)
         since[0] = now
 
+    # the pattern set is selection-sized: computed once, shared by listing, gate and read
+    patterns = materialize(spec.build_patterns(sel), "patterns")
+    reduced = materialize(select.reduce_prefixes(select.prefixes_of(patterns).where(F.col("bucket") == cfg.source_bucket), "prefix"), "prefixes")
+    listing = list_objects(spark, cfg.source_root, cfg.source_bucket, reduced)
+    mark("list")
+    exts = tuple(spec.extensions)
+    gate_row = None
+    if not cfg.skip_validation:
+        # the gate counts by the boundary and suffixes that the read uses
+        per = select.validate_patterns(listing, patterns, boundary=cfg.boundary, exts=exts)
+        gate_row = select.gate(select.validation_summary(per))
+    files = materialize(select.select_objects(listing, patterns, cfg.boundary, exts), "files")
+    if not files.limit(1).count():
+        raise select.ValidationError("the selection has no file to read")
+    mark("gate")
+    # RUN-1: the run is recorded once the submission passed the gate (a rejected submission
+    # leaves no record)
+    config = {"output": cfg.output, "shards": str(cfg.output_shards), "compression": cfg.compression}
+    runs.append_events(runs.create_event(spark, cfg.job_id, 0, paths, cfg.process_type, config), runs_table)
+
+    def stage(name: str, state: str) -> None:
+        runs.record_stage(spark, runs_table, cfg.job_id, name, state)
+
+    step = "read"
     try:
-        # snapshot: everything the patterns list, any suffix, written once as a table in
-        # the shared folder; the gate and the read both use it (same objects, one listing)
-        objs = list_objects(spark, cfg.source_root, bucket=cfg.source_bucket)
-        snap = f"{shared_dir(spark)}/skiff-listing-{cfg.job_id}-{uuid.uuid4().hex[:6]}"
-        select.match_prefixes(objs, select.prefixes_of(patterns), "prefix").write.parquet(snap)
-        listing = spark.read.parquet(snap)
-        mark("list")
-        gate_row = None
-        if not cfg.skip_validation:
-            per = select.validate_patterns(listing, patterns)
-            gate_row = select.gate(select.validation_summary(per))
-        mark("gate")
-        # RUN-1: the run is recorded once the submission passed the gate (a rejected
-        # submission leaves no record, as in the reference)
-        runs.append_events(
-            runs.create_event(spark, cfg.job_id, 0, paths, cfg.process_type,
-                              {"output": cfg.output, "shards": str(cfg.output_shards),
-                               "compression": cfg.compression}),
-            runs_table,
-        )
-        files = select.select_objects(listing, patterns, cfg.boundary, tuple(spec.extensions))
-        if cfg.output_shards <= 0:
-            cfg.output_shards = _auto_shards(files)
-        raw = bz2_reader.read_files(files)
-        mark("plan_read")
-        written = _write(cfg, raw, files)
+        stage("read", "running")
+        place = _write(spark, cfg, spec, files)
         mark("read_write")
-        # counters from the committed manifest (one row per file, exact under task and
-        # stage retries, unlike accumulator-based metrics)
-        counters = manifest_counters(spark, cfg)
-        status, log = "completed", "Pipeline completed"
-    except select.ValidationError:
-        raise
+        for step in ("read", "decompress", "concatenate", "write"):
+            stage(step, "completed")
+        step = "validate"
+        counters = {k: int(v) for k, v in bz2_reader.counters_of(spark.read.parquet(place["manifest"])).first().asDict().items()}
     except Exception as e:  # noqa: BLE001 -- recorded, then re-raised
-        runs.append_events(
-            runs.simple_event(spark, cfg.job_id, 1, "update", status="failed", log=f"Pipeline failed: {e}"),
-            runs_table,
-        )
+        runs.record_update(spark, runs_table, cfg.job_id, status="failed", log=f"run failed: {e}", stages={step: "failed"})
         raise
-    finally:
-        patterns.unpersist()
     secs = time.perf_counter() - t0
-    metrics = transport.run_metrics_row(counters, secs, written.get("output_files", 0))
-    runs.append_events(
-        runs.simple_event(
-            spark, cfg.job_id, 1, "update", status=status, log=log,
-            stages={s: "completed" for s in runs.STAGES},
-            # AGG-10 / AGG-12 recorded with the run
-            config={k: str(v) for k, v in metrics.items() if v is not None},
-        ),
-        runs_table,
+    written = len([n for n in fs.file_names(spark, place["output"]) if n.startswith("part-")])
+    metrics = transport.run_metrics_row(counters, secs, written if cfg.process_type != "decompress_only" else counters["files_processed"])
+    runs.record_update(
+        spark, runs_table, cfg.job_id, status="completed", log="run completed", stages={"validate": "completed"},
+        # AGG-10 / AGG-12 recorded with the run
+        config={k: str(v) for k, v in metrics.items() if v is not None},
     )
-    return {"job_id": cfg.job_id, "status": status, "gate": gate_row, **written, **metrics,
-            "runs_table": runs_table, "phases": phases}
-
-
-MANIFEST_SCHEMA = "path string, bytes bigint, lines bigint, error string"
-
-
-def read_manifest(spark: SparkSession, out: str, process_type: str = "decompress_and_concatenate") -> DataFrame:
-    """The per-file manifest a run wrote next to its output."""
-    out = out.rstrip("/")
-    if process_type == "decompress_and_concatenate":
-        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/_manifest")
-    if process_type == "decompress_only":
-        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/rel_path=_manifest")
-    if process_type == "decompress_concatenate_parse":
-        return spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/{PART_COL}=manifest")
-    t = spark.read.parquet(out).where(F.col(PART_COL) == "manifest")
-    return t.select(F.col("key").alias("path"), "bytes", F.col("n_lines").alias("lines"), "error")
-
-
-def manifest_counters(spark: SparkSession, cfg: JobConfig) -> dict:
-    """AGG-10 counters of a finished run, from its manifest."""
-    import pyarrow.fs as pafs
-
-    out = cfg.output.rstrip("/")
-    fs, root = pafs.FileSystem.from_uri(out if "://" in out else "file://" + out)
-    if fs.get_file_info(root).type == pafs.FileType.NotFound:
-        return {"files_processed": 0, "files_failed": 0, "bytes_read": 0, "lines_yielded": 0}
-    m = read_manifest(spark, out, cfg.process_type)
-    row = m.agg(
-        F.count_if(F.col("error").isNull()).alias("files_processed"),
-        F.count_if(F.col("error").isNotNull()).alias("files_failed"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_read"),
-        F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
-    ).first()
-    return {k: int(v) for k, v in row.asDict().items()}
+    return {"job_id": cfg.job_id, "status": "completed", "gate": gate_row, **place, **metrics, "runs_table": runs_table, "phases": phases}
+
+
+def read_manifest(spark: SparkSession, out: str) -> DataFrame:
+    """The per-file manifest a run wrote beside its output: path, bytes, lines, error."""
+    return spark.read.parquet(f"{out.rstrip('/')}/_manifest")

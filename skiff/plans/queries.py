@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files
 from ..functions import columns as C
 from ..operators import catalog, ndjson, runs, select, transport
 from ..session import materialize, run_dir
@@ -117,7 +118,7 @@ _VALIDATE_CTE = (
 @query(
     "validate_patterns",
     _VALIDATE_CTE
-    + """SELECT pattern, entries, file_count, file_count > 0 AS valid, file_count >= 10000 AS truncated,
+    + """SELECT pattern, entries, file_count, file_count > 0 AS valid, false AS truncated,
                 CAST(NULL AS VARCHAR) AS error FROM per""",
 )
 def q_validate_patterns(spark, sf):
@@ -125,33 +126,6 @@ def q_validate_patterns(spark, sf):
     return select.validate_patterns(v_objects(spark, sf), pats)
 
 
-@query(
-    "validate_patterns_capped",
-    oracle_with("v_objects", "v_patterns")
-    + """, pp AS (
-           SELECT pattern, count(*) AS entries,
-                  regexp_extract(pattern, '^[a-z0-9]+://([^/]*)', 1) AS b,
-                  regexp_replace(split_part(regexp_extract(pattern, '^[a-z0-9]+://[^/]*/?(.*)$', 1), '*', 1), '/+$', '') AS prefix,
-                  CASE WHEN ends_with(pattern, '*.json') THEN '.json' WHEN ends_with(pattern, '*.gz') THEN '.gz' ELSE '.bz2' END AS ext
-           FROM v_patterns GROUP BY pattern),
-         listed AS (
-           SELECT pp.pattern, ends_with(o."key", pp.ext) AS m,
-                  row_number() OVER (PARTITION BY pp.pattern ORDER BY o."key") AS rn
-           FROM pp JOIN v_objects o ON o.bucket = pp.b AND starts_with(o."key", pp.prefix)),
-         per AS (
-           SELECT pp.pattern, CAST(pp.entries AS BIGINT) AS entries,
-                  CAST(count(*) FILTER (WHERE l.m AND l.rn <= 100) AS BIGINT) AS file_count
-           FROM pp LEFT JOIN listed l ON l.pattern = pp.pattern GROUP BY pp.pattern, pp.entries)
-       SELECT pattern, entries, file_count, file_count > 0 AS valid, file_count >= 100 AS truncated,
-              CAST(NULL AS VARCHAR) AS error FROM per""",
-)
-def q_validate_patterns_capped(spark, sf):
-    """The reference's capped validation scan (first N listed objects per pattern); the cap
-    is 100 here so that it binds at the test scale."""
-    pats = _patterns(spark, sf)
-    return select.validate_patterns(v_objects(spark, sf), pats, scan_cap=100)
-
-
 @query(
     "validate_summary",
     _VALIDATE_CTE
@@ -279,14 +253,9 @@ def q_list_datasets(spark, sf):
 @query(
     "bucket_sizes",
     oracle_with("v_objects")
-    + f""", ex AS (SELECT bucket, CAST(count(*) AS BIGINT) AS objects, CAST(sum(size_bytes) AS BIGINT) AS size_bytes
-                  FROM v_objects GROUP BY bucket),
-          fi AS (SELECT bucket, count(*) AS cn, CAST(sum(size_bytes) AS BIGINT) AS cb FROM (
-                   SELECT bucket, size_bytes, row_number() OVER (PARTITION BY bucket ORDER BY "key") AS rn FROM v_objects)
-                 WHERE rn <= 1000 GROUP BY bucket)
-          SELECT ex.bucket, objects, size_bytes, {_fmt_bytes_sql('size_bytes')} AS size, cb AS scanned_bytes,
-                 CASE WHEN cn >= 1000 THEN '~' || {_fmt_bytes_sql('cb')} || '+' ELSE {_fmt_bytes_sql('cb')} END AS display_size
-          FROM ex JOIN fi ON ex.bucket = fi.bucket""",
+    + f"""SELECT bucket, objects, size_bytes, {_fmt_bytes_sql('size_bytes')} AS size FROM (
+            SELECT bucket, CAST(count(*) AS BIGINT) AS objects, CAST(sum(size_bytes) AS BIGINT) AS size_bytes
+            FROM v_objects GROUP BY bucket)""",
 )
 def q_bucket_sizes(spark, sf):
     return catalog.bucket_sizes(v_objects(spark, sf))
@@ -350,23 +319,19 @@ def _fixture(spark: SparkSession, sf: str, name: str, write) -> str:
     return _FIXTURES[key]
 
 
+def _write_bz2(spark: SparkSession, rows: DataFrame, folders: list[str], order: str, root: str) -> None:
+    """``value`` as one bz2 text file per folder, lines in ``order``."""
+    spread = rows.repartition(4 * spark.sparkContext.defaultParallelism, *folders).sortWithinPartitions(*folders, order)
+    spread.select("value", *folders).write.partitionBy(*folders).option("compression", "bzip2").option("lineSep", "\n").text(root)
+
+
 def _events_bz2(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """``events`` as bz2 NDJSON files, one per ``event_type=<t>/date=<d>/part=<s>`` folder."""
     e = table(spark, sf, "events")
-
-    def write(root):
-        # salted: a folder holding a third of all events is still written by several tasks
-        (
-            e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"),
-                     (F.col("event_id") % SALT).alias("part"))
-            .repartition(4 * spark.sparkContext.defaultParallelism, "event_type", "date", "part")
-            .write.partitionBy("event_type", "date", "part")
-            .option("compression", "bzip2")
-            .option("lineSep", "\n")
-            .text(root)
-        )
-
-    return _fixture(spark, sf, "events-bz2", write), e
+    # salted: a folder holding a third of all events is still written by several tasks
+    rows = e.select(event_line(e).alias("value"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"),
+                    (F.col("event_id") % SALT).alias("part"), "event_id")
+    return _fixture(spark, sf, "events-bz2", lambda root: _write_bz2(spark, rows, ["event_type", "date", "part"], "event_id", root)), e
 
 
 def _event_selection(e: DataFrame) -> DataFrame:
@@ -382,6 +347,21 @@ def _run_events_job(spark, sf, process_type="decompress_and_concatenate") -> dic
     return run_transport(spark, cfg)
 
 
+@query(
+    "list_files",
+    """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(DISTINCT event_id % 4) AS BIGINT) AS files, true AS sized
+       FROM events GROUP BY ALL""",
+)
+def q_list_files(spark, sf):
+    """SRC-1 over real files: the listing of the written events, counted by folder."""
+    root, _ = _events_bz2(spark, sf)
+    o = list_objects(spark, root, bucket="events").where(F.col("key").endswith(".bz2"))
+    folder = r"^event_type=([^/]*)/date=([^/]*)/part=[^/]*/[^/]*$"
+    return o.groupBy(F.regexp_extract("key", folder, 1).alias("event_type"), F.regexp_extract("key", folder, 2).alias("day")).agg(
+        F.count(F.lit(1)).alias("files"), (F.min("size_bytes") > 0).alias("sized")
+    )
+
+
 @query(
     "ingest_bz2_roundtrip",
     """SELECT event_type, CAST(count(*) AS BIGINT) AS lines,
@@ -405,16 +385,98 @@ def q_ingest_bz2_roundtrip(spark, sf):
     "ingest_counters",
     """SELECT CAST(count(DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d') || '/' || CAST(event_id % 4 AS VARCHAR))
                    AS BIGINT) AS files_processed,
-              CAST(0 AS BIGINT) AS files_failed, CAST(count(*) AS BIGINT) AS lines_yielded FROM events""",
+              CAST(0 AS BIGINT) AS files_failed, CAST(count(*) AS BIGINT) AS lines_yielded, true AS bytes_as_listed FROM events""",
 )
 def q_ingest_counters(spark, sf):
-    """AGG-10 from the per-file manifest the job wrote next to its shards."""
+    """AGG-10 from the per-file manifest the job wrote beside its shards."""
     res = _run_events_job(spark, sf)
-    m = read_manifest(spark, res["output"])
-    return m.agg(
-        F.count_if(F.col("error").isNull()).alias("files_processed"),
-        F.count_if(F.col("error").isNotNull()).alias("files_failed"),
-        F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
+    listed = list_objects(spark, _events_bz2(spark, sf)[0], bucket="events").where(F.col("key").endswith(".bz2"))
+    size = listed.agg(F.sum("size_bytes").alias("listed"))
+    c = bz2_reader.counters_of(read_manifest(spark, res["manifest"].removesuffix("/_manifest")))
+    # two single rows side by side
+    both = c.withColumn("k", F.lit(1)).join(size.withColumn("k", F.lit(1)), "k")
+    return both.select("files_processed", "files_failed", "lines_yielded", (F.col("bytes_read") == F.col("listed")).alias("bytes_as_listed"))
+
+
+def _failing_bz2(batches):
+    """Files whose group number says what is wrong with them: (key, bytes) per input row."""
+    import bz2
+
+    import pyarrow as pa
+
+    for b in batches:
+        keys, data = [], []
+        for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            raw = text.encode()
+            half = len(raw) // 2
+            packed = {
+                0: bz2.compress(raw),
+                1: bz2.compress(raw)[:-7],  # cut short
+                2: b"not bz2 " + raw,
+                3: bz2.compress(raw + b"\n\xff\xfe\n"),  # not UTF-8
+                4: bz2.compress(raw[:half]) + bz2.compress(raw[half:]),  # two streams, one line across both
+                5: bz2.compress(raw) + b"garbage",
+                6: bz2.compress(b"\n  " + raw.replace(b"\n", b"\r\n \n") + b" \n\n"),
+                7: b"",
+            }[n % 8]
+            keys.append(f"g{n % 3}/d{n % 5}//f{n}.bz2" if n % 2 else f"g{n % 3}/f{n}.bz2")
+            data.append(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], names=["key", "data"])
+
+
+def _write_objects(batches, root: str):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(root)
+    for b in batches:
+        for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            name = f"{base}/{key}"
+            fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(name, compression=None) as f:
+                f.write(data)
+        yield pa.RecordBatch.from_arrays([b.column(0)], names=["key"])
+
+
+@query(
+    "ingest_failures",
+    """WITH g AS (SELECT event_id // 20 AS n, count(*) AS lines FROM events GROUP BY 1)
+       SELECT CAST(n % 8 AS BIGINT) AS kind, CAST(count(*) AS BIGINT) AS files,
+              CAST(count(*) FILTER (WHERE n % 8 IN (1, 2, 3)) AS BIGINT) AS files_failed,
+              CAST(sum(CASE WHEN n % 8 IN (0, 4, 5, 6) THEN lines ELSE 0 END) AS BIGINT) AS lines,
+              CAST(sum(CASE WHEN n % 8 IN (0, 4, 5, 6) THEN lines ELSE 0 END) AS BIGINT) AS manifest_lines,
+              true AS bytes_as_listed,
+              CAST(sum(CASE n % 8 WHEN 6 THEN lines - 1 ELSE 0 END) AS BIGINT) AS carriage_returns
+       FROM g GROUP BY n % 8""",
+)
+def q_ingest_failures(spark, sf):
+    """SRC-2 and AGG-10 with failing files: whole, cut short, no bz2, bad UTF-8, two streams,
+    trailing garbage, outer and blank lines, zero bytes -- mixed key depths, empty segments."""
+    e = table(spark, sf, "events")
+    group = F.floor(F.col("event_id") / 20)
+    texts = e.groupBy(group.alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", event_line(e).alias("v")))), lambda x: x["v"]), "\n").alias("text"))
+
+    def write(root):
+        uri = files.arrow_uri(files.qualified(spark, root))
+        made = texts.select("n", "text").mapInArrow(_failing_bz2, "key string, data binary")
+        made.mapInArrow(lambda it: _write_objects(it, uri), "key string").write.format("noop").mode("overwrite").save()
+
+    root = _fixture(spark, sf, "failing-bz2", write)
+    listing = materialize(list_objects(spark, root, bucket="b"), "listing")
+    raw = bz2_reader.read_files(listing)
+    kind = (F.regexp_extract("path", r"/f(\d+)\.bz2$", 1).cast("long") % 8).alias("kind")
+    lines = bz2_reader.lines_of(raw).groupBy(kind).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").endswith("\r")).alias("carriage_returns")
+    )
+    per_file = bz2_reader.manifest_of(raw).join(listing.select("path", "size_bytes"), "path")
+    per_kind = per_file.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("files_failed"),
+        F.sum("lines").cast("long").alias("manifest_lines"), F.bool_and(F.col("bytes") == F.col("size_bytes")).alias("bytes_as_listed"),
+    )
+    zero = F.lit(0).cast("long")
+    return per_kind.join(lines, "kind", "left").select(
+        "kind", "files", "files_failed", F.coalesce("lines", zero).alias("lines"), "manifest_lines", "bytes_as_listed",
+        F.coalesce("carriage_returns", zero).alias("carriage_returns"),
     )
 
 
@@ -451,18 +513,8 @@ def q_write_snappy_roundtrip(spark, sf):
 def _docs_bz2(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """``documents`` as bz2 text files, one per ``source=<s>/lang=<l>/part=<p>`` folder."""
     d = table(spark, sf, "documents")
-
-    def write(root):
-        (
-            d.select(F.col("text").alias("value"), "source", "lang", (F.col("doc_id") % SALT).alias("part"))
-            .repartition(4 * spark.sparkContext.defaultParallelism, "source", "lang", "part")
-            .write.partitionBy("source", "lang", "part")
-            .option("compression", "bzip2")
-            .option("lineSep", "\n")
-            .text(root)
-        )
-
-    return _fixture(spark, sf, "docs-bz2", write), d
+    rows = d.select(F.col("text").alias("value"), "source", "lang", (F.col("doc_id") % SALT).alias("part"), "doc_id")
+    return _fixture(spark, sf, "docs-bz2", lambda root: _write_bz2(spark, rows, ["source", "lang", "part"], "doc_id", root)), d
 
 
 def build_fixtures(spark: SparkSession, sf: str) -> None:
@@ -473,21 +525,23 @@ def build_fixtures(spark: SparkSession, sf: str) -> None:
 
 @query(
     "decompress_only_layout",
-    """SELECT source, lang, CAST(count(DISTINCT part) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines FROM (
-         SELECT source, lang, doc_id % 4 AS part, unnest(string_split(text, chr(10))) AS l FROM documents)
-       WHERE NOT regexp_matches(l, '^\\s*$') GROUP BY source, lang""",
+    r"""SELECT source, lang, CAST(part AS BIGINT) AS part, md5(string_agg(l, chr(10) ORDER BY doc_id, i) || chr(10)) AS content FROM (
+         SELECT source, lang, doc_id, doc_id % 4 AS part, unnest(string_split(text, chr(10))) AS l,
+                generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+       WHERE NOT regexp_matches(l, '^\s*$') GROUP BY source, lang, part""",
 )
 def q_decompress_only_layout(spark, sf):
+    """SNK-3: one output per input, folders kept, lines in order: each output's whole content."""
     root, d = _docs_bz2(spark, sf)
     sel = d.select(F.lit("docs").alias("bucket"), F.concat(F.lit("source="), "source").alias("path")).distinct()
     cfg = JobConfig(source_root=root, source_bucket="docs", selection=sel, output=run_dir(spark, "per-input"),
                     process_type="decompress_only")
     res = run_transport(spark, cfg)
-    back = transport.read_per_input(spark, res["output"]).where(F.col("rel_path") != "_manifest")
-    folder = F.regexp_extract("rel_path", r"^source=([^/]*)/lang=([^/]*)/", 1)
-    lang = F.regexp_extract("rel_path", r"^source=([^/]*)/lang=([^/]*)/", 2)
-    return back.groupBy(folder.alias("source"), lang.alias("lang")).agg(
-        F.count_distinct("rel_path").alias("files"), F.count(F.lit(1)).alias("lines")
+    back = transport.read_inputs(spark, res["output"])
+    folder = r"^source=([^/]*)/lang=([^/]*)/part=([^/]*)/"
+    return back.select(
+        F.regexp_extract("rel_path", folder, 1).alias("source"), F.regexp_extract("rel_path", folder, 2).alias("lang"),
+        F.regexp_extract("rel_path", folder, 3).cast("long").alias("part"), F.md5("value").alias("content"),
     )
 
 
@@ -513,17 +567,11 @@ def _ndjson_values(e: DataFrame) -> F.Column:
 )
 def q_ndjson_validate(spark, sf):
     e = table(spark, sf, "events")
-    lines = e.select(_ndjson_values(e).alias("value"))
-    good, bad = ndjson.split_valid(lines)
     out = run_dir(spark, "ndjson")
-    # SNK-5: valid and rejected lines go to separate folders; read both back.
+    # SNK-5: valid and rejected lines go to separate folders by one pass; read both back.
     # (lines with "\r" keep it: lineSep is "\n" on both sides)
-    good.write.option("lineSep", "\n").text(f"{out}/valid")
-    bad.write.option("lineSep", "\n").text(f"{out}/rejected")
-    r = spark.read.option("lineSep", "\n")
-    return r.text(f"{out}/valid").select("value", F.lit(True).alias("valid")).unionByName(
-        r.text(f"{out}/rejected").select("value", F.lit(False).alias("valid"))
-    )
+    ndjson.write_split(e.select(_ndjson_values(e).alias("value")), out)
+    return ndjson.read_split(spark, out)
 
 
 @query(
@@ -576,8 +624,8 @@ def q_json_array_explode(spark, sf):
 
 @query("json_gz_documents", "SELECT event_id, user_id, event_type FROM events")
 def q_json_gz_documents(spark, sf):
-    """SRC-6: gzip JSON documents (one array per file) listed, selected by extension and
-    read whole on executors, then exploded (SRC-7)."""
+    """SRC-5, SRC-6, SRC-8: a JSON source as a job: gzip documents (one array per file) listed,
+    selected by the source's extensions, read whole on executors, exploded (SRC-7)."""
     e = table(spark, sf, "events")
     item = F.to_json(F.struct("event_id", "user_id", "event_type"))
     chunk = F.floor(F.col("event_id") / 1000)  # at most 1,000 events per document
@@ -596,18 +644,14 @@ def q_json_gz_documents(spark, sf):
         )
 
     root = _fixture(spark, sf, "json-gz", write)
-    spec = registry.SourceSpec(
-        id="json_gz", name="gzip JSON documents", extensions=[".gz"], compression="gzip",
+    registry.register_source(registry.SourceSpec(
+        id="json_gz", name="gzip JSON documents", extensions=[".txt.gz"], compression="gzip",
         content_type="json", reader=registry.get_source("racing_api").reader,
-    )
-    # one listing, snapshotted: selection, task planning and the read all use it
-    objs = materialize(list_objects(spark, root, bucket="docs"), "listing")
-    sel = objs.select(F.lit("docs").alias("bucket"), C.first_segment("key").alias("path")).distinct()
-    files = select.select_objects(objs, spec.build_patterns(sel), exts=tuple(spec.extensions))
-    docs = spec.reader(spark, files)
-    items = ndjson.explode_json_array(docs.where(F.col("error").isNull()).select("path", "value"))
+    ))
+    cfg = JobConfig(source_root=root, source_bucket="docs", selected_paths=[""], source_type="json_gz", output=run_dir(spark, "json-out"))
+    items = transport.read_shards(spark, run_transport(spark, cfg)["output"])
     v = F.try_parse_json("value")
-    return items.where(F.col("value").isNotNull()).select(
+    return items.select(
         F.variant_get(v, "$.event_id", "bigint").alias("event_id"),
         F.variant_get(v, "$.user_id", "bigint").alias("user_id"),
         F.variant_get(v, "$.event_type", "string").alias("event_type"),
@@ -621,15 +665,23 @@ _RUNS_CTE = oracle_with("v_runs") + """, m AS (
        SELECT *, CASE state WHEN 'JOB_STATE_RUNNING' THEN 'running' WHEN 'JOB_STATE_DONE' THEN 'completed'
                  WHEN 'JOB_STATE_FAILED' THEN 'failed' WHEN 'JOB_STATE_CANCELLED' THEN 'cancelled'
                  WHEN 'JOB_STATE_PENDING' THEN 'submitted' WHEN 'JOB_STATE_QUEUED' THEN 'submitted'
-                 ELSE 'running' END AS mapped FROM v_runs),
+                 ELSE 'running' END AS mapped,
+              CASE WHEN kind = 'cancel' THEN 'cancelled' WHEN kind IN ('create', 'update') THEN status END AS sets
+       FROM v_runs),
+     l AS (SELECT *, coalesce(max(CASE WHEN sets IS NOT NULL THEN rn END) OVER (PARTITION BY job_id), 0) AS at_set FROM (
+             SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS rn FROM m)),
+     c AS (SELECT *, coalesce(min(CASE WHEN kind = 'refresh' AND state IS NOT NULL AND rn > at_set
+                                        AND mapped IN ('completed', 'failed', 'cancelled') THEN rn END) OVER (PARTITION BY job_id),
+                              max(CASE WHEN kind = 'refresh' AND state IS NOT NULL AND rn > at_set THEN rn END) OVER (PARTITION BY job_id)) AS at_poll
+           FROM l),
      f AS (
        SELECT job_id,
-              CASE WHEN count(*) FILTER (WHERE mapped IN ('completed', 'failed', 'cancelled')) > 0
-                   THEN arg_min(mapped, (ts, seq)) FILTER (WHERE mapped IN ('completed', 'failed', 'cancelled'))
-                   ELSE coalesce(arg_max(mapped, (ts, seq)) FILTER (WHERE mapped <> 'unknown'), 'submitted') END AS status,
+              CASE WHEN coalesce(max(CASE WHEN rn = at_set THEN sets END), 'submitted') IN ('submitted', 'running')
+                   THEN coalesce(max(CASE WHEN rn = at_poll THEN mapped END), max(CASE WHEN rn = at_set THEN sets END), 'submitted')
+                   ELSE max(CASE WHEN rn = at_set THEN sets END) END AS status,
               min(ts) AS created_at, max(ts) AS updated_at, CAST(count(*) AS BIGINT) AS n_events,
-              arg_max(state, (ts, seq)) AS last_state, arg_max(process_type, (ts, seq)) AS process_type
-       FROM m GROUP BY job_id)
+              arg_max(state, (ts, seq)) FILTER (WHERE state IS NOT NULL) AS last_state, arg_max(process_type, (ts, seq)) AS process_type
+       FROM c GROUP BY job_id)
 """
 
 
@@ -681,7 +733,7 @@ def q_runs_recent(spark, sf):
 @query(
     "run_log_tail",
     oracle_with("v_runs")
-    + """, l AS (SELECT job_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z] ' || state AS log, ts, seq FROM v_runs),
+    + """, l AS (SELECT job_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z] ' || coalesce(state, kind) AS log, ts, seq FROM v_runs),
          fl AS (SELECT job_id, log, min((ts, seq)) AS first FROM l GROUP BY job_id, log),
          rk AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first DESC) AS rn,
                        count(*) OVER (PARTITION BY job_id) AS n FROM fl)

@@ -76,21 +76,30 @@ def _process_by_priority() -> F.Column:
 
 
 def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run events: each order is one polled service state of its customer's job."""
+    """Run events: each order is an event of its customer's job -- of 16, one creates, three
+    update (one without a status), one cancels, one logs, one polls in vain; the others poll
+    the order's state."""
     o = table(spark, sf_dir, "orders")
     state = (
         F.when(F.col("o_orderstatus") == "O", F.lit("JOB_STATE_RUNNING"))
         .when(F.col("o_orderstatus") == "F", F.lit("JOB_STATE_DONE"))
         .otherwise(F.lit("JOB_STATE_UNKNOWN_X"))
     )
+    k = F.col("o_orderkey") % 16
+    kind = (
+        F.when(k == 0, F.lit("create")).when(k.isin(1, 2, 3), F.lit("update")).when(k == 4, F.lit("cancel")).when(k == 5, F.lit("log"))
+        .otherwise(F.lit("refresh"))
+    )
+    status = F.when(k == 0, F.lit("submitted")).when(k == 1, F.lit("running")).when(k == 2, F.lit("completed"))
+    polled = F.when(k > 6, state)
     return o.select(
         F.concat(F.lit("job-"), F.col("o_custkey").cast("string")).alias("job_id"),
         F.col("o_orderkey").alias("seq"),
         F.col("o_orderdate").alias("ts"),
-        F.lit("refresh").alias("kind"),
-        F.lit(None).cast("string").alias("status"),
-        state.alias("state"),
-        F.concat(F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] "), state).alias("log"),
+        kind.alias("kind"),
+        status.alias("status"),
+        polled.alias("state"),
+        F.concat(F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] "), F.coalesce(polled, kind)).alias("log"),
         _process_by_priority().alias("process_type"),
     )
 
@@ -141,8 +150,11 @@ ORACLE_VIEWS = {
         SELECT DISTINCT bucket, rtrim(trim(path, '/'), '/') AS prefix FROM v_selection""",
     "v_runs": """
         SELECT 'job-' || CAST(o_custkey AS VARCHAR) AS job_id, o_orderkey AS seq, o_orderdate AS ts,
-               CASE o_orderstatus WHEN 'O' THEN 'JOB_STATE_RUNNING' WHEN 'F' THEN 'JOB_STATE_DONE'
-                    ELSE 'JOB_STATE_UNKNOWN_X' END AS state,
+               CASE WHEN o_orderkey % 16 = 0 THEN 'create' WHEN o_orderkey % 16 IN (1, 2, 3) THEN 'update'
+                    WHEN o_orderkey % 16 = 4 THEN 'cancel' WHEN o_orderkey % 16 = 5 THEN 'log' ELSE 'refresh' END AS kind,
+               CASE o_orderkey % 16 WHEN 0 THEN 'submitted' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' END AS status,
+               CASE WHEN o_orderkey % 16 > 6 THEN CASE o_orderstatus WHEN 'O' THEN 'JOB_STATE_RUNNING' WHEN 'F' THEN 'JOB_STATE_DONE'
+                    ELSE 'JOB_STATE_UNKNOWN_X' END END AS state,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'decompress_only'
                     WHEN '2' THEN 'decompress_and_concatenate' WHEN '3' THEN 'decompress_concatenate_parse'
                     WHEN '4' THEN 'direct_to_bigquery' ELSE 'load_to_table' END AS process_type

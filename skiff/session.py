@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from . import files
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -24,6 +26,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
@@ -34,16 +38,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a folder of our own
-    created and registered, so later ``checkpoint()`` calls and written tables land
-    in the same place.
+    Read from the session.  Where it is unset, a local session (tests) gets a folder of its
+    own; on a cluster that is an error, as no folder of one machine will do.
     """
     d = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="skiff-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skiff-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()
+    return files.qualified(spark, d)
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
@@ -72,8 +76,8 @@ def ship_package(spark: SparkSession) -> None:
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-        for dirpath, _dirs, files in os.walk(pkg_dir):
-            for f in sorted(files):
+        for dirpath, _dirs, names in os.walk(pkg_dir):
+            for f in sorted(names):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     arc = os.path.relpath(full, os.path.dirname(pkg_dir))
@@ -81,13 +85,7 @@ def ship_package(spark: SparkSession) -> None:
     data = buf.getvalue()
     name = f"skiff-{hashlib.sha1(data).hexdigest()[:12]}.zip"
     target = f"{shared_dir(spark)}/{name}"
-    import pyarrow.fs as pafs
-
-    uri = target if "://" in target else "file://" + target
-    fs, p = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(p) as out:
-        out.write(data)
+    files.write(spark, target, data)
     sc.addPyFile(target)
     _SHIPPED.add(app)
 

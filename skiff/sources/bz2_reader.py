@@ -1,23 +1,20 @@
 """SRC-2: read bz2 line files with all-or-nothing failure per file.
 
-``read_files(files)`` takes a DataFrame of objects (``path``, ``size_bytes``) and returns
-one DataFrame carrying both outputs of the single read pass:
+``read_files(files)`` takes a DataFrame of objects (``path``, ``size_bytes``), reads every
+file once and stages what it read in the shared folder; it returns the staged table with
 
-* line rows     ``path, line_no, value``            (``value`` not null)
-* manifest rows ``path, bytes, n_lines, error``     (``value`` null, one per file)
+* line rows     ``path, line_no, value, stream``           (``line_no`` not null)
+* manifest rows ``path, bytes, n_lines, error, stream``    (``line_no`` null, one per file)
 
-A file contributes lines only if it downloads, decompresses (multi-stream; trailing
-garbage after a complete stream ignored) and decodes as strict UTF-8 in full; otherwise
-it contributes zero lines and a manifest row with the error.  Lines follow the
-whole-document rule: strip the document, split on ``\\n`` only, drop lines that are blank
-after stripping, keep the others as they are.
+The manifest row commits or discards a file's lines, at every file size: ``lines_of`` leaves
+out the lines of failed files (undecodable, cut short, not strict UTF-8) and of a trailing
+part that turned out not to be bz2 (``stream`` of the manifest row: the last one that counts).
+Lines follow the whole-document rule: strip the document, split on ``\n`` only, drop lines
+that are blank after stripping, keep the others as they are.
 
 Work distribution: files are dealt round-robin over ``ceil(total_bytes / target_bytes)``
-tasks, at least four per core (one small aggregate over the listing decides the
-count), so many tiny files share a task and large ones spread out.  Each task streams its files in fixed-size chunks;
-files up to ``buffer_bytes`` (32 MB compressed, a few hundred MB of lines) are checked
-and emitted in one pass, larger ones are checked in a first streaming pass and emitted
-in a second, so a task never holds more than one bounded file in memory.
+tasks, at least four per core (one small aggregate over the listing decides the count).  A
+task holds one decompressed piece of at most ``_PIECE`` bytes and the line it cuts.
 """
 
 from __future__ import annotations
@@ -30,9 +27,14 @@ from typing import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT_SCHEMA = "path string, line_no bigint, value string, bytes bigint, n_lines bigint, error string"
+from ..files import arrow_uri
+
+OUT_SCHEMA = "path string, line_no bigint, value string, bytes bigint, n_lines bigint, error string, stream bigint"
 
 _CHUNK = 8 << 20  # bytes per read from storage
+_PIECE = 16 << 20  # decompressed bytes handled at a time
+#: Discarded files are broadcast up to this many; beyond that the join shuffles.
+BROADCAST_DISCARDS = 100_000
 
 
 class FileError(Exception):
@@ -43,50 +45,43 @@ def _open(path: str, cache: dict):
     """Raw byte stream of one object; one filesystem handle per scheme+host per task."""
     import pyarrow.fs as pafs
 
-    if "://" in path and not path.startswith("file://"):
-        scheme, rest = path.split("://", 1)
-        host = f"{scheme}://{rest.split('/', 1)[0]}"
-        fs = cache.get(host)
-        if fs is None:
-            fs, _ = pafs.FileSystem.from_uri(path)
-            cache[host] = fs
-        inner = pafs.FileSystem.from_uri(path)[1]
-    else:
-        fs = cache.setdefault("local", pafs.LocalFileSystem())
-        inner = path[len("file://") :] if path.startswith("file://") else path
+    uri = arrow_uri(path)
+    scheme, rest = uri.split("://", 1)
+    host = f"{scheme}://{rest.split('/', 1)[0]}"
+    if host not in cache:
+        cache[host] = pafs.FileSystem.from_uri(f"{host}/")
+    fs, root = cache[host]
+    inner = root.rstrip("/") + "/" + rest.split("/", 1)[1]
     # compression=None: hand us the raw bytes, we decompress ourselves
     return fs.open_input_stream(inner, compression=None)
 
 
-def _bz2_chunks(raw_chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """Decompressed bytes of a (possibly multi-stream) bz2 object.
+def _bz2_pieces(raw_chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes | None]]:
+    """(stream number, decompressed bytes) of a (possibly multi-stream) bz2 object, at most
+    ``_PIECE`` bytes each.
 
     Same outcome as ``bz2.decompress`` on the whole object: every complete stream is
-    decoded; data after a complete stream that is not bz2 is ignored; a stream cut short
-    or a first stream that is not bz2 is an error.
+    decoded; what follows a complete stream and is not bz2 is ignored, also where that shows
+    only after some of it was decoded: ``(n, None)`` takes back stream ``n`` and is the last
+    item.  A stream cut short or a first stream that is not bz2 is an error.
     """
-    dec = None
-    streams_done = 0
-    for chunk in raw_chunks:
-        data = chunk
-        while data:
-            if dec is None:
-                dec = bz2.BZ2Decompressor()
+    dec, number = None, 0
+    for data in raw_chunks:
+        while data or (dec is not None and not dec.eof and not dec.needs_input):
+            dec = dec or bz2.BZ2Decompressor()
             try:
-                out = dec.decompress(data)
+                out = dec.decompress(data, _PIECE)
             except OSError:
-                if streams_done:
-                    return  # trailing garbage after a complete stream
-                raise
+                if not number:
+                    raise
+                yield number, None
+                return
+            data = b""
             if out:
-                yield out
+                yield number, out
             if dec.eof:
-                streams_done += 1
-                data = dec.unused_data
-                dec = None
-            else:
-                data = b""
-    if dec is not None and not dec.eof:
+                data, dec, number = dec.unused_data, None, number + 1
+    if dec is not None:
         raise FileError("Compressed data ended before the end-of-stream marker was reached")
 
 
@@ -95,55 +90,69 @@ _PY_WS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 _BLANK_RE = "^[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in _PY_WS) + "]*$"
 
 
-def _line_arrays(data_chunks: Iterator[bytes]):
-    """Non-blank lines of one document as Arrow string arrays, one per decompressed chunk.
+class _Lines:
+    """Non-blank lines of one document as Arrow string arrays, fed piece by piece.
 
     Splitting on ``\n``, strict UTF-8 validation (the cast) and the blank test run in
     Arrow's C++ kernels; Python touches only the document's first and last kept line,
-    which get the whole-document strip (``lstrip`` / ``rstrip``).  Chunks are cut at their
+    which get the whole-document strip (``lstrip`` / ``rstrip``).  Pieces are cut at their
     last ``\n`` (never inside a UTF-8 sequence), so only a partial line is carried.
     """
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    pending = b""
-    held = None  # last kept line, held back: it may be the document's last
-    first = True
+    def __init__(self):
+        self.pending: list[bytes] = []
+        self.held = None  # last kept line, held back: it may be the document's last
+        self.first = True
+        self.done = 0  # lines given out
+
+    def copy(self) -> _Lines:
+        other = _Lines()
+        other.pending, other.held, other.first, other.done = list(self.pending), self.held, self.first, self.done
+        return other
+
+    def _kept(self, buf: bytes):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def kept_lines(buf: bytes):
         parts = pc.split_pattern(pa.array([buf], pa.binary()), b"\n").flatten()
         lines = parts.cast(pa.string())  # raises on invalid UTF-8
         return lines.filter(pc.invert(pc.match_substring_regex(lines, _BLANK_RE)))
 
-    def emit(kept):
-        nonlocal held, first
+    def _emit(self, kept):
+        import pyarrow as pa
+
         n = len(kept)
         if n == 0:
-            return None
-        if first:
+            return
+        if self.first:
             kept = pa.concat_arrays([pa.array([kept[0].as_py().lstrip()], pa.string()), kept.slice(1)])
-            first = False
+            self.first = False
         out = kept.slice(0, n - 1)
-        if held is not None:
-            out = pa.concat_arrays([pa.array([held], pa.string()), out])
-        held = kept[n - 1].as_py()
-        return out
-
-    for chunk in data_chunks:
-        data = pending + chunk if pending else chunk
-        cut = data.rfind(b"\n")
+        if self.held is not None:
+            out = pa.concat_arrays([pa.array([self.held], pa.string()), out])
+        self.held = kept[n - 1].as_py()
+        if len(out):
+            yield self.done, out
+            self.done += len(out)
+
+    def feed(self, piece: bytes):
+        """(first line number, lines) of what the piece completes."""
+        cut = piece.rfind(b"\n")
         if cut < 0:
-            pending = data
-            continue
-        pending = data[cut + 1 :]
-        out = emit(kept_lines(data[:cut]))
-        if out is not None and len(out):
-            yield out
-    out = emit(kept_lines(pending))
-    if out is not None and len(out):
-        yield out
-    if held is not None:
-        yield pa.array([held.rstrip()], pa.string())
+            self.pending.append(piece)
+            return
+        head = b"".join([*self.pending, piece[:cut]])
+        self.pending = [piece[cut + 1 :]]
+        # a document that is one long line after another may complete more than a piece
+        yield from self._emit(self._kept(head))
+
+    def finish(self):
+        import pyarrow as pa
+
+        yield from self._emit(self._kept(b"".join(self.pending)))
+        if self.held is not None:
+            yield self.done, pa.array([self.held.rstrip()], pa.string())
+            self.done += 1
 
 
 def _raw_chunks(stream) -> Iterator[bytes]:
@@ -154,9 +163,12 @@ def _raw_chunks(stream) -> Iterator[bytes]:
         yield b
 
 
-def _scan(path: str, fs_cache: dict, counter: list):
-    """Line arrays of one file; ``counter[0]`` accumulates compressed bytes read and
-    ``counter[1]`` is set once the object is open."""
+def _scan(path: str, fs_cache: dict, counter: list, last_stream: int | None = None):
+    """(stream, first line number, lines) of one file.
+
+    ``counter``: [compressed bytes read, object opened, lines, last stream that counts or
+    None if all do].  With ``last_stream`` nothing behind that stream is read.
+    """
 
     def counted():
         with _open(path, fs_cache) as stream:
@@ -165,12 +177,27 @@ def _scan(path: str, fs_cache: dict, counter: list):
                 counter[0] += len(b)
                 yield b
 
-    yield from _line_arrays(_bz2_chunks(counted()))
+    lines, number, before = _Lines(), 0, _Lines()
+    for stream, piece in _bz2_pieces(counted()):
+        if last_stream is not None and stream > last_stream:
+            break
+        if piece is None:
+            if stream == number:  # some of it was given out: go back to where it began
+                lines, number = before, stream - 1
+                counter[3] = number
+            break
+        if stream != number:
+            before, number = lines.copy(), stream
+        for at, values in lines.feed(piece):
+            yield number, at, values
+    for at, values in lines.finish():
+        yield number, at, values
+    counter[2] = lines.done
 
 
 _OUT_FIELDS = [
     ("path", "string"), ("line_no", "int64"), ("value", "string"),
-    ("bytes", "int64"), ("n_lines", "int64"), ("error", "string"),
+    ("bytes", "int64"), ("n_lines", "int64"), ("error", "string"), ("stream", "int64"),
 ]
 
 
@@ -180,7 +207,7 @@ def _arrow_schema():
     return pa.schema([(n, getattr(pa, t)()) for n, t in _OUT_FIELDS])
 
 
-def _line_batch(path: str, start: int, values):
+def _line_batch(path: str, stream: int, start: int, values):
     import numpy as np
     import pyarrow as pa
 
@@ -193,12 +220,13 @@ def _line_batch(path: str, start: int, values):
             pa.nulls(n, pa.int64()),
             pa.nulls(n, pa.int64()),
             pa.nulls(n, pa.string()),
+            pa.array(np.full(n, stream, dtype=np.int64)),
         ],
         schema=_arrow_schema(),
     )
 
 
-def _read_partition(batches, buffer_bytes: int):
+def _read_partition(batches):
     """``mapInArrow`` body: files of this task -> line batches, then manifest rows."""
     import pyarrow as pa
 
@@ -207,45 +235,19 @@ def _read_partition(batches, buffer_bytes: int):
     for rb in batches:
         cols = rb.to_pydict()
         for path, size in zip(cols["path"], cols["size_bytes"]):
-            counter = [0, False]
+            counter = [0, False, 0, None]
             err = None
-            n = 0
-            held = []
             try:
-                if size is not None and size > buffer_bytes:
-                    # large file: validate in a streaming pass, emit in a second one
-                    for arr in _scan(path, fs_cache, counter):
-                        n += len(arr)
-                    held = None
-                else:
-                    held = list(_scan(path, fs_cache, counter))
-                    n = sum(len(a) for a in held)
+                for stream, start, values in _scan(path, fs_cache, counter):
+                    yield _line_batch(path, stream, start, values)
             except Exception as e:  # noqa: BLE001 -- any failure isolates the file
                 err = f"{type(e).__name__}: {e}"
-                n = 0
-                held = []
                 # the object was fetched before the failure: count it whole
                 if counter[1] and size is not None:
                     counter[0] = int(size)
-            if err is None:
-                source = held if held is not None else _scan(path, fs_cache, [0, False])
-                start = 0
-                for arr in source:
-                    yield _line_batch(path, start, arr)
-                    start += len(arr)
-            manifest.append((path, counter[0], n, err))
+            manifest.append((path, None, None, counter[0], 0 if err else counter[2], err, -1 if err else counter[3]))
     if manifest:
-        yield pa.RecordBatch.from_pydict(
-            {
-                "path": [m[0] for m in manifest],
-                "line_no": [None] * len(manifest),
-                "value": [None] * len(manifest),
-                "bytes": [m[1] for m in manifest],
-                "n_lines": [m[2] for m in manifest],
-                "error": [m[3] for m in manifest],
-            },
-            schema=_arrow_schema(),
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*manifest), _arrow_schema())], schema=_arrow_schema())
 
 
 def plan_tasks(files: DataFrame, target_bytes: int) -> int:
@@ -259,44 +261,44 @@ def plan_tasks(files: DataFrame, target_bytes: int) -> int:
     return max(1, min(n, max(4 * cores, math.ceil(total / target_bytes))))
 
 
-def read_files(
-    files: DataFrame,
-    target_bytes: int = 128 << 20,
-    buffer_bytes: int = 32 << 20,
-    num_tasks: int | None = None,
-) -> DataFrame:
-    """Strict reader over a DataFrame of objects (needs ``path`` and ``size_bytes``)."""
-    from ..session import ship_package
+def read_files(files: DataFrame, target_bytes: int = 128 << 20, num_tasks: int | None = None) -> DataFrame:
+    """Strict reader over a DataFrame of objects (``path`` with a scheme, ``size_bytes``):
+    the staged table of the module's description."""
+    from ..session import materialize, ship_package
 
     ship_package(files.sparkSession)
     n = num_tasks or plan_tasks(files, target_bytes)
     # round-robin: equal file counts per task (Spark sorts first, so retries deal the same)
     spread = files.select("path", "size_bytes").repartition(n)
-    return spread.mapInArrow(lambda it: _read_partition(it, buffer_bytes), OUT_SCHEMA)
+    return materialize(spread.mapInArrow(_read_partition, OUT_SCHEMA), "read")
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col("value").isNotNull()).select("path", "line_no", "value")
+    """Committed lines of a staged read: path, line_no, value."""
+    lines = raw.where(F.col("line_no").isNotNull())
+    gone = raw.where(F.col("line_no").isNull() & F.col("stream").isNotNull()).select("path", F.col("stream").alias("_last"))
+    n = gone.count()
+    if n:
+        gone = F.broadcast(gone) if n <= BROADCAST_DISCARDS else gone
+        lines = lines.join(gone, "path", "left").where(F.col("_last").isNull() | (F.col("stream") <= F.col("_last")))
+    return lines.select("path", "line_no", "value")
 
 
 def manifest_of(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col("value").isNull()).select(
-        "path", "bytes", F.col("n_lines").alias("lines"), "error"
-    )
+    return raw.where(F.col("line_no").isNull()).select("path", "bytes", F.col("n_lines").alias("lines"), "error")
 
 
-def counter_columns():
-    """AGG-10 counters over the raw read, for ``DataFrame.observe`` or ``agg``."""
-    is_manifest = F.col("value").isNull()
-    return [
-        F.count_if(is_manifest & F.col("error").isNull()).alias("files_processed"),
+def counters_of(manifest: DataFrame) -> DataFrame:
+    """AGG-10: one row of counters from a manifest."""
+    return manifest.agg(
+        F.count_if(F.col("error").isNull()).alias("files_processed"),
         F.count_if(F.col("error").isNotNull()).alias("files_failed"),
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_read"),
-        F.count_if(~is_manifest).alias("lines_yielded"),
-    ]
+        F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
+    )
 
 
-DOC_SCHEMA = "path string, value string, error string"
+DOC_SCHEMA = "path string, value string, bytes bigint, error string"
 
 
 def _read_docs_partition(batches):
@@ -307,22 +309,22 @@ def _read_docs_partition(batches):
     import pyarrow as pa
 
     fs_cache: dict = {}
-    schema = pa.schema([("path", pa.string()), ("value", pa.string()), ("error", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("value", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
     for rb in batches:
-        paths, values, errors = [], [], []
         for path in rb.column("path").to_pylist():
+            value = error = None
+            size = 0
             try:
                 with _open(path, fs_cache) as stream:
                     data = stream.read()
+                size = len(data)
                 if path.endswith(".gz"):
                     data = gzip.decompress(data)
-                values.append(data.decode("utf-8"))
-                errors.append(None)
+                value = data.decode("utf-8")
             except Exception as e:  # noqa: BLE001
-                values.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
-            paths.append(path)
-        yield pa.RecordBatch.from_pydict({"path": paths, "value": values, "error": errors}, schema=schema)
+                error = f"{type(e).__name__}: {e}"
+            # one document a batch: a task never holds two
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((path, value, size, error), schema)], schema=schema)
 
 
 def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
@@ -334,34 +336,23 @@ def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame
     return files.select("path").repartition(n).mapInArrow(_read_docs_partition, DOC_SCHEMA)
 
 
-def read_native(spark, root: str, selected_paths: list[str] | None = None, ext: str = ".bz2") -> DataFrame:
-    """SRC-2, native mode: Spark's own text reader over the selected folders.
+def read_json_arrays(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
+    """SRC-6 / SRC-7 as a staged read like ``read_files``: the elements of each document's
+    JSON array are its lines; a document that is not an array has failed."""
+    from ..operators.ndjson import explode_json_array
+    from ..session import materialize
 
-    For large trusted files: bz2 is splittable, so one large file spreads over many
-    tasks.  Lines are split on ``\\n`` only and blank lines dropped, but the rule is per
-    line (the strict reader's whole-document strip also trims the outer whitespace of a
-    file's first and last line), there is no per-file failure accounting, and Spark's file
-    index skips names starting with ``_`` or ``.``.  Selected paths that do not exist
-    are skipped (Spark would fail the read; the reference counts zero).
-    """
-    import pyarrow.fs as pafs
-
-    from ..functions import columns as C
-
-    base = root.rstrip("/")
-    fs, r = pafs.FileSystem.from_uri(base if "://" in base else "file://" + base)
-    wanted = [p.strip("/") for p in (selected_paths or [""])]
-    paths = []
-    for p in wanted:
-        info = fs.get_file_info(f"{r}/{p}" if p else r)
-        if info.type != pafs.FileType.NotFound:
-            paths.append(f"{base}/{p}" if p else base)
-    if not paths:
-        return spark.createDataFrame([], "path string, value string")
-    df = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{ext}")
-        .text(paths)
+    docs = materialize(read_documents(files, target_bytes), "documents")
+    items = explode_json_array(docs.where("error is null"))
+    null = F.lit(None)
+    lines = items.where("value is not null").select(
+        "path", F.col("item_no").cast("long").alias("line_no"), "value", null.cast("long").alias("bytes"), null.cast("long").alias("n_lines"),
+        null.cast("string").alias("error"), F.lit(0).cast("long").alias("stream"),
+    )
+    parsed = docs.withColumn("n", F.array_size(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")))
+    error = F.coalesce("error", F.when(F.col("n").isNull(), F.lit("DocumentError: not a JSON array")))
+    manifest = parsed.select(
+        "path", null.cast("long").alias("line_no"), null.cast("string").alias("value"), "bytes", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
+        error.alias("error"), F.when(error.isNotNull(), F.lit(-1)).cast("long").alias("stream"),
     )
-    return df.select(F.col("_metadata.file_path").alias("path"), "value").where(~C.is_blank("value"))
+    return materialize(lines.unionByName(manifest), "read")

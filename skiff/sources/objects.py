@@ -1,185 +1,115 @@
-"""SRC-1: the ``objects`` data source -- a storage listing as a DataFrame.
+"""SRC-1: a storage listing as a DataFrame.
 
-``spark.read.format("objects").option("path", root).load()`` lists every object under
-``root`` recursively, on the executors, and returns
-``bucket STRING, key STRING, path STRING, size_bytes BIGINT, updated TIMESTAMP``.
-
-``path`` is the bucket root (``gs://bucket``, ``s3://bucket``, a local folder): keys
-are relative to it, as object names are.  To list part of a bucket, filter on
-``key.startswith(prefix)``; the filter is pushed into the listing.
+``list_objects(spark, root, bucket, prefixes)`` returns
+``bucket STRING, key STRING, path STRING, size_bytes BIGINT, updated TIMESTAMP`` of every
+object under ``root`` whose key starts with one of the prefixes (all, if none are given).
+``root`` is the bucket root (``gs://bucket``, ``s3://bucket``, a folder): keys are relative
+to it, as object names are.
 
 Unlike ``binaryFile``/``text`` it hides nothing: zero-byte objects and names starting
 with ``_`` or ``.`` are listed, as a storage listing would.  No file content is read.
 
-Partitioning: the driver walks only the top folder levels (folder names, breadth first)
-until there are ``targetPartitions`` folders or ``planDepth`` levels; the folder trees
-below (and the files directly in each walked folder) are dealt round-robin into at most
-``targetPartitions`` executor tasks.  A hot first-level folder is thereby split by its
-sub-folders instead of being one task.  A ``key`` ``startswith`` filter is pushed into the listing: only folders that can
-hold matching keys are walked (needs ``spark.sql.python.filterPushdown.enabled``, which
-``list_objects`` turns on).
+Only folders that can hold a prefix are opened, and only by executors: each of the first
+``LEVELS`` rounds lists one level of the folders found so far and deals the folders below
+out anew, so a folder with most of the objects is shared by its sub-folders; the last round
+lists what is below in full.  Each round is a table in the shared folder.  (Arrow's file
+layer cannot page a listing, so one folder without sub-folders is one task.)
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import timezone
 
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    InputPartition,
-    StringStartsWith,
-)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import files
 
 SCHEMA = "bucket string, key string, path string, size_bytes bigint, updated timestamp"
+_ROW = "key string, size_bytes bigint, updated timestamp, folder boolean"
 _BATCH = 8192
+#: Rounds that list one level of folders.
+LEVELS = 2
+
+
+def _children(fs, base: str, recursive: bool):
+    """File infos in a folder; none if there is no such folder."""
+    import pyarrow.fs as pafs
+
+    return fs.get_file_info(pafs.FileSelector(base, recursive=recursive, allow_not_found=True))
 
 
-def _fs_and_root(uri: str):
+def _list(uri: str, prefix: str, recursive: bool, whole: bool):
+    """(key, size, updated, is folder) at or below the folder of ``prefix`` that start with it.
+
+    ``whole``: the prefix is a folder and everything in it is wanted."""
     import pyarrow.fs as pafs
 
     fs, root = pafs.FileSystem.from_uri(uri)
-    return fs, root.rstrip("/")
+    root = root.rstrip("/")
+    folder, part = (prefix, "") if whole else (prefix.rpartition("/")[0], prefix)
+    for info in _children(fs, f"{root}/{folder}" if folder else root, recursive):
+        key = info.path[len(root) + 1 :]
+        is_folder = info.type == pafs.FileType.Directory
+        if not (is_folder or info.type == pafs.FileType.File):
+            continue
+        # "a/b" and "a/b/" both want what is in the folder "a/b"
+        if not (key.startswith(part) or (is_folder and f"{key}/" == part)):
+            continue
+        if is_folder and recursive:
+            continue
+        time = info.mtime
+        if time is not None and time.tzinfo is None:
+            time = time.replace(tzinfo=timezone.utc)
+        yield key, None if is_folder else info.size, time, is_folder
+
+
+def _lister(uri: str, recursive: bool, whole: bool):
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("key", pa.string()), ("size_bytes", pa.int64()), ("updated", pa.timestamp("us", tz="UTC")), ("folder", pa.bool_())])
 
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-@dataclass
-class _Part(InputPartition):
-    """Folders one task lists: ``(base, recursive)``; ``recursive=False`` lists only the
-    files directly in ``base``."""
+        rows = []
+        for b in batches:
+            for prefix in b.column(0).to_pylist():
+                for row in _list(uri, prefix, recursive, whole):
+                    rows.append(row)
+                    if len(rows) >= _BATCH:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
 
-    items: list
+    return run
 
 
 def _default_bucket(uri: str) -> str:
-    if "://" in uri and not uri.startswith("file://"):
-        return uri.split("://", 1)[1].split("/", 1)[0]
-    return ""
-
-
-class ObjectsReader(DataSourceReader):
-    def __init__(self, options):
-        self.uri = options["path"]
-        self.bucket = options.get("bucket", _default_bucket(self.uri))
-        self.target = int(options.get("targetPartitions", "64"))
-        self.max_depth = int(options.get("planDepth", "3"))
-        self.prefixes: list[str] = []
-
-    # -- filter push-down: key startswith p narrows what is walked ------------------------
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, StringStartsWith) and f.attribute == ("key",):
-                self.prefixes.append(f.value)
-            else:
-                yield f
-
-    def _prefix_ok(self, rel: str, is_dir: bool) -> bool:
-        for p in self.prefixes:
-            if is_dir:
-                d = rel + "/"
-                if not (d.startswith(p) or p.startswith(d)):
-                    return False
-            elif not rel.startswith(p):
-                return False
-        return True
-
-    # -- planning on the driver: folder names of the top levels only ---------------------
-    def partitions(self):
-        import pyarrow.fs as pafs
-
-        fs, root = _fs_and_root(self.uri)
-        items: list[tuple[str, bool]] = []
-        frontier = [""]
-        depth = 0
-        while frontier and depth < self.max_depth and len(frontier) < self.target:
-            nxt = []
-            for rel in frontier:
-                items.append((rel, False))
-                base = f"{root}/{rel}" if rel else root
-                for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-                    if info.type == pafs.FileType.Directory:
-                        child = info.path[len(root) + 1 :]
-                        if self._prefix_ok(child, True):
-                            nxt.append(child)
-            frontier = nxt
-            depth += 1
-        items.extend((rel, True) for rel in frontier)
-        # deal the folders round-robin into at most ``target`` tasks
-        n = max(1, min(self.target, len(items)))
-        return [_Part(items[i::n]) for i in range(n)]
-
-    # -- executor side -----------------------------------------------------------------
-    def read(self, partition: _Part):
-        import pyarrow as pa
-        import pyarrow.fs as pafs
-
-        fs, root = _fs_and_root(self.uri)
-        scheme_root = self.uri.rstrip("/")
-        schema = pa.schema(
-            [
-                ("bucket", pa.string()),
-                ("key", pa.string()),
-                ("path", pa.string()),
-                ("size_bytes", pa.int64()),
-                ("updated", pa.timestamp("us", tz="UTC")),
-            ]
-        )
-        cols = {"bucket": [], "key": [], "path": [], "size_bytes": [], "updated": []}
-
-        def flush():
-            batch = pa.RecordBatch.from_pydict(cols, schema=schema)
-            for v in cols.values():
-                v.clear()
-            return batch
-
-        for rel, recursive in partition.items:
-            base = f"{root}/{rel}" if rel else root
-            sel = pafs.FileSelector(base, recursive=recursive, allow_not_found=True)
-            for info in fs.get_file_info(sel):
-                if info.type != pafs.FileType.File:
-                    continue
-                key = info.path[len(root) + 1 :]
-                if not self._prefix_ok(key, False):
-                    continue
-                mt = info.mtime
-                if mt is not None and mt.tzinfo is None:
-                    mt = mt.replace(tzinfo=timezone.utc)
-                cols["bucket"].append(self.bucket)
-                cols["key"].append(key)
-                cols["path"].append(f"{scheme_root}/{key}")
-                cols["size_bytes"].append(info.size)
-                cols["updated"].append(mt)
-                if len(cols["key"]) >= _BATCH:
-                    yield flush()
-        if cols["key"]:
-            yield flush()
-
-
-class ObjectsDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "objects"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return ObjectsReader(self.options)
-
-
-def register(spark) -> None:
-    spark.dataSource.register(ObjectsDataSource)
-
-
-def list_objects(spark, root: str, bucket: str | None = None, target_partitions: int | None = None):
-    """Listing of ``root`` as a DataFrame (see module doc)."""
-    from ..session import ship_package
+    return "" if uri.startswith("file://") else uri.split("://", 1)[1].split("/", 1)[0]
+
+
+def list_objects(spark: SparkSession, root: str, bucket: str | None = None, prefixes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """See the module.  ``prefixes``: a DataFrame with a ``prefix`` column, none of which may
+    start with another."""
+    from ..session import materialize, ship_package
 
     ship_package(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    register(spark)
-    r = spark.read.format("objects").option("path", root)
-    if bucket is not None:
-        r = r.option("bucket", bucket)
-    tp = target_partitions or max(8, spark.sparkContext.defaultParallelism * 2)
-    return r.option("targetPartitions", str(tp)).load()
+    root = files.qualified(spark, root)
+    uri = files.arrow_uri(root)
+    n = tasks or 4 * spark.sparkContext.defaultParallelism
+    todo = (prefixes if prefixes is not None else spark.createDataFrame([("",)], "prefix string")).select("prefix")
+    found = []
+    for level in range(LEVELS):
+        here = materialize(todo.repartition(n).mapInArrow(_lister(uri, False, level > 0), _ROW), "listing")
+        found.append(here.where("not folder"))
+        todo = here.where("folder").select(F.col("key").alias("prefix"))
+    deep = materialize(todo.repartition(n).mapInArrow(_lister(uri, True, True), _ROW), "listing")
+    every = deep.where("not folder")
+    for f in found:
+        every = every.unionByName(f)
+    return every.select(
+        F.lit(_default_bucket(root) if bucket is None else bucket).alias("bucket"), "key", F.concat(F.lit(f"{root}/"), "key").alias("path"), "size_bytes", "updated"
+    )

@@ -1,8 +1,8 @@
 """Source registry (SRC-4, SRC-5, SRC-6, SRC-8).
 
 A source is a ``SourceSpec``: metadata, the extensions it selects, and a ``reader``
-``(spark, files DataFrame) -> DataFrame`` that replaces the reference's
-decompressor-class name.  ``build_patterns`` turns a selection DataFrame
+``(spark, files DataFrame) -> DataFrame`` that returns a staged read (lines and manifest,
+see ``bz2_reader``).  ``build_patterns`` turns a selection DataFrame
 ``(bucket, path)`` into one glob pair per path and extension.
 """
 
@@ -47,16 +47,16 @@ class SourceSpec:
 
 
 def _read_bz2(spark: SparkSession, files: DataFrame) -> DataFrame:
-    from .bz2_reader import lines_of, read_files
+    from .bz2_reader import read_files
 
-    return lines_of(read_files(files))
+    return read_files(files)
 
 
-def _read_json_docs(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """SRC-6: ``.json`` / ``.json.gz`` whole documents, one row per file, read on executors."""
-    from .bz2_reader import read_documents
+def _read_json(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """SRC-6: ``.json`` / ``.json.gz`` documents, the elements of their arrays as lines."""
+    from .bz2_reader import read_json_arrays
 
-    return read_documents(files)
+    return read_json_arrays(files)
 
 
 # fixed values: the two registered sources and their metadata
@@ -68,7 +68,7 @@ _SOURCES = {
         compression="bz2",
         content_type="ndjson",
         enabled=True,
-        description="Betfair historical market data in bz2-compressed NDJSON format",
+        description="Historical market data: bz2 files of NDJSON lines",
         reader=_read_bz2,
     ),
     "racing_api": SourceSpec(
@@ -78,8 +78,8 @@ _SOURCES = {
         compression="gzip",
         content_type="json",
         enabled=False,
-        description="The Racing API data in JSON/GZIP format (Coming Soon)",
-        reader=_read_json_docs,
+        description="Race data: JSON documents, plain or gzip; not open yet",
+        reader=_read_json,
     ),
 }
 
@@ -93,10 +93,23 @@ def get_source(source_id: str) -> SourceSpec:
     try:
         return _SOURCES[source_id]
     except KeyError:
-        raise UnknownSource(f"Unknown plugin: {source_id}") from None
+        raise UnknownSource(f"no source {source_id!r}; known: {sorted(_SOURCES)}") from None
+
+
+class DisabledSource(ValueError):
+    pass
+
+
+def open_source(source_id: str) -> SourceSpec:
+    """SRC-5: a source that a job may read; a disabled one is an error."""
+    spec = get_source(source_id)
+    if not spec.enabled or spec.reader is None:
+        raise DisabledSource(f"source {source_id!r} is not enabled")
+    return spec
 
 
 def register_source(spec: SourceSpec) -> None:
+    """SRC-4: add a source, or replace the one with its id."""
     _SOURCES[spec.id] = spec
 
 
