@@ -242,9 +242,9 @@ def _read_partition(batches):
                     yield _line_batch(path, stream, start, values)
             except Exception as e:  # noqa: BLE001 -- any failure isolates the file
                 err = f"{type(e).__name__}: {e}"
-                # the object was fetched before the failure: count it whole
-                if counter[1] and size is not None:
-                    counter[0] = int(size)
+            # an object that was opened counts whole, also where reading it stopped early
+            if counter[1] and size is not None:
+                counter[0] = int(size)
             manifest.append((path, None, None, counter[0], 0 if err else counter[2], err, -1 if err else counter[3]))
     if manifest:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*manifest), _arrow_schema())], schema=_arrow_schema())

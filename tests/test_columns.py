@@ -145,3 +145,17 @@ def test_extract_date_and_segments(spark):
     assert col_values(spark, keys, C.extract_date, "string") == ["2024-01-05", "", "", "2024-99-99"]
     assert col_values(spark, keys, C.last_segment, "string") == ["x.bz2", "c", "f.bz2", "x-2024-99-99-2023-01-01.bz2"]
     assert col_values(spark, keys, C.parent_path, "string") == ["a/2024-01-05", "a/b", "2016/Jan/1", ""]
+
+
+def test_iso_utc_does_not_depend_on_the_session_zone(spark):
+    from datetime import datetime, timezone
+
+    t = datetime.fromtimestamp(1704067200, timezone.utc)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1704067200,)], "s long").select(F.timestamp_seconds("s").alias("t"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("n"))
+        r = df.select(C.iso_utc("t").alias("a"), C.iso_utc("n").alias("b")).first()
+        assert (r.a, r.b) == ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z") and t.year == 2024
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -2,12 +2,13 @@
 regressions (empty output, files processed twice) as permanent tests."""
 
 import bz2
+import gzip
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from skiff.operators import runs, select, transport
+from skiff.operators import ndjson, runs, select, transport
 from skiff.plans.job import JobConfig, read_manifest, run_transport
 
 
@@ -40,15 +41,13 @@ def test_concatenate_job(spark, source, tmp_path):
     # overlapping selections: every file once (regression: files processed twice)
     assert res["files_processed"] == 4 and res["files_failed"] == 1
     assert res["lines_yielded"] == 6
-    names = sorted(os.listdir(out))
-    shards = [n for n in names if n.startswith("output-")]
-    assert len(shards) == 3 and all(n.endswith("-of-00003.ndjson") for n in shards)
-    lines = sorted(r.value for r in transport.read_shards(spark, out).collect())
+    assert res["output"].endswith("/out/lines") and res["output_files"] == 3
+    lines = sorted(r.value for r in transport.read_shards(spark, res["output"]).collect())
     assert lines == sorted(['{"m":1}', '{"m":2}', '{"m":3}', '{"m":4} x', '{"m":5}', '{"m":6}'])
     man = {os.path.basename(r.path): r for r in read_manifest(spark, out).collect()}
     assert man["bad.bz2"].error and man["m2.bz2"].lines == 2
     state = runs.fold_runs(spark.read.parquet(runs_table)).first()
-    assert state.status == "completed" and state.n_events == 2
+    assert state.status == "completed" and state.n_events == 7
     assert state.stages == {s: "completed" for s in runs.STAGES}
     assert state.config["files_processed"] == "4" and state.config["lines_yielded"] == "6"
     assert state.config["shards"] == "3"
@@ -69,17 +68,35 @@ def test_prefix_boundary_reproduces_sibling_leak(spark, source, tmp_path):
     assert res["files_processed"] == 2
 
 
-def test_decompress_only_layout(spark, source, tmp_path):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_decompress_only_layout(spark, source, tmp_path, compression):
     out = str(tmp_path / "per")
-    res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_only"),
+    res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_only", compression=compression),
                         str(tmp_path / "r"))
-    assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
-    back = transport.read_per_input(spark, out).where(F.col("rel_path") != "_manifest")
-    got = {}
-    for r in back.collect():
-        got.setdefault(r.rel_path, []).append(r.value)
-    assert set(got) == {"2016/Jan/1/m1.bz2", "2016/Jan/1/m2.bz2", "2016/Jan/10/m3.bz2", "2016/Feb/2/m4.bz2"}
-    assert sorted(got["2016/Jan/1/m2.bz2"]) == ['{"m":3}', '{"m":4} x']
+    assert (res["files_processed"], res["files_failed"], res["lines_yielded"], res["output_files"]) == (4, 1, 6, 4)
+    suffix = ".gz" if compression == "gzip" else ""
+    assert {r.rel_path: r.value for r in transport.read_inputs(spark, res["output"]).collect()} == {
+        f"2016/Jan/1/m1{suffix}": '{"m":1}\n{"m":2}\n', f"2016/Jan/1/m2{suffix}": '{"m":3}\n{"m":4} x\n',
+        f"2016/Jan/10/m3{suffix}": '{"m":5}\n', f"2016/Feb/2/m4{suffix}": '{"m":6}\n',
+    }
+    left = [f for _d, _s, names in os.walk(tmp_path / "per" / "inputs") for f in names if "inprogress" in f]
+    assert not left
+    assert {r.output for r in read_manifest(spark, out).collect()} >= {f"2016/Jan/1/m1{suffix}", None}
+
+
+def test_decompress_only_takes_back_a_broken_later_stream(spark, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    body = "\n".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(200)) for _ in range(20_000)).encode()
+    second = bytearray(bz2.compress(body, 1))
+    second[-400_000:-399_000] = bytes(1000)
+    (tmp_path / "s" / "a").mkdir(parents=True)
+    (tmp_path / "s" / "a" / "x.bz2").write_bytes(bz2.compress(b"one\ntw") + bytes(second))
+    (tmp_path / "s" / "a" / "empty.bz2").write_bytes(bz2.compress(b"\n \n"))
+    res = run_transport(spark, _cfg(str(tmp_path / "s"), str(tmp_path / "o"), selected_paths=["a"], process_type="decompress_only"), str(tmp_path / "r"))
+    got = {r.rel_path: r.value for r in transport.read_inputs(spark, res["output"]).collect()}
+    assert got.get("a/x") == "one\ntw\n" and (tmp_path / "o" / "inputs" / "a" / "empty").read_bytes() == b""
 
 
 def test_parse_split(spark, source, tmp_path):
@@ -87,9 +104,8 @@ def test_parse_split(spark, source, tmp_path):
     res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_concatenate_parse"),
                         str(tmp_path / "r"))
     assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
-    valid = sorted(r.value for r in spark.read.text(f"{out}/_part=valid").collect())
-    rejected = sorted(r.value for r in spark.read.text(f"{out}/_part=rejected").collect())
-    assert rejected == ['{"m":4} x'] and len(valid) == 5
+    rows = ndjson.read_split(spark, res["output"]).collect()
+    assert [r.value for r in rows if not r.valid] == ['{"m":4} x'] and len(rows) == 6
 
 
 def test_table_sink(spark, source, tmp_path):
@@ -97,11 +113,55 @@ def test_table_sink(spark, source, tmp_path):
     res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="direct_to_bigquery"),
                         str(tmp_path / "r"))
     assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
-    t = spark.read.parquet(out).where("_part = 'lines'")
+    t = spark.read.parquet(res["output"])
     assert t.count() == 6
     assert t.where(F.col("doc").isNull()).count() == 1
 
 
+def test_gate_and_read_agree(spark, source, tmp_path):
+    # only Jan/10 exists under that start: nothing to read by the path rule, so nothing is written
+    (tmp_path / "s" / "Jan" / "10").mkdir(parents=True)
+    (tmp_path / "s" / "Jan" / "10" / "a.bz2").write_bytes(bz2.compress(b"x"))
+    cfg = dict(selected_paths=["Jan/1"])
+    for extra in ({}, {"skip_validation": True}):
+        with pytest.raises(select.ValidationError):
+            run_transport(spark, _cfg(str(tmp_path / "s"), str(tmp_path / "o"), **cfg, **extra), str(tmp_path / "r"))
+    assert not (tmp_path / "o").exists() and not (tmp_path / "r").exists()
+
+
+def test_disabled_and_unknown_sources(spark, source, tmp_path):
+    for kind in ("racing_api", "nosuch"):
+        with pytest.raises(ValueError):
+            run_transport(spark, _cfg(source, str(tmp_path / "o"), selected_paths=["2016"], source_type=kind), str(tmp_path / "r"))
+    assert not (tmp_path / "r").exists()
+
+
+def test_json_source_is_read_by_its_reader(spark, tmp_path):
+    from dataclasses import replace
+
+    from skiff.sources import registry
+
+    registry.register_source(replace(registry.get_source("racing_api"), id="json_on", enabled=True))
+    (tmp_path / "s" / "d").mkdir(parents=True)
+    (tmp_path / "s" / "d" / "a.json").write_text('[{"a":1},{"a":2}]')
+    (tmp_path / "s" / "d" / "b.json.gz").write_bytes(gzip.compress(b'[{"a":3}]'))
+    (tmp_path / "s" / "d" / "c.json").write_text("oops")
+    res = run_transport(spark, _cfg(str(tmp_path / "s"), str(tmp_path / "o"), selected_paths=["d"], source_type="json_on"), str(tmp_path / "r"))
+    assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (2, 1, 3)
+    assert sorted(r.value for r in transport.read_shards(spark, res["output"]).collect()) == ['{"a":1}', '{"a":2}', '{"a":3}']
+    del registry._SOURCES["json_on"]
+
+
+def test_failed_run_is_recorded(spark, source, tmp_path):
+    (tmp_path / "o" / "lines").mkdir(parents=True)  # the output is there already
+    (tmp_path / "o" / "lines" / "x").write_text("x")
+    table = str(tmp_path / "r")
+    with pytest.raises(Exception):
+        run_transport(spark, _cfg(source, str(tmp_path / "o"), selected_paths=["2016"]), table)
+    state = runs.fold_runs(spark.read.parquet(table)).first()
+    assert state.status == "failed" and state.stages["read"] == "failed" and state.stages["write"] == "waiting"
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip", "snappy"])
 def test_shard_roundtrip(spark, tmp_path, compression):
     rows = [(f'{{"i":{i}}}',) for i in range(100)] + [("x\r",)]

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
 from skiff.operators import ndjson
 
 VALID = ['{"a":1}', "[1,2]", "3", "null", '""', '  {"a":1}\r', '{"a":1,"a":2}']
@@ -25,11 +26,23 @@ def test_strict_validation_matches_python(spark):
     assert got == {s: py_valid(s) for s in VALID + INVALID}
 
 
-def test_split_valid(spark):
-    df = spark.createDataFrame([(s,) for s in VALID + INVALID], "value string")
-    good, bad = ndjson.split_valid(df)
-    assert sorted(r.value for r in good.collect()) == sorted(VALID)
-    assert sorted(r.value for r in bad.collect()) == sorted(INVALID)
+def test_write_split(spark, tmp_path):
+    lines = [s for s in VALID + INVALID if "\n" not in s]
+    df = spark.createDataFrame([(s,) for s in lines], "value string")
+    ndjson.write_split(df, str(tmp_path / "o"))
+    rows = ndjson.read_split(spark, str(tmp_path / "o")).collect()
+    assert sorted((r.value, r.valid) for r in rows) == sorted((s, s in VALID) for s in lines)
+
+
+def test_settings_are_the_callers(spark):
+    key = "spark.sql.variant.allowDuplicateKeys"
+    spark.conf.set(key, "false")
+    try:
+        with pytest.raises(RuntimeError):
+            ndjson.validate(spark.createDataFrame([("1",)], "value string"))
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.set(key, "true")
 
 
 def test_explode_json_array(spark):

@@ -20,9 +20,15 @@ def test_multi_extension_patterns(spark):
 
 
 def test_registry_lookup_and_listing(spark):
-    with pytest.raises(ValueError, match="Unknown plugin: nosuch"):
+    with pytest.raises(ValueError, match="nosuch"):
         registry.get_source("nosuch")
     rows = {r.id: r for r in registry.list_sources(spark).collect()}
     assert set(rows) == {"betfair", "racing_api"}
     assert rows["betfair"].enabled and not rows["racing_api"].enabled
     assert rows["racing_api"].extensions == [".json", ".json.gz"]
+
+
+def test_disabled_source_cannot_be_opened():
+    with pytest.raises(registry.DisabledSource):
+        registry.open_source("racing_api")
+    assert registry.open_source("betfair").reader is not None

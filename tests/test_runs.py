@@ -49,6 +49,82 @@ def test_status_rules(spark):
     assert f["j1"].last_state == "JOB_STATE_RUNNING"
 
 
+def sequential(rows):
+    """The status of each job by going through its events in order."""
+    mapped = {"JOB_STATE_RUNNING": "running", "JOB_STATE_DONE": "completed", "JOB_STATE_FAILED": "failed",
+              "JOB_STATE_CANCELLED": "cancelled", "JOB_STATE_PENDING": "submitted", "JOB_STATE_QUEUED": "submitted"}
+    status = {}
+    for job, _seq, _ts, kind, st, state, *_ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        now = status.setdefault(job, "submitted")
+        if kind == "cancel":
+            status[job] = "cancelled"
+        elif kind in ("create", "update") and st is not None:
+            status[job] = st
+        elif kind == "refresh" and state is not None and now in ("submitted", "running"):
+            status[job] = mapped.get(state, "running")
+    return status
+
+
+def test_status_equals_the_sequential_rule(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for j in range(200):
+        for k in range(rnd.randint(1, 8)):
+            kind = rnd.choice(["create", "update", "refresh", "refresh", "refresh", "cancel", "log"])
+            status = rnd.choice([None, "submitted", "running", "completed", "failed"]) if kind == "update" else "submitted" if kind == "create" else None
+            state = rnd.choice([None, "JOB_STATE_RUNNING", "JOB_STATE_DONE", "JOB_STATE_FAILED", "JOB_STATE_PENDING", "ODD"]) if kind == "refresh" else None
+            rows.append(ev(f"j{j}", k, kind, status=status, state=state))
+    assert {j: r.status for j, r in fold(spark, rows).items()} == sequential(rows)
+
+
+def test_polled_run_completes(spark):
+    rows = [
+        ev("j", 0, "create", status="submitted"), ev("j", 1, "refresh", state="JOB_STATE_RUNNING"),
+        ev("j", 2, "update", status="completed"), ev("j", 3, "refresh", state="JOB_STATE_RUNNING"),
+        ev("k", 0, "create", status="submitted"), ev("k", 1, "refresh", state="JOB_STATE_DONE"), ev("k", 2, "update", status="running"),
+        ev("k", 3, "refresh", state="JOB_STATE_FAILED"),
+    ]
+    f = fold(spark, rows)
+    assert (f["j"].status, f["k"].status) == ("completed", "failed")
+
+
+def test_unknown_runs_are_errors(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    for call in (runs.record_cancel, runs.get_run):
+        with pytest.raises(runs.UnknownRun):
+            call(spark, table, "no-such-job")
+    assert not (tmp_path / "runs").exists()
+    runs.append_events(runs.create_event(spark, "j", 0, ["a"], "decompress_only"), table)
+    with pytest.raises(runs.UnknownRun):
+        runs.record_log(spark, table, "other", "x")
+    runs.record_stage(spark, table, "j", "read", "running")
+    got = runs.get_run(spark, table, "j")
+    assert got["status"] == "submitted" and got["stages"]["read"] == "running" and got["stages"]["write"] == "waiting"
+    with pytest.raises(ValueError):
+        runs.record_stage(spark, table, "j", "nosuch", "running")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from skiff.__main__ import main
+
+    table = str(tmp_path / "runs")
+    assert main(["cancel", "--runs-table", table, "--job-id", "no-such-job"]) == 1
+    assert "error" in json.loads(capsys.readouterr().out)
+    runs.append_events(runs.create_event(spark, "j", 0, ["a"], "decompress_only"), table)
+    assert main(["cancel", "--runs-table", table, "--job-id", "j"]) == 0
+    capsys.readouterr()
+    assert main(["status", "--runs-table", table, "--job-id", "j"]) == 0
+    assert json.loads(capsys.readouterr().out)["status"] == "cancelled"
+    assert main(["logs", "--runs-table", table, "--job-id", "j"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["logs"]) == 1
+    assert main(["history", "--runs-table", table]) == 0
+    assert [r["job_id"] for r in json.loads(capsys.readouterr().out)["jobs"]] == ["j"]
+
+
 def test_partial_update_last_write_wins(spark):
     rows = [
         ev("j", 0, "create", status="submitted", process_type="a"),

@@ -108,20 +108,6 @@ def test_pattern_reduction(spark):
     assert pref == {("b", ""), ("c", "a"), ("d", "src1")}
 
 
-def test_validation_scan_cap(spark):
-    # 5 objects under a/: keys in order a/1.bz2, a/2.json, a/3.bz2, a/4.bz2, a/5.bz2
-    keys = [("bk", f"a/{i}.{'json' if i == 2 else 'bz2'}") for i in range(1, 6)]
-    objs = objects_df(spark, keys)
-    pats = select.build_patterns(select.selection(spark, "bk", ["a"]))
-    exact = {r.pattern: r.file_count for r in select.validate_patterns(objs, pats).collect()}
-    assert set(exact.values()) == {4}
-    capped = {r.pattern: r for r in select.validate_patterns(objs, pats, scan_cap=3).collect()}
-    # the first 3 listed objects hold 2 .bz2 files; not truncated (2 < 3)
-    assert {r.file_count for r in capped.values()} == {2} and not any(r.truncated for r in capped.values())
-    capped2 = select.validate_patterns(objs, pats, scan_cap=1).collect()
-    assert {(r.file_count, r.truncated) for r in capped2} == {(1, True)}
-
-
 def test_selection_summary(spark):
     keys = [("bk", "a/1.bz2"), ("bk", "a/2.bz2"), ("bk", "b/3.bz2")]
     objs = objects_df(spark, keys)
@@ -144,3 +130,25 @@ def test_large_pattern_branch_without_broadcast(spark):
         assert len(got) == len(set(got)) and set(got) == brute(keys, prefixes, boundary)
     per = {r.pattern: r.file_count for r in select.validate_patterns(objs, pats, broadcast_limit=0).collect()}
     assert per["gs://b0/src1/*.bz2"] == 2
+
+
+def test_prefix_lengths_join(spark):
+    """One row per key and prefix length, whatever the number of selected files of a folder."""
+    keys = [f"d/f{i:04d}.bz2" for i in range(300)] + ["d/f", "x/y/z.bz2", "top.bz2"]
+    objs = spark.createDataFrame([("b", k, 1) for k in keys], "bucket string, key string, size_bytes long")
+    sel = [f"d/f{i:03d}" for i in range(0, 30)] + ["top.bz2", "x"]
+    prefixes = spark.createDataFrame([("b", p) for p in sel], "bucket string, prefix string")
+    got = sorted(r.key for r in select.match_prefixes(objs, prefixes, "prefix").collect())
+    assert got == sorted(k for k in keys if any(k.startswith(p) for p in sel))
+    assert select.match_prefixes(objs, prefixes.limit(0), "prefix").collect() == []
+    root = spark.createDataFrame([("b", "")], "bucket string, prefix string")
+    assert select.match_prefixes(objs, root, "prefix").count() == len(keys)
+
+
+def test_validation_by_boundary_and_extension(spark):
+    objs = spark.createDataFrame([("b", k, 1) for k in ("Jan/10/a.bz2", "Feb/1/a.json.gz", "Feb/1/b.gz")], "bucket string, key string, size_bytes long")
+    pats = select.build_patterns(select.selection(spark, "b", ["Jan/1"]))
+    assert {r.file_count for r in select.validate_patterns(objs, pats).collect()} == {1}
+    assert {r.file_count for r in select.validate_patterns(objs, pats, boundary="path").collect()} == {0}
+    gz = select.build_patterns(select.selection(spark, "b", ["Feb"]), ".json.gz")
+    assert {r.file_count for r in select.validate_patterns(objs, gz, exts=(".gz", ".json.gz")).collect()} == {1}
