@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import files as fs
 from ..functions import columns as C
 from ..operators import ndjson, runs, select, transport
-from ..session import materialize, shared_dir
+from ..session import materialize, scratch, shared_dir
 from ..sources import bz2_reader
 from ..sources.objects import list_objects
 from ..sources.registry import open_source
@@ -98,9 +98,14 @@ def _write(spark: SparkSession, cfg: JobConfig, spec, files: DataFrame) -> dict:
 def run_transport(spark: SparkSession, cfg: JobConfig, runs_table: str | None = None) -> dict:
     """Run one transport job; returns counters, output and the run's final status.
 
-    An unknown or disabled source and a selection that fails the gate, or has no file, are
+    Its listing, staged read and other intermediate tables are deleted at the end.  An unknown or disabled source and a selection that fails the gate, or has no file, are
     errors before anything is written or recorded.
     """
+    with scratch(spark):
+        return _run(spark, cfg, runs_table)
+
+
+def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
     if cfg.process_type not in PROCESS_TYPES:
         raise ValueError(f"process_type must be one of {PROCESS_TYPES}")
     runs_table = runs_table or f"{shared_dir(spark)}/skiff-runs"

@@ -119,11 +119,15 @@ _VALIDATE_CTE = (
     "validate_patterns",
     _VALIDATE_CTE
     + """SELECT pattern, entries, file_count, file_count > 0 AS valid, false AS truncated,
-                CAST(NULL AS VARCHAR) AS error FROM per""",
+                CAST(NULL AS VARCHAR) AS error FROM per
+         UNION ALL
+         SELECT 's3' || substr(pattern, 3), entries, CAST(0 AS BIGINT), false, false, 'Pattern must start with gs://'
+         FROM per WHERE length(pattern) % 5 = 0""",
 )
 def q_validate_patterns(spark, sf):
     pats = _patterns(spark, sf)
-    return select.validate_patterns(v_objects(spark, sf), pats)
+    other = pats.where(F.length("pattern") % 5 == 0).withColumn("pattern", F.concat(F.lit("s3"), F.substring("pattern", 3, 1 << 20)))
+    return select.validate_patterns(v_objects(spark, sf), pats.unionByName(other))
 
 
 @query(

@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing: 1/10 folder placeholders, 1/10 ``.json``, the rest ``.bz2``; 3 buckets."""
+    """A listing: 1/10 folder placeholders, 1/10 ``.json``, the rest ``.bz2``; 3 buckets; keys
+    of two, three and four segments, the latter with an empty one."""
     d = table(spark, sf_dir, "documents")
     suffix = (
         F.when(F.col("doc_id") % 10 == 9, F.lit("/"))
@@ -24,7 +25,13 @@ def v_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return d.select(
         F.concat(F.lit("bucket"), (F.col("doc_id") % 3).cast("string")).alias("bucket"),
-        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), suffix)).alias("key"),
+        F.concat(
+            F.col("source"),
+            F.when(F.col("doc_id") % 13 == 0, F.lit("/")).when(F.col("doc_id") % 17 == 0, F.concat(F.lit("//"), "lang", F.lit("/")))
+            .otherwise(F.concat(F.lit("/"), "lang", F.lit("/"))),
+            F.col("doc_id").cast("string"),
+            suffix,
+        ).alias("key"),
         F.col("n_chars").alias("size_bytes"),
     )
 
@@ -47,7 +54,8 @@ def v_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
       ``src10``..``src19``: the two boundaries differ there);
     * ``/source/lang/`` with outer slashes, for each document labelled toxic;
     * the file key of each document labelled high quality (some keys do not exist,
-      because that document's object is a placeholder or ``.json``).
+      because that document's object is a placeholder, ``.json`` or in another folder);
+    * the root of one bucket.
     """
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
@@ -61,7 +69,8 @@ def v_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         bucket.alias("bucket"),
         F.concat_ws("/", F.col("d.source"), F.col("d.lang"), F.concat(F.col("d.doc_id").cast("string"), F.lit(".bz2"))).alias("path"),
     )
-    return top.unionByName(folders).unionByName(files).distinct()
+    root = d.where(F.col("doc_id") % 3 == 2).select(F.lit("bucket2").alias("bucket"), F.lit("").alias("path")).limit(1)
+    return top.unionByName(folders).unionByName(files).unionByName(root).distinct()
 
 
 def _process_by_priority() -> F.Column:
@@ -119,7 +128,8 @@ def event_line(e: DataFrame) -> F.Column:
 ORACLE_VIEWS = {
     "v_objects": """
         SELECT 'bucket' || CAST(doc_id % 3 AS VARCHAR) AS bucket,
-               source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) ||
+               source || CASE WHEN doc_id % 13 = 0 THEN '/' WHEN doc_id % 17 = 0 THEN '//' || lang || '/' ELSE '/' || lang || '/' END ||
+               CAST(doc_id AS VARCHAR) ||
                CASE WHEN doc_id % 10 = 9 THEN '/' WHEN doc_id % 10 = 8 THEN '.json' ELSE '.bz2' END AS "key",
                n_chars AS size_bytes
         FROM documents""",
@@ -140,7 +150,9 @@ ORACLE_VIEWS = {
           UNION ALL
           SELECT 'bucket' || CAST(d.doc_id % 3 AS VARCHAR),
                  d.source || '/' || d.lang || '/' || CAST(d.doc_id AS VARCHAR) || '.bz2'
-          FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1)""",
+          FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1
+          UNION ALL
+          SELECT 'bucket2', '' FROM documents WHERE doc_id % 3 = 2)""",
     "v_patterns": """
         SELECT bucket, path, g.glob_no,
                'gs://' || bucket || CASE WHEN trim(path, '/') = '' THEN '' ELSE '/' || trim(path, '/') END ||

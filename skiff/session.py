@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -90,10 +91,32 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_MADE: list[str] = []
+_OPEN = 0
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are deleted at its end; what the
+    block hands on must be written elsewhere by then."""
+    global _OPEN
+    mark = len(_MADE)
+    _OPEN += 1
+    try:
+        yield
+    finally:
+        _OPEN -= 1
+        for path in _MADE[mark:]:
+            files.delete(spark, path)
+        del _MADE[mark:]
+
+
 def materialize(df, label: str):
-    """Write a (small, derived) DataFrame once as a parquet table in the shared folder and
-    read it back: later plans scan the table instead of recomputing its lineage, and the
-    copy survives executor loss (unlike a cache)."""
+    """Write a derived DataFrame once as a parquet table in the shared folder and read it
+    back: later plans scan the table instead of recomputing its lineage, and the copy
+    survives executor loss (unlike a cache)."""
     path = run_dir(df.sparkSession, label)
+    if _OPEN:
+        _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
