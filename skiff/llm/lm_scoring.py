@@ -13,7 +13,7 @@ A document's tokens are its words (A-Z lower-cased, split at ASCII white space)
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +27,8 @@ from skiff.session import materialize, ship_package
 
 #: (bytes of context, log2 of the table's slots) of each predictor; 0 bytes: the whole token
 #: so far, learnt from the commonest tokens alone, as many as its table has room for.
-ORDERS = ((1, 16), (2, 18), (3, 19), (4, 20), (6, 20), (0, 21))
-WHOLE_TOKENS = 50_000
+ORDERS = ((2, 17), (3, 18), (4, 19), (6, 19), (0, 20))
+WHOLE_TOKENS = 40_000
 STARTS = np.cumsum([0, *(1 << bits for _, bits in ORDERS)])
 SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 14
@@ -44,6 +44,15 @@ CLASSES = 65
 #: Occurrences that the shorter context's estimate counts for.
 PRIOR = 0.4
 
+# Bytes as bits: 31 bytes that are common in the tokens of Latin-script text have codes of
+# five bits, in this order; the 32nd code is followed by the eight bits of any other byte.
+_COMMON = b" \netaoinshrdlucmfwypvbgkjqxz,.\xc3"
+_LENGTH = np.full(256, 13, np.int64)
+_CODE = np.arange(256, dtype=np.int64) | (31 << 8)
+for _k, _byte in enumerate(_COMMON):
+    _LENGTH[_byte], _CODE[_byte] = 5, _k
+_PLACES, _BITS = 8, 13
+
 _BUCKETS = 24
 _RATE = 0.05
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -80,20 +89,27 @@ def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = np.cumsum(sizes) - sizes
     history[0] = (run - np.repeat(run[first], sizes)) * _MUL
     live = place > 0
-    byte = raw[live].astype(np.int64)
-    owner = np.repeat(np.repeat(np.arange(len(tokens)), sizes)[live], 8)
-    bits = (byte[:, None] >> np.arange(7, -1, -1)) & 1
-    node = ((1 << np.arange(8)) | (byte[:, None] >> np.arange(8, 0, -1))).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    slots = np.empty((len(ORDERS), len(byte) * 8), np.int32)
+    byte = raw[live]
+    length, code = _LENGTH[byte], _CODE[byte]
+    at = np.repeat(np.arange(len(byte)), length)
+    j = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+    left = length[at] - j
+    code = code[at]
+    bit = (code >> (left - 1)) & 1
+    node = ((np.int64(1) << j) | (code >> left)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    owner = np.repeat(np.arange(len(tokens)), sizes)[live][at]
+    slots = np.empty((len(ORDERS), len(at)), np.int32)
     for k, (n, size) in enumerate(ORDERS):
-        h = (history[n][live][:, None] + node) * _MUL
+        h = history[n][live][at]
+        h += node
+        h *= _MUL
         h ^= h >> np.uint64(31)
         h *= _MUL
         h >>= np.uint64(64 - size)
-        slots[k] = h.ravel()
+        slots[k] = h
         slots[k] += int(STARTS[k])
-    gate = (np.minimum(place[live] - 1, 7)[:, None] * 8 + np.arange(8)).ravel()
-    return owner, bits.ravel(), slots, gate
+    gate = np.minimum(place[live] - 1, _PLACES - 1)[at] * _BITS + j
+    return owner, bit, slots, gate
 
 
 def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range) -> None:
@@ -120,8 +136,8 @@ class Mixer:
         start[len(ORDERS) - 1] = 0.5
         # the table starts as the identity with a little weight
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - (_BUCKETS - 1) / 2)))
-        refine = np.stack([np.tile(centre * 8, (64, 1)), np.full((64, _BUCKETS), 8.0)], axis=2)
-        return cls([np.tile(start, (n, 1)) for n in (16 * 8, 64)], refine)
+        refine = np.stack([np.tile(centre * 8, (_PLACES * _BITS, 1)), np.full((_PLACES * _BITS, _BUCKETS), 8.0)], axis=2)
+        return cls([np.tile(start, (n, 1)) for n in (16 * 8, _PLACES * _BITS)], refine)
 
     def mix(self, n0: np.ndarray, n1: np.ndarray, gate: np.ndarray):
         """(inputs, gates, stretched mix) of events from their orders' counts."""
@@ -172,8 +188,9 @@ class Mixer:
 
 
 def _gather(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = table[slots]
-    return both[:, :, 0], both[:, :, 1]
+    # a slot's two counts are fetched as one number
+    both = np.take(table.view(np.complex64)[:, 0], slots)
+    return np.ascontiguousarray(both.real), np.ascontiguousarray(both.imag)
 
 
 def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512) -> None:
@@ -207,29 +224,31 @@ def _count_tokens(batches):
     """Classed tokens (class byte, then the token) and their counts in training texts."""
     schema = pa.schema([("token", pa.binary()), ("n_train", pa.int64())])
 
-    def out(every: set, train: Counter):
-        keys = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([train.get(k, 0) for k in keys], pa.int64())], schema=schema)
+    every, train = defaultdict(set), defaultdict(Counter)
+
+    def taken():
+        """All held tokens, marked by their class; the memory starts anew."""
+        kinds = {**every, **train}
+        for kind in kinds:
+            mark = bytes([kind])
+            counts = train.get(kind, {})
+            words = every.get(kind, set()) | counts.keys()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([mark + w for w in words], pa.binary()), pa.array([counts.get(w, 0) for w in words], pa.int64())], schema=schema
+            )
+        every.clear()
+        train.clear()
 
-    every, train = set(), Counter()
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             for held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 kind, words = words_of(text)
                 words.append(END)
-                mark = bytes([kind])
-                marked = [mark + w for w in words]
-                if held:
-                    every.update(marked)
-                else:
-                    train.update(marked)
-            if len(every) + len(train) > HELD_TOKENS:
-                every.update(train)
-                yield out(every, train)
-                every, train = set(), Counter()
-    every.update(train)
-    yield out(every, train)
+                (every if held else train)[kind].update(words)
+            if sum(map(len, every.values())) + sum(map(len, train.values())) > HELD_TOKENS:
+                yield from taken()
+    yield from taken()
 
 
 def _pieces(batch: pa.RecordBatch, size: int):
@@ -243,7 +262,7 @@ def _count_slots(batches):
     schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
     table_, any_ = np.zeros((SLOTS, 2), np.float32), False
     for b in batches:
-        for tokens, counts in _pieces(b, 8192):
+        for tokens, counts in _pieces(b, 16384):
             any_ = True
             count_bits(tokens, counts, table_, range(len(ORDERS) - 1))
     for seg in range(-(-SLOTS // SEGMENT) if any_ else 0):
@@ -292,8 +311,8 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     """Learn from all whole texts whose ``held_col`` is false.
 
     Token counts, bit counts and the online pass cover every training token.  The driver
-    gets the table, whose size is fixed, the commonest tokens, and one set of weights a
-    task, averaged by the tokens seen.
+    gets the table, whose size is fixed, the commonest tokens, and one set of weights: the
+    tasks' sets averaged by the tokens seen.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -308,7 +327,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     parts = train.mapInArrow(_count_slots, "segment int, slots binary, counts binary")
     dense = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_segments, "segment int, counts binary")
     table_ = np.zeros((SLOTS, 2), np.float32)
-    for r in dense.toLocalIterator():  # SLOTS pairs at any size of the corpus
+    for r in dense.collect():  # SLOTS pairs at any size of the corpus
         span = slice(r.segment * SEGMENT, min(SLOTS, (r.segment + 1) * SEGMENT))
         table_[span] = np.frombuffer(r.counts, "<f4").reshape(-1, 2)[: span.stop - span.start]
     common = _common(train, "n", WHOLE_TOKENS).select("token", "n").toArrow().to_batches()
@@ -325,24 +344,20 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
             for tokens, counts in _pieces(b, 8192):
                 train_mixer(shared.value, tokens, counts, mixer, whole_from)
                 seen += len(tokens)
-        flat = np.concatenate([w.ravel() for w in mixer.weights] + [(mixer.refine - Mixer.new().refine).ravel()])
-        schema = pa.schema([("seen", pa.int64()), ("state", pa.binary())])
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], schema=schema)
-
-    mixer, seen = Mixer.new(), 0
-    summed = [np.zeros(w.shape) for w in mixer.weights]
-    for r in train.mapInArrow(online, "seen long, state binary").toLocalIterator():
-        if not r.seen:
-            continue
-        flat = np.frombuffer(r.state, "<f8")
+        # weights and what the table saw, each times the tokens seen, and the tokens seen
+        flat = np.concatenate([w.ravel() * seen for w in mixer.weights] + [(mixer.refine - Mixer.new().refine).ravel(), [seen]])
+        schema = pa.schema([("at", pa.int32()), ("value", pa.float64())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64))], schema=schema)
+
+    mixer = Mixer.new()
+    total_state = train.mapInArrow(online, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
+    flat = np.array([r.value for r in total_state])  # as many numbers as one task's weights
+    if len(flat) and flat[-1]:
         at = 0
-        for s in summed:
-            s += r.seen * flat[at : at + s.size].reshape(s.shape)
-            at += s.size
-        mixer.refine += flat[at:].reshape(mixer.refine.shape)
-        seen += r.seen
-    if seen:
-        mixer.weights = [(s / seen).astype(np.float32) for s in summed]
+        for k, w in enumerate(mixer.weights):
+            mixer.weights[k] = (flat[at : at + w.size] / flat[-1]).reshape(w.shape).astype(np.float32)
+            at += w.size
+        mixer.refine += flat[at:-1].reshape(mixer.refine.shape)
     state = spark.sparkContext.broadcast(mixer)
 
     def cost(batches):
@@ -397,13 +412,22 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         tokens, base, cost = near.value
         number = _numbered(tokens)
         key = TaskContext.get().partitionId() << 36
-        rows: list[tuple] = []
-
-        def batch():
-            cols = list(zip(*rows)) if rows else [[] for _ in arrow]
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-            rows.clear()
-            return out
+        ids, own = [], []
+        rare_keys, rare_sizes, rare_words, rare_counts = [], [], [], []
+
+        def batch(n: int, cols: dict):
+            return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+        def held():
+            """The documents' rows and those of their uncommon tokens; starts anew."""
+            if own:
+                cols = {f.name: pa.array(c, f.type) for f, c in zip(list(arrow)[1:], zip(*own))}
+                yield batch(len(own), {"id": pa.array(ids, arrow.field(0).type), **cols})
+            if rare_words:
+                keys = np.repeat(np.array(rare_keys, np.int64), rare_sizes)
+                yield batch(len(rare_words), {"key": pa.array(keys), "token": pa.array(rare_words, pa.binary()), "n": pa.array(rare_counts, pa.int64())})
+            for x in (ids, own, rare_keys, rare_sizes, rare_words, rare_counts):
+                x.clear()
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -412,37 +436,38 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                     kind, words = words_of(text)
                     size = sum(map(len, words)) + len(words) + 1
                     words.append(END)
-                    mark = bytes([kind])
-                    counts = Counter([mark + w for w in words])
-                    at_, ns, known = [], [], 0
-                    for w, n in counts.items():
-                        k = number.get(w)
-                        if k is None:
-                            rows.append((None, key, w, n, 0, 0, 0, 0.0, 0.0))
-                        else:
-                            at_.append(k)
-                            ns.append(n)
-                            known += n
-                    n_ = np.array(ns, np.float64)
+                    mark, known = bytes([kind]), number.get(kind, {})
+                    counts = Counter(words)
+                    found = [(k, n) for w, n in counts.items() if (k := known.get(w)) is not None]
+                    if len(found) < len(counts):
+                        rest = [(mark + w, n) for w, n in counts.items() if w not in known]
+                        rare_keys.append(key)
+                        rare_sizes.append(len(rest))
+                        rare_words.extend([w for w, _ in rest])
+                        rare_counts.extend([n for _, n in rest])
+                    f = np.array(found, np.int64).reshape(-1, 2)
+                    n_ = f[:, 1].astype(np.float64)
+                    ids.append(doc)
                     # the row of the document itself matches no token: none holds a space
-                    rows.append((doc, key, b" %d" % key, 1, len(words), known, size, float(base[at_] @ n_) if ns else 0.0, class_cost[kind] + (float(cost[at_] @ n_) if ns else 0.0)))
+                    own.append((key, b" %d" % key, 1, len(words), int(f[:, 1].sum()), size, float(base[f[:, 0]] @ n_), class_cost[kind] + float(cost[f[:, 0]] @ n_)))
                     key += 1
-                if len(rows) > 50_000:
-                    yield batch()
-        yield batch()
+                if len(rare_words) > 50_000:
+                    yield from held()
+        yield from held()
 
     pieces = d.mapInArrow(split, schema)
     v = model.vocabulary.select("token", F.col("n_train"), F.col("cost"))
     met = pieces.join(v, "token", "left")
     n = F.col("n")
-    own = F.col("n_tokens") > 0
+    rare = F.col("n_tokens").isNull()
+    zero = F.lit(0)
     sums = met.groupBy("key").agg(
         F.max("id").alias("id"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(~own & (F.col("n_train") > 0), n).otherwise(0)).alias("n_known"),
+        F.sum(F.when(rare, F.when(F.col("n_train") > 0, n).otherwise(zero)).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum("n_bytes").alias("n_bytes"),
-        F.sum(F.col("base") + F.when(own, F.lit(0.0)).otherwise(n * model.base(F.coalesce("n_train", F.lit(0))))).alias("base_score"),
-        F.sum(F.col("score") + F.when(own, F.lit(0.0)).otherwise(n * F.col("cost"))).alias("score"),
+        F.sum(F.when(rare, n * model.base(F.coalesce("n_train", zero))).otherwise(F.col("base"))).alias("base_score"),
+        F.sum(F.when(rare, n * F.col("cost")).otherwise(F.col("score"))).alias("score"),
     )
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", "base_score", "score", bits.alias("bits_per_byte"))
@@ -451,12 +476,15 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 _NUMBERS: dict[int, tuple[list, dict]] = {}
 
 
-def _numbered(tokens: list[bytes]) -> dict[bytes, int]:
-    """Place of each token; made once per worker and broadcast list."""
+def _numbered(tokens: list[bytes]) -> dict[int, dict[bytes, int]]:
+    """Place of each token by class and word; made once per worker and broadcast list."""
     held = _NUMBERS.get(id(tokens))
     if held is None or held[0] is not tokens:
+        number: dict[int, dict[bytes, int]] = {}
+        for k, t in enumerate(tokens):
+            number.setdefault(t[0], {})[t[1:]] = k
         _NUMBERS.clear()
-        _NUMBERS[id(tokens)] = held = (tokens, {t: k for k, t in enumerate(tokens)})
+        _NUMBERS[id(tokens)] = held = (tokens, number)
     return held[1]
 
 

@@ -54,12 +54,13 @@ def test_bits_are_a_distribution():
     mixer = L.Mixer.new()
     L.train_mixer(table, tokens, np.array([5, 3, 2]), mixer, 1)
     total = 0.0
-    for byte in range(256):  # the first byte, by the probabilities of its eight bits
+    for byte in range(256):  # the first byte, by the probabilities of its code's bits
         owner, bit, slots, gate = L._events([b"\x00" + bytes([byte])])
         _, gates, z = mixer.mix(*L._gather(table, slots), gate)
         p = mixer.probability(z, gates[1])
-        total += float(np.prod(np.where(bit == 1, p, 1 - p)[:8]))
-    assert total == pytest.approx(1.0, abs=1e-6)
+        total += float(np.prod(np.where(bit == 1, p, 1 - p)[: L._LENGTH[byte]]))
+    # the escapes of bytes that have a short code are never used
+    assert 0.95 < total <= 1 + 1e-6
     costs = L.token_costs(table, mixer, [b"\x00the", b"\x00zzzz"])
     assert costs[0] > costs[1]
 
