@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skiff import files
 from skiff.llm.common import fold_of
 from skiff.llm.decontamination import find_contamination
 from skiff.llm.jaccard_join import jaccard_classes
 from skiff.llm.language_id import fit_language_model, has_letters_column, identify_language, labelled_sample
 from skiff.llm.packing import pack_documents
 from skiff.llm.secret_scan import redact_secrets
-from skiff.session import materialize, run_dir
+from skiff.session import materialize, run_dir, scratch
 
 
 def _boxed(docs: DataFrame) -> Column:
@@ -85,10 +86,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet in the shared
-    folder and reread as the next stage's input."""
+    folder and reread as the next stage's input.  A stage's own intermediate tables, and its
+    input, are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = run_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark, before)
+        before = path
     return docs
