@@ -10,6 +10,8 @@ when tasks or stages are retried.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -144,29 +146,29 @@ def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
     config = {"output": cfg.output, "shards": str(cfg.output_shards), "compression": cfg.compression}
     runs.append_events(runs.create_event(spark, cfg.job_id, 0, paths, cfg.process_type, config), runs_table)
 
-    def stage(name: str, state: str) -> None:
-        runs.record_stage(spark, runs_table, cfg.job_id, name, state)
+    seq = itertools.count(1)  # this job numbers its events itself: no look at the table
+
+    def record(*updates: dict) -> None:
+        rows = [runs.simple_event(spark, cfg.job_id, next(seq), "update", **u) for u in updates]
+        runs.append_events(functools.reduce(DataFrame.unionByName, rows).coalesce(1), runs_table)
 
     step = "read"
     try:
-        stage("read", "running")
+        record({"stages": {"read": "running"}})
         place = _write(spark, cfg, spec, files)
         mark("read_write")
-        for step in ("read", "decompress", "concatenate", "write"):
-            stage(step, "completed")
+        record(*[{"stages": {s: "completed"}} for s in ("read", "decompress", "concatenate", "write")])
         step = "validate"
         counters = {k: int(v) for k, v in bz2_reader.counters_of(spark.read.parquet(place["manifest"])).first().asDict().items()}
     except Exception as e:  # noqa: BLE001 -- recorded, then re-raised
-        runs.record_update(spark, runs_table, cfg.job_id, status="failed", log=f"run failed: {e}", stages={step: "failed"})
+        record({"status": "failed", "log": f"run failed: {e}", "stages": {step: "failed"}})
         raise
     secs = time.perf_counter() - t0
     written = len([n for n in fs.file_names(spark, place["output"]) if n.startswith("part-")])
     metrics = transport.run_metrics_row(counters, secs, written if cfg.process_type != "decompress_only" else counters["files_processed"])
-    runs.record_update(
-        spark, runs_table, cfg.job_id, status="completed", log="run completed", stages={"validate": "completed"},
-        # AGG-10 / AGG-12 recorded with the run
-        config={k: str(v) for k, v in metrics.items() if v is not None},
-    )
+    # AGG-10 / AGG-12 recorded with the run
+    kept = {k: str(v) for k, v in metrics.items() if v is not None}
+    record({"status": "completed", "log": "run completed", "stages": {"validate": "completed"}, "config": kept})
     return {"job_id": cfg.job_id, "status": "completed", "gate": gate_row, **place, **metrics, "runs_table": runs_table, "phases": phases}
 
 
