@@ -13,6 +13,7 @@ A document's tokens are its words (A-Z lower-cased, split at ASCII white space)
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -26,9 +27,16 @@ from skiff.llm.common import fold_of, table
 from skiff.session import materialize, ship_package
 
 #: (bytes of context, log2 of the table's slots) of each predictor; 0 bytes: the whole token
-#: so far, learnt from the commonest tokens alone, as many as its table has room for.
-ORDERS = ((2, 17), (3, 18), (4, 19), (6, 19), (0, 20))
-WHOLE_TOKENS = 40_000
+#: so far.  These sizes serve ``ROOM`` distinct training tokens; ``sized`` has those for more.
+ORDERS = ((1, 14), (2, 17), (3, 18), (4, 20), (6, 21), (0, 18))
+ROOM = 1 << 18
+#: A table grows with this power of the distinct tokens, which is what its contexts do
+#: (measured from 0.12 to 0.46 M tokens: 0.64 for six bytes, less for fewer), up to
+#: 2^MOST_BITS slots (128 MB); from there on contexts share slots more and more.
+GROWTH, MOST_BITS = 0.64, 24
+#: The whole token's context of at most so many bytes is counted in the table that all tasks
+#: hold; a longer one where the tokens with the same class and so many first bytes are.
+SHORT = 4
 STARTS = np.cumsum([0, *(1 << bits for _, bits in ORDERS)])
 SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 14
@@ -65,16 +73,29 @@ def words_of(text: str | None) -> tuple[int, list[bytes]]:
     return (int(count.argmax()) + 1 if count.any() else 0), raw.lower().split()
 
 
-def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sized(distinct: int) -> tuple[tuple[int, int], ...]:
+    """``ORDERS`` with tables that grow with the distinct training tokens, each to what all
+    contexts of its bytes can fill or to ``MOST_BITS``."""
+    more = math.ceil(max(0.0, GROWTH * math.log2(max(distinct, 1) / ROOM)))
+    return tuple((n, min(bits + more, MOST_BITS, 8 * (n or SHORT) + 8)) for n, bits in ORDERS)
+
+
+def _slots_of(sizes) -> int:
+    return sum(1 << bits for _, bits in sizes)
+
+
+def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every bit of every token's bytes and terminator: token number, bit, slot of each
     order (into one table for all) and gate (byte position and bit position).  A token is
-    its class byte and its bytes; the class is given, not predicted."""
+    its class byte and its bytes; the class is given, not predicted.  With ``near_bits`` the
+    whole token's contexts of more than ``SHORT`` bytes have slots of a table of that size,
+    numbered from the end of the table for all."""
     raw = np.frombuffer(b"".join(t if t.endswith(END) else t + b" " for t in tokens), np.uint8)
-    sizes = np.fromiter((len(t) + (not t.endswith(END)) for t in tokens), np.int64, len(tokens))
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    width = np.fromiter((len(t) + (not t.endswith(END)) for t in tokens), np.int64, len(tokens))
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(width) - width, width)
     mixed = raw.astype(np.uint64) + np.uint64(1)
     history, acc = {}, np.zeros(len(raw), np.uint64)
-    for back in range(1, max(n for n, _ in ORDERS) + 1):
+    for back in range(1, max(n for n, _ in sizes) + 1):
         before = np.zeros(len(raw), np.uint64)
         before[back:] = mixed[:-back]
         before[place < back] = 0  # before the class byte
@@ -82,12 +103,12 @@ def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         acc ^= acc >> np.uint64(29)
         history[back] = acc
     # the whole token so far: differences of running sums of bytes times a factor of their place
-    factor = (np.arange(1, int(sizes.max()) + 2, dtype=np.uint64) * _MUL) | np.uint64(1)
+    factor = (np.arange(1, int(width.max()) + 2, dtype=np.uint64) * _MUL) | np.uint64(1)
     factor ^= factor >> np.uint64(31)
     run = np.cumsum(mixed * mixed * factor[place] * _MUL, dtype=np.uint64)
     run -= mixed * mixed * factor[place] * _MUL
-    first = np.cumsum(sizes) - sizes
-    history[0] = (run - np.repeat(run[first], sizes)) * _MUL
+    first = np.cumsum(width) - width
+    history[0] = (run - np.repeat(run[first], width)) * _MUL
     live = place > 0
     byte = raw[live]
     length, code = _LENGTH[byte], _CODE[byte]
@@ -97,29 +118,51 @@ def _events(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     code = code[at]
     bit = (code >> (left - 1)) & 1
     node = ((np.int64(1) << j) | (code >> left)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    owner = np.repeat(np.arange(len(tokens)), sizes)[live][at]
-    slots = np.empty((len(ORDERS), len(at)), np.int32)
-    for k, (n, size) in enumerate(ORDERS):
+    owner = np.repeat(np.arange(len(tokens)), width)[live][at]
+    slots = np.empty((len(sizes), len(at)), np.int32)
+    start = 0
+    for k, (n, size) in enumerate(sizes):
         h = history[n][live][at]
         h += node
         h *= _MUL
         h ^= h >> np.uint64(31)
         h *= _MUL
-        h >>= np.uint64(64 - size)
-        slots[k] = h
-        slots[k] += int(STARTS[k])
+        slots[k] = h >> np.uint64(64 - size)
+        slots[k] += start
+        start += 1 << size
+        if n == 0 and near_bits:
+            deep = place[live][at] > SHORT
+            slots[k][deep] = (h[deep] >> np.uint64(64 - near_bits)).astype(np.int32) + _slots_of(sizes)
     gate = np.minimum(place[live] - 1, _PLACES - 1)[at] * _BITS + j
     return owner, bit, slots, gate
 
 
-def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range) -> None:
-    """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones)."""
-    owner, bit, slots, _ = _events(tokens)
-    weight = counts[owner].astype(np.float64)
+def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range, sizes=ORDERS, near_bits: int = 0) -> None:
+    """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones); with
+    ``near_bits`` without the slots of the other table."""
+    owner, bit, slots, _ = _events(tokens, sizes, near_bits)
+    weight = counts[owner].astype(table.dtype)
+    flat = table.reshape(-1)
     for k in orders:
-        span = slice(int(STARTS[k]), int(STARTS[k + 1]))
-        at = (slots[k] - span.start).astype(np.int64) * 2 + bit
-        table[span] += np.bincount(at, weight, 2 * (span.stop - span.start)).reshape(-1, 2).astype(table.dtype)
+        at, add = slots[k].astype(np.int64) * 2 + bit, weight
+        if near_bits and k == len(sizes) - 1:
+            here = at < len(flat)
+            at, add = at[here], weight[here]
+        np.add.at(flat, at, add)
+
+
+def count_whole(pieces, sizes) -> tuple[np.ndarray, int]:
+    """Table of the whole tokens' contexts of more than ``SHORT`` bytes, and its log2 slots,
+    from all (tokens, counts) that share their first bytes; its size follows theirs."""
+    room = sum(max(len(t) - SHORT, 0) for tokens, _ in pieces for t in tokens)
+    bits = max(10, math.ceil(math.log2(room * 8 + 1)))
+    near = np.zeros((1 << bits, 2))
+    for tokens, counts in pieces:
+        owner, bit, slots, _ = _events(tokens, (sizes[-1],), bits)
+        at = slots[0].astype(np.int64) - (1 << sizes[-1][1])
+        deep = at >= 0
+        np.add.at(near.reshape(-1), at[deep] * 2 + bit[deep], counts[owner[deep]].astype(np.float64))
+    return near.astype(np.float32), bits
 
 
 @dataclass
@@ -187,19 +230,28 @@ class Mixer:
             self.refine[:, :, 1] += np.bincount(flat + side, share * weight, size)[:size].reshape(-1, _BUCKETS)
 
 
-def _gather(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gather(table: np.ndarray, slots: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     # a slot's two counts are fetched as one number
-    both = np.take(table.view(np.complex64)[:, 0], slots)
+    pairs = table.view(np.complex64)[:, 0]
+    if near is None:
+        both = np.take(pairs, slots)
+    else:
+        both = np.empty(slots.shape, np.complex64)
+        np.take(pairs, slots[:-1], out=both[:-1])
+        deep = slots[-1] >= len(table)
+        both[-1, ~deep] = pairs[slots[-1][~deep]]
+        both[-1, deep] = near.view(np.complex64)[:, 0][slots[-1][deep] - len(table)]
     return np.ascontiguousarray(both.real), np.ascontiguousarray(both.imag)
 
 
-def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512) -> None:
+def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512, sizes=ORDERS, near=(None, 0)) -> None:
     """Online over the tokens: one occurrence of a token is taken out of the counts it is
     predicted from, and the step is weighted by a power of its count.  The whole-token
-    table holds tokens of at least ``whole_from`` occurrences."""
+    table holds tokens of at least ``whole_from`` occurrences.  ``near`` is what
+    ``count_whole`` made of them."""
     for at in range(0, len(tokens), batch):
-        owner, bit, slots, gate = _events(tokens[at : at + batch])
-        n0, n1 = _gather(table, slots)
+        owner, bit, slots, gate = _events(tokens[at : at + batch], sizes, near[1])
+        n0, n1 = _gather(table, slots, near[0])
         n = counts[at + owner]
         one = np.ones((len(ORDERS), 1), np.float32) * (np.arange(len(ORDERS)) < len(ORDERS) - 1)[:, None] + np.zeros(len(owner), np.float32)
         one[-1] = n >= whole_from
@@ -209,10 +261,10 @@ def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixe
         mixer.learn(x, gates, z, bit, n.astype(np.float64) ** 0.8)
 
 
-def token_costs(table: np.ndarray, mixer: Mixer, tokens: list[bytes]) -> np.ndarray:
+def token_costs(table: np.ndarray, mixer: Mixer, tokens: list[bytes], sizes=ORDERS, near=(None, 0)) -> np.ndarray:
     """log10 probability of each token, its class given."""
-    owner, bit, slots, gate = _events(tokens)
-    _, gates, z = mixer.mix(*_gather(table, slots), gate)
+    owner, bit, slots, gate = _events(tokens, sizes, near[1])
+    _, gates, z = mixer.mix(*_gather(table, slots, near[0]), gate)
     p = mixer.probability(z, gates[1])
     return np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(tokens))
 
@@ -258,19 +310,25 @@ def _pieces(batch: pa.RecordBatch, size: int):
         yield part.column(0).to_pylist(), np.asarray(part.column(1).to_numpy(zero_copy_only=False), np.int64)
 
 
-def _count_slots(batches):
-    schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
-    table_, any_ = np.zeros((SLOTS, 2), np.float32), False
-    for b in batches:
-        for tokens, counts in _pieces(b, 16384):
-            any_ = True
-            count_bits(tokens, counts, table_, range(len(ORDERS) - 1))
-    for seg in range(-(-SLOTS // SEGMENT) if any_ else 0):
-        part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
-        at = np.flatnonzero(part.sum(axis=1))
-        if len(at):
-            cols = [[seg], [at.astype("<u2").tobytes()], [part[at].astype("<f4").tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+def _slot_counter(sizes):
+    slots = _slots_of(sizes)
+
+    def run(batches):
+        schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+        table_, any_ = None, False
+        for b in batches:
+            for tokens, counts in _pieces(b, 16384):
+                table_ = np.zeros((slots, 2), np.uint32) if table_ is None else table_
+                any_ = True
+                count_bits(tokens, counts, table_, range(len(sizes)), sizes, 1)
+        for seg in range(-(-slots // SEGMENT) if any_ else 0):
+            part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
+            at = np.flatnonzero(part.sum(axis=1))
+            if len(at):
+                cols = [[seg], [at.astype("<u2").tobytes()], [part[at].astype("<f4").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
 
 
 def _sum_segments(batches):
@@ -310,9 +368,10 @@ class LanguageModel:
 def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str = "held_out") -> LanguageModel:
     """Learn from all whole texts whose ``held_col`` is false.
 
-    Token counts, bit counts and the online pass cover every training token.  The driver
-    gets the table, whose size is fixed, the commonest tokens, and one set of weights: the
-    tasks' sets averaged by the tokens seen.
+    Token counts, the bit counts of all contexts and the online pass cover every training
+    token.  The driver gets the table, which grows with the distinct tokens up to a bound,
+    and one set of weights: the tasks' sets averaged by the tokens seen.  The whole tokens'
+    contexts are in no table for all: tokens that share them are dealt to one task.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -324,33 +383,33 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     ends = {r.token[0]: r.n for r in train.where(F.expr("substring(token, 2)") == F.lit(END)).collect()}  # one a class
     docs_seen = sum(ends.values())
     class_cost = [math.log10((ends.get(k, 0) + 1) / (docs_seen + CLASSES)) for k in range(CLASSES)]
-    parts = train.mapInArrow(_count_slots, "segment int, slots binary, counts binary")
+    sizes = sized(train.count())
+    slots = _slots_of(sizes)
+    parts = train.mapInArrow(_slot_counter(sizes), "segment int, slots binary, counts binary")
     dense = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_segments, "segment int, counts binary")
-    table_ = np.zeros((SLOTS, 2), np.float32)
-    for r in dense.collect():  # SLOTS pairs at any size of the corpus
-        span = slice(r.segment * SEGMENT, min(SLOTS, (r.segment + 1) * SEGMENT))
+    table_ = np.zeros((slots, 2), np.float32)
+    for r in dense.toLocalIterator():  # at most slots pairs
+        span = slice(r.segment * SEGMENT, min(slots, (r.segment + 1) * SEGMENT))
         table_[span] = np.frombuffer(r.counts, "<f4").reshape(-1, 2)[: span.stop - span.start]
-    common = _common(train, "n", WHOLE_TOKENS).select("token", "n").toArrow().to_batches()
-    whole_from = 1 << 62
-    for b in common:
-        for tokens, counts in _pieces(b, 8192):
-            count_bits(tokens, counts, table_, range(len(ORDERS) - 1, len(ORDERS)))
-            whole_from = min(whole_from, int(counts.min()))
-    shared = spark.sparkContext.broadcast(table_)
+    # compressed, as every machine keeps the broadcast on its disk
+    shared = spark.sparkContext.broadcast(zlib.compress(table_.tobytes(), 1))
+
+    together = F.expr(f"substring(token, 1, {SHORT + 1})")
 
     def online(batches):
         mixer, seen = Mixer.new(), 0
-        for b in batches:
-            for tokens, counts in _pieces(b, 8192):
-                train_mixer(shared.value, tokens, counts, mixer, whole_from)
-                seen += len(tokens)
+        pieces = [x for b in batches for x in _pieces(b, 8192)]
+        near = count_whole(pieces, sizes)
+        for tokens, counts in pieces:
+            train_mixer(_unpacked(shared.value), tokens, counts, mixer, 1, sizes=sizes, near=near)
+            seen += len(tokens)
         # weights and what the table saw, each times the tokens seen, and the tokens seen
         flat = np.concatenate([w.ravel() * seen for w in mixer.weights] + [(mixer.refine - Mixer.new().refine).ravel(), [seen]])
         schema = pa.schema([("at", pa.int32()), ("value", pa.float64())])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64))], schema=schema)
 
     mixer = Mixer.new()
-    total_state = train.mapInArrow(online, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
+    total_state = train.repartition(together).mapInArrow(online, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
     flat = np.array([r.value for r in total_state])  # as many numbers as one task's weights
     if len(flat) and flat[-1]:
         at = 0
@@ -362,12 +421,13 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
 
     def cost(batches):
         schema = pa.schema([("token", pa.binary()), ("cost", pa.float64())])
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                tokens = b.column(0).slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([tokens, pa.array(token_costs(shared.value, state.value, tokens.to_pylist()), pa.float64())], schema=schema)
+        pieces = [x for b in batches for x in _pieces(b, 1024)]
+        near = count_whole(pieces, sizes)
+        for tokens, _ in pieces:
+            costs = token_costs(_unpacked(shared.value), state.value, tokens, sizes, near)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(costs, pa.float64())], schema=schema)
 
-    scored = classed.select("token").mapInArrow(cost, "token binary, cost double")
+    scored = classed.repartition(together).mapInArrow(cost, "token binary, cost double")
     word = F.expr("substring(token, 2)")
     vocabulary = scored.join(plain, word == F.col("word"), "left").select("token", F.coalesce("n_train", F.lit(0)).alias("n_train"), "cost")
     return LanguageModel(materialize(vocabulary, "vocabulary"), int(total.n), int(total.v), class_cost, table_, mixer)
@@ -473,6 +533,18 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", "base_score", "score", bits.alias("bits_per_byte"))
 
 
+_TABLES: dict[int, tuple[bytes, np.ndarray]] = {}
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The table of counts; made once per worker and broadcast value."""
+    held = _TABLES.get(id(packed))
+    if held is None or held[0] is not packed:
+        _TABLES.clear()
+        _TABLES[id(packed)] = held = (packed, np.frombuffer(zlib.decompress(packed), np.float32).reshape(-1, 2))
+    return held[1]
+
+
 _NUMBERS: dict[int, tuple[list, dict]] = {}
 
 

@@ -95,3 +95,27 @@ def test_edges(spark):
     assert nothing.train_tokens == 0
     r = L.score_documents(d.where("doc_id = 4"), nothing).collect()
     assert len(r) == 2 and all(x.n_known == 0 and math.isfinite(x.score) and x.base_score == 0 for x in r)
+
+
+def test_whole_tokens_are_learnt_from_every_token():
+    """Counts of whole-token contexts are those of a dictionary over all tokens, rare ones too."""
+    rnd = np.random.default_rng(4)
+    tokens = sorted({b"\x00same" + bytes(rnd.integers(97, 123, rnd.integers(1, 9)).astype(np.uint8)) for _ in range(60_000)})
+    counts = rnd.integers(1, 4, len(tokens))
+    near = L.count_whole([(tokens[:30_000], counts[:30_000]), (tokens[30_000:], counts[30_000:])], L.ORDERS)
+    table = np.zeros((L.SLOTS, 2), np.float32)
+    some = tokens[::977]
+    owner, bit, slots, _ = L._events(some, L.ORDERS, near[1])
+    n0, n1 = L._gather(table, slots, near[0])
+    ends = Counter(dict(zip(tokens, counts.tolist())))
+    # the last bit of a token's terminator is preceded by the whole token
+    last = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True])
+    seen = np.where(bit == 1, n1[-1], n0[-1])[last]
+    right = [abs(s - ends[t]) < 0.5 for s, t in zip(seen, some)]
+    assert min(seen) >= 1 and np.mean(right) > 0.8  # the others share a slot
+
+
+def test_tables_grow_with_the_vocabulary():
+    small, large = L.sized(1000), L.sized(2_000_000)
+    assert small == L.ORDERS and len(small) == 6
+    assert all(b >= a for (_, a), (_, b) in zip(small, large)) and L._slots_of(large) > L._slots_of(small)
