@@ -4,8 +4,14 @@ The model predicts a token's bytes bit by bit.  For each of several orders a has
 (the bytes before, back to the token's start) has counts of zeros and ones over all training
 tokens.  The predictors' stretched probabilities are combined by weights that gates choose,
 learnt online with every token's own count taken out of what it is predicted from, and the
-mix is refined by an adaptive table.  A token's cost depends on the token alone, so it is
-computed once per distinct token and joined to the documents.
+mix is refined by an adaptive table.  That mix depends on the token alone, so it is computed
+once per distinct token and joined to the documents.
+
+The word before a token is a context of its own: the token's probability behind it is the
+discounted share of its occurrences there among all training texts, and what the discounts
+leave is shared out by the mix (absolute discounting, the discount from the pairs seen once
+and twice).  Of the log probability of a text, one part depends on each token alone, the
+other on those pairs that occur in training texts, so both are joined to the documents.
 
 A document's tokens are its words (A-Z lower-cased, split at ASCII white space) and one end.
 """
@@ -42,6 +48,12 @@ SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 14
 #: Commonest tokens whose costs every task holds; all others are joined.
 COMMON_TOKENS = 300_000
+#: Commonest pairs of neighbours whose gains every task holds; all others are joined.
+COMMON_PAIRS = 1_000_000
+#: Distinct pairs a counting task holds before it passes them on.
+HELD_PAIRS = 4_000_000
+#: First byte of a pair's key; a token's is its class.
+PAIR = b"\xff"
 #: The end of a document; no word holds a line end.
 END = b"\n"
 #: Distinct tokens a counting task holds before it passes them on.
@@ -303,6 +315,75 @@ def _count_tokens(batches):
     yield from taken()
 
 
+class _Hashes(dict):
+    """64-bit hashes of a class's words, as Spark's ``xxhash64`` has them of the classed token."""
+
+    def __init__(self, kind: int):
+        self.mark = bytes([kind])
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(self.mark + word, 42)
+        return h
+
+
+def _pairs_of(kind: int, words: list[bytes], held: dict[int, _Hashes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each token's predecessor (of the class alone before the first) and of the token."""
+    if sum(map(len, held.values())) > HELD_TOKENS:
+        held.clear()
+    known = held.setdefault(kind, _Hashes(kind)) if kind not in held else held[kind]
+    h = np.fromiter(map(known.__getitem__, [b"", *words]), np.uint64, len(words) + 1)
+    return h[:-1], h[1:]
+
+
+def _pair_keys(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash of both."""
+    return p ^ ((w << np.uint64(17)) | (w >> np.uint64(47)))
+
+
+def _pair_tokens(keys: np.ndarray) -> pa.Array:
+    """Keys as binary values that no token has."""
+    rows = np.empty((len(keys), 9), np.uint8)
+    rows[:, 0] = PAIR[0]
+    rows[:, 1:] = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(keys), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _keys_of(tokens: pa.ChunkedArray) -> np.ndarray:
+    rows = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8).reshape(-1, 9)
+    return np.ascontiguousarray(rows[:, 1:]).view("<u8")[:, 0]
+
+
+def _count_pairs(batches):
+    """Neighbours in training texts: hashes of both and their count."""
+    held, kept, size = {}, [], 0
+
+    def out():
+        both = np.concatenate(kept, axis=1)
+        order = np.lexsort((both[1], both[0]))
+        both = both[:, order]
+        first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(axis=0)])
+        counts = np.diff(np.r_[first, both.shape[1]])
+        kept.clear()
+        for at in range(0, len(first), 100_000):
+            part = first[at : at + 100_000]
+            cols = [pa.array(both[0][part].view(np.int64)), pa.array(both[1][part].view(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["p", "w", "n"])
+
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            for text in b.column(0).slice(at, 256).to_pylist():
+                kind, words = words_of(text)
+                kept.append(np.stack(_pairs_of(kind, [*words, END], held)))
+                size += len(words) + 1
+            if size > HELD_PAIRS:
+                yield from out()
+                size = 0
+    if kept:
+        yield from out()
+
+
 def _pieces(batch: pa.RecordBatch, size: int):
     """(tokens, counts) of at most ``size`` rows of a batch of (token, count)."""
     for at in range(0, batch.num_rows, size):
@@ -356,7 +437,8 @@ class LanguageModel:
     vocabulary: DataFrame  # classed token, n_train (of the token in any class), cost (log10)
     train_tokens: int
     train_distinct: int
-    class_cost: list[float]  # log10 probability of a document's class
+    pairs: DataFrame  # key of a token behind another in training texts, n_train, cost (log10, a gain)
+    class_cost: list[float]  # log10 probability of a document's class, and what discounts leave behind it
     table: np.ndarray
     mixer: Mixer
 
@@ -428,9 +510,39 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(costs, pa.float64())], schema=schema)
 
     scored = classed.repartition(together).mapInArrow(cost, "token binary, cost double")
+    scored = materialize(scored.withColumn("h", F.xxhash64("token")), "spelled")
+
+    # what stands behind each word: distinct tokens t of n occurrences
+    texts = docs.where(~F.col(held_col)).select(F.col(text_col).cast("string").alias("text"))
+    pairs = materialize(texts.mapInArrow(_count_pairs, "p long, w long, n long").groupBy("p", "w").agg(F.sum("n").alias("n")), "pairs")
+    once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    behind = materialize(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("n_p")), "behind")
+    left_over = F.log10(F.lit(discount) * F.col("t") / F.col("n_p"))
+    starts = {_signed(_Hashes(k)[b""]): k for k in range(CLASSES)}
+    for r in behind.where(F.col("p").isin(*starts)).select("p", left_over.alias("left")).collect():  # one a class
+        class_cost[starts[r.p]] += r.left
+    gain = F.log10(1 + (F.col("n") - discount) / (F.lit(discount) * F.col("t") * F.pow(F.lit(10.0), F.col("cost"))))
+    gains = pairs.join(scored.select(F.col("h").alias("w"), "cost"), "w").join(behind.select("p", "t"), "p").select("p", "w", "n", gain.alias("gain"))
+
+    def keyed(batches):
+        for b in batches:
+            p, w = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2))
+            yield pa.RecordBatch.from_arrays([_pair_tokens(_pair_keys(p, w)), b.column(2), b.column(3)], names=["token", "n_train", "cost"])
+
+    known = materialize(gains.mapInArrow(keyed, "token binary, n_train long, cost double"), "gains")
     word = F.expr("substring(token, 2)")
-    vocabulary = scored.join(plain, word == F.col("word"), "left").select("token", F.coalesce("n_train", F.lit(0)).alias("n_train"), "cost")
-    return LanguageModel(materialize(vocabulary, "vocabulary"), int(total.n), int(total.v), class_cost, table_, mixer)
+    whole = F.col("cost") + F.coalesce(left_over, F.lit(0.0))  # every token but the end has another behind it
+    vocabulary = (
+        scored.join(plain, word == F.col("word"), "left")
+        .join(behind, F.col("h") == F.col("p"), "left")
+        .select("token", F.coalesce("n_train", F.lit(0)).alias("n_train"), whole.alias("cost"))
+    )
+    return LanguageModel(materialize(vocabulary, "vocabulary"), int(total.n), int(total.v), known, class_cost, table_, mixer)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _common(tokens: DataFrame, count_col: str, at_most: int) -> DataFrame:
@@ -447,17 +559,21 @@ def _common(tokens: DataFrame, count_col: str, at_most: int) -> DataFrame:
     return some.where(step >= least) if least is not None else some.limit(0)
 
 
-def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON_TOKENS, common_pairs: int = COMMON_PAIRS) -> DataFrame:
     """One row per document: the id, n_tokens, n_known, n_bytes (of words, with one after
     each, and the end), base_score and score (log10), bits_per_byte.
 
-    The costs of at most ``common`` tokens go to every task; a document's other tokens are
-    joined with the vocabulary.  A null text counts as empty and has the end alone.
+    The costs of at most ``common`` tokens and the gains of at most ``common_pairs`` pairs go
+    to every task; a document's other tokens and pairs are joined with the model's.  A null text counts as empty and has the end alone.
     """
     spark = docs.sparkSession
     ship_package(spark)
     found = _common(model.vocabulary, "n_train", common).select("token", model.base(F.col("n_train")).alias("base"), "cost").toArrow()
     near = spark.sparkContext.broadcast((found["token"].to_pylist(), found["base"].to_numpy(), found["cost"].to_numpy()))
+    gained = _common(model.pairs, "n_train", common_pairs).select("token", "cost").toArrow()
+    keys = _keys_of(gained["token"])
+    order = np.argsort(keys)
+    pairs = spark.sparkContext.broadcast((keys[order], gained["cost"].to_numpy()[order]))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [("key", T.LongType()), ("token", T.BinaryType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("n_bytes", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("id", d.schema["id"].dataType), *[T.StructField(n, t) for n, t in fields]])
@@ -474,6 +590,9 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         key = TaskContext.get().partitionId() << 36
         ids, own = [], []
         rare_keys, rare_sizes, rare_words, rare_counts = [], [], [], []
+        pair_keys, pair_docs, pair_counts = [], [], []
+        pair_at, pair_gain = pairs.value
+        hashes: dict[int, _Hashes] = {}
 
         def batch(n: int, cols: dict):
             return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in arrow], schema=arrow)
@@ -486,7 +605,12 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             if rare_words:
                 keys = np.repeat(np.array(rare_keys, np.int64), rare_sizes)
                 yield batch(len(rare_words), {"key": pa.array(keys), "token": pa.array(rare_words, pa.binary()), "n": pa.array(rare_counts, pa.int64())})
-            for x in (ids, own, rare_keys, rare_sizes, rare_words, rare_counts):
+            if pair_keys:
+                k, n = np.concatenate(pair_keys), np.concatenate(pair_counts)
+                zeros = {f: pa.array(np.zeros(len(k), np.int64)) for f in ("n_tokens", "n_known", "n_bytes")}
+                docs_ = pa.array(np.repeat(np.array(pair_docs, np.int64), list(map(len, pair_keys))))
+                yield batch(len(k), {"key": docs_, "token": _pair_tokens(k), "n": pa.array(n), "base": pa.array(np.zeros(len(k))), **zeros})
+            for x in (ids, own, rare_keys, rare_sizes, rare_words, rare_counts, pair_keys, pair_docs, pair_counts):
                 x.clear()
 
         for b in batches:
@@ -507,16 +631,25 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                         rare_counts.extend([n for _, n in rest])
                     f = np.array(found, np.int64).reshape(-1, 2)
                     n_ = f[:, 1].astype(np.float64)
+                    seen, times = np.unique(_pair_keys(*_pairs_of(kind, words, hashes)), return_counts=True)
+                    gain, unheld = 0.0, np.ones(len(seen), bool)
+                    if len(pair_at):
+                        place = np.minimum(np.searchsorted(pair_at, seen), len(pair_at) - 1)
+                        unheld = pair_at[place] != seen
+                        gain = float(pair_gain[place[~unheld]] @ times[~unheld])
+                    pair_keys.append(seen[unheld])
+                    pair_counts.append(times[unheld].astype(np.int64))
+                    pair_docs.append(key)
                     ids.append(doc)
                     # the row of the document itself matches no token: none holds a space
-                    own.append((key, b" %d" % key, 1, len(words), int(f[:, 1].sum()), size, float(base[f[:, 0]] @ n_), class_cost[kind] + float(cost[f[:, 0]] @ n_)))
+                    own.append((key, b" %d" % key, 1, len(words), int(f[:, 1].sum()), size, float(base[f[:, 0]] @ n_), class_cost[kind] + float(cost[f[:, 0]] @ n_) + gain))
                     key += 1
-                if len(rare_words) > 50_000:
+                if len(rare_words) + sum(map(len, pair_keys)) > 50_000:
                     yield from held()
         yield from held()
 
     pieces = d.mapInArrow(split, schema)
-    v = model.vocabulary.select("token", F.col("n_train"), F.col("cost"))
+    v = model.vocabulary.select("token", "n_train", "cost").union(model.pairs.select("token", "n_train", "cost"))
     met = pieces.join(v, "token", "left")
     n = F.col("n")
     rare = F.col("n_tokens").isNull()
@@ -527,7 +660,8 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         F.sum(F.when(rare, F.when(F.col("n_train") > 0, n).otherwise(zero)).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum("n_bytes").alias("n_bytes"),
         F.sum(F.when(rare, n * model.base(F.coalesce("n_train", zero))).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(rare, n * F.col("cost")).otherwise(F.col("score"))).alias("score"),
+        # a pair's row has no score; without a gain it adds nothing
+        F.sum(F.when(rare, n * F.col("cost")).otherwise(F.coalesce("score", n * F.col("cost"), F.lit(0.0)))).alias("score"),
     )
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", "base_score", "score", bits.alias("bits_per_byte"))

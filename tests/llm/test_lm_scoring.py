@@ -119,3 +119,30 @@ def test_tables_grow_with_the_vocabulary():
     small, large = L.sized(1000), L.sized(2_000_000)
     assert small == L.ORDERS and len(small) == 6
     assert all(b >= a for (_, a), (_, b) in zip(small, large)) and L._slots_of(large) > L._slots_of(small)
+
+
+def test_order_of_words_counts(spark):
+    """Held-out texts score worse with their words shuffled; both ways of joining agree."""
+    rnd = np.random.default_rng(7)
+    names = [f"{a}{b}" for a in "bdfgklmn" for b in ("ar", "es", "il", "on", "ut")]
+
+    def text(size):
+        out = [int(rnd.integers(0, len(names)))]
+        while len(out) < size:  # each word has three likely successors
+            out.append((out[-1] * 7 + int(rnd.integers(0, 3))) % len(names) if rnd.random() < 0.9 else int(rnd.integers(0, len(names))))
+        return [names[k] for k in out]
+
+    rows = [(i, " ".join(text(60)), False) for i in range(200)]
+    for i in range(1000, 1040):
+        words = text(60)
+        rows += [(i, " ".join(words), True), (i + 1000, " ".join(rnd.permutation(words).tolist()), True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    m = L.fit_language_model(d)
+    held = d.where("held_out")
+    got = {r.doc_id: r.score for r in L.score_documents(held, m).collect()}
+    assert len(got) == 80 and all(got[i] > got[i + 1000] + 5 for i in range(1000, 1040))
+    joined = {r.doc_id: r.score for r in L.score_documents(held, m, common=0, common_pairs=0).collect()}
+    assert joined == pytest.approx(got, rel=1e-9)
+    cost = {r.token: r.cost for r in m.vocabulary.collect()}
+    gain = {bytes(r.token): r.cost for r in m.pairs.collect()}
+    assert all(g > 0 for g in gain.values()) and all(math.isfinite(c) for c in cost.values())
