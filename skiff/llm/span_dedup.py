@@ -7,6 +7,7 @@ a sentence is removed if any repeated run that covers it is not the first of its
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from skiff.session import materialize, ship_package
 
 #: Sentences of a run, and the fewest words that make it worth comparing.
 RUN, MIN_WORDS = 3, 10
-#: A longer sentence counts as several, cut after so many words.
-SENTENCE_WORDS = 16
+#: A longer sentence counts as several: it is cut after the word with the smallest hash of
+#: every so many neighbours, so copies are cut alike wherever their sentence begins.  At most
+#: so many words are lost at either end of a copy, and what is left of 51 has three pieces.
+SENTENCE_WORDS = 12
 
 _END = re.compile(r"[.!?…]+[\"'”’»)]*\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -29,27 +32,46 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences, which cover the whole text: one ends after closing
-    punctuation and white space, at a line end, or after ``SENTENCE_WORDS`` words."""
+    punctuation and white space, at a line end, or within a long one as ``_cuts`` says."""
     out = []
     start = 0
     ends = [m.end() for m in _END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
-        if text.count(" ", start, end) >= SENTENCE_WORDS:
-            words = [m.end() for m in _WORD.finditer(text, start, end)]
-            for cut in words[SENTENCE_WORDS - 1 : -1 : SENTENCE_WORDS]:
-                out.append((start, cut))
-                start = cut
+        words = text[start:end].split()
+        if len(words) > SENTENCE_WORDS:
+            ends_ = [m.end() for m in _WORD.finditer(text, start, end)]
+            for k in _cuts(words):
+                out.append((start, ends_[k]))
+                start = ends_[k]
         if end > start:
             out.append((start, end))
             start = end
     return out
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Words behind which a sentence is cut: the last one with the smallest hash of each
+    ``SENTENCE_WORDS`` neighbours, but not the sentence's last word."""
+    h = [zlib.crc32(w.encode("utf-8", "replace")) * 0x9E3779B1 & 0xFFFFFFFF for w in words]
+    out, at = [], -1
+    for end in range(SENTENCE_WORDS, len(h) + 1):
+        first = end - SENTENCE_WORDS
+        if at < first:
+            part = h[first:end][::-1]
+            at = end - 1 - part.index(min(part))
+        elif h[end - 1] <= h[at]:
+            at = end - 1
+        if (not out or at != out[-1]) and at < len(h) - 1:
+            out.append(at)
+    return out
+
+
 def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS) -> list[int | None]:
-    """A hash for each run by its first sentence; None for runs of too few words.  Words are
-    compared as they are, white space between them is not."""
+    """A hash for each run by its first sentence.  A run of too few words is compared together
+    with the sentences behind it that it takes to have enough; None where the text ends before.
+    Words are compared as they are, white space between them is not."""
     import xxhash
 
     parts = [text[a:b].split() for a, b in sentences(text or "")]
@@ -63,6 +85,12 @@ def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS) ->
         mixed = (mixed ^ h[k : k + size]) * _P
         mixed ^= mixed >> np.uint64(31)
         words += n[k : k + size]
+    short, k = np.flatnonzero(words < min_words), run
+    while len(short := short[short + k < len(parts)]):
+        mixed[short] = (mixed[short] ^ h[short + k]) * _P
+        mixed[short] ^= mixed[short] >> np.uint64(31)
+        words[short] += n[short + k]
+        short, k = short[words[short] < min_words], k + 1
     return [v if w >= min_words else None for v, w in zip(mixed.view(np.int64).tolist(), words.tolist())]
 
 

@@ -67,3 +67,29 @@ def test_repeated_rows_columns_and_empty(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 6)]
     assert got[0].id == "z" and [c for c in got[0].asDict()] == ["doc_id", "text", "id", "n_sentences", "n_removed", "n_removed_words"]
     assert run(spark, []) == []
+
+
+def test_passages_are_met_at_every_offset():
+    """51 words glued into other sentences share a run with any other copy of them."""
+    rnd = random.Random(8)
+    for form in range(12):
+        words = [f"p{rnd.randint(0, 10**6)}" for _ in range(51)]
+        every = (0, 0, 3, 5, 9, 14)[form % 6]  # a sentence's words; 0: no punctuation
+        passage = " ".join(w + "." if every and k % every == every - 1 else w for k, w in enumerate(words))
+        copies = []
+        for offset in range(40):
+            ahead, behind = (" ".join(f"x{rnd.randint(0, 10**6)}" for _ in range(n)) for n in (offset, rnd.randint(0, 30)))
+            copies.append({h for h in S.run_hashes(f"{ahead} {passage} {behind}") if h is not None})
+        shared = [a & b for k, a in enumerate(copies) for b in copies[:k]]
+        assert all(shared)
+        other = {h for h in S.run_hashes(" ".join(f"y{rnd.randint(0, 10**6)}" for _ in range(300))) if h is not None}
+        assert not other & set().union(*copies)
+
+
+def test_passages_in_mid_sentence_go(spark):
+    rnd = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    fill = [" ".join(f"f{rnd.randint(0, 10**6)}" for _ in range(k)) for k in range(1, 18)]
+    got = {r.doc_id: r.text for r in run(spark, [(i, f"{f} {passage} {f[::-1]}") for i, f in enumerate(fill)])}
+    assert passage in got[0] and all("p29 p30" not in got[i] for i in range(1, 17))
+    assert all(f in got[i] and f[::-1] in got[i] for i, f in enumerate(fill))
