@@ -1,42 +1,55 @@
 """NDJSON: strict validation and JSON-array documents (SCL-13, SNK-5, SRC-6, SRC-7).
 
-Validation stays JVM-side on VARIANT parsing.  ``try_parse_json`` alone accepts trailing
-text after a value, so a line is valid only when
+Validation stays JVM-side and needs no session setting.  A line is valid when
 
-* ``[`` line ``]`` parses to an array of exactly one element, and
-* ``{"v":`` line ``}`` parses,
+* ``[`` line ``]`` is an array of exactly one element (``json_array_length``), and
+* ``{"v":`` line ``}`` is read by ``from_json`` without a corrupt record,
 
-which together accept exactly one JSON value with optional surrounding whitespace.
-Duplicate object keys are valid to Python's ``json`` module; VARIANT rejects them unless
-``spark.sql.variant.allowDuplicateKeys`` is on; ``validate`` refuses to run without it.
+which together accept exactly one JSON value with optional surrounding whitespace.  Neither
+keeps what it reads, so repeated keys are valid at any depth, as they are to Python's ``json``
+module.  The first form forgives single quotes and control characters, the second forgives
+what follows its closing brace, so a line has to pass both.  ``NaN`` and ``Infinity`` are
+not JSON here; numbers of more than 1,000 digits and values nested deeper than 1,000 levels
+are beyond Spark's JSON reader and count as invalid.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+_STRICT = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_bad",
+    "allowSingleQuotes": "false",
+    "allowUnescapedControlChars": "false",
+    "allowNonNumericNumbers": "false",
+}
 
 
 def is_valid_json(line) -> Column:
     v = F.col(line) if isinstance(line, str) else line
-    as_array = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
-    one = F.array_size(F.try_variant_get(as_array, "$", "array<variant>")) == 1
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))
-    return F.coalesce(one & as_member.isNotNull(), F.lit(False))
+    one = F.json_array_length(F.concat(F.lit("["), v, F.lit("]"))) == 1
+    member = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "_bad string", _STRICT)
+    return F.coalesce(one & member.isNotNull() & member["_bad"].isNull(), F.lit(False))
 
 
-def require_duplicate_keys(spark) -> None:
-    """A session setting of the caller, which a library call does not change."""
-    if spark.conf.get(_DUPLICATE_KEYS, "false") != "true":
-        raise RuntimeError(f"set {_DUPLICATE_KEYS}=true: JSON with a repeated key is valid")
+def repeated_keys_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, on the same cluster and with its SQL settings, in which
+    a VARIANT may be parsed from an object with repeated keys (the last value counts)."""
+    if spark.conf.get(_DUPLICATE_KEYS, "false") == "true":
+        return spark
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    other.conf.set(_DUPLICATE_KEYS, "true")
+    return other
 
 
 def validate(lines: DataFrame, col: str = "value") -> DataFrame:
     """Adds a boolean ``valid`` column (see module doc)."""
-    require_duplicate_keys(lines.sparkSession)
     return lines.withColumn("valid", is_valid_json(col))
 
 

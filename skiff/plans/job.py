@@ -77,7 +77,6 @@ def _write(spark: SparkSession, cfg: JobConfig, spec, files: DataFrame) -> dict:
     shards = cfg.output_shards if cfg.output_shards > 0 else _auto_shards(manifest)
     if cfg.process_type == "direct_to_bigquery":
         # table sink: lines with their source key, ISO date of the key and parsed VARIANT
-        ndjson.require_duplicate_keys(spark)
         key = F.expr(f"substring(path, {len(root) + 2})")
         doc = F.when(ndjson.is_valid_json("value"), F.try_parse_json("value"))
         t = lines.select(key.alias("key"), "line_no", "value", doc.alias("doc")).withColumn("date", C.extract_date("key"))
@@ -126,10 +125,12 @@ def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
         phases[name] = round(now - since[0], 3)
         since[0] = now
 
+    # the table sink parses VARIANTs: its frames live in a session that takes repeated keys
+    work = ndjson.repeated_keys_session(spark) if cfg.process_type == "direct_to_bigquery" else spark
     # the pattern set is selection-sized: computed once, shared by listing, gate and read
-    patterns = materialize(spec.build_patterns(sel), "patterns")
+    patterns = materialize(spec.build_patterns(sel), "patterns", work)
     reduced = materialize(select.reduce_prefixes(select.prefixes_of(patterns).where(F.col("bucket") == cfg.source_bucket), "prefix"), "prefixes")
-    listing = list_objects(spark, cfg.source_root, cfg.source_bucket, reduced)
+    listing = list_objects(work, cfg.source_root, cfg.source_bucket, reduced)
     mark("list")
     exts = tuple(spec.extensions)
     gate_row = None
@@ -155,7 +156,7 @@ def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
     step = "read"
     try:
         record({"stages": {"read": "running"}})
-        place = _write(spark, cfg, spec, files)
+        place = _write(work, cfg, spec, files)
         mark("read_write")
         record(*[{"stages": {s: "completed"}} for s in ("read", "decompress", "concatenate", "write")])
         step = "validate"

@@ -27,7 +27,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
@@ -111,12 +110,12 @@ def scratch(spark: SparkSession):
         del _MADE[mark:]
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, spark: SparkSession | None = None):
     """Write a derived DataFrame once as a parquet table in the shared folder and read it
-    back: later plans scan the table instead of recomputing its lineage, and the copy
-    survives executor loss (unlike a cache)."""
+    back (in its own session or the given one): later plans scan the table instead of
+    recomputing its lineage, and the copy survives executor loss (unlike a cache)."""
     path = run_dir(df.sparkSession, label)
     if _OPEN:
         _MADE.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return (spark or df.sparkSession).read.parquet(path)

@@ -18,7 +18,7 @@ def source(tmp_path_factory):
     files = {
         "2016/Jan/1/m1.bz2": b'{"m":1}\n{"m":2}\n',
         "2016/Jan/1/m2.bz2": b'{"m":3}\n\n  \n{"m":4} x\n',
-        "2016/Jan/10/m3.bz2": b'{"m":5}\n',
+        "2016/Jan/10/m3.bz2": b'{"m":5,"m":5}\n',
         "2016/Feb/2/m4.bz2": b'{"m":6}\n',
         "2016/Feb/2/bad.bz2": None,
     }
@@ -43,7 +43,7 @@ def test_concatenate_job(spark, source, tmp_path):
     assert res["lines_yielded"] == 6
     assert res["output"].endswith("/out/lines") and 1 <= res["output_files"] <= 3
     lines = sorted(r.value for r in transport.read_shards(spark, res["output"]).collect())
-    assert lines == sorted(['{"m":1}', '{"m":2}', '{"m":3}', '{"m":4} x', '{"m":5}', '{"m":6}'])
+    assert lines == sorted(['{"m":1}', '{"m":2}', '{"m":3}', '{"m":4} x', '{"m":5,"m":5}', '{"m":6}'])
     man = {os.path.basename(r.path): r for r in read_manifest(spark, out).collect()}
     assert man["bad.bz2"].error and man["m2.bz2"].lines == 2
     state = runs.fold_runs(spark.read.parquet(runs_table)).first()
@@ -77,7 +77,7 @@ def test_decompress_only_layout(spark, source, tmp_path, compression):
     suffix = ".gz" if compression == "gzip" else ""
     assert {r.rel_path: r.value for r in transport.read_inputs(spark, res["output"]).collect()} == {
         f"2016/Jan/1/m1{suffix}": '{"m":1}\n{"m":2}\n', f"2016/Jan/1/m2{suffix}": '{"m":3}\n{"m":4} x\n',
-        f"2016/Jan/10/m3{suffix}": '{"m":5}\n', f"2016/Feb/2/m4{suffix}": '{"m":6}\n',
+        f"2016/Jan/10/m3{suffix}": '{"m":5,"m":5}\n', f"2016/Feb/2/m4{suffix}": '{"m":6}\n',
     }
     left = [f for _d, _s, names in os.walk(tmp_path / "per" / "inputs") for f in names if "inprogress" in f]
     assert not left
@@ -116,6 +116,7 @@ def test_table_sink(spark, source, tmp_path):
     t = spark.read.parquet(res["output"])
     assert t.count() == 6
     assert t.where(F.col("doc").isNull()).count() == 1
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") == "false"
 
 
 def test_gate_and_read_agree(spark, source, tmp_path):

@@ -4,12 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
-import pytest
 from skiff.operators import ndjson
 
-VALID = ['{"a":1}', "[1,2]", "3", "null", '""', '  {"a":1}\r', '{"a":1,"a":2}']
+VALID = ['{"a":1}', '{"_bad":"x","v":1}', "-0", "1e400", " [ ] ", '"\\ud800"', "[" * 900 + "]" * 900, "[1,2]", "3", "null", '""', '  {"a":1}\r', '{"a":1,"a":2}']
 INVALID = ["{bad", '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "1] x", "1} x", '1,"w":2',
-           '{"a":1}]', '{"a":1}}', ""]
+           '{"a":1}]', '{"a":1}}', "", " ", "{'a':1}", '"a\tb"', "01", "1.", "+1", "/* c */1", "1,", "[1,]", '{"a":1,}',
+           "tru", '"\\x"', "\ufeff1", "\u00a01", "1//x", '"a', "1],[2", '1}, {"v":2', '"a\\\nb"', "-", "{a:1}", "1]//", '{"_bad":1']
 
 
 def py_valid(s):
@@ -34,15 +34,17 @@ def test_write_split(spark, tmp_path):
     assert sorted((r.value, r.valid) for r in rows) == sorted((s, s in VALID) for s in lines)
 
 
-def test_settings_are_the_callers(spark):
+def test_repeated_keys_need_no_setting(spark):
     key = "spark.sql.variant.allowDuplicateKeys"
-    spark.conf.set(key, "false")
-    try:
-        with pytest.raises(RuntimeError):
-            ndjson.validate(spark.createDataFrame([("1",)], "value string"))
-        assert spark.conf.get(key) == "false"
-    finally:
-        spark.conf.set(key, "true")
+    assert spark.conf.get(key, "false") == "false"
+    deep = '{"a":{"b":1,"b":[{"c":1,"c":2}]}}'
+    df = spark.createDataFrame([(deep,), ('{"a":1,"a":2',)], "value string")
+    assert [r.valid for r in ndjson.validate(df).collect()] == [True, False]
+    other = ndjson.repeated_keys_session(spark)
+    assert other.conf.get(key) == "true" and spark.conf.get(key, "false") == "false"
+    assert other.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    got = other.range(1).selectExpr(f"to_json(parse_json('{deep}')) v").first().v
+    assert got == '{"a":{"b":[{"c":2}]}}'
 
 
 def test_explode_json_array(spark):
