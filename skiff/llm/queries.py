@@ -12,6 +12,7 @@ from skiff.llm.quality_classifier import op8_quality_classifier
 from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
 from skiff.llm.secret_scan import op5_secret_scan
 from skiff.llm.span_dedup import op6_span_dedup
+from skiff.llm.piece_encoding import op11_piece_encoding
 
 QUERIES = {
     "op10_jaccard_join": (op10_jaccard_join, None),
@@ -24,4 +25,5 @@ QUERIES = {
     "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
+    "op11_piece_encoding": (op11_piece_encoding, None),
 }
