@@ -13,6 +13,7 @@ from skiff.llm.quality_rules import OP9_SQL, op9_quality_rules
 from skiff.llm.secret_scan import op5_secret_scan
 from skiff.llm.span_dedup import op6_span_dedup
 from skiff.llm.piece_encoding import op11_piece_encoding
+from skiff.llm.centroids import OP12_SQL, op12_centroid_clustering
 
 QUERIES = {
     "op10_jaccard_join": (op10_jaccard_join, None),
@@ -26,4 +27,5 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op11_piece_encoding": (op11_piece_encoding, None),
+    "op12_centroid_clustering": (op12_centroid_clustering, OP12_SQL),
 }
