@@ -14,6 +14,7 @@ from skiff.llm.secret_scan import op5_secret_scan
 from skiff.llm.span_dedup import op6_span_dedup
 from skiff.llm.piece_encoding import op11_piece_encoding
 from skiff.llm.centroids import OP12_SQL, op12_centroid_clustering
+from skiff.llm.periodic_runs import op13_periodic_runs
 
 QUERIES = {
     "op10_jaccard_join": (op10_jaccard_join, None),
@@ -28,4 +29,5 @@ QUERIES = {
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op11_piece_encoding": (op11_piece_encoding, None),
     "op12_centroid_clustering": (op12_centroid_clustering, OP12_SQL),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
