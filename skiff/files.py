@@ -34,6 +34,30 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly in a folder; none if there is no such folder."""
+    fs, p = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def count_files(spark: SparkSession, folder: str, start: str) -> int:
+    """Files in a folder and all below it whose names begin with ``start``; listed page by page."""
+    fs, p = _at(spark, folder)
+    n, found = 0, fs.listFiles(p, True) if fs.exists(p) else None
+    while found is not None and found.hasNext():
+        n += found.next().getPath().getName().startswith(start)
+    return n
+
+
+def read(spark: SparkSession, path: str) -> bytes:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     fs, p = _at(spark, source)
     if not fs.rename(p, _at(spark, target)[1]):
@@ -50,6 +74,12 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def write_whole(spark: SparkSession, folder: str, name: str, data: bytes) -> None:
+    """A new file that readers of the folder see whole or not at all."""
+    write(spark, f"{folder}/_{name}.draft", data)
+    move(spark, f"{folder}/_{name}.draft", f"{folder}/{name}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

@@ -10,13 +10,18 @@ Event rows (``EVENT_SCHEMA``):
 * ``kind = 'update'``   partial update (RUN-3): non-null fields win, latest first
 * ``kind = 'refresh'``  a service state observed by polling (RUN-5), in ``state``
 * ``kind = 'cancel'``   user cancel (RUN-6)
+* ``kind = 'job'``      the job's own report: ``running``, ``completed``, ``failed``
 * ``kind = 'log'``      a log line (RUN-4, appended only if not already present)
 
 Status rule (RUN-3/5/6), in event order: a create, an update with a status or a cancel sets
 the status, the last write wins.  A refresh counts only while the job is ``submitted`` or
 ``running``, and one without a state (the status call failed) never counts.  So the folded
 status is that of the last event that set one, if it is terminal; else the first terminal
-refresh after that event, else the last refresh after it, else that event's.
+refresh after that event, else the last refresh after it, else that event's.  A cancel is
+final for the job's own reports: one counts like an update, unless a cancel came before it.
+
+Single events are written as one small parquet file each, without a Spark job; a cancel also
+leaves a mark (``_cancel/<job>``) in the table's folder, which a running job looks for.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ EVENT_SCHEMA = (
     "log string, process_type string, selected_paths array<string>, "
     "stages map<string,string>, config map<string,string>"
 )
-# fixed values: the five stages, all "waiting" at creation
+# fixed values: the five stages, all "waiting" at creation, and what a stage can be
 STAGES = ["read", "decompress", "concatenate", "write", "validate"]
+STAGE_STATES = ["waiting", "in_progress", "completed", "failed"]
 RECENT_DEFAULT, RECENT_MAX = 20, 100
 LOG_TAIL = 50
 
@@ -45,20 +51,25 @@ def _order() -> F.Column:
 
 
 # RUN-1 / RUN-3 / RUN-6 / RUN-4: event constructors ----------------------------------------
-def create_event(spark: SparkSession, job_id: str, seq: int, paths: list[str], process_type: str,
-                 config: dict | None = None, ts: datetime | None = None) -> DataFrame:
+def created(job_id: str, seq: int, paths: list[str], process_type: str, config: dict | None = None, ts: datetime | None = None) -> tuple:
+    """A row of ``EVENT_SCHEMA``: the full record of a new run."""
     ts = ts or datetime.now(timezone.utc)
-    row = (job_id, seq, ts, "create", "submitted", None,
-           f"[{ts.strftime('%Y-%m-%dT%H:%M:%S.%f')}Z] Pipeline submitted", process_type, paths,
-           {s: "waiting" for s in STAGES}, config or {})
-    return spark.createDataFrame([row], EVENT_SCHEMA)
+    return (job_id, seq, ts, "create", "submitted", None,
+            f"[{ts.strftime('%Y-%m-%dT%H:%M:%S.%f')}Z] Pipeline submitted", process_type, paths,
+            {s: "waiting" for s in STAGES}, config or {})
 
 
-def simple_event(spark: SparkSession, job_id: str, seq: int, kind: str, *, status=None, state=None,
-                 log=None, stages=None, config=None, ts: datetime | None = None) -> DataFrame:
-    ts = ts or datetime.now(timezone.utc)
-    row = (job_id, seq, ts, kind, status, state, log, None, None, stages, config)
-    return spark.createDataFrame([row], EVENT_SCHEMA)
+def simple(job_id: str, seq: int, kind: str, *, status=None, state=None, log=None, stages=None, config=None, ts: datetime | None = None) -> tuple:
+    """A row of ``EVENT_SCHEMA`` of any other kind."""
+    return (job_id, seq, ts or datetime.now(timezone.utc), kind, status, state, log, None, None, stages, config)
+
+
+def create_event(spark: SparkSession, *args, **kw) -> DataFrame:
+    return spark.createDataFrame([created(*args, **kw)], EVENT_SCHEMA)
+
+
+def simple_event(spark: SparkSession, *args, **kw) -> DataFrame:
+    return spark.createDataFrame([simple(*args, **kw)], EVENT_SCHEMA)
 
 
 def append_events(events: DataFrame, table_path: str) -> None:
@@ -66,6 +77,22 @@ def append_events(events: DataFrame, table_path: str) -> None:
     events.write.mode("append").parquet(table_path)
 
 
+def append_rows(spark: SparkSession, rows: list[tuple], table_path: str) -> None:
+    """Append a few events as one file that readers see whole or not at all."""
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text, pairs = pa.string(), pa.map_(pa.string(), pa.string())
+    types = [text, pa.int64(), pa.timestamp("us", tz="UTC"), *[text] * 5, pa.list_(text), pairs, pairs]
+    names = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+    columns = [pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t) for c, t in zip(zip(*rows), types)]
+    sink = pa.BufferOutputStream()
+    pq.write_table(pa.Table.from_arrays(columns, names=names), sink)
+    files.write_whole(spark, table_path, f"part-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+
+
 def compact_events(spark: SparkSession, table_path: str, out_path: str, files: int | None = None) -> str:
     """Rewrite the run-event table (one small file per appended event) into ``files``
     files at ``out_path``, clustered by job so a job's events share row groups.
@@ -101,7 +128,7 @@ def read_events(spark: SparkSession, table_path: str) -> DataFrame:
 
 def _record(spark: SparkSession, table_path: str, job_id: str, kind: str, **fields) -> None:
     seq = _next_seq(read_events(spark, table_path), job_id)
-    append_events(simple_event(spark, job_id, seq, kind, **fields), table_path)
+    append_rows(spark, [simple(job_id, seq, kind, **fields)], table_path)
 
 
 def record_refresh(spark: SparkSession, table_path: str, job_id: str, service_state: str | None) -> None:
@@ -116,15 +143,22 @@ def record_update(spark: SparkSession, table_path: str, job_id: str, **fields) -
 
 
 def record_stage(spark: SparkSession, table_path: str, job_id: str, stage: str, state: str) -> None:
-    """RUN-8: one stage moves on (``running``, ``completed`` or ``failed``)."""
-    if stage not in STAGES:
-        raise ValueError(f"stage must be one of {STAGES}")
+    """RUN-8: one stage moves on."""
+    if stage not in STAGES or state not in STAGE_STATES:
+        raise ValueError(f"stage must be one of {STAGES}, its state one of {STAGE_STATES}")
     record_update(spark, table_path, job_id, stages={stage: state})
 
 
 def record_cancel(spark: SparkSession, table_path: str, job_id: str) -> None:
-    """RUN-6: cancel of a known run, recorded even when the service call failed."""
+    """RUN-6: cancel of a known run.  The job stops where it runs, in whatever session, when it
+    next looks for the mark; the run is ``cancelled`` at once, whether it still runs or not."""
     _record(spark, table_path, job_id, "cancel")
+    files.write(spark, f"{table_path}/_cancel/{job_id}", b"")
+
+
+def is_cancelled(spark: SparkSession, table_path: str, job_id: str) -> bool:
+    """Whether ``record_cancel`` left its mark: one look at the file system."""
+    return files.exists(spark, f"{table_path}/_cancel/{job_id}")
 
 
 def record_log(spark: SparkSession, table_path: str, job_id: str, line: str) -> None:
@@ -144,8 +178,17 @@ def _statuses(events: DataFrame) -> DataFrame:
     at = _order()
     sets = (F.col("kind") == "cancel") | (F.col("kind").isin("create", "update") & F.col("status").isNotNull())
     value = F.when(F.col("kind") == "cancel", F.lit("cancelled")).otherwise(F.col("status"))
+    told = (F.col("kind") == "job") & F.col("status").isNotNull()
     last = events.groupBy("job_id").agg(
-        F.max_by(F.when(sets, value), F.when(sets, at)).alias("_set"), F.max(F.when(sets, at)).alias("_at")
+        F.max_by(F.when(sets, value), F.when(sets, at)).alias("_set"), F.max(F.when(sets, at)).alias("_at"),
+        F.max_by(F.when(told, F.col("status")), F.when(told, at)).alias("_own"), F.max(F.when(told, at)).alias("_own_at"),
+        F.min(F.when(F.col("kind") == "cancel", at)).alias("_cancel_at"),
+    )
+    # the job's own report counts if it came last and no cancel came before it
+    own = F.col("_own_at").isNotNull() & (F.col("_at").isNull() | (F.col("_own_at") > F.col("_at")))
+    own = own & (F.col("_cancel_at").isNull() | (F.col("_own_at") < F.col("_cancel_at")))
+    last = last.select(
+        "job_id", F.when(own, F.col("_own")).otherwise(F.col("_set")).alias("_set"), F.when(own, F.col("_own_at")).otherwise(F.col("_at")).alias("_at")
     )
     mapped = C.map_state("state")
     polls = events.where((F.col("kind") == "refresh") & F.col("state").isNotNull()).select("job_id", at.alias("_o"), mapped.alias("_m"))

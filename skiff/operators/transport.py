@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import files
 from ..functions import columns as C
+from .shards import SUFFIX, TextSink, write_shards  # noqa: F401 -- part of this module's interface
 
-COMPRESSIONS = {"none": "none", "gzip": "gzip", "snappy": "snappy"}
+COMPRESSIONS = tuple(SUFFIX)
 DEFAULT_SHARDS = 0  # sized from the bytes
-SHARD_NAME = "output-{i:05d}-of-{n:05d}.ndjson"
 
 
 # SCL-1 ------------------------------------------------------------------------------------
@@ -29,61 +29,7 @@ def normalize_lines(df: DataFrame, text_col: str = "value", keep: list[str] | No
     return df.select(*keep, F.posexplode(kept).alias("line_no", "value"))
 
 
-# SNK-1 / SNK-2 / DST-2 --------------------------------------------------------------------
-def write_shards(
-    lines: DataFrame,
-    out: str,
-    num_shards: int,
-    compression: str = "none",
-    rename: bool = True,
-) -> list[str]:
-    """Write ``value`` as newline-terminated text into at most ``num_shards`` files.
-
-    With ``rename`` the files get the ``output-SSSSS-of-NNNNN.ndjson`` names and shards
-    Spark left out (empty partitions) are created empty, so there are exactly ``num_shards``;
-    returns the final file names.  That is a file-system move a shard: for many shards on an
-    object store leave it out, and the committed part files stay as they are.
-    """
-    codec = COMPRESSIONS[compression]
-    (
-        lines.select("value")
-        .repartition(num_shards)
-        .write.mode("errorifexists")
-        .option("compression", codec)
-        .option("lineSep", "\n")
-        .text(out)
-    )
-    return rename_shards(lines.sparkSession, out, compression, num_shards) if rename else []
-
-
-_SUFFIX = {"none": "", "gzip": ".gz", "snappy": ".snappy"}
-
-
-def _empty_shard(compression: str) -> bytes:
-    """Bytes of a shard with no lines (a valid empty stream for the codec)."""
-    if compression == "gzip":
-        import gzip
-
-        return gzip.compress(b"")
-    return b""
-
-
-def rename_shards(spark, out: str, compression: str = "none", num_shards: int = 0) -> list[str]:
-    """Name the committed part files of a folder ``output-SSSSS-of-NNNNN.ndjson``; shards
-    missing up to ``num_shards`` are created empty."""
-    parts = [n for n in files.file_names(spark, out) if n.startswith("part-")]
-    n = max(num_shards, len(parts))
-    done = []
-    for i in range(n):
-        target = f"{out}/{SHARD_NAME.format(i=i, n=n)}{_SUFFIX[compression]}"
-        if i < len(parts):
-            files.move(spark, f"{out}/{parts[i]}", target)
-        else:
-            files.write(spark, target, _empty_shard(compression))
-        done.append(target)
-    return done
-
-
+# SNK-1 / SNK-2 / DST-2: shards.write_shards ---------------------------------------------------
 def read_shards(spark, out: str) -> DataFrame:
     """Read written shards back as lines (codec from the file suffix)."""
     return spark.read.option("lineSep", "\n").text(out)
@@ -107,14 +53,17 @@ def _write_inputs(batches, root: str, out: str, compression: str):
 
     def copy(path: str, name: str, counter: list, last: int | None) -> None:
         target_fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        with target_fs.open_output_stream(name, compression="gzip" if compression == "gzip" else None) as f:
+        sink = TextSink(target_fs, name, compression)
+        try:
             for _stream, _at, values in _scan(path, cache, counter, last):
-                f.write("".join(f"{v}\n" for v in values.to_pylist()).encode())
+                sink.write(values)
+        finally:
+            sink.close()
 
     for b in batches:
         for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             key = path[len(root) + 1 :]
-            name = f"{base}/{key.removesuffix('.bz2')}{_SUFFIX[compression]}"
+            name = f"{base}/{key.removesuffix('.bz2')}{SUFFIX[compression]}"
             draft = f"{name}.{attempt}.inprogress"
             counter, error = [0, False, 0, None], None
             try:
@@ -140,13 +89,12 @@ def write_inputs(objects: DataFrame, root: str, out: str, compression: str = "no
     target and moves it there when the input proved whole; a failed input leaves nothing.
     Returns the manifest (``INPUT_SCHEMA``), which runs the copy when it is written.
     """
-    if compression == "snappy":
-        raise ValueError("decompress_only writes plain or gzip files")
     return objects.select("path", "size_bytes").repartition(tasks).mapInArrow(lambda it: _write_inputs(it, root, out, compression), INPUT_SCHEMA)
 
 
 def read_inputs(spark, out: str) -> DataFrame:
     """``rel_path``, ``value``: whole text of every output of ``write_inputs``."""
+    # (Spark finds the codec by the suffix of the names, also for whole texts)
     t = spark.read.option("recursiveFileLookup", "true").text(out, wholetext=True)
     base = "/" + files.qualified(spark, out).split("://", 1)[1].strip("/") + "/"
     full = F.url_decode(F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^[^:]*:/*", "/"))
@@ -155,17 +103,20 @@ def read_inputs(spark, out: str) -> DataFrame:
 
 
 # SNK-6 ------------------------------------------------------------------------------------
-def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None, run: str | None = None) -> str:
     """Table sink: parquet, optionally partitioned (partition pruning on read-back).
 
-    Rows of one partition value go together, and adaptive execution splits what is larger
-    than its advisory size, so the writers of a value follow its bytes.
+    With ``run`` the rows are that run's partition (``run=<id>``) of the table at ``out``: the
+    same run again replaces what it wrote, other runs' rows stay.  Without it the folder must
+    be new.  Rows of one partition value go together, and adaptive execution splits what is
+    larger than its advisory size, so the writers of a value follow its bytes.
     """
+    target, mode = (f"{out}/run={run}", "overwrite") if run else (out, "errorifexists")
     if partition_by:
-        df = df.hint("rebalance", *partition_by)
-        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(out)
+        df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(target)
     else:
-        df.write.mode("errorifexists").parquet(out)
+        df.write.mode(mode).parquet(target)
+    return target
 
 
 # AGG-10 / AGG-12 ---------------------------------------------------------------------------

@@ -392,10 +392,11 @@ def q_ingest_bz2_roundtrip(spark, sf):
               CAST(0 AS BIGINT) AS files_failed, CAST(count(*) AS BIGINT) AS lines_yielded, true AS bytes_as_listed FROM events""",
 )
 def q_ingest_counters(spark, sf):
-    """AGG-10 from the per-file manifest the job wrote beside its shards."""
+    """AGG-10 from the per-file manifest the job wrote beside its shards, its bytes against the
+    listing's (which the run recorded as ``bytes_total``)."""
     res = _run_events_job(spark, sf)
-    listed = list_objects(spark, _events_bz2(spark, sf)[0], bucket="events").where(F.col("key").endswith(".bz2"))
-    size = listed.agg(F.sum("size_bytes").alias("listed"))
+    run = runs.read_events(spark, res["runs_table"]).where((F.col("job_id") == res["job_id"]) & (F.col("kind") == "create"))
+    size = run.select(F.col("config")["bytes_total"].cast("bigint").alias("listed"))
     c = bz2_reader.counters_of(read_manifest(spark, res["manifest"].removesuffix("/_manifest")))
     # two single rows side by side
     both = c.withColumn("k", F.lit(1)).join(size.withColumn("k", F.lit(1)), "k")

@@ -24,7 +24,7 @@ import codecs
 import math
 from typing import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..files import arrow_uri
@@ -261,7 +261,21 @@ def plan_tasks(files: DataFrame, target_bytes: int) -> int:
     return max(1, min(n, max(4 * cores, math.ceil(total / target_bytes))))
 
 
-def read_files(files: DataFrame, target_bytes: int = 128 << 20, num_tasks: int | None = None) -> DataFrame:
+def observed(staged: DataFrame, observation: Observation | None) -> DataFrame:
+    """AGG-10 gathered by the staging write itself, without a pass of its own."""
+    if observation is None:
+        return staged
+    is_file = F.col("line_no").isNull()
+    return staged.observe(
+        observation,
+        F.count_if(is_file & F.col("error").isNull()).alias("files_processed"),
+        F.count_if(is_file & F.col("error").isNotNull()).alias("files_failed"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_read"),
+        F.coalesce(F.sum("n_lines"), F.lit(0)).cast("long").alias("lines_yielded"),
+    )
+
+
+def read_files(files: DataFrame, target_bytes: int = 128 << 20, num_tasks: int | None = None, observation: Observation | None = None) -> DataFrame:
     """Strict reader over a DataFrame of objects (``path`` with a scheme, ``size_bytes``):
     the staged table of the module's description."""
     from ..session import materialize, ship_package
@@ -270,7 +284,7 @@ def read_files(files: DataFrame, target_bytes: int = 128 << 20, num_tasks: int |
     n = num_tasks or plan_tasks(files, target_bytes)
     # round-robin: equal file counts per task (Spark sorts first, so retries deal the same)
     spread = files.select("path", "size_bytes").repartition(n)
-    return materialize(spread.mapInArrow(_read_partition, OUT_SCHEMA), "read")
+    return materialize(observed(spread.mapInArrow(_read_partition, OUT_SCHEMA), observation), "read")
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
@@ -336,7 +350,7 @@ def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame
     return files.select("path").repartition(n).mapInArrow(_read_docs_partition, DOC_SCHEMA)
 
 
-def read_json_arrays(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
+def read_json_arrays(files: DataFrame, target_bytes: int = 128 << 20, observation: Observation | None = None) -> DataFrame:
     """SRC-6 / SRC-7 as a staged read like ``read_files``: the elements of each document's
     JSON array are its lines; a document that is not an array has failed."""
     from ..operators.ndjson import explode_json_array
@@ -355,4 +369,4 @@ def read_json_arrays(files: DataFrame, target_bytes: int = 128 << 20) -> DataFra
         "path", null.cast("long").alias("line_no"), null.cast("string").alias("value"), "bytes", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
         error.alias("error"), F.when(error.isNotNull(), F.lit(-1)).cast("long").alias("stream"),
     )
-    return materialize(lines.unionByName(manifest), "read")
+    return materialize(observed(lines.unionByName(manifest), observation), "read")

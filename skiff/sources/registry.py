@@ -1,8 +1,8 @@
 """Source registry (SRC-4, SRC-5, SRC-6, SRC-8).
 
 A source is a ``SourceSpec``: metadata, the extensions it selects, and a ``reader``
-``(spark, files DataFrame) -> DataFrame`` that returns a staged read (lines and manifest,
-see ``bz2_reader``).  ``build_patterns`` turns a selection DataFrame
+``(spark, files DataFrame, Observation or None) -> DataFrame`` that returns a staged read (lines
+and manifest, see ``bz2_reader``), whose counters the observation gathers.  ``build_patterns`` turns a selection DataFrame
 ``(bucket, path)`` into one glob pair per path and extension.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -26,7 +26,7 @@ class SourceSpec:
     content_type: str
     enabled: bool = True
     description: str = ""
-    reader: Callable[[SparkSession, DataFrame], DataFrame] | None = field(default=None, compare=False)
+    reader: Callable[[SparkSession, DataFrame, Observation | None], DataFrame] | None = field(default=None, compare=False)
 
     def build_patterns(self, sel: DataFrame) -> DataFrame:
         """SCL-7 for every extension (SRC-8): ``p/*ext`` and ``p/**/*ext`` per path."""
@@ -46,17 +46,17 @@ class SourceSpec:
         }
 
 
-def _read_bz2(spark: SparkSession, files: DataFrame) -> DataFrame:
+def _read_bz2(spark: SparkSession, files: DataFrame, observation: Observation | None = None) -> DataFrame:
     from .bz2_reader import read_files
 
-    return read_files(files)
+    return read_files(files, observation=observation)
 
 
-def _read_json(spark: SparkSession, files: DataFrame) -> DataFrame:
+def _read_json(spark: SparkSession, files: DataFrame, observation: Observation | None = None) -> DataFrame:
     """SRC-6: ``.json`` / ``.json.gz`` documents, the elements of their arrays as lines."""
     from .bz2_reader import read_json_arrays
 
-    return read_json_arrays(files)
+    return read_json_arrays(files, observation=observation)
 
 
 # fixed values: the two registered sources and their metadata

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skiff.operators import ndjson, runs, select, transport
+from skiff.operators import ndjson, runs, select, shards, transport
 from skiff.plans.job import JobConfig, read_manifest, run_transport
 
 
@@ -41,16 +41,27 @@ def test_concatenate_job(spark, source, tmp_path):
     # overlapping selections: every file once (regression: files processed twice)
     assert res["files_processed"] == 4 and res["files_failed"] == 1
     assert res["lines_yielded"] == 6
-    assert res["output"].endswith("/out/lines") and 1 <= res["output_files"] <= 3
+    assert res["output"].endswith("/out/lines") and res["output_files"] == 3
+    names = sorted(n for n in os.listdir(tmp_path / "out" / "lines") if not n.startswith("."))
+    assert names == ["_SUCCESS", "_shards.json", *(f"output-{i:05d}-of-00003.ndjson" for i in range(3))]
     lines = sorted(r.value for r in transport.read_shards(spark, res["output"]).collect())
     assert lines == sorted(['{"m":1}', '{"m":2}', '{"m":3}', '{"m":4} x', '{"m":5,"m":5}', '{"m":6}'])
     man = {os.path.basename(r.path): r for r in read_manifest(spark, out).collect()}
     assert man["bad.bz2"].error and man["m2.bz2"].lines == 2
     state = runs.fold_runs(spark.read.parquet(runs_table)).first()
-    assert state.status == "completed" and state.n_events == 7
+    assert state.status == "completed" and state.n_events == 5
     assert state.stages == {s: "completed" for s in runs.STAGES}
     assert state.config["files_processed"] == "4" and state.config["lines_yielded"] == "6"
-    assert state.config["shards"] == "3"
+    assert state.config["shards"] == "3" and state.config["files"] == "5" and float(state.config["records_per_s"]) > 0
+    assert int(state.config["bytes_total"]) == res["bytes_read"]
+    # RUN-8: step by step, each stage in progress before it is completed; AGG-10 after the read
+    told = [(r.stages, r.config) for r in spark.read.parquet(runs_table).where("kind = 'job'").orderBy("seq").collect()]
+    assert [s for s, _ in told] == [
+        {"read": "in_progress", "decompress": "in_progress"},
+        {"read": "completed", "decompress": "completed", "concatenate": "in_progress", "write": "in_progress"},
+        {"concatenate": "completed", "write": "completed", "validate": "in_progress"}, {"validate": "completed"},
+    ]
+    assert (told[1][1]["lines_yielded"], told[1][1]["files_failed"], told[1][1]["bytes_read"]) == ("6", "1", str(res["bytes_read"]))
 
 
 def test_gate_blocks_empty_selection(spark, source, tmp_path):
@@ -68,13 +79,13 @@ def test_prefix_boundary_reproduces_sibling_leak(spark, source, tmp_path):
     assert res["files_processed"] == 2
 
 
-@pytest.mark.parametrize("compression", ["none", "gzip"])
+@pytest.mark.parametrize("compression", ["none", "gzip", "snappy"])
 def test_decompress_only_layout(spark, source, tmp_path, compression):
     out = str(tmp_path / "per")
     res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_only", compression=compression),
                         str(tmp_path / "r"))
     assert (res["files_processed"], res["files_failed"], res["lines_yielded"], res["output_files"]) == (4, 1, 6, 4)
-    suffix = ".gz" if compression == "gzip" else ""
+    suffix = {"none": "", "gzip": ".gz", "snappy": ".snappy"}[compression]
     assert {r.rel_path: r.value for r in transport.read_inputs(spark, res["output"]).collect()} == {
         f"2016/Jan/1/m1{suffix}": '{"m":1}\n{"m":2}\n', f"2016/Jan/1/m2{suffix}": '{"m":3}\n{"m":4} x\n',
         f"2016/Jan/10/m3{suffix}": '{"m":5,"m":5}\n', f"2016/Feb/2/m4{suffix}": '{"m":6}\n',
@@ -104,6 +115,7 @@ def test_parse_split(spark, source, tmp_path):
     res = run_transport(spark, _cfg(source, out, selected_paths=["2016"], process_type="decompress_concatenate_parse"),
                         str(tmp_path / "r"))
     assert (res["files_processed"], res["files_failed"], res["lines_yielded"]) == (4, 1, 6)
+    assert res["output_files"] == 2 and shards.committed_shards(spark, res["output"])[0][0] == "valid=false/output-00000-of-00001.ndjson"
     rows = ndjson.read_split(spark, res["output"]).collect()
     assert [r.value for r in rows if not r.valid] == ['{"m":4} x'] and len(rows) == 6
 
@@ -160,7 +172,100 @@ def test_failed_run_is_recorded(spark, source, tmp_path):
     with pytest.raises(Exception):
         run_transport(spark, _cfg(source, str(tmp_path / "o"), selected_paths=["2016"]), table)
     state = runs.fold_runs(spark.read.parquet(table)).first()
-    assert state.status == "failed" and state.stages["read"] == "failed" and state.stages["write"] == "waiting"
+    assert state.status == "failed" and state.stages["read"] == "completed" and state.stages["write"] == "failed"
+    assert state.stages["validate"] == "waiting" and (tmp_path / "o" / "lines" / "x").exists()
+
+
+def test_table_run_again_replaces_its_rows(spark, source, tmp_path):
+    def job(run, paths):
+        cfg = _cfg(source, str(tmp_path / "t"), selected_paths=paths, process_type="direct_to_bigquery", job_id=run)
+        return run_transport(spark, cfg, str(tmp_path / "r"))
+
+    assert job("one", ["2016/Jan"])["output_files"] >= 1
+    job("two", ["2016/Feb"])
+    res = job("one", ["2016/Jan/10"])
+    rows = spark.read.parquet(res["output"]).groupBy("run").count().collect()
+    assert sorted((r.run, r["count"]) for r in rows) == [("one", 1), ("two", 1)]
+    assert sorted(r.run for r in read_manifest(spark, str(tmp_path / "t")).collect()) == ["one", "two", "two"]
+
+
+class _Slow:
+    """A reader whose tasks take a minute."""
+
+    def __call__(self, spark, files, observation=None):
+        def wait(batches):
+            import time
+
+            time.sleep(60)
+            yield from batches
+
+        files.repartition(2).mapInArrow(wait, files.schema).write.format("noop").mode("overwrite").save()
+        raise AssertionError("not cancelled")
+
+
+@pytest.mark.parametrize("kind", ["decompress_and_concatenate", "direct_to_bigquery"])
+def test_cancel_stops_a_running_job(spark, source, tmp_path, kind):
+    import threading
+    import time
+    from dataclasses import replace
+
+    from skiff.plans.job import RunCancelled
+    from skiff.sources import registry
+
+    registry.register_source(replace(registry.get_source("betfair"), id="slow", reader=_Slow()))
+    table, out = str(tmp_path / "r"), str(tmp_path / "o")
+    cfg = _cfg(source, out, selected_paths=["2016"], source_type="slow", process_type=kind, job_id="j", poll_s=0.2, progress_s=0.5)
+
+    def cancel():
+        while not any(r.stages and r.stages.get("read") == "in_progress" for r in runs.read_events(spark, table).collect()):
+            time.sleep(0.3)
+        time.sleep(2)
+        runs.record_cancel(spark, table, "j")
+
+    t = threading.Thread(target=cancel)
+    t.start()
+    began = time.monotonic()
+    with pytest.raises(RunCancelled):
+        run_transport(spark, cfg, table)
+    t.join()
+    assert time.monotonic() - began < 45
+    state = runs.get_run(spark, table, "j")
+    assert state["status"] == "cancelled" and state["stages"]["read"] == "failed" and state["stages"]["write"] == "waiting"
+    assert int(state["config"]["tasks"]) >= int(state["config"]["tasks_done"]) + 2
+    assert not os.path.exists(out) or not os.listdir(out)
+    del registry._SOURCES["slow"]
+
+
+def test_cancel_before_the_commit_takes_the_output_away(spark, source, tmp_path, monkeypatch):
+    from skiff.plans import job
+
+    table, out = str(tmp_path / "r"), str(tmp_path / "o")
+    write = transport.write_shards
+
+    def write_then_cancel(*args, **kw):
+        done = write(*args, **kw)
+        runs.record_cancel(spark, table, "j")
+        return done
+
+    monkeypatch.setattr(transport, "write_shards", write_then_cancel)
+    with pytest.raises(job.RunCancelled):
+        run_transport(spark, _cfg(source, out, selected_paths=["2016"], job_id="j", poll_s=60), table)
+    assert runs.get_run(spark, table, "j")["status"] == "cancelled"
+    assert not os.path.exists(f"{out}/lines") and not os.path.exists(f"{out}/_manifest")
+
+
+def test_a_cancel_is_final_for_the_jobs_reports(spark, tmp_path):
+    def status(*kinds):
+        table = str(tmp_path / "-".join(k for k, _ in kinds))
+        rows = [runs.simple("j", i, k, status=s) if k != "create" else runs.created("j", i, [], "x") for i, (k, s) in enumerate(kinds)]
+        runs.append_rows(spark, rows, table)
+        return runs.get_run(spark, table, "j")["status"]
+
+    assert status(("create", None), ("job", "running")) == "running"
+    assert status(("create", None), ("job", "running"), ("job", "completed")) == "completed"
+    assert status(("create", None), ("cancel", None), ("job", "completed"), ("log", None)) == "cancelled"
+    assert status(("create", None), ("job", "completed"), ("cancel", None)) == "cancelled"
+    assert status(("create", None), ("job", "failed"), ("update", "running")) == "running"
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip", "snappy"])
@@ -169,7 +274,13 @@ def test_shard_roundtrip(spark, tmp_path, compression):
     df = spark.createDataFrame(rows, "value string")
     out = str(tmp_path / compression)
     files = transport.write_shards(df, out, num_shards=4, compression=compression)
-    assert len(files) == 4
+    assert len(files) == 4 and sum(n for _, n, _ in shards.committed_shards(spark, out)) == 101
+    with pytest.raises(FileExistsError):
+        transport.write_shards(df, out, num_shards=4)
+    bad = df.selectExpr("if(value = 'x\r', raise_error('no'), value) AS value")
+    with pytest.raises(Exception):
+        transport.write_shards(bad, out + "-bad", num_shards=4, compression=compression)
+    assert [n for n in os.listdir(out + "-bad") if not n.startswith(".")] == []
     assert sorted(r.value for r in transport.read_shards(spark, out).collect()) == sorted(v for (v,) in rows)
 
 
@@ -193,7 +304,7 @@ def test_command_line(spark, source, tmp_path, capsys):
     main(["transport", "--source-root", source, "--bucket", "bk", "--paths", "2016/Feb",
           "--output", str(tmp_path / "cli"), "--shards", "2", "--runs-table", table])
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert res["files_processed"] == 1 and res["files_failed"] == 1 and 1 <= res["output_files"] <= 2
+    assert res["files_processed"] == 1 and res["files_failed"] == 1 and res["output_files"] == 2
     main(["cancel", "--runs-table", table, "--job-id", res["job_id"]])
     capsys.readouterr()
     main(["history", "--runs-table", table])

@@ -99,11 +99,11 @@ def test_unknown_runs_are_errors(spark, tmp_path):
     runs.append_events(runs.create_event(spark, "j", 0, ["a"], "decompress_only"), table)
     with pytest.raises(runs.UnknownRun):
         runs.record_log(spark, table, "other", "x")
-    runs.record_stage(spark, table, "j", "read", "running")
+    runs.record_stage(spark, table, "j", "read", "in_progress")
     got = runs.get_run(spark, table, "j")
-    assert got["status"] == "submitted" and got["stages"]["read"] == "running" and got["stages"]["write"] == "waiting"
+    assert got["status"] == "submitted" and got["stages"]["read"] == "in_progress" and got["stages"]["write"] == "waiting"
     with pytest.raises(ValueError):
-        runs.record_stage(spark, table, "j", "nosuch", "running")
+        runs.record_stage(spark, table, "j", "nosuch", "in_progress")
 
 
 def test_command_line(spark, tmp_path, capsys):
