@@ -277,10 +277,7 @@ def test_shard_roundtrip(spark, tmp_path, compression):
     assert len(files) == 4 and sum(n for _, n, _ in shards.committed_shards(spark, out)) == 101
     with pytest.raises(FileExistsError):
         transport.write_shards(df, out, num_shards=4)
-    bad = df.selectExpr("if(value = 'x\r', raise_error('no'), value) AS value")
-    with pytest.raises(Exception):
-        transport.write_shards(bad, out + "-bad", num_shards=4, compression=compression)
-    assert [n for n in os.listdir(out + "-bad") if not n.startswith(".")] == []
+
     assert sorted(r.value for r in transport.read_shards(spark, out).collect()) == sorted(v for (v,) in rows)
 
 
