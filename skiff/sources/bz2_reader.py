@@ -310,63 +310,3 @@ def counters_of(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_read"),
         F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_yielded"),
     )
-
-
-DOC_SCHEMA = "path string, value string, bytes bigint, error string"
-
-
-def _read_docs_partition(batches):
-    """``mapInArrow`` body: whole documents; gzip by ``.gz`` suffix, else raw; strict UTF-8;
-    errors isolated per file."""
-    import gzip
-
-    import pyarrow as pa
-
-    fs_cache: dict = {}
-    schema = pa.schema([("path", pa.string()), ("value", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
-    for rb in batches:
-        for path in rb.column("path").to_pylist():
-            value = error = None
-            size = 0
-            try:
-                with _open(path, fs_cache) as stream:
-                    data = stream.read()
-                size = len(data)
-                if path.endswith(".gz"):
-                    data = gzip.decompress(data)
-                value = data.decode("utf-8")
-            except Exception as e:  # noqa: BLE001
-                error = f"{type(e).__name__}: {e}"
-            # one document a batch: a task never holds two
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((path, value, size, error), schema)], schema=schema)
-
-
-def read_documents(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
-    """SRC-6 reader: one row per file with its whole text (JSON documents)."""
-    from ..session import ship_package
-
-    ship_package(files.sparkSession)
-    n = plan_tasks(files, target_bytes)
-    return files.select("path").repartition(n).mapInArrow(_read_docs_partition, DOC_SCHEMA)
-
-
-def read_json_arrays(files: DataFrame, target_bytes: int = 128 << 20, observation: Observation | None = None) -> DataFrame:
-    """SRC-6 / SRC-7 as a staged read like ``read_files``: the elements of each document's
-    JSON array are its lines; a document that is not an array has failed."""
-    from ..operators.ndjson import explode_json_array
-    from ..session import materialize
-
-    docs = materialize(read_documents(files, target_bytes), "documents")
-    items = explode_json_array(docs.where("error is null"))
-    null = F.lit(None)
-    lines = items.where("value is not null").select(
-        "path", F.col("item_no").cast("long").alias("line_no"), "value", null.cast("long").alias("bytes"), null.cast("long").alias("n_lines"),
-        null.cast("string").alias("error"), F.lit(0).cast("long").alias("stream"),
-    )
-    parsed = docs.withColumn("n", F.array_size(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")))
-    error = F.coalesce("error", F.when(F.col("n").isNull(), F.lit("DocumentError: not a JSON array")))
-    manifest = parsed.select(
-        "path", null.cast("long").alias("line_no"), null.cast("string").alias("value"), "bytes", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
-        error.alias("error"), F.when(error.isNotNull(), F.lit(-1)).cast("long").alias("stream"),
-    )
-    return materialize(observed(lines.unionByName(manifest), observation), "read")

@@ -54,7 +54,7 @@ def _read_bz2(spark: SparkSession, files: DataFrame, observation: Observation |
 
 def _read_json(spark: SparkSession, files: DataFrame, observation: Observation | None = None) -> DataFrame:
     """SRC-6: ``.json`` / ``.json.gz`` documents, the elements of their arrays as lines."""
-    from .bz2_reader import read_json_arrays
+    from .json_reader import read_json_arrays
 
     return read_json_arrays(files, observation=observation)
 

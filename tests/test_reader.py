@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skiff.operators import select
-from skiff.sources import bz2_reader, objects
+from skiff.sources import bz2_reader, json_reader, objects
 from skiff.sources.objects import list_objects
 
 
@@ -228,7 +228,7 @@ def test_json_array_reader(spark, tmp_path):
     (tmp_path / "b.json.gz").write_bytes(gzip.compress(b"[]"))
     (tmp_path / "c.json").write_text('{"not": "an array"}')
     (tmp_path / "d.json.gz").write_bytes(b"not gzip")
-    raw = bz2_reader.read_json_arrays(list_objects(spark, str(tmp_path), bucket="b"))
+    raw = json_reader.read_json_arrays(list_objects(spark, str(tmp_path), bucket="b"))
     assert sorted((r.path.rsplit("/")[-1], r.line_no, r.value) for r in bz2_reader.lines_of(raw).collect()) == [("a.json", 0, '{"a":1}'), ("a.json", 1, '{"b":2}')]
     man = {r.path.rsplit("/")[-1]: r for r in bz2_reader.manifest_of(raw).collect()}
     assert man["a.json"].lines == 2 and man["a.json"].bytes == 20 and man["b.json.gz"].error is None
