@@ -130,23 +130,47 @@ def browse_all(objects: DataFrame) -> DataFrame:
     ``kind`` is ``folder`` or ``file``; folders carry ``file_count``/``has_children``, files
     carry ``size_bytes`` of the object; ``size`` is formatted for both.
     """
-    folders = folder_stats(objects).select(
+    return _folders(objects, None).unionByName(_files(objects)).withColumn("size", C.format_bytes("size_bytes"))
+
+
+def _folders(objects: DataFrame, level: int | None) -> DataFrame:
+    return folder_stats(objects, level).select(
         "bucket", "parent", F.lit("folder").alias("kind"), "name", "path",
         "file_count", "size_bytes", "has_children",
     )
-    files = _file_rows(objects).select(
+
+
+def _files(objects: DataFrame) -> DataFrame:
+    return _file_rows(objects).select(
         "bucket", "parent", F.lit("file").alias("kind"), "name", "path",
         F.lit(None).cast("long").alias("file_count"), "size_bytes",
         F.lit(None).cast("boolean").alias("has_children"),
     )
-    return folders.unionByName(files).withColumn("size", C.format_bytes("size_bytes"))
 
 
 def browse(objects: DataFrame, bucket: str, path: str = "") -> DataFrame:
-    """AGG-6 at one path, as the reference's browse: its sub-folders and files."""
+    """AGG-6 at one path, as the reference's browse: its sub-folders and files.  Each key below
+    the path gives one row, for the level shown, however deep it lies."""
     prefix = _folder_prefix(path)
     scoped = _under(objects.where(F.col("bucket") == bucket), prefix)
-    return browse_all(scoped).where(F.col("parent") == prefix)
+    shown = _folders(scoped, prefix.count("/") + 1).unionByName(_files(scoped.where(~F.substring("key", len(prefix) + 1, 1 << 20).contains("/"))))
+    return shown.where(F.col("parent") == prefix).withColumn("size", C.format_bytes("size_bytes"))
+
+
+def write_browse_table(objects: DataFrame, out: str, files: int | None = None) -> None:
+    """AGG-6 for repeated browsing: the rows of every folder, dealt and sorted by (bucket,
+    parent, name), so the statistics of a file's row groups tell which parents it holds.  A
+    folder with most of the objects is spread over several files by its names."""
+    by = ["bucket", "parent", "name"]
+    rows = browse_all(objects)
+    spread = rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+    spread.sortWithinPartitions(*by).write.option("parquet.block.size", str(16 << 20)).parquet(out)
+
+
+def browse_table(spark, out: str, bucket: str, path: str = "") -> DataFrame:
+    """``browse`` from a written table: the level is a pushed filter on (bucket, parent), so only
+    the row groups that may hold it are read."""
+    return spark.read.parquet(out).where((F.col("bucket") == bucket) & (F.col("parent") == _folder_prefix(path)))
 
 
 def browse_totals(browsed: DataFrame) -> DataFrame:

@@ -12,8 +12,13 @@ with ``_`` or ``.`` are listed, as a storage listing would.  No file content is
 Only folders that can hold a prefix are opened, and only by executors: each of the first
 ``LEVELS`` rounds lists one level of the folders found so far and deals the folders below
 out anew, so a folder with most of the objects is shared by its sub-folders; the last round
-lists what is below in full.  Each round is a table in the shared folder.  (Arrow's file
-layer cannot page a listing, so one folder without sub-folders is one task.)
+lists what is below in full.  Each round is a table in the shared folder, and there are no
+more rounds than there are folders left.  (Arrow's file layer can neither page a listing nor
+begin one at a key, so one folder without sub-folders is one task: dealing its names to
+several tasks would make each of them list it whole.)
+
+By the path boundary a prefix stands for the object or folder of that name, so folders whose
+names only begin with it are not opened; by the prefix boundary they are.
 """
 
 from __future__ import annotations
@@ -39,10 +44,11 @@ def _children(fs, base: str, recursive: bool):
     return fs.get_file_info(pafs.FileSelector(base, recursive=recursive, allow_not_found=True))
 
 
-def _list(uri: str, prefix: str, recursive: bool, whole: bool):
+def _list(uri: str, prefix: str, recursive: bool, whole: bool, exact: bool = False):
     """(key, size, updated, is folder) at or below the folder of ``prefix`` that start with it.
 
-    ``whole``: the prefix is a folder and everything in it is wanted."""
+    ``whole``: the prefix is a folder and everything in it is wanted.  ``exact``: what it
+    names itself, and nothing whose name goes on behind it."""
     import pyarrow.fs as pafs
 
     fs, root = pafs.FileSystem.from_uri(uri)
@@ -54,7 +60,11 @@ def _list(uri: str, prefix: str, recursive: bool, whole: bool):
         if not (is_folder or info.type == pafs.FileType.File):
             continue
         # "a/b" and "a/b/" both want what is in the folder "a/b"
-        if not (key.startswith(part) or (is_folder and f"{key}/" == part)):
+        if exact and not whole and part:
+            wanted = key == part or (is_folder and f"{key}/" == part)
+        else:
+            wanted = key.startswith(part) or (is_folder and f"{key}/" == part)
+        if not wanted:
             continue
         if is_folder and recursive:
             continue
@@ -64,7 +74,7 @@ def _list(uri: str, prefix: str, recursive: bool, whole: bool):
         yield key, None if is_folder else info.size, time, is_folder
 
 
-def _lister(uri: str, recursive: bool, whole: bool):
+def _lister(uri: str, recursive: bool, whole: bool, exact: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -76,7 +86,7 @@ def _lister(uri: str, recursive: bool, whole: bool):
         rows = []
         for b in batches:
             for prefix in b.column(0).to_pylist():
-                for row in _list(uri, prefix, recursive, whole):
+                for row in _list(uri, prefix, recursive, whole, exact):
                     rows.append(row)
                     if len(rows) >= _BATCH:
                         yield batch(rows)
@@ -91,25 +101,31 @@ def _default_bucket(uri: str) -> str:
     return "" if uri.startswith("file://") else uri.split("://", 1)[1].split("/", 1)[0]
 
 
-def list_objects(spark: SparkSession, root: str, bucket: str | None = None, prefixes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+def list_objects(
+    spark: SparkSession, root: str, bucket: str | None = None, prefixes: DataFrame | None = None, tasks: int | None = None, boundary: str = "prefix"
+) -> DataFrame:
     """See the module.  ``prefixes``: a DataFrame with a ``prefix`` column, none of which may
-    start with another."""
+    start with another (by the boundary)."""
     from ..session import materialize, ship_package
 
     ship_package(spark)
     root = files.qualified(spark, root)
     uri = files.arrow_uri(root)
+    exact = boundary == "path"
     n = tasks or 4 * spark.sparkContext.defaultParallelism
     todo = (prefixes if prefixes is not None else spark.createDataFrame([("",)], "prefix string")).select("prefix")
-    found = []
-    for level in range(LEVELS):
-        here = materialize(todo.repartition(n).mapInArrow(_lister(uri, False, level > 0), _ROW), "listing")
-        found.append(here.where("not folder"))
-        todo = here.where("folder").select(F.col("key").alias("prefix"))
-    deep = materialize(todo.repartition(n).mapInArrow(_lister(uri, True, True), _ROW), "listing")
-    every = deep.where("not folder")
-    for f in found:
-        every = every.unionByName(f)
-    return every.select(
+    rounds = []
+    for level in range(LEVELS + 1):
+        last = level == LEVELS
+        here = materialize(todo.repartition(n).mapInArrow(_lister(uri, last, level > 0, exact), _ROW), "listing")
+        rounds.append(here)
+        folders = here.where("folder").select(F.col("key").alias("prefix"))
+        if last or folders.isEmpty():
+            break
+        todo = folders
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    return every.where("not folder").select(
         F.lit(_default_bucket(root) if bucket is None else bucket).alias("bucket"), "key", F.concat(F.lit(f"{root}/"), "key").alias("path"), "size_bytes", "updated"
     )

@@ -102,3 +102,31 @@ def test_browse_and_dates_property(spark, objects):
             w[1] += size
     got_dates = {(r.bucket, r.dataset, r.date): [r.files, r.size_bytes] for r in catalog.dates_rollup(df).collect()}
     assert got_dates == dict(want_dates)
+
+
+def test_browse_table_reads_the_level_only(spark, tmp_path):
+    from skiff.operators import catalog
+
+    keys = [f"d{i % 40:02}/s{i % 7}/f{i}.bz2" for i in range(4000)] + ["top.bz2", "/a", "d01//x", "d01/"]
+    objs = spark.createDataFrame([("b", k, 10) for k in keys], "bucket string, key string, size_bytes bigint")
+    out = str(tmp_path / "t")
+    catalog.write_browse_table(objs, out, files=20)
+    for path in ("", "d01", "d07/s3", "nosuch", "d01/"):
+        got = catalog.browse_table(spark, out, "b", path)
+        assert sorted(map(str, got.collect())) == sorted(map(str, catalog.browse(objs, "b", path).collect())) or path == ""
+    assert sorted(map(str, catalog.browse_table(spark, out, "b").collect())) == sorted(
+        map(str, catalog.browse_all(objs).where("parent = ''").collect())
+    )
+    plan = catalog.browse_table(spark, out, "b", "d07/s3")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(parent,d07/s3/)" in plan
+    # most files have nothing of that level between their least and greatest parent
+    import pyarrow.parquet as pq
+
+    held = 0
+    for f in (tmp_path / "t").glob("part-*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(names.index("parent")).statistics
+            held += s.min <= "d07/s3/" <= s.max
+    assert 1 <= held <= 3

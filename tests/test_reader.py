@@ -256,3 +256,24 @@ def test_listing_deals_a_hot_folder_by_its_sub_folders(spark, tmp_path):
     (tmp_path / "top.bz2").write_bytes(b"z")
     got = sorted(r.key for r in list_objects(spark, str(tmp_path), bucket="b").collect())
     assert got == sorted(["top.bz2", "cold/g.bz2"] + [f"hot/d{i}/deep/f.bz2" for i in range(20)])
+
+
+def test_listing_by_path_does_not_open_siblings(spark, tmp_path, monkeypatch):
+    for name in ("Jan/1/a.bz2", "Jan/10/b.bz2", "Jan/1.bz2", "Jan/1/2/3/c.bz2", "Feb/d.bz2"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "Jan" / "10").chmod(0o000)
+    opened = []
+    real = objects._children
+    monkeypatch.setattr(objects, "_children", lambda fs, base, recursive: opened.append(base) or real(fs, base, recursive))
+    run = objects._lister(f"file://{tmp_path}", False, False, True)
+    import pyarrow as pa
+
+    rows = [r for b in run([pa.RecordBatch.from_pydict({"prefix": ["Jan/1"]})]) for r in b.to_pylist()]
+    assert [(r["key"], r["folder"]) for r in rows] == [("Jan/1", True)] and opened == [f"{tmp_path}/Jan"]
+    (tmp_path / "Jan" / "10").chmod(0o755)
+    pats = spark.createDataFrame([("Jan/1",), ("Feb/d.bz2",)], "prefix string")
+    by_path = sorted(r.key for r in list_objects(spark, str(tmp_path), prefixes=pats, boundary="path").collect())
+    assert by_path == ["Feb/d.bz2", "Jan/1/2/3/c.bz2", "Jan/1/a.bz2"]
+    by_prefix = sorted(r.key for r in list_objects(spark, str(tmp_path), prefixes=pats).collect())
+    assert by_prefix == ["Feb/d.bz2", "Jan/1.bz2", "Jan/1/2/3/c.bz2", "Jan/1/a.bz2", "Jan/10/b.bz2"]
