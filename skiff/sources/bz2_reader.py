@@ -14,7 +14,8 @@ that are blank after stripping, keep the others as they are.
 
 Work distribution: files are dealt round-robin over ``ceil(total_bytes / target_bytes)``
 tasks, at least four per core (one small aggregate over the listing decides the count).  A
-task holds one decompressed piece of at most ``_PIECE`` bytes and the line it cuts.
+task holds one decompressed piece of at most ``_PIECE`` bytes and the line it cuts.  Files
+above ``bz2_splits.SPLIT_ABOVE`` bytes are read by several tasks each (see there).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..files import arrow_uri
+from . import bz2_splits
 
 OUT_SCHEMA = "path string, line_no bigint, value string, bytes bigint, n_lines bigint, error string, stream bigint"
 
@@ -41,8 +43,8 @@ class FileError(Exception):
     pass
 
 
-def _open(path: str, cache: dict):
-    """Raw byte stream of one object; one filesystem handle per scheme+host per task."""
+def _place(path: str, cache: dict):
+    """File system and inner path of an object; one handle per scheme+host per task."""
     import pyarrow.fs as pafs
 
     uri = arrow_uri(path)
@@ -51,11 +53,22 @@ def _open(path: str, cache: dict):
     if host not in cache:
         cache[host] = pafs.FileSystem.from_uri(f"{host}/")
     fs, root = cache[host]
-    inner = root.rstrip("/") + "/" + rest.split("/", 1)[1]
+    return fs, root.rstrip("/") + "/" + rest.split("/", 1)[1]
+
+
+def _open(path: str, cache: dict):
+    """Raw byte stream of one object."""
+    fs, inner = _place(path, cache)
     # compression=None: hand us the raw bytes, we decompress ourselves
     return fs.open_input_stream(inner, compression=None)
 
 
+def _open_file(path: str, cache: dict):
+    """One object for reading anywhere."""
+    fs, inner = _place(path, cache)
+    return fs.open_input_file(inner)
+
+
 def _bz2_pieces(raw_chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes | None]]:
     """(stream number, decompressed bytes) of a (possibly multi-stream) bz2 object, at most
     ``_PIECE`` bytes each.
@@ -278,9 +291,24 @@ def observed(staged: DataFrame, observation: Observation | None) -> DataFrame:
 def read_files(files: DataFrame, target_bytes: int = 128 << 20, num_tasks: int | None = None, observation: Observation | None = None) -> DataFrame:
     """Strict reader over a DataFrame of objects (``path`` with a scheme, ``size_bytes``):
     the staged table of the module's description."""
-    from ..session import materialize, ship_package
+    from ..session import ship_package
 
     ship_package(files.sparkSession)
+    large = F.coalesce(F.col("size_bytes") > bz2_splits.SPLIT_ABOVE, F.lit(False))
+    if files.where(large).isEmpty():
+        return _read_whole(files, target_bytes, num_tasks, observation)
+    in_ranges, again = bz2_splits.read_large_files(files.where(large), bz2_splits.RANGE_BYTES)
+    one_by_one = files.where(~large).select("path", "size_bytes").unionByName(again.select("path", "size_bytes"))
+    raw = _read_whole(one_by_one, target_bytes, num_tasks).unionByName(in_ranges)
+    if observation is not None:
+        observed(raw.where("line_no is null"), observation).write.format("noop").mode("overwrite").save()
+    return raw
+
+
+def _read_whole(files: DataFrame, target_bytes: int, num_tasks: int | None, observation: Observation | None = None) -> DataFrame:
+    """Each file by one task."""
+    from ..session import materialize
+
     n = num_tasks or plan_tasks(files, target_bytes)
     # round-robin: equal file counts per task (Spark sorts first, so retries deal the same)
     spread = files.select("path", "size_bytes").repartition(n)
