@@ -28,6 +28,9 @@ the join is left to the planner (sort-merge, AQE skew splitting).
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from ..session import materialize
 
 #: Text of the pattern side that may be broadcast.
 BROADCAST_BYTES_MAX = 16 << 20
+#: Distinct extensions up to which objects are filtered by them before the join.
+EXTENSIONS_MAX = 32
 
 
 # SRC-3 -----------------------------------------------------------------------------------
@@ -133,14 +138,49 @@ def reduce_prefixes(prefixes: DataFrame, boundary: str = "path") -> DataFrame:
     return prefixes.join(covered, ["bucket", "prefix"], "left_anti")
 
 
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast only behind a check of the side's bytes; above the limit the planner picks
-    the join (sort-merge with AQE skew splitting).  The side is written once, as a table in
-    the shared folder, so the check and the join share one computation."""
+#: Bits of a prefix side's sieve: eight a prefix, within these bounds (1 MB at most).
+SIEVE_BITS_MIN, SIEVE_BITS_MAX = 12, 23
+
+
+def _sieve(side: DataFrame, columns: list[str]):
+    """A Bloom filter of a side's keys: a function of the key columns that is true for every
+    key of the side and for about one in twenty others.  None where the side has too many
+    keys for it to hold anything back."""
+    n = side.count()
+    bits = max(SIEVE_BITS_MIN, (8 * n).bit_length())
+    if bits > SIEVE_BITS_MAX:
+        return None
+
+    def slots(key: list[Column]) -> list[Column]:
+        h = F.xxhash64(*key)
+        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << bits) - 1)) for k in (0, 32)]
+
+    places = F.explode(F.array(*slots([F.col(c) for c in columns]))).alias("p")
+    set_ = side.select(places).select(F.shiftright("p", 6).cast("int").alias("slot"), F.col("p").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    rows = set_.distinct().groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most 2 ** bits / 64
+    found = {r.slot: r.bits for r in rows}
+    words = F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << (bits - 6)))), ",").cast("array<bigint>")
+
+    def may_hold(*key: Column) -> Column:
+        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in slots(list(key))]
+        return tests[0] & tests[1]
+
+    return may_hold
+
+
+def _side(df: DataFrame, limit: int, columns: list[str]) -> tuple[DataFrame, Callable[..., Column]]:
+    """The prefix side of a join, and a test that its keys pass.
+
+    Broadcast only behind a check of the side's bytes.  Above the limit the planner picks the
+    join (sort-merge with AQE skew splitting), and the exploded keys pass a sieve of the side
+    before they are shuffled.  The side is written once, as a table in the shared folder, so
+    the check, the sieve and the join share one computation."""
     df = materialize(df, "side")
     texts = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
     size = df.agg(F.coalesce(F.sum(sum(texts, F.lit(16))), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
+    if size <= limit:
+        return F.broadcast(df), lambda *key: F.lit(True)
+    return df, _sieve(df, columns) or (lambda *key: F.lit(True))
 
 
 # JON-1 + AGG-1 + AGG-2 -------------------------------------------------------------------
@@ -153,20 +193,24 @@ def match_prefixes(
 ) -> DataFrame:
     """Objects (all columns) under any of ``prefixes(bucket, prefix)``; each object once."""
     red = prefixes if reduced else reduce_prefixes(prefixes, boundary)
+    bucket = F.col("bucket")
     if boundary == "path":
-        side = _maybe_broadcast(
+        side, may_hold = _side(
             red.select("bucket", _path_depth(F.col("prefix")).alias("_depth"), F.col("prefix").alias("_anc")),
             broadcast_limit,
+            ["bucket", "_depth", "_anc"],
         )
-        exploded = objects.select("*", F.explode(_ancestors(F.col("key"))).alias("_a"))
+        ancestors = F.filter(_ancestors(F.col("key")), lambda a: may_hold(bucket, a["depth"], a["anc"]))
+        exploded = objects.select("*", F.explode(ancestors).alias("_a"))
         exploded = exploded.select("*", F.col("_a.depth").alias("_depth"), F.col("_a.anc").alias("_anc")).drop("_a")
         hit = exploded.join(side, ["bucket", "_depth", "_anc"], "left_semi")
         return hit.drop("_depth", "_anc")
-    side = _maybe_broadcast(red.select("bucket", "prefix"), broadcast_limit)
+    side, may_hold = _side(red.select("bucket", "prefix"), broadcast_limit, ["bucket", "prefix"])
     lengths = _lengths(side)
     if not lengths:
         return objects.limit(0)
-    exploded = objects.select("*", F.explode(_leading_parts(F.col("key"), lengths)).alias("_part"))
+    parts = F.filter(_leading_parts(F.col("key"), lengths), lambda p: may_hold(bucket, p))
+    exploded = objects.select("*", F.explode(parts).alias("_part"))
     return exploded.join(side.withColumnRenamed("prefix", "_part"), ["bucket", "_part"], "left_semi").select(*objects.columns)
 
 
@@ -211,14 +255,22 @@ def validate_patterns(
         F.first(ext).alias("ext"),
     )
     groups = per.where("scheme_ok").select(F.col("p_bucket").alias("bucket"), "prefix", "ext").distinct()
-    side = _maybe_broadcast(groups.withColumn("depth", _path_depth(F.col("prefix"))), broadcast_limit)
+    bucket = F.col("bucket")
+    by = ["bucket", "depth", "prefix"] if boundary == "path" else ["bucket", "prefix"]
+    side, may_hold = _side(groups.withColumn("depth", _path_depth(F.col("prefix"))), broadcast_limit, by)
+    # objects of no extension that occurs are left out before their keys are exploded
+    kinds = [r.ext for r in side.select("ext").distinct().limit(EXTENSIONS_MAX + 1).collect()]
+    if len(kinds) <= EXTENSIONS_MAX:
+        objects = objects.where(functools.reduce(Column.__or__, [F.col("key").endswith(k) for k in kinds if k is not None], F.lit(False)))
     if boundary == "path":
-        rows = objects.select("bucket", "key", F.explode(_ancestors(F.col("key"))).alias("_a"))
+        ancestors = F.filter(_ancestors(F.col("key")), lambda a: may_hold(bucket, a["depth"], a["anc"]))
+        rows = objects.select("bucket", "key", F.explode(ancestors).alias("_a"))
         rows = rows.select("bucket", "key", F.col("_a.depth").alias("depth"), F.col("_a.anc").alias("prefix"))
         hits = rows.join(side, ["bucket", "depth", "prefix"])
     else:
         lengths = _lengths(side) or [0]
-        rows = objects.select("bucket", "key", F.explode(_leading_parts(F.col("key"), lengths)).alias("prefix"))
+        parts = F.filter(_leading_parts(F.col("key"), lengths), lambda p: may_hold(bucket, p))
+        rows = objects.select("bucket", "key", F.explode(parts).alias("prefix"))
         hits = rows.join(side, ["bucket", "prefix"])
     counts = hits.where(F.col("key").endswith(F.col("ext"))).groupBy("bucket", "prefix", "ext").agg(F.count(F.lit(1)).alias("_n"))
     out = per.join(counts.withColumnRenamed("bucket", "p_bucket"), ["p_bucket", "prefix", "ext"], "left")

@@ -216,7 +216,7 @@ def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
     work = ndjson.repeated_keys_session(spark) if _is_table(cfg) else spark
     # the pattern set is selection-sized: computed once, shared by listing, gate and read
     patterns = materialize(spec.build_patterns(sel), "patterns", work)
-    reduced = materialize(select.reduce_prefixes(select.prefixes_of(patterns).where(F.col("bucket") == cfg.source_bucket), "prefix"), "prefixes")
+    reduced = materialize(select.reduce_prefixes(select.prefixes_of(patterns).where(F.col("bucket") == cfg.source_bucket), cfg.boundary), "prefixes")
     listing = list_objects(work, cfg.source_root, cfg.source_bucket, reduced, boundary=cfg.boundary)
     mark("list")
     exts = tuple(spec.extensions)

@@ -33,3 +33,13 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) == {"event_type", "lines", "chars", "min_event_id", "max_event_id"}
+
+
+def test_queries_in_a_bare_session():
+    """Every query of the library's own against DuckDB, in a session without the settings that
+    ``local_session`` makes."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    out = subprocess.run(
+        [sys.executable, "tools/oracle_check.py", "/root/testdata/sf0.001", *QUERIES], cwd=root, capture_output=True, text=True, check=False
+    )
+    assert out.returncode == 0, out.stdout

@@ -77,6 +77,8 @@ def test_prefix_boundary_reproduces_sibling_leak(spark, source, tmp_path):
     assert res["files_processed"] == 3  # Jan/1 and Jan/10
     res = run_transport(spark, _cfg(source, str(tmp_path / "o2"), selected_paths=["2016/Jan/1"]), str(tmp_path / "r"))
     assert res["files_processed"] == 2
+    res = run_transport(spark, _cfg(source, str(tmp_path / "o3"), selected_paths=["2016/Jan/1", "2016/Jan/10", "2016/Jan/1/m2.bz2"]), str(tmp_path / "r"))
+    assert res["files_processed"] == 3
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip", "snappy"])

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skiff.operators import select
 
@@ -152,3 +153,27 @@ def test_validation_by_boundary_and_extension(spark):
     assert {r.file_count for r in select.validate_patterns(objs, pats, boundary="path").collect()} == {0}
     gz = select.build_patterns(select.selection(spark, "b", ["Feb"]), ".json.gz")
     assert {r.file_count for r in select.validate_patterns(objs, gz, exts=(".gz", ".json.gz")).collect()} == {1}
+
+
+@pytest.mark.parametrize("boundary", ["path", "prefix"])
+def test_sieve_below_the_exchange(spark, boundary, monkeypatch):
+    keys = [(f"b{i % 2}", f"d{i % 50}/s{i % 7}/f{i}.bz2") for i in range(3000)] + [("b0", "/x.bz2"), ("b0", "d1//y.bz2"), ("b0", "other.txt")]
+    objs = spark.createDataFrame([(b, k, 1) for b, k in keys], "bucket string, key string, size_bytes bigint")
+    pre = spark.createDataFrame([("b0", "d4"), ("b1", "d3/s5"), ("b0", ""), ("b1", "d7/s1/f57.bz2"), ("b0", "nosuch")], "bucket string, prefix string")
+    pre = pre.where("prefix <> ''")
+
+    def rows(df):
+        return sorted((r.bucket, r.key) for r in df.collect())
+
+    broadcast = rows(select.match_prefixes(objs, pre, boundary))
+    sieved = select.match_prefixes(objs, pre, boundary, broadcast_limit=0)
+    assert rows(sieved) == broadcast and len(broadcast) > 50
+    # few exploded keys are left to shuffle: those of the matches, and one in twenty others
+    bits = select._sieve(pre, ["bucket", "prefix"])
+    every = objs.select("bucket", F.explode(F.split("key", "/")).alias("p"))
+    assert every.where(bits(F.col("bucket"), F.col("p"))).count() < 0.2 * every.count()
+    assert pre.where(bits(F.col("bucket"), F.col("prefix"))).count() == pre.count()
+    plan = sieved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") and "getbit" in plan
+    monkeypatch.setattr(select, "SIEVE_BITS_MAX", 4)  # a side too large for a sieve: the same rows
+    assert rows(select.match_prefixes(objs, pre, boundary, broadcast_limit=0)) == broadcast
