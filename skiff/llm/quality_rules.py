@@ -23,16 +23,20 @@ STOP_WORDS = tuple(
 _STOPS = tuple(dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Letters that none of the four languages writes with: other Latin letters, other alphabets,
+#: syllables and ideographs (ranges of code points).
+OTHER_LETTERS = r"[\x{100}-\x{151}\x{154}-\x{24F}\x{370}-\x{1DBF}\x{1EA0}-\x{1FFF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 WINDOW = 5
 
 #: (rule, numerator, denominator or None, least, most); a missing bound is None.
-#: A text passes a rule if least <= numerator / denominator <= most.
+#: A text passes a rule if least <= numerator / denominator <= most.  No text is too long.  The
+#: stop words are those of four languages: text in letters of others is not asked for them.
 RULES: tuple[tuple[str, str, str | None, float | None, float | None], ...] = (
-    ("length", "n_words", None, 10, 200_000),
+    ("length", "n_words", None, 10, None),
     ("word_length", "word_chars", "n_words", 1.5, 20.0),
     ("symbols", "n_symbols", "n_words", None, 0.1),
     ("exclamations", "n_exclaims", "n_words", None, 0.5),
-    ("stop_words", "n_stop_words", "n_words", 0.01, None),
+    ("stop_words", "n_stop_words + n_other_letters", "n_words", 0.01, None),
     ("repeated_lines", "n_dup_lines", "n_lines", None, 0.4),
     ("line_length", "n_words", "n_lines", 2.0, None),
 )
@@ -44,12 +48,13 @@ def _sorted_windows(gram: Column) -> Column:
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus long columns: n_words, word_chars, n_symbols,
-    n_exclaims, n_stop_words, n_lines (lines with a word), n_dup_lines, n_repeat_words.
+    n_exclaims, n_other_letters, n_stop_words, n_lines (lines with a word), n_dup_lines,
+    n_repeat_words.
 
     Windows of five words are compared by a 64-bit hash.  A null text counts as empty.
     Columns of ``docs`` with one of these names are replaced.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_other_letters", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
     keep = [c for c in docs.columns if c != text and c not in names]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     first = docs.select(
@@ -58,11 +63,14 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit("!")).cast("long").alias("n_exclaims"),
+        # (a text in ASCII alone has none)
+        F.when(F.octet_length(t) > F.length(t), F.regexp_count(t, F.lit(OTHER_LETTERS))).otherwise(0).cast("long").alias("n_other_letters"),
     )
     counted = first.select(
         "_row",
         "n_symbols",
         "n_exclaims",
+        "n_other_letters",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size(F.filter("_w", lambda w: w.isin(*_STOPS))).cast("long").alias("n_stop_words"),
@@ -70,7 +78,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
-    base = ["_row", "n_symbols", "n_exclaims", "n_words", "word_chars", "n_stop_words", "n_lines", "n_dup_lines"]
+    base = ["_row", "n_symbols", "n_exclaims", "n_other_letters", "n_words", "word_chars", "n_stop_words", "n_lines", "n_dup_lines"]
     h = F.col("_h")
     grams = counted.select(
         *base,
@@ -117,7 +125,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def _passes(rule: tuple[str, str, str | None, float | None, float | None]) -> Column:
     _name, num, den, least, most = rule
     scale = F.col(den).cast("double") if den else F.lit(1.0)
-    value = F.col(num).cast("double")
+    value = F.expr(num).cast("double")
     checks = [value >= F.lit(float(least)) * scale] if least is not None else []
     checks += [value <= F.lit(float(most)) * scale] if most is not None else []
     return reduce(lambda a, b: a & b, checks, F.lit(True))
@@ -171,8 +179,9 @@ WITH d AS (
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid
 ), s AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(list_concat(w, ['']), 'string_agg', ''))::BIGINT AS word_chars,
-         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
          (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaims,
+         (length(t) - length(regexp_replace(t, '{OTHER_LETTERS}', '', 'g')))::BIGINT AS n_other_letters,
          len(list_filter(w, lambda x: x IN ({_STOP_SQL})))::BIGINT AS n_stop_words,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words

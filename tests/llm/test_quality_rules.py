@@ -21,6 +21,7 @@ def brute(text):
         word_chars=sum(map(len, w)),
         n_symbols=sum(c in "#*$%&|<>" for c in t),
         n_exclaims=t.count("!"),
+        n_other_letters=sum(c.isalpha() and c > "\xff" and c not in "œŒẞ" for c in t),
         n_stop_words=sum(x in Q._STOPS for x in w),
         n_lines=len(lines),
         n_dup_lines=len(lines) - len(set(lines)),
@@ -30,7 +31,7 @@ def brute(text):
 
 def texts():
     rnd = random.Random(4)
-    out = [None, "", " \t\n", "one", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 40, "a\na\n\na\nb \nb", "é ñ ü # * | <b> !", " lead", "trail\x0b\x0c", "\x1c\xa0 x", "long " * 20000]
+    out = [None, "", " \t\n", "one", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 40, "a\na\n\na\nb \nb", "é ñ ü # * | <b> !", " lead", "trail\x0b\x0c", "\x1c\xa0 x", "long " * 20000, "œuvre ẞ ½ — € 😀 łódź дом 漢字 かな 한국 ệ ω ÿ"]
     out += ["".join(rnd.choice(["a", "b", "the ", " ", "\n", "c ", "!", "#"]) for _ in range(rnd.randint(0, 120))) for _ in range(150)]
     return out
 
@@ -62,3 +63,17 @@ def test_empty_table_and_repeats(spark):
     assert Q.quality_rules(d).collect() == []
     same = spark.createDataFrame([(None, "x y")] * 3, "doc_id long, text string")
     assert len(Q.quality_rules(same).collect()) == 3
+
+
+def test_clean_texts_of_any_length_and_other_languages_pass(spark):
+    prose = "The house of the river and the old mill was near to it for a long time, {0} years ago or so {1}. "
+    long = "".join(prose.format(i, i * 7 % 1001) for i in range(13_700))
+    assert len(long.split()) > 270_000
+    russian = "Старый дом стоял у реки, и вода медленно текла мимо мельницы. Мы долго шли по дороге, пока не стемнело. "
+    polish = "Stary dom stał przy rzece, a woda powoli płynęła obok młyna. Długo szliśmy drogą, aż zrobiło się ciemno. "
+    greek = "Το παλιό σπίτι ήταν κοντά στο ποτάμι και το νερό κυλούσε αργά δίπλα στον μύλο όλη τη νύχτα. "
+    junk = " ".join(f"xq{i}z" for i in range(300))
+    rows = [(1, long), (2, russian), (3, polish), (4, greek), (5, junk), (6, junk + " é ü 😀 ─ ▒"), (7, "")]
+    got = {r.doc_id: r.failed_rules for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [] for i in (1, 2, 3, 4)), got
+    assert got[5] == ["stop_words"] and got[6] == ["stop_words"] and "length" in got[7]
