@@ -35,11 +35,9 @@ def is_valid_json(line) -> Column:
     return F.coalesce(one & member.isNotNull() & member["_bad"].isNull(), F.lit(False))
 
 
-def repeated_keys_session(spark: SparkSession) -> SparkSession:
+def session_beside(spark: SparkSession) -> SparkSession:
     """A session beside the caller's, on the same cluster and with its SQL settings, in which
     a VARIANT may be parsed from an object with repeated keys (the last value counts)."""
-    if spark.conf.get(_DUPLICATE_KEYS, "false") == "true":
-        return spark
     other = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):

@@ -5,8 +5,7 @@ and the read see the same objects.  Every selected file is read once; what was r
 per-file manifest are staged together, and the manifest decides which lines count (see
 ``bz2_reader``).  ``decompress_only`` writes its outputs in the read stage instead.  The
 counters (AGG-10) come from the manifest the job writes beside its output, so they stay exact
-when tasks or stages are retried; the staged read gathers the same counters as it goes
-(``Observation``), which is what a run shows before its manifest is written.
+when tasks or stages are retried; a run shows them as soon as its read is staged.
 
 A run moves through its stages (RUN-8) step by step, records its progress while Spark works,
 and can be cancelled from any session (RUN-6): its Spark jobs are stopped, what it wrote is
@@ -21,7 +20,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import files as fs
@@ -151,9 +150,10 @@ def _read_and_write(spark: SparkSession, cfg: JobConfig, spec, files: DataFrame,
         step(["validate"], ["read", "decompress", "concatenate", "write"])
         return fs.count_files(spark, place["output"], "")
     step(["read", "decompress"])
-    seen = Observation("read")
-    raw = spec.reader(spark, files, seen)
-    facts = seen.get
+    raw = spec.reader(spark, files)
+    # from the staged manifest rows, not an ``Observation``: the session that keeps one cannot
+    # ship Spark ML models any more (their training summaries hold the session)
+    facts = bz2_reader.counters_of(bz2_reader.manifest_of(raw)).first().asDict()
     step(["concatenate", "write"], ["read", "decompress"], **facts)
     lines, manifest = bz2_reader.lines_of(raw), bz2_reader.manifest_of(raw)
     if cfg.process_type == "direct_to_bigquery":
@@ -213,7 +213,7 @@ def _run(spark: SparkSession, cfg: JobConfig, runs_table: str | None) -> dict:
         since[0] = now
 
     # the table sink parses VARIANTs: its frames live in a session that takes repeated keys
-    work = ndjson.repeated_keys_session(spark) if _is_table(cfg) else spark
+    work = ndjson.session_beside(spark) if _is_table(cfg) else spark
     # the pattern set is selection-sized: computed once, shared by listing, gate and read
     patterns = materialize(spec.build_patterns(sel), "patterns", work)
     reduced = materialize(select.reduce_prefixes(select.prefixes_of(patterns).where(F.col("bucket") == cfg.source_bucket), cfg.boundary), "prefixes")

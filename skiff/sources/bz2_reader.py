@@ -275,7 +275,9 @@ def plan_tasks(files: DataFrame, target_bytes: int) -> int:
 
 
 def observed(staged: DataFrame, observation: Observation | None) -> DataFrame:
-    """AGG-10 gathered by the staging write itself, without a pass of its own."""
+    """AGG-10 gathered by the staging write itself, without a pass of its own.  (Spark keeps
+    observations in the session, which Spark ML models fitted in it then fail to ship: observe
+    in a session of its own, as a job does.)"""
     if observation is None:
         return staged
     is_file = F.col("line_no").isNull()

@@ -1,8 +1,8 @@
 """Source registry (SRC-4, SRC-5, SRC-6, SRC-8).
 
 A source is a ``SourceSpec``: metadata, the extensions it selects, and a ``reader``
-``(spark, files DataFrame, Observation or None) -> DataFrame`` that returns a staged read (lines
-and manifest, see ``bz2_reader``), whose counters the observation gathers.  ``build_patterns`` turns a selection DataFrame
+``(spark, files DataFrame) -> DataFrame`` that returns a staged read (lines and manifest, see
+``bz2_reader``); the two here also take an ``Observation`` for its counters.  ``build_patterns`` turns a selection DataFrame
 ``(bucket, path)`` into one glob pair per path and extension.
 """
 
@@ -26,7 +26,7 @@ class SourceSpec:
     content_type: str
     enabled: bool = True
     description: str = ""
-    reader: Callable[[SparkSession, DataFrame, Observation | None], DataFrame] | None = field(default=None, compare=False)
+    reader: Callable[[SparkSession, DataFrame], DataFrame] | None = field(default=None, compare=False)
 
     def build_patterns(self, sel: DataFrame) -> DataFrame:
         """SCL-7 for every extension (SRC-8): ``p/*ext`` and ``p/**/*ext`` per path."""

@@ -64,6 +64,18 @@ def test_concatenate_job(spark, source, tmp_path):
     assert (told[1][1]["lines_yielded"], told[1][1]["files_failed"], told[1][1]["bytes_read"]) == ("6", "1", str(res["bytes_read"]))
 
 
+def test_jobs_leave_the_session_fit_for_models(spark, source, tmp_path):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    run_transport(spark, _cfg(source, str(tmp_path / "out"), selected_paths=["2016"]), str(tmp_path / "r"))
+    rows = spark.createDataFrame([(float(i), float(i % 2)) for i in range(20)], "x double, label double")
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=2, seed=1).fit(rows)
+    assert model.transform(rows).select("probability").count() == 20
+    assert len(model.transform(rows).select("probability").collect()) == 20
+
+
 def test_gate_blocks_empty_selection(spark, source, tmp_path):
     # regression: empty output -- a selection that matches nothing never runs
     with pytest.raises(select.ValidationError):
@@ -194,7 +206,7 @@ def test_table_run_again_replaces_its_rows(spark, source, tmp_path):
 class _Slow:
     """A reader whose tasks take a minute."""
 
-    def __call__(self, spark, files, observation=None):
+    def __call__(self, spark, files):
         def wait(batches):
             import time
 

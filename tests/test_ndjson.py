@@ -40,7 +40,7 @@ def test_repeated_keys_need_no_setting(spark):
     deep = '{"a":{"b":1,"b":[{"c":1,"c":2}]}}'
     df = spark.createDataFrame([(deep,), ('{"a":1,"a":2',)], "value string")
     assert [r.valid for r in ndjson.validate(df).collect()] == [True, False]
-    other = ndjson.repeated_keys_session(spark)
+    other = ndjson.session_beside(spark)
     assert other.conf.get(key) == "true" and spark.conf.get(key, "false") == "false"
     assert other.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
     got = other.range(1).selectExpr(f"to_json(parse_json('{deep}')) v").first().v

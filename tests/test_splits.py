@@ -55,7 +55,7 @@ def root(tmp_path_factory):
 def test_ranges_equal_one_task(spark, root, monkeypatch):
     from pyspark.sql import Observation
 
-    listing = list_objects(spark, str(root), bucket="b")
+    listing = list_objects(spark.newSession(), str(root), bucket="b")  # observations stay in that session
     plain = bz2_reader._read_whole(listing, 1 << 30, None)
 
     def ordered(raw):
