@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed; runs are joined globally by hash, and
-a sentence is removed if any repeated run that covers it is not the first of its kind.
+a sentence is removed if any repeated run that covers it is not the first of its kind.  Runs
+that overlap or touch are one repeated span; spans of a few words, such as short phrases met
+by chance, stay.
 """
 
 from __future__ import annotations
@@ -24,12 +26,28 @@ RUN, MIN_WORDS = 3, 10
 #: every so many neighbours, so copies are cut alike wherever their sentence begins.  At most
 #: so many words are lost at either end of a copy, and what is left of 51 has three pieces.
 SENTENCE_WORDS = 12
-
-_END = re.compile(r"[.!?…]+[\"'”’»)]*\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+\s*")
+#: The fewest words of a repeated span that is removed.
+SPAN_WORDS = 25
+#: Hashes that hold more than this share of all runs are joined where their rows are; there
+#: are at most its reciprocal of them, so their broadcast is bounded at any input size.
+HOT_SHARE = 1 / 20_000
+
+# Scripts written without spaces (Thai to Lao, Burmese, Khmer, kana, Han); each
+# of their letters counts as a word.
+_LONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_LONE = re.compile(f"[{_LONE}]")
+_END = re.compile(r"[.!?…]+[\"'”’»)]*\s+|[。！？]+[」』”’）\"')]*\s*|\s*\n\s*")
+_WORD = re.compile(f"[{_LONE}]\\s*|[^\\s{_LONE}]+\\s*")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space, and single letters of scripts written without it."""
+    if text.isascii() or not _HAS_LONE.search(text):
+        return text.split()
+    return [w.rstrip() for w in _WORD.findall(text)]
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences, which cover the whole text: one ends after closing
     punctuation and white space, at a line end, or within a long one as ``_cuts`` says."""
@@ -39,7 +57,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
-        words = text[start:end].split()
+        words = words_of(text[start:end])
         if len(words) > SENTENCE_WORDS:
             ends_ = [m.end() for m in _WORD.finditer(text, start, end)]
             for k in _cuts(words):
@@ -74,7 +92,7 @@ def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS) ->
     Words are compared as they are, white space between them is not."""
     import xxhash
 
-    parts = [text[a:b].split() for a, b in sentences(text or "")]
+    parts = [words_of(text[a:b]) for a, b in sentences(text or "")]
     if len(parts) < run:
         return []
     h = np.fromiter((xxhash.xxh64_intdigest(" ".join(p).encode("utf-8", "replace")) for p in parts), np.uint64, len(parts))
@@ -94,17 +112,42 @@ def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS) ->
     return [v if w >= min_words else None for v, w in zip(mixed.view(np.int64).tolist(), words.tolist())]
 
 
-def _cover(text: str | None, starts: list[int] | None, run: int) -> tuple[str | None, int, int, int]:
+def _covered(n: list[int], starts: list[int], run: int, min_words: int, span_words: int) -> set[int]:
+    """Sentences of the spans that the runs at ``starts`` make up, each run with the sentences
+    it was lengthened by; spans of fewer than ``span_words`` words are left out.  ``n``: the
+    words of every sentence."""
+    gone: set[int] = set()
+    low = high = words = 0  # the span [low, high) so far
+    for s in sorted(starts):
+        end = s + run
+        size = sum(n[s:end])
+        while size < min_words and end < len(n):
+            size, end = size + n[end], end + 1
+        if s > high:
+            if words >= span_words:
+                gone.update(range(low, high))
+            low = high = s
+            words = 0
+        if end > high:
+            words += sum(n[high:end])
+            high = end
+    if words >= span_words:
+        gone.update(range(low, high))
+    return gone
+
+
+def _cover(text: str | None, starts: list[int] | None, run: int, min_words: int, span_words: int) -> tuple[str | None, int, int, int]:
     """Remaining text, sentences, removed sentences, removed words."""
     spans = sentences(text or "")
     if not starts:
         return text, len(spans), 0, 0
-    gone = {k for s in starts for k in range(s, s + run)}
+    n = [len(words_of(text[a:b])) for a, b in spans]
+    gone = _covered(n, starts, run, min_words, span_words)
     kept = "".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in gone)
-    return kept, len(spans), len(gone), sum(len(text[a:b].split()) for k, (a, b) in enumerate(spans) if k in gone)
+    return kept, len(spans), len(gone), sum(n[k] for k in gone)
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
     """``docs`` with the text less its repeated sentences, plus n_sentences, n_removed (of
     them) and n_removed_words.
 
@@ -123,8 +166,15 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hashed = materialize(hashed.where("size(runs) > 0").select(*key, "runs"), "runs")
     runs = hashed.select(*key, F.posexplode("runs").alias("at", "h")).where("h is not null")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "at")
-    firsts = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
-    later = runs.join(firsts, "h").where(~place.eqNullSafe(F.col("first")))
+    firsts = materialize(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "firsts")
+    # at most 1 / HOT_SHARE hashes can each hold that share of the runs counted here
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = firsts.where(F.col("n") > total * HOT_SHARE)
+    others = firsts.where(F.col("n") <= total * HOT_SHARE).select("h", "first")
+    marked = runs.join(F.broadcast(hot.select("h", F.col("first").alias("hot_first"))), "h", "left")
+    among_hot = marked.where("hot_first is not null").withColumnRenamed("hot_first", "first")
+    among_others = marked.where("hot_first is null").drop("hot_first").join(others, "h")
+    later = among_hot.select(*key, "at", "h", "first").unionByName(among_others.select(*key, "at", "h", "first")).where(~place.eqNullSafe(F.col("first")))
     starts = materialize(later.groupBy(*key).agg(F.collect_set("at").alias("starts")), "repeats")
     names = ("n_sentences", "n_removed", "n_removed_words")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
@@ -145,7 +195,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 part = b.slice(at, 512)
                 doc = part.column(0).cast(arrow.field(0).type)
                 texts = pa.compute.struct_field(doc, text_col).to_pylist()
-                made = [_cover(t, s, run) for t, s in zip(texts, part.column(1).to_pylist())]
+                made = [_cover(t, s, run, min_words, span_words) for t, s in zip(texts, part.column(1).to_pylist())]
                 cols = [pa.array(c, f.type) for c, f in zip(zip(*made), list(arrow)[1:])]
                 yield pa.RecordBatch.from_arrays([doc, *cols], schema=arrow)
 

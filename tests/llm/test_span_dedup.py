@@ -6,15 +6,32 @@ from skiff.llm import span_dedup as S
 
 
 def brute(rows):
-    """rows: (id, text) with distinct ids (None last); remaining text and removed sentences by id."""
+    """rows: (id, text) with distinct ids (None last); remaining text, sentences and removed
+    sentences by id.  Runs are compared as lists of words, without a hash."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        gone = set()
-        for k, h in enumerate(S.run_hashes(t)):
-            if h is not None and h in seen:
-                gone |= set(range(k, k + S.RUN))
-            seen.add(h)
         spans = S.sentences(t or "")
+        words = [t[a:b].split() for a, b in spans]
+        marked = [False] * len(spans)
+        for k in range(len(spans) - 2):
+            end = k + 3
+            while sum(map(len, words[k:end])) < 10 and end < len(spans):
+                end += 1
+            if sum(map(len, words[k:end])) < 10:
+                continue
+            run = tuple(" ".join(w) for w in words[k:end])
+            if run in seen:
+                for x in range(k, end):
+                    marked[x] = True
+            seen.add(run)
+        gone, k = set(), 0
+        while k < len(spans):
+            end = k
+            while end < len(spans) and marked[end]:
+                end += 1
+            if sum(map(len, words[k:end])) >= S.SPAN_WORDS:
+                gone |= set(range(k, end))
+            k = max(end, k + 1)
         kept = None if t is None else "".join(t[a:b] for k, (a, b) in enumerate(spans) if k not in gone)
         out[i] = (kept, len(spans), len(gone))
     return out
@@ -93,3 +110,42 @@ def test_passages_in_mid_sentence_go(spark):
     got = {r.doc_id: r.text for r in run(spark, [(i, f"{f} {passage} {f[::-1]}") for i, f in enumerate(fill)])}
     assert passage in got[0] and all("p29 p30" not in got[i] for i in range(1, 17))
     assert all(f in got[i] and f[::-1] in got[i] for i, f in enumerate(fill))
+
+
+def test_text_without_spaces(spark):
+    """Copies of a passage without spaces are found at any place; others stay."""
+    rnd = random.Random(11)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+
+    def prose(n):
+        return "".join(rnd.choice(letters) + ("。" if rnd.random() < 0.06 else "") for _ in range(n))
+
+    passage = prose(80)
+    rows = [(i, prose(rnd.randint(30, 60)) + passage + prose(rnd.randint(30, 60))) for i in range(8)] + [(8, prose(300)), (9, passage * 6)]
+    got = {r.doc_id: r.text for r in run(spark, rows)}
+    assert got[0] == rows[0][1] and got[8] == rows[8][1]
+    assert all(passage[30:50] not in got[i] and len(got[i]) < len(rows[i][1]) - 40 for i in range(1, 8))
+    assert len(got[9]) < len(passage)
+    assert S.words_of("a b猫はc。 d") == ["a", "b", "猫", "は", "c。", "d"]
+
+
+def test_short_repeats_stay(spark):
+    """A few sentences met by chance, or one word again and again, are no repeated span."""
+    rnd = random.Random(12)
+    phrase = "Not so fast he said. They went home by noon. It was late then. "
+    rows = [(i, f"{sentence(rnd)}{phrase}{sentence(rnd)}Was Was Was Was Was Was Was Was Was Was Was.\n") for i in range(4)]
+    assert {r.doc_id: r.text for r in run(spark, rows)} == dict(rows)
+
+
+def test_hot_and_other_hashes_agree(spark, monkeypatch):
+    """The rows joined in place and those joined by a shuffle make the same result; ids that
+    are equal with other texts are told apart by the text's hash."""
+    rnd = random.Random(13)
+    passage = "".join(sentence(rnd) for _ in range(8))
+    rows = [(i // 2, f"{sentence(rnd)}\n{passage}{sentence(rnd)}") for i in range(40)]
+    out = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(S, "HOT_SHARE", share)
+        out.append(sorted((r.doc_id, r.text) for r in run(spark, rows)))
+    assert out[0] == out[1] and sum(passage in t for _, t in out[0]) == 1 and out[0][0][0] == 0
+    assert sum(passage in t for i, t in out[0] if i == 0) == 1
