@@ -18,7 +18,7 @@ from skiff.session import materialize
 
 #: Words that name a credential, and words that name another kind of long string.
 KEY_WORDS = r"tokens?|secrets?|passw(?:or)?d|passwd|pwd|api[_ -]?keys?|access[_ -]?keys?|auth\w*|private[_ -]?keys?|client[_ -]?secret|credentials?|bearer|signing[_ -]?key"
-OTHER_WORDS = r"sha\d*|md5|checksums?|commits?|digest|hash(?:es)?|etag|uuid|guid|revision|build|version|file|image|session|order|invoice|isbn|doi|page|ref"
+OTHER_WORDS = r"sha\d*|md5|checksums?|commits?|digest|hash(?:es)?|etag|uuid|guid|revision|integrity|build|version|file|image|session|order|invoice|isbn|doi|page|ref"
 #: What stands for a credential without being one.
 PLACEHOLDERS = (
     r"example|sample|placeholder|change[_-]?me|your|dummy|fake|test|todo|insert|replace|here|xxx+|0000+|1234\d*|abcd?e?f?|password|secret|token|"
@@ -27,12 +27,26 @@ PLACEHOLDERS = (
 TEST_PATHS = r"(?i)(?:^|[/._-])(?:tests?|specs?|examples?|samples?|fixtures?|mocks?|docs?)(?:[/._-]|$)"
 
 _RUN = r"[A-Za-z0-9+/_=~-]"
-#: A private key's first line; a quoted or bare value behind a credential's name; any run of
-#: sixteen or more characters, one of them a digit.
+#: Names whose value is a candidate whatever its length and characters.
+_NAMED = r"(?i:tokens?|secrets?|passw(?:or)?d|passwd|pwd|passphrase|(?:api|access|private|signing|secret|auth)[_ -]?key|credentials?)"
+_PEM_BREAK = r"(?:\s|\\[nr]|[\"'+,|>#*])*+"
+_PEM_KIND = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A private key from its first line to its last, or, without that, over the lines of its body.
+_PEM = (
+    rf"-----BEGIN {_PEM_KIND}(?:{_PEM_BREAK}(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n\\]*+)*+(?:{_PEM_BREAK}[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:(?:{_PEM_BREAK}[A-Za-z0-9+/=]++){{0,2}}+{_PEM_BREAK}-----END {_PEM_KIND})?"
+)
+_VALUE_AHEAD = rf"(?<={_RUN}[:=]|[:=] |[:=][\"']|[:=] [\"'])"
+#: A private key; the value behind a credential's name, quoted or bare; a signed token of dotted
+#: parts; any value of eight or more characters behind a sign; any run of sixteen or more
+#: characters, one of them a digit.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|(?<={_RUN}[:=]|[:=] |[:=][\"']|[:=] [\"']){_RUN}(?:{_RUN}|[.!@#%^&*]){{7,}}"
-    rf"|(?<!{_RUN})(?=[A-Za-z+/_=~-]{{0,400}}[0-9]){_RUN}{{16,}}"
+    rf"{_PEM}"
+    rf"|(?<=[:=]|[:=][ \"']|[:=] [\"'])(?<={_NAMED}[\"']?[ ]?[:=]{{1,2}}[ ]?[\"'])[^\s\"']++(?=[\"'])"
+    rf"|(?<=[:=]|[:=] )(?<={_NAMED}[\"']?[ ]?[:=]{{1,2}}[ ]?)[^\s\"'<>,;:=]++"
+    rf"|(?<!{_RUN})eyJ[A-Za-z0-9_=-]{{8,}}+\.[A-Za-z0-9_=-]{{8,}}+(?:\.[A-Za-z0-9_=-]*+)?"
+    rf"|{_VALUE_AHEAD}{_RUN}[A-Za-z0-9+/_=~.!@#%^&*-]{{7,}}"
+    rf"|(?<!{_RUN})(?=[A-Za-z+/_=~-]*+[0-9]){_RUN}{{16,}}"
 )
 BESIDE = 48
 TREES, DEPTH, SEED = 40, 7, 11
@@ -40,7 +54,7 @@ TREES, DEPTH, SEED = 40, 7, 11
 PER_KIND = 200
 
 FEATURES = (
-    "length digits uppers lowers marks distinct turns sounds longest_letters hex_only covered keyed_before assigned quoted other_before keyed_near test_path pem".split()
+    "length digits uppers lowers marks distinct turns sounds longest_letters hex_only covered keyed_before assigned quoted other_before keyed_near test_path pem hash_lead".split()
 )
 
 
@@ -108,12 +122,13 @@ def with_features(found: DataFrame) -> DataFrame:
         "keyed_near": flag(before.rlike(rf"(?i)(?:{KEY_WORDS})")),
         "test_path": flag(F.col("path").rlike(TEST_PATHS)),
         "pem": flag(v.startswith("-----BEGIN ")),
+        "hash_lead": flag(low.rlike("^(?:sha[0-9]+|md5)[-:]")),
     }
     return found.select("*", *[made[n].cast("double").alias(n) for n in FEATURES])
 
 
 def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFrame:
-    """value, before, after, path, label (1: a secret): ``per_kind`` findings of each of 24
+    """value, before, after, path, label (1: a secret): ``per_kind`` findings of each of 32
     kinds, whose random parts are hashes of their number."""
     n = spark.range(0, per_kind, 1, 2)
     sha1, md5, sha2 = (f"{f}(concat(id, salt{a}))" for f, a in (("sha1", ""), ("md5", ""), ("sha2", "")))
@@ -123,6 +138,8 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
     uuid = "regexp_replace(md5(concat(id, salt)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5')"
     some = "element_at(array('alpha','river','north','green','water','signal','delta','forest'), cast(1 + id % 8 as int))"
     key = "element_at(array('token','secret','api_key','password','access_key','auth_token','TOKEN','client_secret'), cast(1 + id % 8 as int))"
+    login = "element_at(array('password','passwd','pwd','passphrase'), cast(1 + id % 4 as int))"
+    mark = "element_at(array('!','#','&','%','@','*'), cast(1 + id % 6 as int))"
     lead = "element_at(array('the ','and so ','of the line. ','','const ','export ','de la ','und der '), cast(1 + (id div 8) % 8 as int))"
     path = "element_at(array('src0','src7','app/main.py','web','config/prod.env'), cast(1 + id % 5 as int))"
     quoted, bare, colon = f"concat({lead}, {key}, ' = \"')", f"concat({lead}, {key}, '=')", f"concat({lead}, '\"', {key}, '\": \"')"
@@ -140,6 +157,14 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
         (f"concat('eyJ', {b64}, 'eyJ', {b64})", f"concat({lead}, 'Bearer ')", "' '", path, 1),
         ("concat('-----BEGIN ', element_at(array('RSA ', 'EC ', ''), cast(1 + id % 3 as int)), 'PRIVATE KEY-----')", lead, "'\n'", path, 1),
         (f"substring({b64}, 1, 14)", f"concat({lead}, 'password: ')", "' '", path, 1),
+        (f"concat({some}, 1 + id % 97)", f"concat({lead}, {login}, ' = \"')", "'\" '", path, 1),
+        (f"concat({mark}, substring({b64}, 1, cast(5 + id % 6 as int)), {mark}, id % 10)", f"concat({lead}, {login}, ': \"')", "'\" '", path, 1),
+        (f"concat(substring({b64}, 1, 4), {mark}, substring({b64}, 9, 3))", f"concat({lead}, {login}, '=')", "' '", path, 1),
+        (
+            f"concat('-----BEGIN RSA PRIVATE KEY-----\n', {b64}, {b64}, '\n', substring({b64}, 1, 20), '\n-----END RSA PRIVATE KEY-----')",
+            lead, "'\n'", path, 1,
+        ),
+        (f"concat('eyJ', substring({b64}, 1, 20), '.eyJ', {b64}, '.', {b64})", quoted, "'\"'", path, 1),
         # others
         (sha1, f"concat({lead}, 'commit ')", "' '", path, 0),
         (sha2, f"concat({lead}, 'sha256: ')", "' '", path, 0),
@@ -152,6 +177,9 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
         (f"concat({some}, {some}, 'ing', {some}, id)", f"concat({lead}, 'x = ')", "' '", path, 0),
         (f"concat({some}, '_', {some}, '_number_', id, '_', {some})", lead, "' '", path, 0),
         (f"concat('/', {some}, '/', {some}, '/page', id, '/', {some})", f"concat({lead}, 'see ')", "' '", path, 0),
+        (some, f"concat({lead}, {key}, ': ')", "' is here'", path, 0),
+        ("element_at(array('string','null','true','none','required','${TOKEN}','optional','number'), cast(1 + id % 8 as int))", colon, "'\",'", path, 0),
+        (f"concat('sha', element_at(array('256','384','512'), cast(1 + id % 3 as int)), '-', {b64}, substring({b64}, 1, 20))", f"concat({lead}, 'integrity=\"')", "'\" '", path, 0),
         (sha1, quoted, "'\"'", "element_at(array('tests/unit.py','docs/example.md','spec/fixtures/a'), cast(1 + id % 3 as int))", 0),
     ]
     parts = [
