@@ -3,8 +3,11 @@
 The standard library's streaming parser turns a page into blocks (the lines of the method)
 with their text, tags, links and containers.  The text-to-tag ratio of each block is
 smoothed by a Gaussian and cut by a threshold; the clusters above it decide which container
-is the article.  Every block of that container is then kept, however short, except those
-inside elements that are never article text (menus, forms, adverts, comments and the like).
+is the article, and which of its parts stay: a part (div or section) of several blocks that
+lies mostly below the threshold goes, as do elements that are never article text (menus,
+forms and the like) and those whose names say so plainly.  A name that only holds such a word
+("post-header-story") halves the ratio of its blocks and leaves the decision to the clusters.
+Other blocks of the container are kept, however short.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ from skiff.session import ship_package
 SIGMA, RADIUS = 1.0, 3
 #: Blocks whose smoothed ratio is at least this share of the mean ratio are content.
 THRESHOLD = 0.5
+#: A part of the article is judged by its clusters from so many blocks on.
+PART_BLOCKS = 3
+PARTS = frozenset("div section".split())
+#: Weight of the ratio of a block in an element whose name holds a mark among other words.
+WEAK = 0.5
 #: Share of the content's characters that the chosen container holds at least.
 HOLDS = 0.8
 
@@ -52,7 +60,14 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar footer header masthead banner cookie cookies consent gdpr notice notices notification popup modal overlay "
     "newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments "
-    "disqus reply replies respond widget toolbar login".split()
+    "disqus reply replies respond widget toolbar login "
+    "anzeige werbung kommentar kommentare publicite commentaire commentaires publicidad comentario comentarios".split()
+)
+#: Words that leave the meaning of a mark beside them as it is.
+NEUTRAL = frozenset(
+    "site page main top bottom left right box block wrap wrapper container area list section item items bar inner outer content "
+    "link links post posts article articles stories news entry text body title icon icons button buttons btn global primary "
+    "secondary mobile desktop fixed sticky user by form module panel group row col column reader readers thread".split()
 )
 #: Words before a mark that take its meaning away ("with-sidebar").
 UNMARKS = frozenset("with has no without".split())
@@ -67,10 +82,11 @@ class Block:
     link_chars: int
     containers: tuple[int, ...]
     banned: bool
+    weak: tuple[int, ...] = ()
 
     @property
     def ratio(self) -> float:
-        return (len(self.text) - self.link_chars) / max(1, self.tags)
+        return (len(self.text) - self.link_chars) / max(1, self.tags) * (WEAK if self.weak else 1.0)
 
 
 @dataclass
@@ -80,25 +96,29 @@ class _Open:
     banned: bool
     header: bool = False
     heading: bool = False
+    weak: tuple[int, ...] = ()
 
 
-def _marked(tag: str, attrs: dict) -> bool:
+def _marked(tag: str, attrs: dict) -> int:
+    """0: no mark; 1: a name holds a mark among words of its own; 2: a plain mark."""
     if tag in ("html", "body", "main", "article"):
         names = attrs.get("class") or ""
-        return tag == "article" and bool({"comment", "reply", "ad", "advert", "sponsored", "promo", "related"} & {w.lower() for w in _NAME.findall(names)})
+        return 2 * (tag == "article" and bool({"comment", "reply", "ad", "advert", "sponsored", "promo", "related"} & {w.lower() for w in _NAME.findall(names)}))
     if (attrs.get("role") or "").strip().lower() in ROLES:
-        return True
+        return 2
+    strength = 0
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         words = [w.lower() for w in _NAME.findall(name)]
         if any(w in MARKS and (k == 0 or words[k - 1] not in UNMARKS) for k, w in enumerate(words)):
-            return True
-    return False
+            strength = max(strength, 2 if all(w in MARKS or w in NEUTRAL or w in UNMARKS for w in words) else 1)
+    return strength
 
 
 @dataclass
 class _Page(HTMLParser):
     blocks: list[Block] = field(default_factory=list)
     semantic: dict[int, str] = field(default_factory=dict)
+    parts_open: set[int] = field(default_factory=set)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
@@ -114,7 +134,7 @@ class _Page(HTMLParser):
         if text:
             top = self.open[-1]
             banned = top.banned or (top.header and not top.heading)
-            self.blocks.append(Block(text, self.tags + 1, min(self.link_chars, len(text)), tuple(o.key for o in self.open), banned))
+            self.blocks.append(Block(text, self.tags + 1, min(self.link_chars, len(text)), tuple(o.key for o in self.open), banned, top.weak))
         self.parts.clear()
         self.tags = self.link_chars = 0
 
@@ -150,7 +170,8 @@ class _Page(HTMLParser):
         self._flush()
         up = self.open[-1]
         self.keys += 1
-        mark = _marked(tag, attrs)
+        strength = _marked(tag, attrs)
+        mark = strength == 2
         header = tag == "header" or (mark and bool({"header"} & {w.lower() for w in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}))
         in_article = any(o.tag in ("article", "main") for o in self.open)
         if header and in_article:  # of a header inside the article, its headings stay
@@ -158,7 +179,10 @@ class _Page(HTMLParser):
         else:
             banned, header = up.banned or hidden or tag in NEVER or tag == "header" or mark, False
         node = _Open(tag, self.keys, banned, up.header or header, up.heading or tag in HEADINGS)
+        node.weak = (*up.weak, node.key) if strength == 1 else up.weak
         self.open.append(node)
+        if tag in PARTS:
+            self.parts_open.add(node.key)
         if tag in ("article", "main") and not banned:
             self.semantic[node.key] = tag
 
@@ -201,10 +225,33 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def _article(blocks: list[Block], semantic: dict[int, str]) -> list[Block]:
+def _low_parts(found: list[Block], high: set[int], parts: set[int], region: set[int]) -> set[int]:
+    """Keys of the parts inside the region whose blocks lie mostly below the threshold, and
+    of weakly marked elements of any size that do.  ``high``: ids of the blocks above it."""
+    inside: dict[int, list[int]] = {}
+    for b in found:
+        deep = max(b.containers.index(k) for k in region if k in b.containers)
+        for key in b.containers[deep + 1 :]:
+            if key in parts or key in b.weak:
+                count = inside.setdefault(key, [0, 0, 0])
+                count[0] += 1
+                count[1] += id(b) in high
+                count[2] += key in b.weak
+    return {k for k, (n, above, weak) in inside.items() if 2 * above < n and n < len(found) and (n >= PART_BLOCKS or weak)}
+
+
+def _article(blocks: list[Block], semantic: dict[int, str], parts: set[int]) -> list[Block]:
     allowed = [b for b in blocks if not b.banned]
     if not allowed:
         return []
+    chars = sum(len(b.text) for b in allowed)
+    held: dict[int, int] = {}
+    for b in allowed:
+        for key in b.weak:
+            held[key] = held.get(key, 0) + len(b.text)
+    # an element around most of the text is no menu, whatever its name
+    for b in allowed:
+        b.weak = tuple(k for k in b.weak if held[k] < HOLDS * chars)
     level = smooth([0.0 if b.banned else b.ratio for b in blocks])
     mean = sum(b.ratio for b in allowed) / len(allowed)
     content = [b for b, x in zip(blocks, level) if not b.banned and x >= THRESHOLD * mean and 2 * b.link_chars <= len(b.text)] or allowed
@@ -222,6 +269,11 @@ def _article(blocks: list[Block], semantic: dict[int, str]) -> list[Block]:
         # containers open later have larger keys: the last that holds enough is the innermost
         chosen = {max(mains or [k for k, n in inside.items() if n >= HOLDS * total])}
     found = [b for b in allowed if chosen & set(b.containers)]
+    # the threshold inside the region is that of its own mean
+    cut = THRESHOLD * sum(b.ratio for b in found) / max(1, len(found))
+    high = {id(b) for b, x in zip(blocks, level) if x >= cut and 2 * b.link_chars <= len(b.text)}
+    low = _low_parts(found, high, parts, chosen)
+    found = [b for b in found if not low.intersection(b.containers)]
     if chosen & set(semantic):
         return found
     # no article element: link lists beside the text are menus, and what lies before the
@@ -238,7 +290,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page._flush()
-    return "\n".join(b.text for b in _article(page.blocks, page.semantic))
+    return "\n".join(b.text for b in _article(page.blocks, page.semantic, page.parts_open))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -78,3 +78,41 @@ def test_columns_nulls_repeats(spark):
     got = sorted((r.page_id or 0, r.text) for r in H.extract_main_text(d).collect())
     assert got == [(0, "x"), (0, "x"), (1, "")]
     assert H.extract_main_text(d.limit(0)).collect() == []
+
+
+TALK = "".join(
+    f"<div><a href=/u{k}><b>Ann{k}</b></a> <i>{k} May</i> <small>at <b>noon</b></small> <a href=#r><i>answer</i></a><p><b>So</b> <i>true</i>, <a href=/x>thanks</a>!</p></div>" for k in range(1, 6)
+)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # a name that holds a mark among words of its own, around the article and inside it
+        (page(f"<div><a href=/>Home</a> <a href=/x>X</a></div><div id='post-header-story'><h1>Head</h1><p>{LONG}</p><p>Ok.</p><p>{LONG}</p></div>"), f"Head\n{LONG}\nOk.\n{LONG}"),
+        (page(f"<article><h1>Head</h1><p>{LONG}</p><div class='related-work'><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p></article>"), "\n".join(["Head"] + [LONG] * 4)),
+        # plain marks, also in other languages
+        (page(f"<article><h1>Head</h1><p>{LONG}</p><div class='publicite'>{LONG}</div><div id='commentaires'><p>{LONG}</p></div><section class='reader-comments'>{LONG}</section></article>"), f"Head\n{LONG}"),
+        # readers' comments without any name, in an article and without semantic elements
+        (page(f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div>{TALK}</div></article>"), "\n".join(["Head"] + [LONG] * 3)),
+        (page(f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div>{TALK}</div></div>"), "\n".join(["Head"] + [LONG] * 3)),
+        # a short part between paragraphs stays
+        (page(f"<article><h1>Head</h1><p>{LONG}</p><div><p>Ok.</p></div><p>{LONG}</p></article>"), f"Head\n{LONG}\nOk.\n{LONG}"),
+    ],
+)
+def test_clusters_decide(html, want):
+    assert H.main_text(html) == want
+
+
+def test_smoothing_and_threshold_change_results(monkeypatch):
+    """Pages without semantic elements or telling names; each step of the method matters."""
+    short = f"<div><h2>Part</h2><p>{LONG}</p><div><p>Yes.</p><p>{LONG}</p><p>No.</p></div><p>{LONG}</p></div>"
+    talk = f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div>{TALK}</div></div>"
+    want = [H.main_text(h) for h in (short, talk)]
+    assert "Yes.\n" in want[0] and "No.\n" in want[0] and "thanks" not in want[1]
+    with monkeypatch.context() as m:
+        m.setattr(H, "smooth", lambda values: values)
+        assert H.main_text(short) != want[0]
+    with monkeypatch.context() as m:
+        m.setattr(H, "THRESHOLD", 0.0)
+        assert H.main_text(talk) != want[1]
