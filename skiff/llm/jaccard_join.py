@@ -2,9 +2,11 @@
 
 Documents with one n-gram set are one class from the start.  Band and row counts follow
 from the similarity and a target recall.  Band hashes are shuffled without texts; buckets
-with the same members are looked at once, and a large bucket is split into blocks, so a
-task holds two blocks at most.  Inside a pair of blocks every candidate pair is verified
-and counted, but only links per class and a spanning forest leave the task.
+with the same members are looked at once, and a large bucket is split into blocks of bounded
+bytes, so a task holds two blocks at most.  A text is copied once per block of its bucket:
+``MOST_BLOCKS`` times, however many members there are, until the bytes of a block ask for
+more.  Inside a pair of blocks every candidate pair is verified and counted, tile by tile,
+but only links per class and a spanning forest leave the task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,11 @@ from skiff.session import materialize, ship_package
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 128
+#: Members of a tile, whose pairs are verified at once; a bucket of no more is one block.
 BLOCK = 512
+#: A larger bucket has as many blocks as tiles, up to so many, or as its bytes need: a block
+#: weighs at most about ``BLOCK_BYTES``, each member its text and ``MEMBER_BYTES`` besides.
+MOST_BLOCKS, BLOCK_BYTES, MEMBER_BYTES = 9, 32 << 20, 1000
 #: The keys of candidate classes are broadcast up to this many (16 bytes each).
 BROADCAST_KEYS = 1_000_000
 
@@ -80,12 +86,17 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(bands)]
 
 
+def blocks_of(members: Column, weight: Column, block: int = BLOCK, most_blocks: int = MOST_BLOCKS, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Blocks of a bucket of so many members, which weigh so many bytes."""
+    return F.greatest(F.least(F.ceil(members / block), F.lit(most_blocks)), F.ceil(weight / block_bytes)).cast("int")
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """id, text_key, set_key (null without words), bands for every row of (id, text)."""
+    """id, text_key, size (bytes), set_key (null without words), bands for every row of (id, text)."""
     import xxhash
 
     schema = T.StructType(
-        [docs.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        [docs.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -96,14 +107,14 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys, found = [], []
-                for text in part.column(2).to_pylist():
+                for text in part.column(3).to_pylist():
                     g = ngrams(text, words)
                     keys.append(xxhash.xxh128_digest(g.tobytes()) if len(g) else None)
                     found.append(band_hashes(g, bands, rows) if len(g) else None)
-                cols = [part.column(0).cast(arrow.field(0).type), part.column(1), pa.array(keys, pa.binary()), pa.array(found, arrow.field(3).type)]
+                cols = [part.column(0).cast(arrow.field(0).type), part.column(1), part.column(2), pa.array(keys, pa.binary()), pa.array(found, arrow.field(4).type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return docs.select("id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+    return docs.select("id", F.xxhash64("text").alias("text_key"), F.octet_length("text").cast("long").alias("size"), "text").mapInArrow(run, schema)
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -135,45 +146,20 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> n
     return out
 
 
-def _verify(group: list[tuple], words: int, similarity: float, cache: dict) -> tuple[dict, list]:
+def _verify(group: list[list], words: int, similarity: float, block: int = BLOCK) -> tuple[dict, list]:
     """Links per class and a spanning forest of one pair of blocks.
 
-    A row: (side, set_key, copies, bands, band, text).  Sides 0 and 1 are paired; a group
+    A row: [side, set_key, copies, bands, band, text].  Sides 0 and 1 are paired; a group
     with side 0 alone is paired with itself.  A pair counts in its first common band only.
+    Pairs are looked at in tiles of ``block`` members a side, so memory is that of the two
+    blocks; a text met there for the first time is replaced by its n-grams.
     """
     left = [r for r in group if r[0] == 0]
     right = [r for r in group if r[0] == 1] or left
     band = group[0][4]
-    ba, bb = (np.array([r[3] for r in side], np.int64) for side in (left, right))
-    wanted = ba[:, None, band] == bb[None, :, band]
-    for k in range(band):
-        wanted &= ba[:, None, k] != bb[None, :, k]
-    if right is left:
-        wanted &= np.tri(len(left), k=-1, dtype=bool)
-    if not wanted.any():
-        return {}, []
-
-    def grams(side: list[tuple]) -> list[np.ndarray]:
-        for r in side:
-            if r[1] not in cache:
-                cache[r[1]] = ngrams(r[5], words)
-        return [cache[r[1]] for r in side]
-
-    ga = grams(left)
-    gb = ga if right is left else grams(right)
-    na, nb = (np.array([len(g) for g in x], np.float64) for x in (ga, gb))
-    wanted &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - 1e-9
-    if not wanted.any():
-        return {}, []
-    common = _overlaps(ga, gb, wanted)
-    linked = wanted & (common >= similarity * (na[:, None] + nb[None, :] - common) - 1e-6)
     links: dict[bytes, int] = {}
-    ca, cb = (np.array([r[2] for r in side], np.int64) for side in (left, right))
-    for side, counts in ((left, linked @ cb), (right, linked.T @ ca)):
-        for r, n in zip(side, counts):
-            if n:
-                links[r[1]] = links.get(r[1], 0) + int(n)
     parent: dict[bytes, bytes] = {}
+    forest: list[tuple[bytes, bytes]] = []
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -181,27 +167,62 @@ def _verify(group: list[tuple], words: int, similarity: float, cache: dict) -> t
             x = parent[x]
         return x
 
-    forest = []
-    for i, j in np.argwhere(linked):
-        x, y = root(left[i][1]), root(right[j][1])
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            forest.append((left[i][1], right[j][1]))
+    def grams(rows: list[list]) -> list[np.ndarray]:
+        for r in rows:
+            if not isinstance(r[5], np.ndarray):
+                r[5] = ngrams(r[5], words)
+        return [r[5] for r in rows]
+
+    def tile(a: list[list], b: list[list]) -> None:
+        ba, bb = (np.stack([r[3] for r in rows]) for rows in (a, b))
+        wanted = ba[:, None, band] == bb[None, :, band]
+        for k in range(band):
+            wanted &= ba[:, None, k] != bb[None, :, k]
+        if b is a:
+            wanted &= np.tri(len(a), k=-1, dtype=bool)
+        if not wanted.any():
+            return
+        ga = grams(a)
+        gb = ga if b is a else grams(b)
+        na, nb = (np.array([len(g) for g in x], np.float64) for x in (ga, gb))
+        wanted &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - 1e-9
+        if not wanted.any():
+            return
+        common = _overlaps(ga, gb, wanted)
+        linked = wanted & (common >= similarity * (na[:, None] + nb[None, :] - common) - 1e-6)
+        ca, cb = (np.array([r[2] for r in rows], np.int64) for rows in (a, b))
+        for rows, counts in ((a, linked @ cb), (b, linked.T @ ca)):
+            for r, n in zip(rows, counts):
+                if n:
+                    links[r[1]] = links.get(r[1], 0) + int(n)
+        for i, j in np.argwhere(linked):
+            x, y = root(a[i][1]), root(b[j][1])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                forest.append((a[i][1], b[j][1]))
+
+    lefts = [left[at : at + block] for at in range(0, len(left), block)]
+    rights = lefts if right is left else [right[at : at + block] for at in range(0, len(right), block)]
+    for i, a in enumerate(lefts):
+        for b in rights[: i + 1] if rights is lefts else rights:
+            tile(a, b)
     return links, forest
 
 
-def _verify_partition(batches, words: int, similarity: float):
+def _verify_partition(batches, words: int, similarity: float, block: int):
     schema = pa.schema([("set_key", pa.binary()), ("links", pa.int64()), ("other", pa.binary())])
 
     def rows():
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield from zip(*(c.to_pylist() for c in part.columns))
+                # band, h, pair, side, set_key, copies, bands, at, text
+                for r in zip(*(c.to_pylist() for c in part.columns)):
+                    yield [*r[:6], np.array(r[6], np.int64), *r[7:]]
 
     out: list[tuple] = []
     for _, members in groupby(rows(), key=lambda r: r[:3]):
-        links, forest = _verify([r[3:] for r in members], words, similarity, {})
+        links, forest = _verify([r[3:] for r in members], words, similarity, block)
         out += [(k, n, None) for k, n in links.items()]
         out += [(x, 0, y) for x, y in forest]
         if len(out) > 20_000:
@@ -220,6 +241,8 @@ def jaccard_classes(
     recall: float = RECALL,
     max_hashes: int = MAX_HASHES,
     block: int = BLOCK,
+    most_blocks: int = MOST_BLOCKS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: the id, text_key (a hash of the text), class_key (the same for
     documents joined by a chain of links), class_id (the smallest id in it), n_links (other
@@ -238,19 +261,20 @@ def jaccard_classes(
     sets = materialize(
         sigs.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"), F.min("id").alias("least_id"), F.any_value("bands").alias("bands")),
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"), F.min("id").alias("least_id"), F.any_value("bands").alias("bands"), F.max("size").alias("size")),
         "sets",
     )
     # buckets: who shares a band hash; equal member lists are looked at in one band only
-    member = sets.select("set_key", F.posexplode("bands").alias("band", "h"))
+    member = sets.select("set_key", "size", F.posexplode("bands").alias("band", "h"))
     mark = F.xxhash64("set_key")
     buckets = member.groupBy("band", "h").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(mark).alias("x"), F.min("set_key").alias("first")
+        F.count(F.lit(1)).alias("n"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(mark).alias("x"), F.min("set_key").alias("first"),
+        F.sum(F.col("size") + MEMBER_BYTES).alias("weight"),
     )
-    kept = buckets.where("n > 1").groupBy("n", "s", "x", "first").agg(F.min(F.struct("band", "h")).alias("b")).select("b.*", "n")
+    kept = buckets.where("n > 1").groupBy("n", "s", "x", "first").agg(F.min(F.struct("band", "h")).alias("b"), F.max("weight").alias("weight")).select("b.*", "n", "weight")
     kept = materialize(kept, "buckets")
     in_kept = member.join(kept, ["band", "h"])
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = blocks_of(F.col("n"), F.col("weight"), block, most_blocks, block_bytes)
     # blocks deal members by their hash; block b of m meets b..m-1 as side 0 and 0..b-1 as side 1
     own = F.pmod(F.xxhash64("set_key", F.lit(7)), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"), (own > o).cast("int").alias("side")))
@@ -266,7 +290,7 @@ def jaccard_classes(
     spread = full.repartition("band", "h", "pair").sortWithinPartitions("band", "h", "pair")
 
     def run(batches):
-        return _verify_partition(batches, words, similarity)
+        return _verify_partition(batches, words, similarity, block)
 
     found = materialize(spread.mapInArrow(run, "set_key binary, links long, other binary"), "verified")
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))

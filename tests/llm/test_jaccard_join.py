@@ -1,17 +1,26 @@
 """Jaccard classes against all pairs, blocks, banding and components."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skiff.llm import jaccard_join as J
 from skiff.llm.components import connected_components
 
 
+def shingles(text, size=5):
+    """Runs of words as tuples, by a pattern: nothing of the module's own."""
+    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = min(size, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+
+
 def brute(rows, similarity=0.8):
     """rows: (id, text) with distinct ids; class_id, n_links, n_copies by id."""
-    sets = {i: set(J.ngrams(t).tolist()) for i, t in rows}
+    sets = {i: shingles(t) for i, t in rows}
     ids = sorted(sets)
     parent = {i: i for i in ids}
 
@@ -88,6 +97,27 @@ def test_large_group_is_exact(spark):
     assert [i for i in want if want[i][0] != got[i][0]] == []
 
 
+@pytest.mark.parametrize("bounds", [{"most_blocks": 1}, {"most_blocks": 3}, {"most_blocks": 1, "block_bytes": 20_000}])
+def test_blocks_of_many_tiles(spark, bounds):
+    """Blocks larger than a tile, and blocks split by their bytes, lose and double no pair."""
+    rnd = random.Random(12)
+    texts = family(rnd, 90, edits=1) + [" ".join(f"v{rnd.random()}" for _ in range(30)) for _ in range(15)]
+    rows = list(enumerate(texts + texts[:9]))
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in classes(spark, rows, block=16, **bounds)}
+    assert got == brute(rows)
+
+
+def test_blocks_follow_bytes_not_members(spark):
+    """A bucket's texts are copied once a block: under ten times at 100,000 near copies of
+    600 bytes, and a block never outgrows its bytes by more than rounding."""
+    cases = [(2, 600), (512, 600), (513, 600), (4000, 600), (100_000, 600), (1_000_000, 600), (300, 2_000_000)]
+    d = spark.createDataFrame([(n, n * (size + J.MEMBER_BYTES)) for n, size in cases], "n long, weight long")
+    got = {r.n: (r.blocks, r.weight) for r in d.select("n", "weight", J.blocks_of(F.col("n"), F.col("weight")).alias("blocks")).collect()}
+    assert [got[n][0] for n in (2, 512, 513, 4000)] == [1, 1, 2, 8]
+    assert got[100_000][0] < 10 and got[1_000_000][0] < 100
+    assert all(weight / blocks <= J.BLOCK_BYTES for blocks, weight in got.values())
+
+
 def test_overlaps_both_ways():
     rnd = np.random.default_rng(1)
     a = [np.unique(rnd.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
