@@ -271,10 +271,11 @@ def jaccard_classes(
         F.count(F.lit(1)).alias("n"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(mark).alias("x"), F.min("set_key").alias("first"),
         F.sum(F.col("size") + MEMBER_BYTES).alias("weight"),
     )
-    kept = buckets.where("n > 1").groupBy("n", "s", "x", "first").agg(F.min(F.struct("band", "h")).alias("b"), F.max("weight").alias("weight")).select("b.*", "n", "weight")
+    kept = buckets.where("n > 1").groupBy("n", "s", "x", "first").agg(F.min(F.struct("band", "h")).alias("b"), F.max("weight").alias("weight"))
+    kept = kept.select("b.*", blocks_of(F.col("n"), F.col("weight"), block, most_blocks, block_bytes).alias("blocks"))
     kept = materialize(kept, "buckets")
-    in_kept = member.join(kept, ["band", "h"])
-    blocks = blocks_of(F.col("n"), F.col("weight"), block, most_blocks, block_bytes)
+    in_kept = member.drop("size").join(kept, ["band", "h"])
+    blocks = F.col("blocks")
     # blocks deal members by their hash; block b of m meets b..m-1 as side 0 and 0..b-1 as side 1
     own = F.pmod(F.xxhash64("set_key", F.lit(7)), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"), (own > o).cast("int").alias("side")))
