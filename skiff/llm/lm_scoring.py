@@ -65,12 +65,15 @@ CLASSES = 65
 PRIOR = 0.4
 
 # Bytes as bits: 31 bytes that are common in the tokens of Latin-script text have codes of
-# five bits, in this order; the 32nd code is followed by the eight bits of any other byte.
+# five bits, in this order; the 32nd code is followed by seven bits for the first 31 of the
+# other 225 bytes and by eight for the rest.  No code is left unused, so the bits of a byte
+# share out all probability.
 _COMMON = b" \netaoinshrdlucmfwypvbgkjqxz,.\xc3"
-_LENGTH = np.full(256, 13, np.int64)
-_CODE = np.arange(256, dtype=np.int64) | (31 << 8)
+_LENGTH, _CODE = np.empty(256, np.int64), np.empty(256, np.int64)
 for _k, _byte in enumerate(_COMMON):
     _LENGTH[_byte], _CODE[_byte] = 5, _k
+for _k, _byte in enumerate(sorted({*range(256)} - {*_COMMON})):
+    _LENGTH[_byte], _CODE[_byte] = (12, (31 << 7) | _k) if _k < 31 else (13, (31 << 8) | (_k + 31))
 _PLACES, _BITS = 8, 13
 
 _BUCKETS = 24
