@@ -135,7 +135,8 @@ def fit_language_model(rows: list[tuple[str, str]], bits: int = BITS, width: int
 
 def labelled_sample(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, str]]:
     """(text, language) of at most ``max_rows`` documents and ``max_chars`` characters,
-    chosen by a hash of the id (a first pass over ids alone finds the largest hash to take).
+    chosen by a hash of the id (a first pass over ids alone finds the largest hash to take);
+    where the characters are the bound, of those rows the first in the table's order.
     Rows without a text or language are left out."""
     key = F.xxhash64("doc_id")
     known = docs.where("text is not null and lang is not null")
@@ -157,7 +158,8 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """``docs`` plus lang_pred, lang_score (its calibrated probability) and lang_accepted.
 
     A null text or one without letters is ``und`` with score 0 and is not accepted; other
-    texts always get a learned language, and are accepted from the model's threshold on.
+    texts always get a learned language, and are accepted from the model's threshold on.  Of
+    equally probable languages the alphabetically first is taken.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

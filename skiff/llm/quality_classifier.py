@@ -91,7 +91,8 @@ def fit_ftrl(
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, int]]:
     """(text, label) of at most ``max_rows`` labelled documents and ``max_chars`` characters,
-    chosen by a hash of the id.
+    chosen by a hash of the id; where the characters are the bound, of those rows the first in
+    the table's order.
 
     Null ids, labels and texts are left out; a document labelled both ways counts as bad; of rows
     that share an id the first ones within the bounds serve.
