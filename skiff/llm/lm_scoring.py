@@ -25,10 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skiff import files
 from skiff.llm.common import fold_of, table
 from skiff.session import materialize, ship_package
 
@@ -46,13 +48,24 @@ SHORT = 4
 STARTS = np.cumsum([0, *(1 << bits for _, bits in ORDERS)])
 SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 14
+#: About so many distinct tokens meet in a task of the online pass, as their whole contexts'
+#: table is held beside the one for all.
+TASK_TOKENS = 1 << 17
 #: Commonest tokens whose costs every task holds; all others are joined.
 COMMON_TOKENS = 300_000
 #: Commonest pairs of neighbours whose gains every task holds; all others are joined.
 COMMON_PAIRS = 1_000_000
 #: Distinct pairs a counting task holds before it passes them on.
-HELD_PAIRS = 4_000_000
-#: First byte of a pair's key; a token's is its class.
+HELD_PAIRS = 1 << 21
+#: Tokens of the documents whose questions to the model a scoring task packs at one time.
+HELD_SCORED = 1 << 21
+#: Least buckets that pairs and uncommon tokens are dealt to; there is one for every four
+#: million training tokens.
+BUCKETS = 32
+#: Bits of a common token's number; other names have the top bit set.
+_NUMBER, _TOP = np.uint64(20), 1 << 63
+_RARE = np.uint64(_TOP)
+#: First byte of a pair's key, which no token holds; a token's is its class.
 PAIR = b"\xff"
 #: The end of a document; no word holds a line end.
 END = b"\n"
@@ -99,21 +112,46 @@ def _slots_of(sizes) -> int:
     return sum(1 << bits for _, bits in sizes)
 
 
-def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _first_met(raw: np.ndarray, width: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For every byte the first of those bytes that stand behind the same beginning, as far as
+    each token shares it with the one before; of sorted tokens that finds all of them."""
+    first = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(width)), width)
+    there = np.minimum(np.r_[0, first[:-1]][owner] + place, len(raw) - 1)
+    alike = (owner > 0) & (place < np.r_[0, width[:-1]][owner]) & (raw[there] == raw)
+    differs = np.minimum.reduceat(np.where(alike, len(raw), place), first)
+    # place by place, a shared byte follows the one of the token before
+    order = np.argsort(place.astype(np.uint16) if width.max() < 1 << 16 else place, kind="stable")
+    met = np.empty(len(raw), np.int64)
+    met[order] = order[np.maximum.accumulate(np.where((place < differs[owner])[order], 0, np.arange(len(raw))))]
+    return met
+
+
+def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool = False) -> tuple[np.ndarray, ...]:
     """For every bit of every token's bytes and terminator: token number, bit, slot of each
     order (into one table for all) and gate (byte position and bit position).  A token is
     its class byte and its bytes; the class is given, not predicted.  With ``near_bits`` the
     whole token's contexts of more than ``SHORT`` bytes have slots of a table of that size,
-    numbered from the end of the table for all."""
-    raw = np.frombuffer(b"".join(t if t.endswith(END) else t + b" " for t in tokens), np.uint8)
-    width = np.fromiter((len(t) + (not t.endswith(END)) for t in tokens), np.int64, len(tokens))
+    numbered from the end of the table for all.
+
+    ``shared``: the bits of a beginning that neighbouring tokens share come once.  Then the
+    first array has numbers of bytes, and two more have the token and that number of every
+    byte of every token."""
+    ended = [t if t.endswith(END) else t + b" " for t in tokens]
+    raw = np.frombuffer(b"".join(ended), np.uint8)
+    width = np.fromiter(map(len, ended), np.int64, len(tokens))
     place = np.arange(len(raw)) - np.repeat(np.cumsum(width) - width, width)
     mixed = raw.astype(np.uint64) + np.uint64(1)
-    history, acc = {}, np.zeros(len(raw), np.uint64)
+    live = place > 0
+    if shared:
+        met = _first_met(raw, width, place)
+        every, live = live, live & (met == np.arange(len(raw)))
+    seat = np.flatnonzero(live)
+    deep = place[seat]
+    history, acc = {}, np.zeros(len(seat), np.uint64)
     for back in range(1, max(n for n, _ in sizes) + 1):
-        before = np.zeros(len(raw), np.uint64)
-        before[back:] = mixed[:-back]
-        before[place < back] = 0  # before the class byte
+        before = mixed[seat - np.minimum(back, deep)]
+        before[deep < back] = 0  # before the class byte
         acc = (acc ^ before) * _MUL
         acc ^= acc >> np.uint64(29)
         history[back] = acc
@@ -123,9 +161,9 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0) -> tuple[np.n
     run = np.cumsum(mixed * mixed * factor[place] * _MUL, dtype=np.uint64)
     run -= mixed * mixed * factor[place] * _MUL
     first = np.cumsum(width) - width
-    history[0] = (run - np.repeat(run[first], width)) * _MUL
-    live = place > 0
-    byte = raw[live]
+    of = np.repeat(np.arange(len(tokens)), width)
+    history[0] = (run[seat] - run[first][of[seat]]) * _MUL
+    byte = raw[seat]
     length, code = _LENGTH[byte], _CODE[byte]
     at = np.repeat(np.arange(len(byte)), length)
     j = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
@@ -133,11 +171,11 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0) -> tuple[np.n
     code = code[at]
     bit = (code >> (left - 1)) & 1
     node = ((np.int64(1) << j) | (code >> left)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    owner = np.repeat(np.arange(len(tokens)), width)[live][at]
+    owner = at if shared else of[seat][at]
     slots = np.empty((len(sizes), len(at)), np.int32)
     start = 0
     for k, (n, size) in enumerate(sizes):
-        h = history[n][live][at]
+        h = history[n][at]
         h += node
         h *= _MUL
         h ^= h >> np.uint64(31)
@@ -146,17 +184,19 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0) -> tuple[np.n
         slots[k] += start
         start += 1 << size
         if n == 0 and near_bits:
-            deep = place[live][at] > SHORT
-            slots[k][deep] = (h[deep] >> np.uint64(64 - near_bits)).astype(np.int32) + _slots_of(sizes)
-    gate = np.minimum(place[live] - 1, _PLACES - 1)[at] * _BITS + j
+            far = deep[at] > SHORT
+            slots[k][far] = (h[far] >> np.uint64(64 - near_bits)).astype(np.int32) + _slots_of(sizes)
+    gate = np.minimum(deep - 1, _PLACES - 1)[at] * _BITS + j
+    if shared:
+        return owner, bit, slots, gate, of[every], (np.cumsum(live) - 1)[met[every]]
     return owner, bit, slots, gate
 
 
 def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range, sizes=ORDERS, near_bits: int = 0) -> None:
     """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones); with
     ``near_bits`` without the slots of the other table."""
-    owner, bit, slots, _ = _events(tokens, sizes, near_bits)
-    weight = counts[owner].astype(table.dtype)
+    owner, bit, slots, _, of, byte = _events(tokens, sizes, near_bits, shared=True)
+    weight = np.bincount(byte, counts[of])[owner].astype(table.dtype)
     flat = table.reshape(-1)
     for k in orders:
         at, add = slots[k].astype(np.int64) * 2 + bit, weight
@@ -171,13 +211,16 @@ def count_whole(pieces, sizes) -> tuple[np.ndarray, int]:
     from all (tokens, counts) that share their first bytes; its size follows theirs."""
     room = sum(max(len(t) - SHORT, 0) for tokens, _ in pieces for t in tokens)
     bits = max(10, math.ceil(math.log2(room * 8 + 1)))
-    near = np.zeros((1 << bits, 2))
+    near = np.zeros((1 << bits, 2), np.uint32)
     for tokens, counts in pieces:
-        owner, bit, slots, _ = _events(tokens, (sizes[-1],), bits)
+        owner, bit, slots, _, of, byte = _events(tokens, (sizes[-1],), bits, shared=True)
         at = slots[0].astype(np.int64) - (1 << sizes[-1][1])
         deep = at >= 0
-        np.add.at(near.reshape(-1), at[deep] * 2 + bit[deep], counts[owner[deep]].astype(np.float64))
-    return near.astype(np.float32), bits
+        np.add.at(near.reshape(-1), at[deep] * 2 + bit[deep], np.bincount(byte, counts[of])[owner[deep]].astype(np.uint32))
+    floats = near.view(np.float32)  # in the same memory
+    for at in range(0, len(near), SEGMENT):
+        floats[at : at + SEGMENT] = near[at : at + SEGMENT]
+    return floats, bits
 
 
 @dataclass
@@ -265,23 +308,34 @@ def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixe
     table holds tokens of at least ``whole_from`` occurrences.  ``near`` is what
     ``count_whole`` made of them."""
     for at in range(0, len(tokens), batch):
-        owner, bit, slots, gate = _events(tokens[at : at + batch], sizes, near[1])
+        some, n = tokens[at : at + batch], counts[at : at + batch]
+        # a step is a sum over its tokens, so their order is free and equal bits are one event
+        # of their weights' sum, unless the whole tokens' counts differ in what is taken out
+        alike = n.min() >= whole_from or n.max() < whole_from
+        if alike:
+            order = sorted(range(len(some)), key=some.__getitem__)
+            some, n = [some[k] for k in order], n[order]
+        owner, bit, slots, gate, *of = _events(some, sizes, near[1], shared=alike)
         n0, n1 = _gather(table, slots, near[0])
-        n = counts[at + owner]
-        one = np.ones((len(ORDERS), 1), np.float32) * (np.arange(len(ORDERS)) < len(ORDERS) - 1)[:, None] + np.zeros(len(owner), np.float32)
-        one[-1] = n >= whole_from
-        n0 = np.maximum(n0 - one * (bit == 0), 0)
-        n1 = np.maximum(n1 - one * (bit == 1), 0)
+        out0, out1 = (bit == 0).astype(np.float32), (bit == 1).astype(np.float32)
+        whole = np.float32(n[0] >= whole_from) if alike else (n[owner] >= whole_from).astype(np.float32)
+        n0[:-1] -= out0
+        n1[:-1] -= out1
+        n0[-1] -= whole * out0
+        n1[-1] -= whole * out1
+        np.maximum(n0, 0, out=n0)
+        np.maximum(n1, 0, out=n1)
         x, gates, z = mixer.mix(n0, n1, gate)
-        mixer.learn(x, gates, z, bit, n.astype(np.float64) ** 0.8)
+        weight = n.astype(np.float64) ** 0.8
+        mixer.learn(x, gates, z, bit, np.bincount(of[1], weight[of[0]])[owner] if alike else weight[owner])
 
 
 def token_costs(table: np.ndarray, mixer: Mixer, tokens: list[bytes], sizes=ORDERS, near=(None, 0)) -> np.ndarray:
     """log10 probability of each token, its class given."""
-    owner, bit, slots, gate = _events(tokens, sizes, near[1])
+    owner, bit, slots, gate, of, byte = _events(tokens, sizes, near[1], shared=True)
     _, gates, z = mixer.mix(*_gather(table, slots, near[0]), gate)
     p = mixer.probability(z, gates[1])
-    return np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(tokens))
+    return np.bincount(of, np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)))[byte], len(tokens))
 
 
 # --- the Spark side -----------------------------------------------------------------------
@@ -318,73 +372,243 @@ def _count_tokens(batches):
     yield from taken()
 
 
-class _Hashes(dict):
-    """64-bit hashes of a class's words, as Spark's ``xxhash64`` has them of the classed token."""
+class _Names(dict):
+    """Names of a class's words: common tokens have numbers, the others the 64-bit hash that
+    Spark's ``xxhash64`` has of the classed token, with the top bit set."""
 
-    def __init__(self, kind: int):
-        self.mark = bytes([kind])
+    def __init__(self, kind: int, numbers: dict[bytes, int]):
+        self.mark, self.numbers = bytes([kind]), numbers
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(self.mark + word, 42)
-        return h
+        name = self.numbers.get(word)
+        if name is None:
+            name = xxhash.xxh64_intdigest(self.mark + word, 42) | _TOP
+        self[word] = name
+        return name
 
 
-def _pairs_of(kind: int, words: list[bytes], held: dict[int, _Hashes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each token's predecessor (of the class alone before the first) and of the token."""
+def _names_of(kind: int, words: list[bytes], numbers: dict[int, dict[bytes, int]], held: dict[int, _Names]) -> np.ndarray:
+    """Names of the class alone, as what stands before the first token, and of the tokens."""
     if sum(map(len, held.values())) > HELD_TOKENS:
         held.clear()
-    known = held.setdefault(kind, _Hashes(kind)) if kind not in held else held[kind]
-    h = np.fromiter(map(known.__getitem__, [b"", *words]), np.uint64, len(words) + 1)
-    return h[:-1], h[1:]
+    if kind not in held:
+        held[kind] = _Names(kind, numbers.get(kind, {}))
+    return np.fromiter(map(held[kind].__getitem__, [b"", *words]), np.uint64, len(words) + 1)
 
 
 def _pair_keys(p: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One hash of both."""
-    return p ^ ((w << np.uint64(17)) | (w >> np.uint64(47)))
+    """One key of two names: both numbers, or a hash with the top bit set."""
+    key = (p * _MUL) ^ ((w << np.uint64(17)) | (w >> np.uint64(47)))
+    key ^= key >> np.uint64(29)
+    key *= _MUL
+    key ^= key >> np.uint64(31)
+    return np.where((p | w) < _RARE, (p << _NUMBER) | w, key | _RARE)
 
 
-def _pair_tokens(keys: np.ndarray) -> pa.Array:
-    """Keys as binary values that no token has."""
-    rows = np.empty((len(keys), 9), np.uint8)
-    rows[:, 0] = PAIR[0]
-    rows[:, 1:] = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(keys), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * _MUL) >> np.uint64(40)) % np.uint64(buckets)
+
+
+def _by_bucket(bucket: np.ndarray):
+    """Each bucket met and the places of its rows, in their order."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    dealt = bucket[order]
+    for a, b in zip(first := np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]][: len(dealt)]), [*first[1:], len(dealt)]):
+        yield int(dealt[a]), order[a:b]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers of at least 0, compressed byte by byte of the numbers."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n, width = int.from_bytes(packed[:8], "little"), packed[8]
+    rows = np.zeros((n, 8), np.uint8)
+    rows[:, :width] = np.frombuffer(pa.decompress(packed[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return rows.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=np.uint64(0)))
 
 
-def _keys_of(tokens: pa.ChunkedArray) -> np.ndarray:
-    rows = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8).reshape(-1, 9)
-    return np.ascontiguousarray(rows[:, 1:]).view("<u8")[:, 0]
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
-def _count_pairs(batches):
-    """Neighbours in training texts: hashes of both and their count."""
-    held, kept, size = {}, [], 0
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct of sorted ``keys``, the sums of the values of each, and where each begins."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], *(np.add.reduceat(v, first) if len(keys) else v for v in values), first
+
+
+_COUNTED = "bucket int, keys binary, n binary, p binary, w binary, m binary"
+
+
+def _counted_row(bucket: int, keys: np.ndarray, p: np.ndarray, w: np.ndarray, n: np.ndarray) -> list:
+    """Pairs of one bucket by sorted key; of those of two numbers the key alone is kept."""
+    k = int(np.searchsorted(keys, _RARE))
+    return [bucket, _pack_sorted(keys[:k]), _pack(n[:k]), _pack(p[k:]), _pack(w[k:]), _pack(n[k:])]
+
+
+def _counted_batch(rows: list) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "keys", "n", "p", "w", "m"])
+
+
+def _pair_counter(names, buckets: int):
+    """Neighbours in training texts, packed by bucket: names of both and their count."""
+
+    def run(batches):
+        _TABLES.clear()  # a worker may still hold the table of the bits
+        numbers, held, kept, size = _numbered(names.value), {}, [], 0
+
+        def out():
+            p, w = np.concatenate([h[:-1] for h in kept]), np.concatenate([h[1:] for h in kept])
+            kept.clear()
+            keys = _pair_keys(p, w)
+            order = np.argsort(keys)
+            keys, n, first = _sums(keys[order], np.ones(len(keys), np.int64))
+            p, w = p[order[first]], w[order[first]]
+            for bucket, at in _by_bucket(_bucket_of(keys, buckets)):
+                yield _counted_batch([_counted_row(bucket, keys[at], p[at], w[at], n[at])])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for text in b.column(0).slice(at, 256).to_pylist():
+                    kind, words = words_of(text)
+                    words.append(END)
+                    kept.append(_names_of(kind, words, numbers, held))
+                    size += len(words)
+                if size > HELD_PAIRS:
+                    yield from out()
+                    size = 0
+        if kept:
+            yield from out()
+
+    return run
+
+
+def _numbers_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys >> _NUMBER, keys & np.uint64((1 << int(_NUMBER)) - 1)
+
+
+def _sum_pairs(batches):
+    """Each bucket's pairs and their counts; rows come sorted by bucket, so one is held."""
+    current, rows = None, []
 
     def out():
-        both = np.concatenate(kept, axis=1)
-        order = np.lexsort((both[1], both[0]))
-        both = both[:, order]
-        first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(axis=0)])
-        counts = np.diff(np.r_[first, both.shape[1]])
-        kept.clear()
-        for at in range(0, len(first), 100_000):
-            part = first[at : at + 100_000]
-            cols = [pa.array(both[0][part].view(np.int64)), pa.array(both[1][part].view(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["p", "w", "n"])
+        keys, p, w, n = [], [], [], []
+        for k, m, rare_p, rare_w, rare_n in rows:
+            k, rare_p, rare_w = _unpack_sorted(k), _unpack(rare_p), _unpack(rare_w)
+            a, b = _numbers_of(k)
+            keys += [k, _pair_keys(rare_p, rare_w)]
+            p += [a, rare_p]
+            w += [b, rare_w]
+            n += [_unpack(m), _unpack(rare_n)]
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        keys, n, first = _sums(keys[order], np.concatenate(n)[order])
+        first = order[first]
+        return _counted_batch([_counted_row(current, keys, np.concatenate(p)[first], np.concatenate(w)[first], n)])
 
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            for text in b.column(0).slice(at, 256).to_pylist():
-                kind, words = words_of(text)
-                kept.append(np.stack(_pairs_of(kind, [*words, END], held)))
-                size += len(words) + 1
-            if size > HELD_PAIRS:
-                yield from out()
-                size = 0
-    if kept:
-        yield from out()
+        for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != current and rows:
+                yield out()
+                rows.clear()
+            current = bucket
+            rows.append(row)
+    if rows:
+        yield out()
+
+
+def _count_behind(batches):
+    """For each name and bucket: the distinct tokens behind it and their occurrences."""
+    for b in batches:
+        for _, k, m, rare_p, _, rare_n in zip(*(c.to_pylist() for c in b.columns)):
+            p, n = np.concatenate([_numbers_of(_unpack_sorted(k))[0], _unpack(rare_p)]), np.concatenate([_unpack(m), _unpack(rare_n)]).astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            p, t, n, _ = _sums(p[order], np.ones(len(p), np.int64), n[order])
+            for at in range(0, len(p), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(p[part].view(np.int64)), pa.array(t[part]), pa.array(n[part])], names=["p", "t", "n_p"])
+
+
+def _rare_pairs(batches):
+    """The pairs that are not of two numbers."""
+    for b in batches:
+        for p, w, n in zip(*(c.to_pylist() for c in b.columns)):
+            p, w, n = _unpack(p).view(np.int64), _unpack(w).view(np.int64), _unpack(n).astype(np.int64)
+            for at in range(0, len(p), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(p[part]), pa.array(w[part]), pa.array(n[part])], names=["p", "w", "n"])
+
+
+#: Rows of a bucket: what the model has (``chunk`` -1), then what each chunk of documents asks.
+_PACKED = "bucket int, side int, chunk long, a binary, b binary, c binary"
+_NUMBERED, _HASHED, _TOKENS, _PAIRS, _WORDS, _OWN = range(6)
+
+
+def _packed_batch(rows: list) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "side", "chunk", "a", "b", "c"])
+
+
+def _floats(values: np.ndarray) -> bytes:
+    return _pack(values.astype("<f8").view("<u8"))
+
+
+def _unfloats(packed: bytes) -> np.ndarray:
+    return _unpack(packed).view(np.float64)
+
+
+def _pack_gains(buckets: int):
+    """(p, w, n, gain) of pairs packed by bucket."""
+
+    def out(kept):
+        p, w, n, gain = (np.concatenate(c) for c in zip(*kept))
+        keys = _pair_keys(p, w)
+        order = np.argsort(keys)
+        keys, n, gain = keys[order], n[order], gain[order]
+        for bucket, at in _by_bucket(_bucket_of(keys, buckets)):
+            yield _packed_batch([[bucket, _HASHED, -1, _pack_sorted(keys[at]), _pack(n[at]), _floats(gain[at])]])
+
+    def run(batches):
+        kept, size = [], 0
+        for b in batches:
+            p, w, n, gain = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            kept.append((p.view(np.uint64), w.view(np.uint64), n, gain))
+            size += len(p)
+            if size > HELD_PAIRS // 2:
+                yield from out(kept)
+                kept, size = [], 0
+        if size:
+            yield from out(kept)
+
+    return run
+
+
+def _gains_of(side: int, a: bytes, b: bytes, c: bytes | None, behind: np.ndarray, cost: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and gains of a packed row of the model."""
+    keys, n = _unpack_sorted(a), _unpack(b).astype(np.int64)
+    if side == _HASHED:
+        return keys, n, _unfloats(c)
+    p, w = _numbers_of(keys)
+    return keys, n, np.log10(1 + (n - discount) / (discount * behind[p] * 10.0 ** cost[w]))
+
+
+def _pair_tokens(keys: np.ndarray) -> pa.Array:
+    """Keys as binary values that no token has."""
+    rows = np.empty((len(keys), 9), np.uint8)
+    rows[:, 0] = PAIR[0]
+    rows[:, 1:] = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(keys), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
 def _pieces(batch: pa.RecordBatch, size: int):
@@ -394,23 +618,37 @@ def _pieces(batch: pa.RecordBatch, size: int):
         yield part.column(0).to_pylist(), np.asarray(part.column(1).to_numpy(zero_copy_only=False), np.int64)
 
 
+def _sorted_pieces(pieces, size: int) -> list[tuple[list[bytes], np.ndarray]]:
+    """The same (tokens, counts) in the order of the tokens, at most ``size`` at a time."""
+    tokens = [t for some, _ in pieces for t in some]
+    counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in pieces)])
+    order = sorted(range(len(tokens)), key=tokens.__getitem__)
+    return [([tokens[k] for k in order[at : at + size]], counts[order[at : at + size]]) for at in range(0, len(order), size)]
+
+
 def _slot_counter(sizes):
     slots = _slots_of(sizes)
 
     def run(batches):
-        schema = pa.schema([("segment", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
-        table_, any_ = None, False
-        for b in batches:
-            for tokens, counts in _pieces(b, 16384):
-                table_ = np.zeros((slots, 2), np.uint32) if table_ is None else table_
-                any_ = True
+        schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
+        table_, held = None, []
+
+        def count():
+            for tokens, counts in _sorted_pieces(held, 1 << 14):
                 count_bits(tokens, counts, table_, range(len(sizes)), sizes, 1)
-        for seg in range(-(-slots // SEGMENT) if any_ else 0):
-            part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
-            at = np.flatnonzero(part.sum(axis=1))
-            if len(at):
-                cols = [[seg], [at.astype("<u2").tobytes()], [part[at].astype("<f4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            held.clear()
+
+        for b in batches:
+            held += _pieces(b, 16384)
+            table_ = np.zeros((slots, 2), np.uint32) if table_ is None else table_
+            if sum(len(x) for x, _ in held) >= 1 << 17:
+                count()
+        if table_ is not None:
+            count()
+            for seg in range(-(-slots // SEGMENT)):
+                part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([_pack(part.reshape(-1))], pa.binary())], schema=schema)
 
     return run
 
@@ -421,33 +659,122 @@ def _sum_segments(batches):
     total, current = np.zeros((SEGMENT, 2)), None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([_pack(total.reshape(-1))], pa.binary())], schema=schema)
 
     for b in batches:
-        for segment, slots, counts in zip(*(c.to_pylist() for c in b.columns)):
+        for segment, counts in zip(*(c.to_pylist() for c in b.columns)):
             if segment != current:
                 if current is not None:
                     yield out()
                 current = segment
                 total[:] = 0
-            total[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, "<f4").reshape(-1, 2)
+            part = _unpack(counts).reshape(-1, 2)
+            total[: len(part)] += part
     if current is not None:
         yield out()
 
 
+def _count_few(batches):
+    """Pairs seen once and twice."""
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            n = np.concatenate([_unpack(x) for x in row])
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.sum(n == k))], pa.int64()) for k in (1, 2)], names=["once", "twice"])
+
+
+def _step(n: np.ndarray) -> np.ndarray:
+    """Sixteenths of a doubling."""
+    return np.floor(np.log2(n) * 16).astype(np.int32)
+
+
+class _Made:
+    """Derived tables of one fit.  Shuffle files go as soon as the table that needs them is
+    written, and a table when nothing needs it any more."""
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        before = self.spark.conf.get(self._CLEAN, "false")
+        self.spark.conf.set(self._CLEAN, "true")
+        try:
+            return materialize(df, label)
+        finally:
+            self.spark.conf.set(self._CLEAN, before)
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        out = self.keep(df, label)
+        self.paths[label] = out.inputFiles()
+        return out
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            for path in {f.rsplit("/", 1)[0] for f in self.paths.pop(label)}:
+                files.delete(self.spark, path)
+
+
 @dataclass
 class LanguageModel:
-    vocabulary: DataFrame  # classed token, n_train (of the token in any class), cost (log10)
+    vocabulary: DataFrame  # classed token, number of a common one, n_train (of the token in any class), cost (log10), spelled (of a common one, the mix alone)
     train_tokens: int
     train_distinct: int
-    pairs: DataFrame  # key of a token behind another in training texts, n_train, cost (log10, a gain)
+    packs: DataFrame  # pairs in training texts by bucket
+    buckets: int
+    discount: float
+    names: Broadcast  # the common tokens by number, the classes before them
+    common: dict[str, np.ndarray]  # their n_train, cost and spelled
+    behind: np.ndarray  # distinct tokens behind them
     class_cost: list[float]  # log10 probability of a document's class, and what discounts leave behind it
     table: np.ndarray
     mixer: Mixer
 
     def base(self, n):
         """log10 of the add-one unigram probability of a token with count ``n``."""
-        return F.log10((n + 1) / F.lit(float(self.train_tokens + self.train_distinct + 1)))
+        return np.log10((n + 1) / float(self.train_tokens + self.train_distinct + 1))
+
+    def opened(self, make, schema: str) -> DataFrame:
+        """``make`` of the keys, counts and gains of every packed row."""
+        held = self.packs.sparkSession.sparkContext.broadcast((self.behind, self.common["spelled"]))
+        discount = self.discount
+
+        def run(batches):
+            for batch in batches:
+                for _, side, _, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+                    yield from make(*_gains_of(side, a, b, c, *held.value, discount))
+
+        return self.packs.mapInArrow(run, schema)
+
+    @property
+    def pairs(self) -> DataFrame:
+        """Key of a token behind another in training texts, n_train, cost (log10, a gain)."""
+
+        def rows(keys, n, gain):
+            yield pa.RecordBatch.from_arrays([_pair_tokens(keys), pa.array(n), pa.array(gain)], names=["token", "n_train", "cost"])
+
+        return self.opened(rows, "token binary, n_train long, cost double")
+
+    def common_pairs(self, at_most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and gains from the smallest count on that at most ``at_most`` pairs reach."""
+
+        def counted(keys, n, gain):
+            step, times = np.unique(_step(n), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(times, pa.int64())], names=["step", "count"])
+
+        seen = self.opened(counted, "step int, count long").groupBy("step").agg(F.sum("count").alias("count")).orderBy(F.desc("step")).collect()
+        least = _least(seen, at_most)
+        if least is None:
+            return np.empty(0, np.uint64), np.empty(0)
+
+        def some(keys, n, gain):
+            at = _step(n) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(gain[at])], names=["key", "gain"])
+
+        found = self.opened(some, "key long, gain double").toArrow()
+        keys = found["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], found["gain"].to_numpy()[order]
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str = "held_out") -> LanguageModel:
@@ -460,31 +787,36 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     """
     spark = docs.sparkSession
     ship_package(spark)
+    made = _Made(spark)
     counted = docs.select(F.col(held_col).alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count_tokens, "token binary, n_train long")
-    classed = materialize(counted.groupBy("token").agg(F.sum("n_train").alias("n")), "tokens")
+    classed = made.write(counted.groupBy("token").agg(F.sum("n_train").alias("n")), "tokens")
     train = classed.where("n > 0")
-    plain = materialize(train.groupBy(F.expr("substring(token, 2)").alias("word")).agg(F.sum("n").alias("n_train")), "words")
+    plain = made.write(train.groupBy(F.expr("substring(token, 2)").alias("word")).agg(F.sum("n").alias("n_train")), "words")
     total = plain.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = {r.token[0]: r.n for r in train.where(F.expr("substring(token, 2)") == F.lit(END)).collect()}  # one a class
     docs_seen = sum(ends.values())
     class_cost = [math.log10((ends.get(k, 0) + 1) / (docs_seen + CLASSES)) for k in range(CLASSES)]
-    sizes = sized(train.count())
+    distinct = train.count()
+    sizes = sized(distinct)
     slots = _slots_of(sizes)
-    parts = train.mapInArrow(_slot_counter(sizes), "segment int, slots binary, counts binary")
+    parts = train.mapInArrow(_slot_counter(sizes), "segment int, counts binary")
     dense = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_segments, "segment int, counts binary")
     table_ = np.zeros((slots, 2), np.float32)
     for r in dense.toLocalIterator():  # at most slots pairs
         span = slice(r.segment * SEGMENT, min(slots, (r.segment + 1) * SEGMENT))
-        table_[span] = np.frombuffer(r.counts, "<f4").reshape(-1, 2)[: span.stop - span.start]
+        table_[span] = _unpack(r.counts).reshape(-1, 2)[: span.stop - span.start]
     # compressed, as every machine keeps the broadcast on its disk
-    shared = spark.sparkContext.broadcast(zlib.compress(table_.tobytes(), 1))
+    blocks = range(0, slots, 1 << 20)
+    shared = spark.sparkContext.broadcast([slots, *(zlib.compress(table_[at : at + (1 << 20)], 1) for at in blocks)])
 
-    together = F.expr(f"substring(token, 1, {SHORT + 1})")
+    together = [F.expr(f"substring(token, 1, {SHORT + 1})")]
+    if (tasks := distinct // TASK_TOKENS) > 1:
+        together.insert(0, tasks)
 
     def online(batches):
         mixer, seen = Mixer.new(), 0
         pieces = [x for b in batches for x in _pieces(b, 8192)]
-        near = count_whole(pieces, sizes)
+        near = count_whole(_sorted_pieces(pieces, 8192), sizes)
         for tokens, counts in pieces:
             train_mixer(_unpacked(shared.value), tokens, counts, mixer, 1, sizes=sizes, near=near)
             seen += len(tokens)
@@ -494,7 +826,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64))], schema=schema)
 
     mixer = Mixer.new()
-    total_state = train.repartition(together).mapInArrow(online, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
+    total_state = train.repartition(*together).mapInArrow(online, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
     flat = np.array([r.value for r in total_state])  # as many numbers as one task's weights
     if len(flat) and flat[-1]:
         at = 0
@@ -504,181 +836,323 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
         mixer.refine += flat[at:-1].reshape(mixer.refine.shape)
     state = spark.sparkContext.broadcast(mixer)
 
+    names = _common(train, "n", COMMON_TOKENS).toArrow()
+    rank = np.argsort(-names["n"].to_numpy(), kind="stable")
+    tokens = names["token"].to_pylist()
+    names = spark.sparkContext.broadcast([bytes([k]) for k in range(CLASSES)] + [tokens[k] for k in rank])
+
     def cost(batches):
-        schema = pa.schema([("token", pa.binary()), ("cost", pa.float64())])
-        pieces = [x for b in batches for x in _pieces(b, 1024)]
+        schema = pa.schema([("token", pa.binary()), ("number", pa.int64()), ("cost", pa.float64())])
+        numbers = _numbered(names.value)
+        pieces = _sorted_pieces([x for b in batches for x in _pieces(b, 8192)], 4096)
         near = count_whole(pieces, sizes)
         for tokens, _ in pieces:
             costs = token_costs(_unpacked(shared.value), state.value, tokens, sizes, near)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(costs, pa.float64())], schema=schema)
-
-    scored = classed.repartition(together).mapInArrow(cost, "token binary, cost double")
-    scored = materialize(scored.withColumn("h", F.xxhash64("token")), "spelled")
-
-    # what stands behind each word: distinct tokens t of n occurrences
+            number = [numbers.get(t[0], {}).get(t[1:]) for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(number, pa.int64()), pa.array(costs, pa.float64())], schema=schema)
+
+    scored = classed.repartition(*together).mapInArrow(cost, "token binary, number long, cost double")
+    name = F.coalesce("number", F.xxhash64("token").bitwiseOR(F.lit(_signed(_TOP))))
+    scored = made.write(scored.select("token", name.alias("name"), "cost"), "spelled")
+    made.drop("tokens")
+    for b in (shared, state):  # every machine has a copy on its disk
+        b.destroy()
+
+    # what stands behind each name: t distinct tokens of n_p occurrences
+    buckets = max(BUCKETS, int(total.n) >> 22)
     texts = docs.where(~F.col(held_col)).select(F.col(text_col).cast("string").alias("text"))
-    pairs = materialize(texts.mapInArrow(_count_pairs, "p long, w long, n long").groupBy("p", "w").agg(F.sum("n").alias("n")), "pairs")
-    once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    dealt = texts.mapInArrow(_pair_counter(names, buckets), _COUNTED).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = made.write(dealt.mapInArrow(_sum_pairs, _COUNTED), "pairs")
+    once, twice = pairs.select("n", "m").mapInArrow(_count_few, "once long, twice long").agg(F.sum("once"), F.sum("twice")).first()
     discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
-    behind = materialize(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("n_p")), "behind")
-    left_over = F.log10(F.lit(discount) * F.col("t") / F.col("n_p"))
-    starts = {_signed(_Hashes(k)[b""]): k for k in range(CLASSES)}
-    for r in behind.where(F.col("p").isin(*starts)).select("p", left_over.alias("left")).collect():  # one a class
-        class_cost[starts[r.p]] += r.left
+    behind = made.write(pairs.mapInArrow(_count_behind, "p long, t long, n_p long").groupBy("p").agg(F.sum("t").alias("t"), F.sum("n_p").alias("n_p")), "behind")
+    numbers = len(names.value)
+    few = behind.where("p >= 0").toArrow()  # of the numbered tokens
+    after = np.zeros(numbers)
+    after[few["p"].to_numpy()] = few["t"].to_numpy()
+    for p, t, n_p in zip(*(few[c].to_pylist() for c in ("p", "t", "n_p"))):
+        if p < CLASSES:
+            class_cost[p] += math.log10(discount * t / n_p)
     gain = F.log10(1 + (F.col("n") - discount) / (F.lit(discount) * F.col("t") * F.pow(F.lit(10.0), F.col("cost"))))
-    gains = pairs.join(scored.select(F.col("h").alias("w"), "cost"), "w").join(behind.select("p", "t"), "p").select("p", "w", "n", gain.alias("gain"))
-
-    def keyed(batches):
-        for b in batches:
-            p, w = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2))
-            yield pa.RecordBatch.from_arrays([_pair_tokens(_pair_keys(p, w)), b.column(2), b.column(3)], names=["token", "n_train", "cost"])
+    rare = pairs.select("p", "w", "m").mapInArrow(_rare_pairs, "p long, w long, n long")
+    gains = rare.join(scored.select(F.col("name").alias("w"), "cost"), "w").join(behind.select("p", "t"), "p").select("p", "w", "n", gain.alias("gain"))
+    none = F.lit(None).cast("binary").alias("c")
+    numbered = pairs.select("bucket", F.lit(_NUMBERED).alias("side"), F.lit(-1).cast("long").alias("chunk"), F.col("keys").alias("a"), F.col("n").alias("b"), none)
+    packs = made.keep(numbered.union(gains.mapInArrow(_pack_gains(buckets), _PACKED)), "gains")
+    made.drop("pairs")
 
-    known = materialize(gains.mapInArrow(keyed, "token binary, n_train long, cost double"), "gains")
-    word = F.expr("substring(token, 2)")
+    left_over = F.log10(F.lit(discount) * F.col("t") / F.col("n_p"))
     whole = F.col("cost") + F.coalesce(left_over, F.lit(0.0))  # every token but the end has another behind it
+    number = F.when(F.col("name") >= 0, F.col("name"))
     vocabulary = (
-        scored.join(plain, word == F.col("word"), "left")
-        .join(behind, F.col("h") == F.col("p"), "left")
-        .select("token", F.coalesce("n_train", F.lit(0)).alias("n_train"), whole.alias("cost"))
+        scored.join(plain, F.expr("substring(token, 2)") == F.col("word"), "left")
+        .join(behind, F.col("name") == F.col("p"), "left")
+        .select("token", number.alias("number"), F.coalesce("n_train", F.lit(0)).alias("n_train"), whole.alias("cost"), F.when(number.isNotNull(), F.col("cost")).alias("spelled"))
     )
-    return LanguageModel(materialize(vocabulary, "vocabulary"), int(total.n), int(total.v), known, class_cost, table_, mixer)
+    vocabulary = made.keep(vocabulary, "vocabulary")
+    made.drop("words", "spelled", "behind")
+    few = vocabulary.where("number is not null").toArrow()
+    common = {c: np.zeros(numbers) for c in ("n_train", "cost", "spelled")}
+    for c, values in common.items():
+        values[few["number"].to_numpy()] = few[c].to_numpy()
+    return LanguageModel(vocabulary, int(total.n), int(total.v), packs, buckets, discount, names, common, after, class_cost, table_, mixer)
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _common(tokens: DataFrame, count_col: str, at_most: int) -> DataFrame:
-    """The tokens from the smallest count on that at most ``at_most`` tokens reach."""
-    step = F.floor(F.log2(F.col(count_col)) * 16).cast("int")
-    some = tokens.where(F.col(count_col) > 0)
-    seen = some.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 16 rows a doubling
+def _least(steps, at_most: int) -> int | None:
+    """The smallest step that at most ``at_most`` reach, of (step, count) from the highest on."""
     total, least = 0, None
-    for r in seen:
+    for r in steps:
         total += r["count"]
         if total > at_most:
             break
-        least = r.step
+        least = r["step"]
+    return least
+
+
+def _common(tokens: DataFrame, count_col: str, at_most: int) -> DataFrame:
+    """The tokens from the smallest count on that at most ``at_most`` tokens reach."""
+    step = F.floor(F.log2(F.col(count_col)) * 16).cast("int")
+    some = tokens.where(F.col(count_col) > 0)
+    least = _least(some.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect(), at_most)  # 16 rows a doubling
     return some.where(step >= least) if least is not None else some.limit(0)
 
 
+def _pack_words(side: int, chunk: int, bucket: np.ndarray, words: list[bytes], *more) -> pa.RecordBatch | None:
+    """Words by bucket, each bucket's sorted, with arrays beside them and how to pack those."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    rows = []
+    for k, at in _by_bucket(bucket[order]):
+        at = order[at]
+        text = PAIR.join([words[i] for i in at])  # no word holds this byte
+        packed = [pack(x[at]) if x is not None else pack for pack, x in more]
+        rows.append([k, side, chunk, len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True), *packed])
+    return _packed_batch(rows) if rows else None
+
+
+def _words_in(packed: bytes) -> list[bytes]:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True).split(PAIR)
+
+
 def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON_TOKENS, common_pairs: int = COMMON_PAIRS) -> DataFrame:
     """One row per document: the id, n_tokens, n_known, n_bytes (of words, with one after
     each, and the end), base_score and score (log10), bits_per_byte.
 
     The costs of at most ``common`` tokens and the gains of at most ``common_pairs`` pairs go
-    to every task; a document's other tokens and pairs are joined with the model's.  A null text counts as empty and has the end alone.
+    to every task.  The documents' other tokens and pairs meet the model's by bucket, packed
+    a chunk of documents at a time, and each chunk's sums meet its documents.  A null text
+    counts as empty and has the end alone.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     ship_package(spark)
-    found = _common(model.vocabulary, "n_train", common).select("token", model.base(F.col("n_train")).alias("base"), "cost").toArrow()
-    near = spark.sparkContext.broadcast((found["token"].to_pylist(), found["base"].to_numpy(), found["cost"].to_numpy()))
-    gained = _common(model.pairs, "n_train", common_pairs).select("token", "cost").toArrow()
-    keys = _keys_of(gained["token"])
-    order = np.argsort(keys)
-    pairs = spark.sparkContext.broadcast((keys[order], gained["cost"].to_numpy()[order]))
+    names, buckets, class_cost, unknown = model.names, model.buckets, np.array(model.class_cost), float(model.base(0))
+    limit = CLASSES + common
+    held = spark.sparkContext.broadcast((model.base(model.common["n_train"]), model.common["cost"], *model.common_pairs(common_pairs)))
+    gains = spark.sparkContext.broadcast((model.behind, model.common["spelled"], model.discount))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    fields = [("key", T.LongType()), ("token", T.BinaryType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("n_bytes", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
-    schema = T.StructType([T.StructField("id", d.schema["id"].dataType), *[T.StructField(n, t) for n, t in fields]])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    own = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("id", d.schema["id"].dataType)])
+    for f, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("n_bytes", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())):
+        own = own.add(f, t)
+    asked = T.StructType([*T.StructType.fromDDL(_PACKED), *own])
+    arrow = to_arrow_schema(asked)
 
-    arrow = to_arrow_schema(schema)
-    class_cost = model.class_cost
+    def batch(schema, n: int, cols: dict):
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def split(batches):
         from pyspark import TaskContext
 
-        tokens, base, cost = near.value
-        number = _numbered(tokens)
-        key = TaskContext.get().partitionId() << 36
-        ids, own = [], []
-        rare_keys, rare_sizes, rare_words, rare_counts = [], [], [], []
-        pair_keys, pair_docs, pair_counts = [], [], []
-        pair_at, pair_gain = pairs.value
-        hashes: dict[int, _Hashes] = {}
-
-        def batch(n: int, cols: dict):
-            return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in arrow], schema=arrow)
-
-        def held():
-            """The documents' rows and those of their uncommon tokens; starts anew."""
-            if own:
-                cols = {f.name: pa.array(c, f.type) for f, c in zip(list(arrow)[1:], zip(*own))}
-                yield batch(len(own), {"id": pa.array(ids, arrow.field(0).type), **cols})
-            if rare_words:
-                keys = np.repeat(np.array(rare_keys, np.int64), rare_sizes)
-                yield batch(len(rare_words), {"key": pa.array(keys), "token": pa.array(rare_words, pa.binary()), "n": pa.array(rare_counts, pa.int64())})
-            if pair_keys:
-                k, n = np.concatenate(pair_keys), np.concatenate(pair_counts)
-                zeros = {f: pa.array(np.zeros(len(k), np.int64)) for f in ("n_tokens", "n_known", "n_bytes")}
-                docs_ = pa.array(np.repeat(np.array(pair_docs, np.int64), list(map(len, pair_keys))))
-                yield batch(len(k), {"key": docs_, "token": _pair_tokens(k), "n": pa.array(n), "base": pa.array(np.zeros(len(k))), **zeros})
-            for x in (ids, own, rare_keys, rare_sizes, rare_words, rare_counts, pair_keys, pair_docs, pair_counts):
+        _TABLES.clear()
+        numbers = _numbered(names.value)
+        base, cost, pair_at, pair_gain = held.value
+        chunk = TaskContext.get().partitionId() << 32
+        ids, kinds, sizes, kept, rare, rare_docs, known_names = [], [], [], [], [], [], {}
+
+        def asks():
+            """What the held documents ask each bucket, and their own rows; starts anew."""
+            n = len(ids)
+            many = [len(h) for h in kept]
+            h, doc = np.concatenate(kept), np.repeat(np.arange(n), many)
+            inner = np.ones(len(h), bool)
+            inner[np.cumsum([0, *many[:-1]])] = False
+            p, w, doc = h[:-1][inner[1:]], h[1:][inner[1:]], doc[1:][inner[1:]]
+            near = w < np.uint64(limit)
+            number, at = w[near].astype(np.int64), doc[near]
+            score = class_cost[np.array(kinds)] + np.bincount(at, cost[number], n)
+            keys = _pair_keys(p, w)
+            order = np.argsort(keys)
+            keys, doc = keys[order], doc[order]
+            if len(pair_at):
+                place = np.minimum(np.searchsorted(pair_at, keys), len(pair_at) - 1)
+                hit = pair_at[place] == keys
+                score += np.bincount(doc[hit], pair_gain[place[hit]], n)
+                keys, doc = keys[~hit], doc[~hit]
+            size = n.to_bytes(8, "little")
+            rows = [[k, _PAIRS, chunk, _pack_sorted(keys[x]), _pack(doc[x]), size] for k, x in _by_bucket(_bucket_of(keys, buckets))]
+            for packed in (
+                _packed_batch(rows) if rows else None,
+                _pack_words(_WORDS, chunk, np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) % buckets, rare, (_pack, np.array(rare_docs, np.int64)), (size, None)),
+            ):
+                if packed is not None:
+                    yield batch(arrow, packed.num_rows, dict(zip(packed.schema.names, packed.columns)))
+            place = np.arange(n, dtype=np.int32)
+            cols = {
+                "bucket": place % buckets, "side": np.full(n, _OWN, np.int32), "chunk": np.full(n, chunk), "place": place,
+                "n_tokens": np.array(many) - 1, "n_known": np.bincount(at, minlength=n), "n_bytes": np.array(sizes), "base": np.bincount(at, base[number], n), "score": score,
+            }
+            yield batch(arrow, n, {k: pa.array(v, arrow.field(k).type) for k, v in cols.items()} | {"id": pa.array(ids, arrow.field("id").type)})
+            for x in (ids, kinds, sizes, kept, rare, rare_docs):
                 x.clear()
 
+        total = 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     kind, words = words_of(text)
-                    size = sum(map(len, words)) + len(words) + 1
+                    sizes.append(sum(map(len, words)) + len(words) + 1)
                     words.append(END)
-                    mark, known = bytes([kind]), number.get(kind, {})
-                    counts = Counter(words)
-                    found = [(k, n) for w, n in counts.items() if (k := known.get(w)) is not None]
-                    if len(found) < len(counts):
-                        rest = [(mark + w, n) for w, n in counts.items() if w not in known]
-                        rare_keys.append(key)
-                        rare_sizes.append(len(rest))
-                        rare_words.extend([w for w, _ in rest])
-                        rare_counts.extend([n for _, n in rest])
-                    f = np.array(found, np.int64).reshape(-1, 2)
-                    n_ = f[:, 1].astype(np.float64)
-                    seen, times = np.unique(_pair_keys(*_pairs_of(kind, words, hashes)), return_counts=True)
-                    gain, unheld = 0.0, np.ones(len(seen), bool)
-                    if len(pair_at):
-                        place = np.minimum(np.searchsorted(pair_at, seen), len(pair_at) - 1)
-                        unheld = pair_at[place] != seen
-                        gain = float(pair_gain[place[~unheld]] @ times[~unheld])
-                    pair_keys.append(seen[unheld])
-                    pair_counts.append(times[unheld].astype(np.int64))
-                    pair_docs.append(key)
+                    h = _names_of(kind, words, numbers, known_names)
+                    far, mark = np.flatnonzero(h[1:] >= np.uint64(limit)).tolist(), bytes([kind])
+                    rare.extend([mark + words[i] for i in far])
+                    rare_docs.extend([len(ids)] * len(far))
                     ids.append(doc)
-                    # the row of the document itself matches no token: none holds a space
-                    own.append((key, b" %d" % key, 1, len(words), int(f[:, 1].sum()), size, float(base[f[:, 0]] @ n_), class_cost[kind] + float(cost[f[:, 0]] @ n_) + gain))
-                    key += 1
-                if len(rare_words) + sum(map(len, pair_keys)) > 50_000:
-                    yield from held()
-        yield from held()
-
-    pieces = d.mapInArrow(split, schema)
-    v = model.vocabulary.select("token", "n_train", "cost").union(model.pairs.select("token", "n_train", "cost"))
-    met = pieces.join(v, "token", "left")
-    n = F.col("n")
-    rare = F.col("n_tokens").isNull()
-    zero = F.lit(0)
-    sums = met.groupBy("key").agg(
-        F.max("id").alias("id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(rare, F.when(F.col("n_train") > 0, n).otherwise(zero)).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum("n_bytes").alias("n_bytes"),
-        F.sum(F.when(rare, n * model.base(F.coalesce("n_train", zero))).otherwise(F.col("base"))).alias("base_score"),
-        # a pair's row has no score; without a gain it adds nothing
-        F.sum(F.when(rare, n * F.col("cost")).otherwise(F.coalesce("score", n * F.col("cost"), F.lit(0.0)))).alias("score"),
-    )
+                    kinds.append(kind)
+                    kept.append(h)
+                    total += len(words)
+                if total > HELD_SCORED:
+                    yield from asks()
+                    total, chunk = 0, chunk + 1
+        if ids:
+            yield from asks()
+
+    def vocabulary(batches):
+        for b in batches:
+            bucket, tokens, n, cost = b.columns
+            packed = _pack_words(_TOKENS, -1, bucket.to_numpy().astype(np.int64), tokens.to_pylist(), (_pack, n.to_numpy()), (_floats, cost.to_numpy()))
+            if packed is not None:
+                yield packed
+
+    far = model.vocabulary.where(F.col("number").isNull() | (F.col("number") >= limit))
+    far = far.select(F.pmod(F.crc32("token"), F.lit(buckets)).cast("int").alias("bucket"), "token", "n_train", "cost").mapInArrow(vocabulary, _PACKED)
+    known = model.packs.unionByName(far)
+    met = T.StructType([*T.StructType.fromDDL("chunk long, known binary, far_base binary, far_score binary"), *own])
+    met_arrow = to_arrow_schema(met)
+
+    def matched(batches):
+        """The sums of what the documents of a chunk asked one bucket; documents pass."""
+        current, keys, gain, tokens, n_train, cost, waiting = None, [], [], [], [], [], None
+
+        def learnt():
+            nonlocal keys, gain, tokens, n_train, cost
+            k, g = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0), *gain])
+            order = np.argsort(k)
+            keys, gain = k[order], g[order]
+            tokens = {t: i for i, t in enumerate(tokens)}
+            n_train, cost = np.concatenate([np.empty(0, np.int64), *n_train]), np.concatenate([np.empty(0), *cost])
+
+        def sums():
+            chunk, found, base, score = waiting
+            cols = {"chunk": [chunk], "place": [-1], "known": [_pack(found)], "far_base": [_floats(base)], "far_score": [_floats(score)]}
+            return batch(met_arrow, 1, {c: pa.array(v, met_arrow.field(c).type) for c, v in cols.items()})
+
+        for b in batches:
+            side = b.column("side").to_numpy()
+            documents = b.filter(pa.array(side == _OWN))
+            if documents.num_rows:
+                yield batch(met_arrow, documents.num_rows, {c: documents.column(c) for c in ("chunk", *own.names)})
+            rest = b.filter(pa.array(side != _OWN))
+            for bucket, kind, chunk, one, two, three in zip(*(rest.column(c).to_pylist() for c in ("bucket", "side", "chunk", "a", "b", "c"))):
+                if waiting is not None and (bucket, chunk) != (current, waiting[0]):
+                    yield sums()
+                    waiting = None
+                if bucket != current:
+                    current, keys, gain, tokens, n_train, cost = bucket, [], [], [], [], []
+                if kind in (_NUMBERED, _HASHED):
+                    k, _, g = _gains_of(kind, one, two, three, *gains.value)
+                    keys.append(k)
+                    gain.append(g)
+                    continue
+                if kind == _TOKENS:
+                    tokens.extend(_words_in(one))
+                    n_train.append(_unpack(two).astype(np.int64))
+                    cost.append(_unfloats(three))
+                    continue
+                if isinstance(keys, list):
+                    learnt()
+                n = int.from_bytes(three, "little")
+                if waiting is None:
+                    waiting = chunk, np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                doc = _unpack(two).astype(np.int64)
+                if kind == _PAIRS:
+                    if len(keys):
+                        ask = _unpack_sorted(one)
+                        place = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+                        hit = keys[place] == ask
+                        waiting[3][:] += np.bincount(doc[hit], gain[place[hit]], n)
+                    continue
+                at = np.fromiter((tokens.get(x, -1) for x in _words_in(one)), np.int64, len(doc))
+                hit = at >= 0
+                waiting[1][:] += np.bincount(doc[hit], n_train[at[hit]] > 0, n).astype(np.int64)
+                waiting[2][:] += np.bincount(doc, np.where(hit, model_base(np.r_[n_train, 0][at]), unknown), n)
+                waiting[3][:] += np.bincount(doc[hit], cost[at[hit]], n)
+        if waiting is not None:
+            yield sums()
+
+    everything = float(model.train_tokens + model.train_distinct + 1)
+
+    def model_base(n):
+        return np.log10((n + 1) / everything)
+
+    out = T.StructType([f for f in own if f.name != "place"])
+    out_arrow = to_arrow_schema(out)
+
+    def summed(batches):
+        """Documents and what the buckets add; a chunk's sums come before its documents."""
+        current, adds = None, []
+        for b in batches:
+            chunk, place = b.column("chunk").to_numpy(), b.column("place").to_numpy()
+            cut = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (place[1:] < 0) | (place[:-1] < 0)][: len(chunk)])
+            for at, end in zip(cut, [*cut[1:], len(chunk)]):
+                if chunk[at] != current:
+                    current, adds = chunk[at], None
+                if place[at] < 0:
+                    new = [_unpack(b.column("known")[at].as_py()).astype(np.int64), *(_unfloats(b.column(c)[at].as_py()) for c in ("far_base", "far_score"))]
+                    adds = new if adds is None else [x + y for x, y in zip(adds, new)]
+                    continue
+                part = b.slice(at, end - at)
+                cols = {c: part.column(c) for c in out.names}
+                if adds is not None:
+                    for c, x in zip(("n_known", "base", "score"), adds):
+                        cols[c] = pa.array(part.column(c).to_numpy() + x[place[at:end]])
+                yield batch(out_arrow, end - at, cols)
+
+    rows = d.mapInArrow(split, asked).unionByName(known, allowMissingColumns=True)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk", "side").select(*asked.names)
+    sums = rows.mapInArrow(matched, met).repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(summed, out)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
-    return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", "base_score", "score", bits.alias("bits_per_byte"))
+    return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", F.col("base").alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
-_TABLES: dict[int, tuple[bytes, np.ndarray]] = {}
+_TABLES: dict[int, tuple[list, np.ndarray]] = {}
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    """The table of counts; made once per worker and broadcast value."""
+def _unpacked(packed: list) -> np.ndarray:
+    """The table of counts from its slots and blocks; made once per worker and broadcast value."""
     held = _TABLES.get(id(packed))
     if held is None or held[0] is not packed:
         _TABLES.clear()
-        _TABLES[id(packed)] = held = (packed, np.frombuffer(zlib.decompress(packed), np.float32).reshape(-1, 2))
+        table_, at = np.empty((packed[0], 2), np.float32), 0
+        for block in packed[1:]:
+            part = np.frombuffer(zlib.decompress(block), np.float32).reshape(-1, 2)
+            table_[at : at + len(part)] = part
+            at += len(part)
+        _TABLES[id(packed)] = held = (packed, table_)
     return held[1]
 
 

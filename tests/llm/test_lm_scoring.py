@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skiff.llm import lm_scoring as L
@@ -156,3 +157,60 @@ def test_order_of_words_counts(spark):
     cost = {r.token: r.cost for r in m.vocabulary.collect()}
     gain = {bytes(r.token): r.cost for r in m.pairs.collect()}
     assert all(g > 0 for g in gain.values()) and all(math.isfinite(c) for c in cost.values())
+
+
+def test_shared_beginnings_count_as_each_token():
+    """Bits that sorted neighbours share are met once; counts and costs are those of each token alone."""
+    rnd = np.random.default_rng(5)
+    tokens = sorted(b"\x00" + bytes(rnd.choice(list("ab\xc3z".encode()), rnd.integers(1, 9)).astype(np.uint8)) for _ in range(300)) + [b"\x01" + L.END]
+    counts = rnd.integers(1, 5, len(tokens))
+    together, alone = np.zeros((2, L.SLOTS, 2), np.float32)
+    L.count_bits(tokens, counts, together, range(len(L.ORDERS)))
+    for t, n in zip(tokens, counts):
+        L.count_bits([t], np.array([n]), alone, range(len(L.ORDERS)))
+    assert np.array_equal(together, alone)
+    assert len(L._events(tokens, shared=True)[0]) < 0.6 * len(L._events(tokens)[0])
+    mixer = L.Mixer.new()
+    costs = L.token_costs(together, mixer, tokens)
+    assert costs == pytest.approx([L.token_costs(together, mixer, [t])[0] for t in tokens], rel=1e-12)
+
+
+def test_pairs_travel_packed():
+    """Neighbours go by bucket, not row by row, in fewer bytes than two hashes, and none is lost."""
+
+    class Shared:
+        value = [bytes([k]) for k in range(L.CLASSES)] + [b"\x00w%d" % k for k in range(200)]
+
+    rnd = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 220, 400)) for _ in range(100)] + [None, ""]
+    want = Counter()
+    for t in texts:
+        words = [b"", *plain(t)]
+        want.update(zip(words, words[1:]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    sent = list(L._pair_counter(Shared, 8)([batch, batch]))
+    assert sum(b.num_rows for b in sent) <= 8
+    sent.sort(key=lambda b: b.column(0)[0].as_py())
+    summed = list(L._sum_pairs(sent))
+    assert sum(len(x.as_py()) for b in sent for c in b.columns[1:] for x in c) < 6 * len(want)
+    n = [k for b in summed for c in ("n", "m") for x in b.column(c) for k in L._unpack(x.as_py()).tolist()]
+    assert sorted(n) == sorted(2 * k for k in want.values())
+    for values in (np.array([], np.uint64), np.array([0, 255, 256, 1 << 63], np.uint64)):
+        assert L._unpack(L._pack(values)).tolist() == values.tolist()
+        assert L._unpack_sorted(L._pack_sorted(values)).tolist() == values.tolist()
+    assert L._unfloats(L._floats(np.array([-0.5, 0, 3e-9]))).tolist() == [-0.5, 0, 3e-9]
+
+
+def test_fit_leaves_the_model_alone_on_disk(spark):
+    """Tables that only the fit needs are gone after it."""
+    from skiff.session import shared_dir
+
+    def tables():
+        top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        return {f.getPath().getName() for f in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)}
+
+    before = tables()
+    d = spark.createDataFrame([(k, f"a b {k} c", k == 3) for k in range(20)], "doc_id long, text string, held_out boolean")
+    m = L.fit_language_model(d)
+    assert sorted(n.split("-")[1] for n in tables() - before if not n.endswith(".zip")) == ["gains", "vocabulary"]
+    assert L.score_documents(d, m).count() == 20
