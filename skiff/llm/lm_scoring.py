@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,9 +57,11 @@ COMMON_TOKENS = 300_000
 #: Commonest pairs of neighbours whose gains every task holds; all others are joined.
 COMMON_PAIRS = 1_000_000
 #: Distinct pairs a counting task holds before it passes them on.
-HELD_PAIRS = 1 << 21
+HELD_PAIRS = 1 << 20
 #: Tokens of the documents whose questions to the model a scoring task packs at one time.
-HELD_SCORED = 1 << 21
+HELD_SCORED = 1 << 19
+#: Names of words a task remembers.
+HELD_NAMES = 1 << 17
 #: Least buckets that pairs and uncommon tokens are dealt to; there is one for every four
 #: million training tokens.
 BUCKETS = 32
@@ -127,7 +130,7 @@ def _first_met(raw: np.ndarray, width: np.ndarray, place: np.ndarray) -> np.ndar
     return met
 
 
-def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool = False) -> tuple[np.ndarray, ...]:
+def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool = False, orders=None) -> tuple[np.ndarray, ...]:
     """For every bit of every token's bytes and terminator: token number, bit, slot of each
     order (into one table for all) and gate (byte position and bit position).  A token is
     its class byte and its bytes; the class is given, not predicted.  With ``near_bits`` the
@@ -136,7 +139,7 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool
 
     ``shared``: the bits of a beginning that neighbouring tokens share come once.  Then the
     first array has numbers of bytes, and two more have the token and that number of every
-    byte of every token."""
+    byte of every token.  The slots of no others than ``orders`` are filled in, if given."""
     ended = [t if t.endswith(END) else t + b" " for t in tokens]
     raw = np.frombuffer(b"".join(ended), np.uint8)
     width = np.fromiter(map(len, ended), np.int64, len(tokens))
@@ -175,6 +178,9 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool
     slots = np.empty((len(sizes), len(at)), np.int32)
     start = 0
     for k, (n, size) in enumerate(sizes):
+        if orders is not None and k not in orders:
+            start += 1 << size
+            continue
         h = history[n][at]
         h += node
         h *= _MUL
@@ -192,14 +198,14 @@ def _events(tokens: list[bytes], sizes=ORDERS, near_bits: int = 0, shared: bool
     return owner, bit, slots, gate
 
 
-def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range, sizes=ORDERS, near_bits: int = 0) -> None:
-    """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones); with
-    ``near_bits`` without the slots of the other table."""
-    owner, bit, slots, _, of, byte = _events(tokens, sizes, near_bits, shared=True)
+def count_bits(tokens: list[bytes], counts: np.ndarray, table: np.ndarray, orders: range | list[int], sizes=ORDERS, near_bits: int = 0, start: int = 0) -> None:
+    """Add the tokens' bits, weighted by count, to ``table`` (slot x zeros and ones), which
+    begins with slot ``start``; with ``near_bits`` without the slots of the other table."""
+    owner, bit, slots, _, of, byte = _events(tokens, sizes, near_bits, shared=True, orders=orders)
     weight = np.bincount(byte, counts[of])[owner].astype(table.dtype)
     flat = table.reshape(-1)
     for k in orders:
-        at, add = slots[k].astype(np.int64) * 2 + bit, weight
+        at, add = (slots[k].astype(np.int64) - start) * 2 + bit, weight
         if near_bits and k == len(sizes) - 1:
             here = at < len(flat)
             at, add = at[here], weight[here]
@@ -288,18 +294,49 @@ class Mixer:
             self.refine[:, :, 1] += np.bincount(flat + side, share * weight, size)[:size].reshape(-1, _BUCKETS)
 
 
-def _gather(table: np.ndarray, slots: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    # a slot's two counts are fetched as one number
-    pairs = table.view(np.complex64)[:, 0]
+class Counts:
+    """The table of counts in two bytes a count; the few larger ones stand apart."""
+
+    MOST = (1 << 16) - 1
+
+    def __init__(self, slots: int):
+        self.small = np.zeros((slots, 2), np.uint16)
+        self.at, self.large = np.empty(0, np.int64), np.empty(0, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.small)
+
+    def put(self, start: int, counts: np.ndarray) -> None:
+        """The counts of the slots from ``start`` on; later calls have later slots."""
+        self.small[start : start + len(counts)] = np.minimum(counts, self.MOST)
+        at = np.flatnonzero(counts.reshape(-1) >= self.MOST)
+        self.at = np.r_[self.at, start * 2 + at]
+        self.large = np.r_[self.large, counts.reshape(-1)[at].astype(np.float32)]
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # a slot's two counts are fetched as one number
+        both = np.take(self.small.view("<u4")[:, 0], slots)
+        out = (both & self.MOST).astype(np.float32), (both >> 16).astype(np.float32)
+        for side, n in enumerate(out):
+            far = n == self.MOST
+            n[far] = self.large[np.searchsorted(self.at, slots[far].astype(np.int64) * 2 + side)]
+        return out
+
+
+def _gather(table: np.ndarray | Counts, slots: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def take(some):
+        if isinstance(table, Counts):
+            return table.take(some)
+        both = np.take(table.view(np.complex64)[:, 0], some)
+        return np.ascontiguousarray(both.real), np.ascontiguousarray(both.imag)
+
     if near is None:
-        both = np.take(pairs, slots)
-    else:
-        both = np.empty(slots.shape, np.complex64)
-        np.take(pairs, slots[:-1], out=both[:-1])
-        deep = slots[-1] >= len(table)
-        both[-1, ~deep] = pairs[slots[-1][~deep]]
-        both[-1, deep] = near.view(np.complex64)[:, 0][slots[-1][deep] - len(table)]
-    return np.ascontiguousarray(both.real), np.ascontiguousarray(both.imag)
+        return take(slots)
+    deep = slots[-1] >= len(table)
+    n0, n1 = take(np.where(deep & (np.arange(len(slots)) == len(slots) - 1)[:, None], 0, slots))
+    both = near.view(np.complex64)[:, 0][slots[-1][deep] - len(table)]
+    n0[-1, deep], n1[-1, deep] = both.real, both.imag
+    return n0, n1
 
 
 def train_mixer(table: np.ndarray, tokens: list[bytes], counts: np.ndarray, mixer: Mixer, whole_from: int, batch: int = 512, sizes=ORDERS, near=(None, 0)) -> None:
@@ -391,7 +428,7 @@ class _Names(dict):
 
 def _names_of(kind: int, words: list[bytes], numbers: dict[int, dict[bytes, int]], held: dict[int, _Names]) -> np.ndarray:
     """Names of the class alone, as what stands before the first token, and of the tokens."""
-    if sum(map(len, held.values())) > HELD_TOKENS:
+    if sum(map(len, held.values())) > HELD_NAMES:
         held.clear()
     if kind not in held:
         held[kind] = _Names(kind, numbers.get(kind, {}))
@@ -450,10 +487,9 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 _COUNTED = "bucket int, keys binary, n binary, p binary, w binary, m binary"
 
 
-def _counted_row(bucket: int, keys: np.ndarray, p: np.ndarray, w: np.ndarray, n: np.ndarray) -> list:
-    """Pairs of one bucket by sorted key; of those of two numbers the key alone is kept."""
-    k = int(np.searchsorted(keys, _RARE))
-    return [bucket, _pack_sorted(keys[:k]), _pack(n[:k]), _pack(p[k:]), _pack(w[k:]), _pack(n[k:])]
+def _counted_row(bucket: int, keys: np.ndarray, n: np.ndarray, p: np.ndarray, w: np.ndarray, m: np.ndarray) -> list:
+    """Pairs of one bucket: of two numbers the sorted keys, else both names, and their counts."""
+    return [bucket, _pack_sorted(keys), _pack(n), _pack(p), _pack(w), _pack(m)]
 
 
 def _counted_batch(rows: list) -> pa.RecordBatch:
@@ -476,7 +512,8 @@ def _pair_counter(names, buckets: int):
             keys, n, first = _sums(keys[order], np.ones(len(keys), np.int64))
             p, w = p[order[first]], w[order[first]]
             for bucket, at in _by_bucket(_bucket_of(keys, buckets)):
-                yield _counted_batch([_counted_row(bucket, keys[at], p[at], w[at], n[at])])
+                near, far = np.split(at, [np.searchsorted(keys[at], _RARE)])
+                yield _counted_batch([_counted_row(bucket, keys[near], n[near], p[far], w[far], n[far])])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -503,25 +540,22 @@ def _sum_pairs(batches):
     current, rows = None, []
 
     def out():
-        keys, p, w, n = [], [], [], []
-        for k, m, rare_p, rare_w, rare_n in rows:
-            k, rare_p, rare_w = _unpack_sorted(k), _unpack(rare_p), _unpack(rare_w)
-            a, b = _numbers_of(k)
-            keys += [k, _pair_keys(rare_p, rare_w)]
-            p += [a, rare_p]
-            w += [b, rare_w]
-            n += [_unpack(m), _unpack(rare_n)]
-        keys = np.concatenate(keys)
+        many = [x[2:] for x in rows]
+        keys = np.concatenate([_unpack_sorted(x[0]) for x in rows])
+        n = np.concatenate([_unpack(x[1]) for x in rows])
+        rows.clear()
         order = np.argsort(keys)
-        keys, n, first = _sums(keys[order], np.concatenate(n)[order])
-        first = order[first]
-        return _counted_batch([_counted_row(current, keys, np.concatenate(p)[first], np.concatenate(w)[first], n)])
+        keys, n, _ = _sums(keys[order], n[order])
+        p, w, m = (np.concatenate([_unpack(x[k]) for x in many]) for k in range(3))
+        far = _pair_keys(p, w)
+        order = np.argsort(far)
+        _, m, first = _sums(far[order], m[order])
+        return _counted_batch([_counted_row(current, keys, n, p[order[first]], w[order[first]], m)])
 
     for b in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
             if bucket != current and rows:
                 yield out()
-                rows.clear()
             current = bucket
             rows.append(row)
     if rows:
@@ -627,49 +661,47 @@ def _sorted_pieces(pieces, size: int) -> list[tuple[list[bytes], np.ndarray]]:
 
 
 def _slot_counter(sizes):
-    slots = _slots_of(sizes)
+    starts = np.cumsum([0, *(1 << bits for _, bits in sizes)])
+    # orders that are counted at one time, in tables of not many more slots than the largest may have
+    groups = [[0]]
+    for k in range(1, len(sizes)):
+        if starts[k + 1] - starts[groups[-1][0]] > 1 << MOST_BITS:
+            groups.append([])
+        groups[-1].append(k)
 
     def run(batches):
-        schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
-        table_, held = None, []
-
-        def count():
-            for tokens, counts in _sorted_pieces(held, 1 << 14):
-                count_bits(tokens, counts, table_, range(len(sizes)), sizes, 1)
-            held.clear()
-
-        for b in batches:
-            held += _pieces(b, 16384)
-            table_ = np.zeros((slots, 2), np.uint32) if table_ is None else table_
-            if sum(len(x) for x, _ in held) >= 1 << 17:
-                count()
-        if table_ is not None:
-            count()
-            for seg in range(-(-slots // SEGMENT)):
-                part = table_[seg * SEGMENT : (seg + 1) * SEGMENT]
+        schema = pa.schema([("start", pa.int64()), ("counts", pa.binary())])
+        pieces = _sorted_pieces([x for b in batches for x in _pieces(b, 16384)], 1 << 14)
+        for group in groups if pieces else ():
+            start, end = int(starts[group[0]]), int(starts[group[-1] + 1])
+            table_ = np.zeros((end - start, 2), np.uint32)
+            for tokens, counts in pieces:
+                count_bits(tokens, counts, table_, group, sizes, 1, start)
+            for at in range(0, len(table_), SEGMENT):
+                part = table_[at : at + SEGMENT]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([_pack(part.reshape(-1))], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([start + at], pa.int64()), pa.array([_pack(part.reshape(-1))], pa.binary())], schema=schema)
 
     return run
 
 
 def _sum_segments(batches):
-    """Sums of the counts by segment; rows come sorted by segment, so one is held at a time."""
-    schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
-    total, current = np.zeros((SEGMENT, 2)), None
+    """Sums of the counts of a segment's slots; rows come sorted, so one is held at a time."""
+    schema = pa.schema([("start", pa.int64()), ("counts", pa.binary())])
+    total, current = None, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([_pack(total.reshape(-1))], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([_pack(total)], pa.binary())], schema=schema)
 
     for b in batches:
-        for segment, counts in zip(*(c.to_pylist() for c in b.columns)):
-            if segment != current:
-                if current is not None:
-                    yield out()
-                current = segment
-                total[:] = 0
-            part = _unpack(counts).reshape(-1, 2)
-            total[: len(part)] += part
+        for start, counts in zip(*(c.to_pylist() for c in b.columns)):
+            part = _unpack(counts)
+            if start == current:
+                total += part
+                continue
+            if current is not None:
+                yield out()
+            current, total = start, part
     if current is not None:
         yield out()
 
@@ -696,14 +728,19 @@ class _Made:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    @contextmanager
+    def clean(self):
         before = self.spark.conf.get(self._CLEAN, "false")
         self.spark.conf.set(self._CLEAN, "true")
         try:
-            return materialize(df, label)
+            yield
         finally:
             self.spark.conf.set(self._CLEAN, before)
 
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        with self.clean():
+            return materialize(df, label)
+
     def write(self, df: DataFrame, label: str) -> DataFrame:
         out = self.keep(df, label)
         self.paths[label] = out.inputFiles()
@@ -727,7 +764,7 @@ class LanguageModel:
     common: dict[str, np.ndarray]  # their n_train, cost and spelled
     behind: np.ndarray  # distinct tokens behind them
     class_cost: list[float]  # log10 probability of a document's class, and what discounts leave behind it
-    table: np.ndarray
+    table: Counts
     mixer: Mixer
 
     def base(self, n):
@@ -799,15 +836,17 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
     distinct = train.count()
     sizes = sized(distinct)
     slots = _slots_of(sizes)
-    parts = train.mapInArrow(_slot_counter(sizes), "segment int, counts binary")
-    dense = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_sum_segments, "segment int, counts binary")
-    table_ = np.zeros((slots, 2), np.float32)
-    for r in dense.toLocalIterator():  # at most slots pairs
-        span = slice(r.segment * SEGMENT, min(slots, (r.segment + 1) * SEGMENT))
-        table_[span] = _unpack(r.counts).reshape(-1, 2)[: span.stop - span.start]
+    parts = train.mapInArrow(_slot_counter(sizes), "start long, counts binary")
+    dense = parts.repartition("start").sortWithinPartitions("start").mapInArrow(_sum_segments, "start long, counts binary")
+    table_ = Counts(slots)
+    # at most slots pairs
+    with made.clean():
+        dense = dense.collect()
+    for r in sorted(dense, key=lambda r: r.start):
+        table_.put(r.start, _unpack(r.counts).reshape(-1, 2))
     # compressed, as every machine keeps the broadcast on its disk
     blocks = range(0, slots, 1 << 20)
-    shared = spark.sparkContext.broadcast([slots, *(zlib.compress(table_[at : at + (1 << 20)], 1) for at in blocks)])
+    shared = spark.sparkContext.broadcast([slots, table_.at, table_.large, *(zlib.compress(table_.small[at : at + (1 << 20)], 1) for at in blocks)])
 
     together = [F.expr(f"substring(token, 1, {SHORT + 1})")]
     if (tasks := distinct // TASK_TOKENS) > 1:
@@ -1139,19 +1178,21 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", "n_bytes", F.col("base").alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
-_TABLES: dict[int, tuple[list, np.ndarray]] = {}
+_TABLES: dict[int, tuple[list, Counts]] = {}
 
 
-def _unpacked(packed: list) -> np.ndarray:
-    """The table of counts from its slots and blocks; made once per worker and broadcast value."""
+def _unpacked(packed: list) -> Counts:
+    """The table of counts from its blocks; made once per worker and broadcast value."""
     held = _TABLES.get(id(packed))
     if held is None or held[0] is not packed:
         _TABLES.clear()
-        table_, at = np.empty((packed[0], 2), np.float32), 0
-        for block in packed[1:]:
-            part = np.frombuffer(zlib.decompress(block), np.float32).reshape(-1, 2)
-            table_[at : at + len(part)] = part
-            at += len(part)
+        slots, at, large, *blocks = packed
+        table_, start = Counts(slots), 0
+        table_.at, table_.large = at, large
+        for block in blocks:
+            part = np.frombuffer(zlib.decompress(block), np.uint16).reshape(-1, 2)
+            table_.small[start : start + len(part)] = part
+            start += len(part)
         _TABLES[id(packed)] = held = (packed, table_)
     return held[1]
 

@@ -214,3 +214,13 @@ def test_fit_leaves_the_model_alone_on_disk(spark):
     m = L.fit_language_model(d)
     assert sorted(n.split("-")[1] for n in tables() - before if not n.endswith(".zip")) == ["gains", "vocabulary"]
     assert L.score_documents(d, m).count() == 20
+
+
+def test_compact_counts_are_exact():
+    table = np.random.default_rng(8).integers(0, 200_000, (3 * L.SEGMENT, 2))
+    compact = L.Counts(len(table))
+    for at in range(0, len(table), L.SEGMENT):
+        compact.put(at, table[at : at + L.SEGMENT])
+    slots = np.arange(len(table), dtype=np.int32).reshape(3, -1)
+    for a, b in zip(L._gather(compact, slots), L._gather(table.astype(np.float32), slots)):
+        assert np.array_equal(a, b)
