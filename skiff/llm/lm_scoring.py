@@ -62,7 +62,7 @@ HELD_PAIRS = 1 << 20
 HELD_SCORED = 1 << 19
 #: Names of words a task remembers.
 HELD_NAMES = 1 << 17
-#: Least buckets that pairs and uncommon tokens are dealt to; there is one for every four
+#: Least buckets that pairs and uncommon tokens are dealt to; there is one for every
 #: million training tokens.
 BUCKETS = 32
 #: Bits of a common token's number; other names have the top bit set.
@@ -898,7 +898,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", held_col: str =
         b.destroy()
 
     # what stands behind each name: t distinct tokens of n_p occurrences
-    buckets = max(BUCKETS, int(total.n) >> 22)
+    buckets = max(BUCKETS, int(total.n) >> 20)
     texts = docs.where(~F.col(held_col)).select(F.col(text_col).cast("string").alias("text"))
     dealt = texts.mapInArrow(_pair_counter(names, buckets), _COUNTED).repartition("bucket").sortWithinPartitions("bucket")
     pairs = made.write(dealt.mapInArrow(_sum_pairs, _COUNTED), "pairs")
@@ -1105,8 +1105,9 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             documents = b.filter(pa.array(side == _OWN))
             if documents.num_rows:
                 yield batch(met_arrow, documents.num_rows, {c: documents.column(c) for c in ("chunk", *own.names)})
-            rest = b.filter(pa.array(side != _OWN))
-            for bucket, kind, chunk, one, two, three in zip(*(rest.column(c).to_pylist() for c in ("bucket", "side", "chunk", "a", "b", "c"))):
+            cols = [b.column(c) for c in ("bucket", "side", "chunk", "a", "b", "c")]
+            for row in np.flatnonzero(side != _OWN).tolist():  # one at a time, as they are large
+                bucket, kind, chunk, one, two, three = (c[row].as_py() for c in cols)
                 if waiting is not None and (bucket, chunk) != (current, waiting[0]):
                     yield sums()
                     waiting = None
